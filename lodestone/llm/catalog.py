@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm.simhash import simhash_dedup
 from lodestone.plans.runtime import table
 
 QUERIES, ORACLES = {}, {}
@@ -18,3 +19,10 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY t)
 """
+
+
+def op3_simhash(spark, sf_dir):
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_simhash"] = op3_simhash
