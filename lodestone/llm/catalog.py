@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm.packing import pack
 from lodestone.llm.simhash import simhash_dedup
 from lodestone.plans.runtime import table
 
 QUERIES, ORACLES = {}, {}
 
 
+def tokenizer_path(name="word_bpe_49k.json"):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -26,3 +33,10 @@ def op3_simhash(spark, sf_dir):
 
 
 QUERIES["op3_simhash"] = op3_simhash
+
+
+def op5_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES["op5_packing"] = op5_packing
