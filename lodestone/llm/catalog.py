@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.packing import pack
+from lodestone.llm.quality_rules import quality_rules
+from lodestone.llm.sharding import shard
 from lodestone.llm.simhash import simhash_dedup
 from lodestone.plans.runtime import table
 
@@ -40,3 +42,18 @@ def op5_packing(spark, sf_dir):
 
 
 QUERIES["op5_packing"] = op5_packing
+
+
+def op8_sharding(spark, sf_dir):
+    return shard(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_sharding"] = op8_sharding
+
+
+def op9_quality_rules(spark, sf_dir):
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    return quality_rules(table(spark, sf_dir, "documents")).select(*columns)
+
+
+QUERIES["op9_quality_rules"] = op9_quality_rules
