@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.packing import pack
+from lodestone.llm.quality_classifier import quality_classifier
 from lodestone.llm.quality_rules import quality_rules
 from lodestone.llm.sharding import shard
 from lodestone.llm.simhash import simhash_dedup
@@ -57,3 +58,10 @@ def op9_quality_rules(spark, sf_dir):
 
 
 QUERIES["op9_quality_rules"] = op9_quality_rules
+
+
+def op6_quality_classifier(spark, sf_dir):
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op6_quality_classifier"] = op6_quality_classifier
