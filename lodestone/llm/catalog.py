@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm.language_id import language_id
 from lodestone.llm.packing import pack
 from lodestone.llm.quality_classifier import quality_classifier
 from lodestone.llm.quality_rules import quality_rules
@@ -65,3 +66,10 @@ def op6_quality_classifier(spark, sf_dir):
 
 
 QUERIES["op6_quality_classifier"] = op6_quality_classifier
+
+
+def op7_language_id(spark, sf_dir):
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op7_language_id"] = op7_language_id
