@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import text_slices
+from lodestone.llm.batches import LOWER, text_slices
 from lodestone.plans.runtime import materialize, prepare
 
 WINDOW = 2048
@@ -34,18 +34,56 @@ END = 1
 # ---- tokens ----
 
 
+_MARK = np.zeros(256, bool)
+_MARK[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'"]] = True
+_ASCII = np.zeros(256, bool)
+_ASCII[[*range(65, 91), *range(97, 123)]] = True
+
+
+def simplify(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A-Z and the capitals of Latin-1 in lower case, and a space between a letter of these alphabets and punctuation.
+
+    Left alone if the text may hold a special token, which is matched before case is lowered.
+    """
+    if len(data) < 2 or b"<|" in data.tobytes():
+        return data, off
+    data = LOWER[data]
+    lead = data[:-1] == 0xC3  # U+00C0 to U+00FF
+    second = data[1:]
+    latin = lead & (second != 0x97) & (second != 0xB7)
+    second[latin & (second < 0x9F)] += 0x20
+    letter = _ASCII[data]
+    letter[1:] |= latin
+    cut = np.flatnonzero(letter[:-1] & _MARK[data[1:]]) + 1
+    cut = cut[off[np.searchsorted(off, cut)] != cut]
+    return np.insert(data, cut, 0x20), off + np.searchsorted(cut, off)
+
+
 class WordIds(dict):
-    """Token ids of words by a tokenizer that never joins across white space; code -> ids in two arrays."""
+    """Token ids of words by a tokenizer that never joins across white space; code -> ids in two arrays.
+
+    Words are looked up in lower case and without the punctuation that follows a letter: the tokenizer lowers case and
+    begins a new piece there anyway. Words of plain letters need only its model.
+    """
 
-    ROOM = 16 << 20
+    #: Bytes of remembered words, at about 150 for each besides its letters.
+    ROOM = 96 << 20
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.simple = self.alike()
         self.reset()
 
+    def alike(self) -> bool:
+        """Whether the tokenizer lowers case and parts letters from punctuation, so that simplify() changes no ids."""
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        probe = "Thing, ÀÉ\xdf! it's x.Y_z #End; (No) A-b"
+        model = [t.id for t in self.tokenizer.model.tokenize("thing")]
+        return ids(probe) == ids("thing , \xe0\xe9\xdf ! it's x .y _z #end ; (no ) a -b") and ids("thing") == model and ids("thing.") == model + ids(".")
+
     def reset(self) -> None:
         self.clear()
         self.fresh: list[bytes] = []
@@ -63,10 +101,27 @@ class WordIds(dict):
         self.ids = np.append(self.ids, np.array([i for x in ids for i in x], np.uint32))
         self.start = np.cumsum(self.size) - self.size
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def new_ids(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words not seen before."""
+        if not self.simple:
+            return [e.ids for e in self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in words], add_special_tokens=False)]
+        model, out, other = self.tokenizer.model, [], []
+        for x in words:
+            plain = x.isalpha() and x.islower()  # of bytes: letters a to z only
+            out.append([t.id for t in model.tokenize(x.decode())] if plain else None)
+            if not plain:
+                other.append(x.decode("utf-8", "replace"))
+        rest = iter(self.tokenizer.encode_batch_fast(other, add_special_tokens=False))
+        return [next(rest).ids if x is None else x for x in out]
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with its end id; offsets)"""
         if self.bytes > self.ROOM:
             self.reset()
+        if self.simple:
+            data, off = simplify(data, off)
+        raw = data.tobytes()
+        texts = [raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
         names: list[bytes] = []
         count = np.empty(len(texts), np.int64)
         for i, x in enumerate(texts):
@@ -76,8 +131,8 @@ class WordIds(dict):
             count[i] = len(own) + 1
         codes = np.fromiter(map(self.__getitem__, names), np.int64, len(names))
         if self.fresh:
-            self.add([e.ids for e in self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in self.fresh], add_special_tokens=False)])
-            self.bytes += sum(map(len, self.fresh)) + 100 * len(self.fresh)
+            self.add(self.new_ids(self.fresh))
+            self.bytes += sum(map(len, self.fresh)) + 150 * len(self.fresh)
             self.fresh = []
         size = self.size[codes]
         end = np.cumsum(size)
@@ -98,8 +153,7 @@ def _tokens(path: str):
     def run(batches):
         vocabulary, pid, given = word_ids(path), TaskContext.get().partitionId(), {}
         for rows, data, off in text_slices(batches, "text"):
-            raw = data.tobytes()
-            ids, at = vocabulary.encode([raw[a:b] for a, b in zip(off[:-1], off[1:], strict=True)])
+            ids, at = vocabulary.encode(data, off)
             blob = memoryview(ids.astype("<u4").tobytes())
             start = []
             for source, n in zip(rows.column("queue_key").to_pylist(), np.diff(at).tolist(), strict=True):
