@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.language_id import language_id
+from lodestone.llm.mixing import Weights, mix_sources, source_group
 from lodestone.llm.packing import pack
 from lodestone.llm.quality_classifier import quality_classifier
 from lodestone.llm.quality_rules import quality_rules
@@ -73,3 +74,14 @@ def op7_language_id(spark, sf_dir):
 
 
 QUERIES["op7_language_id"] = op7_language_id
+
+
+#: The mixture that op10 and the pipeline aim at.
+MIXTURE = Weights(domain={"d0": 0.3, "d1": 0.3, "d2": 0.2, "d3": 0.2}, lang={"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1})
+
+
+def op10_mixing(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents"), source_group(), 0.9, MIXTURE, epochs=2)
+
+
+QUERIES["op10_mixing"] = op10_mixing
