@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestone.llm.chat_format import format_preferences, stale_reply_pairs
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.language_id import language_id
 from lodestone.llm.mixing import Weights, mix_sources, source_group
@@ -85,3 +86,26 @@ def op10_mixing(spark, sf_dir):
 
 
 QUERIES["op10_mixing"] = op10_mixing
+
+
+def op2_chat_format(spark, sf_dir):
+    return format_preferences(stale_reply_pairs(table(spark, sf_dir, "conversations")))
+
+
+QUERIES["op2_chat_format"] = op2_chat_format
+ORACLES["op2_chat_format"] = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM t),
+l AS (SELECT conv_id, max(k) AS last FROM n WHERE role = 'assistant' GROUP BY conv_id),
+b AS (SELECT n.conv_id, max_by(n.text, n.k) AS stale FROM n JOIN l USING (conv_id) WHERE n.k < l.last AND n.role = 'assistant' GROUP BY n.conv_id),
+s AS (SELECT l.conv_id, l.last, n.text AS own, CASE WHEN coalesce(b.stale, '') = n.text THEN '' ELSE coalesce(b.stale, '') END AS stale
+      FROM l JOIN n ON n.conv_id = l.conv_id AND n.k = l.last LEFT JOIN b ON b.conv_id = l.conv_id),
+p AS (SELECT s.conv_id, string_agg('<|' || replace(coalesce(n.role, ''), '<|', '< |') || '|>' || chr(10) || replace(n.text, '<|', '< |') || '<|end|>' || chr(10), '' ORDER BY n.k) AS prompt
+      FROM s JOIN n ON n.conv_id = s.conv_id AND (n.k < s.last OR n.k = s.last AND s.own = s.stale) GROUP BY s.conv_id),
+c AS (SELECT s.conv_id AS pair_id, CAST(CASE WHEN own = s.stale THEN last ELSE last - 1 END AS INTEGER) AS prompt_turns, coalesce(p.prompt, '') AS prompt,
+      CASE WHEN own = s.stale THEN '' ELSE '<|assistant|>' || chr(10) || replace(own, '<|', '< |') || '<|end|>' || chr(10) END AS chosen,
+      CASE WHEN own = s.stale THEN '' ELSE '<|assistant|>' || chr(10) || replace(s.stale, '<|', '< |') || '<|end|>' || chr(10) END AS rejected
+      FROM s LEFT JOIN p ON p.conv_id = s.conv_id)
+SELECT pair_id, prompt_turns, prompt, chosen, rejected, CASE WHEN chosen = '' THEN '' ELSE '14:' || length(chosen) END AS chosen_spans,
+       CASE WHEN rejected = '' THEN '' ELSE '14:' || length(rejected) END AS rejected_spans FROM c
+"""
