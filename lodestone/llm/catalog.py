@@ -11,6 +11,7 @@ from lodestone.llm.quality_classifier import quality_classifier
 from lodestone.llm.quality_rules import quality_rules
 from lodestone.llm.sharding import shard
 from lodestone.llm.simhash import simhash_dedup
+from lodestone.llm.suffix_dedup import suffix_dedup
 from lodestone.plans.runtime import table
 
 QUERIES, ORACLES = {}, {}
@@ -109,3 +110,10 @@ c AS (SELECT s.conv_id AS pair_id, CAST(CASE WHEN own = s.stale THEN last ELSE l
 SELECT pair_id, prompt_turns, prompt, chosen, rejected, CASE WHEN chosen = '' THEN '' ELSE '14:' || length(chosen) END AS chosen_spans,
        CASE WHEN rejected = '' THEN '' ELSE '14:' || length(rejected) END AS rejected_spans FROM c
 """
+
+
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_suffix_dedup"] = op4_suffix_dedup
