@@ -14,6 +14,7 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Rows of one Arrow batch: documents are a few KB each, so a batch stays a few MB.
 ARROW_ROWS = 1000
+ARROW_BYTES = 16 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -24,6 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     env.setdefault("TOKENIZERS_PARALLELISM", "false")
     env.setdefault("OMP_NUM_THREADS", "1")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
