@@ -46,7 +46,7 @@ class HashingEmbedder:
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dims))
         for row, text in zip(out, texts, strict=True):
-            found = np.fromiter((self.bucket(t) for t in re.findall(TOKENS, text or "")), np.int64)
+            found = np.fromiter((self.bucket(t) for t in re.findall(TOKENS, text or "", re.ASCII)), np.int64)
             row += np.bincount(found, minlength=self.dims)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1)

@@ -37,3 +37,20 @@ def top1_check(cases: DataFrame, ranked: DataFrame) -> DataFrame:
     """query_id, hit: the first result is from the expected source (cases: query_id, expected); no result is a miss."""
     first = ranked.where("rank = 1").select("query_id", "source")
     return cases.join(first, "query_id", "left").select("query_id", F.coalesce(F.col("source") == F.col("expected"), F.lit(False)).alias("hit"))
+
+
+def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, id, source) of documents (id, text, source) that contain a passage (query_id, text).
+
+    A document that contains a passage holds each of its inner tokens, so passages meet documents on their rarest inner
+    token; passages with fewer than three tokens are not looked for.
+    """
+    from lodestone.operators.bm25 import tokens
+
+    inner = passages.select("query_id", F.col("text").alias("passage"), tokens(F.col("text")).alias("t")).where(F.size("t") >= 3)
+    inner = inner.select("query_id", "passage", F.explode(F.array_distinct(F.slice("t", F.lit(2), F.size("t") - 2))).alias("tok"))
+    held = docs.select("id", "source", "text", F.explode(F.array_distinct(tokens(F.col("text")))).alias("tok"))
+    held = held.join(inner.select("tok").distinct(), "tok", "left_semi")
+    rare = held.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).join(inner, "tok")
+    best = rare.groupBy("query_id").agg(F.min_by("tok", F.struct("df", "tok")).alias("tok"), F.first("passage").alias("passage"))
+    return held.join(best, "tok").where(F.contains("text", "passage")).select("query_id", "id", "source")

@@ -1,10 +1,416 @@
-"""The registered queries and their DuckDB equivalents."""
+"""The registered queries, each over its whole tables, and their DuckDB equivalents with the same columns."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.functions import pii
+from lodestone.functions.chunking import chunk_documents, token_units
+from lodestone.functions.text import clean_text, content_hash, escape_html, estimate_tokens, extract_json, preview, strip
+from lodestone.operators.bm25 import bm25_topk, corpus
+from lodestone.operators.conversation import append_turns, compress, token_totals
+from lodestone.operators.dedup import dedup_stats, first_wins, list_sources, numbered, source_totals
+from lodestone.operators.dense import dense_topk
+from lodestone.operators.embed import HashingEmbedder, embed
+from lodestone.operators.evaluate import containing, hit_rates, hits, top1_check
+from lodestone.operators.fusion import recall_size, rerank, rrf_fuse, threshold_topk
+from lodestone.operators.retrieval import format_context, hybrid_retrieve, with_text
+from lodestone.plans.runtime import table
+from lodestone.sources.parsers import html_text
+from lodestone.sources.registry import supported_frame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+TOP_K, FETCH, DIMS = 5, recall_size(5), 64
+THRESHOLD = 0.75
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- pieces of the oracles; white space is Python's ----
+
+_WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+_TOKENS = r"[A-Za-z0-9]+|[一-鿿]|[^\sA-Za-z0-9]"
+_UNITS = rf"{_WS}+|[一-鿿]|[A-Za-z0-9_]{{1,4}}|[^\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _clean(x: str) -> str:
+    inner = rf"regexp_replace(coalesce({x}, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')"
+    inner = rf"regexp_replace({inner}, '[ \t]+', ' ', 'g')"
+    return _strip(rf"regexp_replace({inner}, '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def _hash(x: str) -> str:
+    return f"md5(regexp_replace({x}, '{_WS}+', '', 'g'))"
+
+
+def _estimate(x: str) -> str:
+    han = f"length(regexp_replace({x}, '[^一-鿿]', '', 'g'))"
+    return f"CASE WHEN coalesce({x}, '') = '' THEN 0 ELSE CAST({han} + (length({x}) - {han}) // 4 + 1 AS INTEGER) END"
+
+
+def _documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+def _chunks(spark, sf_dir):
+    """Documents as chunks: id (order of insertion), text, source."""
+    return _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "source")
+
+
+def _questions(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+# ---- scalar functions ----
+
+
+@query(f"SELECT page_id, {_clean('html')} AS cleaned FROM pages")
+def clean_text_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", clean_text("html").alias("cleaned"))
+
+
+@query(f"SELECT doc_id, {_hash('text')} AS content_hash FROM documents")
+def content_hash_docs(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", content_hash("text").alias("content_hash"))
+
+
+@query(f"SELECT conv_id, turn, {_estimate('text')} AS tokens FROM conversations")
+def estimate_tokens_turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", estimate_tokens("text").alias("tokens"))
+
+
+@query(
+    r"""SELECT event_id, CASE WHEN json_valid(j) AND j <> '' THEN j END AS found FROM
+    (SELECT event_id, regexp_extract('The answer is ' || props || ' as asked.', '(?s)\{.*\}', 0) AS j FROM events)"""
+)
+def json_extract(spark, sf_dir):
+    said = F.concat(F.lit("The answer is "), F.col("props"), F.lit(" as asked."))
+    return table(spark, sf_dir, "events").select("event_id", extract_json(said).alias("found"))
+
+
+@query(
+    "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped,"
+    " substr(replace(html, chr(10), ' '), 1, 80) AS preview FROM pages"
+)
+def escape_and_preview(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", escape_html("html").alias("escaped"), preview("html").alias("preview"))
+
+
+@query()
+def html_text_pages(spark, sf_dir):
+    @F.pandas_udf("string")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda x: html_text(x or ""))
+
+    return table(spark, sf_dir, "pages").select("page_id", clean_text(run("html")).alias("text"))
+
+
+@query("SELECT family, unnest(e) AS extension FROM (VALUES " + ", ".join(f"('{f}', {list(e)!r})" for f, e in __import__("lodestone.sources.registry", fromlist=["SUPPORTED"]).SUPPORTED.items()) + ") t(family, e)")
+def supported_types(spark, sf_dir):
+    return supported_frame(spark)
+
+
+# ---- personal data: the oracle classifies whole digit runs, as its engine has no look-around ----
+
+
+def _pii_sql(name: str, key: str) -> str:
+    return rf"""
+WITH a AS (SELECT {key}, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}', '[EMAIL]', 'g') AS t,
+  length(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}', chr(1), 'g')) AS m,
+  len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}')) AS mails FROM {name} WHERE text IS NOT NULL),
+p AS (SELECT {key}, mails, regexp_extract_all(t, '\p{{Nd}}+[Xx]?|\P{{Nd}}+') AS parts FROM a),
+r AS (SELECT {key}, mails, list_transform(parts, lambda x: CASE
+  WHEN regexp_full_match(x, '1[3-9]\p{{Nd}}{{9}}[Xx]?') THEN '[PHONE]' || regexp_extract(x, '[Xx]$')
+  WHEN regexp_full_match(x, '\p{{Nd}}{{17}}[Xx]|\p{{Nd}}{{18}}[Xx]?') THEN '[ID_CARD]' || CASE WHEN regexp_full_match(x, '\p{{Nd}}{{18}}[Xx]') THEN right(x, 1) ELSE '' END
+  WHEN regexp_full_match(x, '\p{{Nd}}{{16,19}}[Xx]?') THEN '[BANK_CARD]' || regexp_extract(x, '[Xx]$') ELSE x END) AS done, parts FROM p)
+SELECT {key}, array_to_string(done, '') AS masked, CAST(mails + len(list_filter(list_zip(done, parts), lambda z: z[1] <> z[2])) AS INTEGER) AS hits FROM r"""
+
+
+@query(_pii_sql("documents", "doc_id"))
+def pii_mask_docs(spark, sf_dir):
+    return _documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", pii.mask(F.col("text")).alias("masked"), pii.hits(F.col("text")).alias("hits"))
+
+
+@query(_pii_sql("conversations", "conv_id, turn"))
+def pii_mask_turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", pii.mask(F.col("text")).alias("masked"), pii.hits(F.col("text")).alias("hits"))
+
+
+# ---- chunking ----
+
+_SIZE, _OVERLAP = 200, 40
+_STEP = _SIZE - _OVERLAP
+_CHUNKS = f"""u AS (SELECT doc_id, source, regexp_extract_all({_clean('text')}, '{_UNITS}') AS u FROM documents WHERE {_clean('text')} <> ''),
+w AS (SELECT doc_id, source, list_filter(list_transform(range(0, CASE WHEN len(u) <= {_SIZE} THEN 1 ELSE CAST(ceil((len(u) - {_SIZE}) / {_STEP}.0) AS BIGINT) + 1 END),
+  lambda i: {_strip(f"array_to_string(u[i * {_STEP} + 1 : i * {_STEP} + {_SIZE}], '')")}), lambda x: x <> '') AS w FROM u),
+c AS (SELECT doc_id, source, CAST(k AS INTEGER) AS chunk_index, w[k + 1] AS text FROM (SELECT doc_id, source, w, unnest(range(0, len(w))) AS k FROM w)),
+h AS (SELECT source, doc_id, chunk_index, text, {_hash('text')} AS content_hash FROM c)"""
+
+
+@query(f"SELECT doc_id, CAST(len(regexp_extract_all({_clean('text')}, '{_UNITS}')) AS INTEGER) AS units FROM documents")
+def token_unit_counts(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.size(token_units(clean_text("text"))).alias("units"))
+
+
+@query(f"WITH {_CHUNKS} SELECT * FROM h")
+def chunk_token(spark, sf_dir):
+    return chunk_documents(_documents(spark, sf_dir), _SIZE, _OVERLAP, "token", keep=("doc_id",))
+
+
+@query(f"WITH {_CHUNKS} SELECT source, doc_id, chunk_index, text, content_hash FROM h QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY doc_id, chunk_index) = 1")
+def chunk_dedup(spark, sf_dir):
+    return first_wins(chunk_token(spark, sf_dir), ["content_hash"], ["doc_id", "chunk_index"])
+
+
+@query()
+def chunk_char(spark, sf_dir):
+    return chunk_documents(_documents(spark, sf_dir), 800, 150, "char", keep=("doc_id",))
+
+
+# ---- dedup and aggregation ----
+
+
+@query(f"SELECT doc_id, text, source, {_hash('text')} AS content_hash FROM documents QUALIFY row_number() OVER (PARTITION BY {_hash('text')} ORDER BY doc_id) = 1")
+def dedup_first_docs(spark, sf_dir):
+    rows = _documents(spark, sf_dir).select("doc_id", "text", "source", content_hash("text").alias("content_hash"))
+    return first_wins(rows, ["content_hash"], ["doc_id"])
+
+
+@query(f"SELECT count(*) AS total, count(DISTINCT {_hash('text')}) AS kept, count(*) - count(DISTINCT {_hash('text')}) AS skipped FROM documents")
+def dedup_counts(spark, sf_dir):
+    return dedup_stats(_documents(spark, sf_dir).select(content_hash("text").alias("content_hash")), ["content_hash"])
+
+
+@query("SELECT coalesce(source, '未知') AS source, count(*) AS chunks, CAST(row_number() OVER (ORDER BY coalesce(source, '未知')) AS INTEGER) AS no FROM documents GROUP BY 1")
+def sources_listed(spark, sf_dir):
+    return numbered(list_sources(_documents(spark, sf_dir)), "source")
+
+
+@query("SELECT count(*) AS files, sum(chunks)::BIGINT AS chunks FROM (SELECT source, count(*) AS chunks FROM documents GROUP BY 1)")
+def sources_total(spark, sf_dir):
+    return source_totals(list_sources(_documents(spark, sf_dir)))
+
+
+# ---- changes of the store, as plans ----
+
+
+def _snapshot(spark, sf_dir):
+    return dedup_first_docs(spark, sf_dir).select("content_hash", "doc_id", "source")
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, source, lang, {_hash('text')} AS content_hash FROM documents),
+old AS (SELECT content_hash, doc_id, source FROM d QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) = 1),
+new AS (SELECT content_hash, doc_id, 'again/' || source AS source FROM d WHERE lang = 'en' QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY doc_id DESC) = 1)
+SELECT * FROM old WHERE content_hash NOT IN (SELECT content_hash FROM new) UNION ALL SELECT * FROM new"""
+)
+def upsert_snapshot(spark, sf_dir):
+    old = _snapshot(spark, sf_dir)
+    again = _documents(spark, sf_dir).where("lang = 'en'").select(content_hash("text").alias("content_hash"), "doc_id", F.concat(F.lit("again/"), F.col("source")).alias("source"), (-F.col("doc_id")).alias("last"))
+    new = first_wins(again, ["content_hash"], ["last"]).select("content_hash", "doc_id", "source")
+    return old.join(new.select("content_hash"), "content_hash", "left_anti").select("content_hash", "doc_id", "source").unionByName(new)
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, source, {_hash('text')} AS content_hash FROM documents),
+old AS (SELECT content_hash, doc_id, source FROM d QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) = 1)
+SELECT count(*) FILTER (WHERE source IS NOT DISTINCT FROM 'src3') AS deleted_chunks, count(*) FILTER (WHERE source IS DISTINCT FROM 'src3') AS total_chunks FROM old"""
+)
+def delete_counts(spark, sf_dir):
+    gone = F.col("source").eqNullSafe(F.lit("src3"))
+    return _snapshot(spark, sf_dir).agg(F.count(F.when(gone, 1)).alias("deleted_chunks"), F.count(F.when(~gone, 1)).alias("total_chunks"))
+
+
+# ---- retrieval ----
+
+
+@query(
+    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
+FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0)
+SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 15"""
+)
+def dense_search(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))  # the stated query set
+    return dense_topk(rows, asked, FETCH, "vec_id", "embedding")
+
+
+_QUERY = "q AS (SELECT item_id AS query_id, text FROM benchmark)"
+_BM25 = f"""tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '{_TOKENS}')) AS tok FROM documents),
+qtok AS (SELECT query_id, tok, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(text, '{_TOKENS}')) AS tok FROM q) GROUP BY ALL),
+tf AS (SELECT id, tok, count(*) AS tf FROM tok GROUP BY ALL),
+dl AS (SELECT doc_id AS id, len(regexp_extract_all(text, '{_TOKENS}')) AS dl FROM documents),
+size AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+df AS (SELECT tok, count(*) AS df FROM tf GROUP BY tok),
+raw AS (SELECT tok, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, size),
+idf AS (SELECT tok, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+bm AS (SELECT query_id, id, round(sum(qtf * idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 6) AS score
+  FROM qtok JOIN tf USING (tok) JOIN idf USING (tok) JOIN dl USING (id), size GROUP BY ALL),
+sparse AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM bm WHERE score > 0 QUALIFY rank <= {FETCH})"""
+_DENSE = f"""dv AS (SELECT id, b, count(*) AS c FROM (SELECT id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % {DIMS} AS b FROM tok) GROUP BY ALL),
+qv AS (SELECT query_id, b, sum(qtf) AS c FROM (SELECT query_id, qtf, ('0x' || substr(md5(tok), 1, 8))::BIGINT % {DIMS} AS b FROM qtok) GROUP BY ALL),
+dn AS (SELECT id, sqrt(sum(c * c)) AS dn FROM dv GROUP BY id), qn AS (SELECT query_id, sqrt(sum(c * c)) AS qn FROM qv GROUP BY query_id),
+dp AS (SELECT query_id, id, sum(qv.c * dv.c) AS dot FROM qv JOIN dv USING (b) GROUP BY ALL),
+ds AS (SELECT query_id, id, round(dot / (qn * dn), 6) AS score FROM dp JOIN dn USING (id) JOIN qn USING (query_id)),
+dense AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM ds QUALIFY rank <= {FETCH})"""
+_FUSED = f"""place AS (SELECT query_id, 0 AS list, rank, text, coalesce(source, '未知') AS source FROM dense JOIN documents ON id = doc_id
+  UNION ALL SELECT query_id, 1, rank, text, coalesce(source, '未知') FROM sparse JOIN documents ON id = doc_id),
+fz AS (SELECT query_id, text, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS rrf, arg_min(source, list * 1000 + rank) AS source, min(list * 1000 + rank) AS seen FROM place GROUP BY query_id, text),
+fused AS (SELECT query_id, text, source, rrf, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, seen) AS INTEGER) AS rank FROM fz QUALIFY rank <= {FETCH})"""
+_SCORED = f"""scored AS (SELECT query_id, f.text, source, rrf, rank, round(len(list_intersect(qt, dt)) / len(qt), 6) AS score FROM
+  (SELECT fused.*, list_distinct(regexp_extract_all(fused.text, '{_TOKENS}')) AS dt, list_distinct(regexp_extract_all(q.text, '{_TOKENS}')) AS qt FROM fused JOIN q USING (query_id)) f)"""
+
+
+def _best(threshold: float) -> str:
+    return f"""best AS (SELECT query_id, text, source, rrf, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old) AS INTEGER) AS rank FROM
+  (SELECT query_id, text, source, rrf, score, rank AS old, max(score >= {threshold}) OVER (PARTITION BY query_id) AS passing FROM scored) WHERE NOT passing OR score >= {threshold} QUALIFY rank <= {TOP_K})"""
+
+
+_ALL = f"WITH {_QUERY}, {_BM25}, {_DENSE}, {_FUSED}, {_SCORED}, "
+
+
+@query(f"WITH {_QUERY}, {_BM25} SELECT tok, df, round(idf, 6) AS idf FROM idf")
+def bm25_idf(spark, sf_dir):
+    return corpus(_chunks(spark, sf_dir)).vocabulary.select("tok", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {_QUERY}, {_BM25} SELECT query_id, id, score, rank FROM sparse")
+def bm25_search(spark, sf_dir):
+    return bm25_topk(_chunks(spark, sf_dir), _questions(spark, sf_dir), FETCH)
+
+
+def _fused(spark, sf_dir):
+    chunks, asked, embedder = _chunks(spark, sf_dir), _questions(spark, sf_dir), HashingEmbedder(DIMS)
+    stored = chunks.withColumn("vector", embed(embedder, F.col("text")))
+    dense = dense_topk(stored, asked.select("query_id", embed(embedder, F.col("text"), is_query=True).alias("vector")), FETCH)
+    return rrf_fuse(with_text(dense, chunks), with_text(bm25_topk(chunks, asked, FETCH), chunks), FETCH)
+
+
+@query(f"WITH {_QUERY}, {_BM25}, {_DENSE}, {_FUSED} SELECT * FROM fused")
+def rrf_fused(spark, sf_dir):
+    return _fused(spark, sf_dir)
+
+
+@query(_ALL + _best(THRESHOLD) + " SELECT query_id, text, source, rrf, score, rank FROM best")
+def rerank_threshold(spark, sf_dir):
+    return threshold_topk(rerank(_fused(spark, sf_dir), _questions(spark, sf_dir)), TOP_K, THRESHOLD)
+
+
+@query(_ALL + _best(0.3) + " SELECT query_id, rank, text, source, round(score, 4) AS score FROM best")
+def hybrid_search(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+def flagship(spark, sf_dir):
+    """Hybrid retrieval over documents for all questions of benchmark."""
+    return hybrid_retrieve(_chunks(spark, sf_dir), _questions(spark, sf_dir), HashingEmbedder(DIMS), TOP_K, 0.3)
+
+
+@query(_ALL + _best(0.3) + " SELECT query_id, string_agg('[片段' || rank || '｜来源:' || source || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM best GROUP BY query_id")
+def answer_context(spark, sf_dir):
+    return format_context(flagship(spark, sf_dir))
+
+
+# ---- evaluation ----
+
+_EXPECT = "want AS (SELECT query_id, list_distinct(list(source)) AS want, substr(any_value(q.text), 1, 30) AS word FROM q JOIN documents d ON contains(d.text, q.text) GROUP BY query_id)"
+
+
+def _cases(spark, sf_dir):
+    """Questions whose passage some document contains; expected are its sources, and the passage's beginning."""
+    asked = _questions(spark, sf_dir)
+    found = containing(_chunks(spark, sf_dir), asked).groupBy("query_id").agg(F.collect_set("source").alias("expected_sources"))
+    return found.join(asked, "query_id").select("query_id", "text", "expected_sources", F.array(F.left("text", F.lit(30))).alias("expected_keywords"))
+
+
+_HITS = (
+    _ALL + _best(0.3) + f", {_EXPECT}, got AS (SELECT query_id, list(source) AS sources, string_agg(text, chr(10) ORDER BY rank) AS joined FROM best GROUP BY query_id),"
+    " hit AS (SELECT query_id, coalesce(list_has_any(want, sources), false) AS source_hit, coalesce(contains(joined, word), false) AS keyword_hit FROM want LEFT JOIN got USING (query_id))"
+)
+
+
+@query(_HITS + " SELECT * FROM hit")
+def eval_hits(spark, sf_dir):
+    return hits(_cases(spark, sf_dir), flagship(spark, sf_dir))
+
+
+@query(_HITS + " SELECT count(*) AS total, count(*) FILTER (WHERE source_hit) AS source_hits, count(*) FILTER (WHERE keyword_hit) AS keyword_hits, bool_and(source_hit AND keyword_hit) AS passed FROM hit")
+def eval_rates(spark, sf_dir):
+    return hit_rates(eval_hits(spark, sf_dir))
+
+
+@query(_ALL + _best(0.3) + f", {_EXPECT} SELECT query_id, coalesce(source = list_min(want), false) AS hit FROM want LEFT JOIN (SELECT * FROM best WHERE rank = 1) USING (query_id)")
+def eval_top1(spark, sf_dir):
+    cases = _cases(spark, sf_dir).select("query_id", F.array_min("expected_sources").alias("expected"))
+    return top1_check(cases, flagship(spark, sf_dir))
+
+
+# ---- conversations ----
+
+
+@query(f"SELECT conv_id, count(*) AS messages, sum({_estimate('text')})::BIGINT AS tokens FROM conversations GROUP BY conv_id")
+def conversation_tokens(spark, sf_dir):
+    return token_totals(table(spark, sf_dir, "conversations"))
+
+
+_LIMIT, _KEEP = 300, 4
+
+
+@query(
+    f"""WITH x AS (SELECT conv_id, turn, role, text, sum({_estimate('text')}) OVER c AS total, count(*) OVER c AS n,
+  row_number() OVER (PARTITION BY conv_id, role = 'system' ORDER BY turn DESC) AS back FROM conversations WINDOW c AS (PARTITION BY conv_id)),
+y AS (SELECT *, role <> 'system' AND back > {_KEEP} AS old, total > {_LIMIT} AND n > {_KEEP} AND bool_or(role <> 'system' AND back > {_KEEP}) OVER (PARTITION BY conv_id) AS shrink FROM x),
+h AS (SELECT conv_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS h FROM y WHERE shrink AND old GROUP BY conv_id),
+z AS (SELECT conv_id, CASE WHEN shrink AND role = 'system' THEN 0 ELSE 2 END AS part, turn, role, text FROM y WHERE NOT (shrink AND old)
+  UNION ALL SELECT conv_id, 1, 0, 'system', '【历史对话摘要】' || left(h, 300) || CASE WHEN length(h) > 300 THEN '...' ELSE '' END FROM h)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY part, turn) - 1 AS INTEGER) AS position, role, text FROM z"""
+)
+def conversation_compressed(spark, sf_dir):
+    return compress(table(spark, sf_dir, "conversations"), _LIMIT, _KEEP)
+
+
+@query(
+    """SELECT conv_id, turn, role, text FROM conversations UNION ALL
+SELECT conv_id, max(turn) + 1 + n, role, text FROM conversations, (VALUES (0, 'user', 'and then?'), (1, 'assistant', 'that is all')) v(n, role, text) GROUP BY conv_id, n, v.role, v.text""".replace(
+        "SELECT conv_id, max(turn) + 1 + n, role, text FROM", "SELECT conv_id, max(turn) + 1 + n AS turn, v.role AS role, v.text AS text FROM"
+    )
+)
+def conversation_appended(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    said = F.array(*(F.struct(F.lit(i).alias("n"), F.lit(r).alias("role"), F.lit(t).alias("text")) for i, (r, t) in enumerate((("user", "and then?"), ("assistant", "that is all")))))
+    more = turns.select("conv_id").distinct().select("conv_id", F.inline(said))
+    return append_turns(turns, more)
+
+
+# ---- beyond the reference: the window functions of an event stream, for the plans that streaming shares ----
+
+
+@query(
+    "SELECT user_id, count(*) AS sessions, max(n) AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN gap IS NULL OR gap > INTERVAL 30 MINUTE THEN 1 ELSE 0 END)"
+    " OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT user_id, ts, event_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)) GROUP BY ALL) GROUP BY user_id"
+)
+def event_sessions(spark, sf_dir):
+    per = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(per))
+    first = F.when(gap.isNull() | (gap > 30 * 60 * 1_000_000), 1).otherwise(0)
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    sessions = events.withColumn("first", first).withColumn("s", F.sum("first").over(per)).groupBy("user_id", "s").agg(F.count(F.lit(1)).alias("n"))
+    return sessions.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
