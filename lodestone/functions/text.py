@@ -44,7 +44,8 @@ def estimate_tokens(c: Column | str) -> Column:
 def extract_json(c: Column | str) -> Column:
     """From the first `{` to the last `}`, if that parses; else null."""
     found = F.regexp_extract(_col(c), r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(found).isNotNull() & (found != ""), found)
+    alone = F.concat(F.lit("["), found, F.lit("]"))  # the parser stops after one value; in an array all of it must fit
+    return F.when(F.try_parse_json(alone).isNotNull() & (found != ""), found)
 
 
 def escape_html(c: Column | str) -> Column:

@@ -1,0 +1,111 @@
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from lodestone.operators.bm25 import TOKENS, bm25_scores, bm25_topk, corpus
+from lodestone.operators.dense import dense_topk
+from lodestone.operators.embed import HashingEmbedder, embed_texts
+from lodestone.operators.evaluate import hit_rates, hits, load_cases, top1_check
+from lodestone.operators.fusion import rerank, rrf_fuse, threshold_topk
+
+
+def okapi(docs, question):
+    toks = {i: re.findall(TOKENS, t) for i, t in docs.items()}
+    n, df = len(docs), Counter(w for t in toks.values() for w in set(t))
+    mean_dl = sum(map(len, toks.values())) / n
+    idf = {w: math.log(n - c + 0.5) - math.log(c + 0.5) for w, c in df.items()}
+    low = 0.25 * sum(idf.values()) / len(idf)
+    idf = {w: low if x < 0 else x for w, x in idf.items()}
+    out = defaultdict(float)
+    for w in re.findall(TOKENS, question):
+        for i, t in toks.items():
+            if w in t:
+                f = t.count(w)
+                out[i] += idf[w] * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len(t) / mean_dl))
+    return out
+
+
+def test_bm25(spark):
+    rng = random.Random(4)
+    docs = {i: " ".join(rng.choice(["the", "cat", "dog", "汉", "a.", "tree", "half"]) for _ in range(rng.randrange(1, 20))) for i in range(30)}
+    asked = {0: "the cat cat", 1: "unknown", 2: "汉字 tree"}
+    d = spark.createDataFrame(list(docs.items()), "id long, text string")
+    q = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    got = {(r["query_id"], r["id"]): r["score"] for r in bm25_scores(corpus(d), q).collect()}
+    want = {(k, i): s for k, t in asked.items() for i, s in okapi(docs, t).items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+    assert all(r["score"] > 0 for r in bm25_topk(d, q, 5).collect())
+    assert bm25_topk(d.limit(0), q, 5).count() == 0
+
+
+def test_dense(spark):
+    rng = np.random.default_rng(0)
+    store = rng.normal(size=(300, 8))
+    store[7] = store[3]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(store)] + [(900, None)], "id long, vector array<double>")
+    q = d.where("id % 50 = 0 AND id < 900").selectExpr("id AS query_id", "vector")
+    unit = store / np.linalg.norm(store, axis=1, keepdims=True)
+    for r in dense_topk(d, q, 4).collect():
+        order = sorted(range(300), key=lambda i: (-round(float(unit[i] @ unit[r["query_id"]]), 6), i))
+        assert order[r["rank"] - 1] == r["id"]
+    assert dense_topk(d, q.limit(0), 4).count() == 0
+
+
+def test_embedding():
+    e = HashingEmbedder(16)
+    v = embed_texts(e, ["a b a", "", "x" * 5] * 40)
+    assert v.shape == (120, 16) and np.allclose(np.linalg.norm(v, axis=1).reshape(40, 3)[:, [0, 2]], 1) and not v[1].any()
+    done = []
+    embed_texts(e, ["t"] * 130, progress=lambda a, b: done.append((a, b)))
+    assert done == [(64, 130), (128, 130), (130, 130)]
+
+
+def test_fusion(spark):
+    kind = "query_id long, text string, source string, rank int"
+    dense = spark.createDataFrame([(1, "a", "s1", 1), (1, "b", "s1", 2)], kind)
+    sparse = spark.createDataFrame([(1, "c", "s3", 1), (1, "b", "s2", 2), (2, "z", "s9", 1)], kind)
+    got = [(r["query_id"], r["text"], r["source"]) for r in rrf_fuse(dense, sparse, 10).orderBy("query_id", "rank").collect()]
+    assert got == [(1, "b", "s1"), (1, "a", "s1"), (1, "c", "s3"), (2, "z", "s9")]
+    assert rrf_fuse(dense.limit(0), sparse.limit(0), 10).count() == 0
+
+
+def test_threshold(spark):
+    rows = spark.createDataFrame([(1, "a", 0.9, 1), (1, "b", 0.2, 2), (2, "c", 0.1, 1), (2, "d", 0.2, 2), (2, "e", 0.2, 3)], "query_id long, text string, score double, rank int")
+    pick = lambda k, t: [(r["query_id"], r["text"]) for r in threshold_topk(rows, k, t).orderBy("query_id", "rank").collect()]
+    assert pick(2, 0.5) == [(1, "a"), (2, "d"), (2, "e")]
+    assert pick(5, 0.0) == [(1, "a"), (1, "b"), (2, "d"), (2, "e"), (2, "c")]
+
+
+def test_rerank_with_model(spark):
+    class Length:
+        def score(self, questions, texts):
+            return [len(t) / 10 for t in texts]
+
+    rows = spark.createDataFrame([(1, "abc", "s", 1), (1, "a", "s", 2)], "query_id long, text string, source string, rank int")
+    asked = spark.createDataFrame([(1, "a b")], "query_id long, text string")
+    assert sorted(r["score"] for r in rerank(rows, asked, Length()).collect()) == [0.1, 0.3]
+    assert sorted(r["score"] for r in rerank(rows, asked).collect()) == [0.0, 0.5]
+
+
+def test_evaluation(spark, tmp_path):
+    path = tmp_path / "cases.jsonl"
+    path.write_text('{"question": "q1", "expected_sources": ["s1"], "expected_keywords": ["x"]}\n\n{"question": "q2"}\n{"question": "q3", "expected_sources": ["s9"]}\n')
+    cases = load_cases(spark, str(path)).cache()
+    ids = {r["text"]: r["query_id"] for r in cases.collect()}
+    ranked = spark.createDataFrame([(ids["q1"], 1, "has x", "s1"), (ids["q3"], 1, "t", "s2")], "query_id long, rank int, text string, source string")
+    found = {r["query_id"]: (r["source_hit"], r["keyword_hit"]) for r in hits(cases, ranked).collect()}
+    assert found == {ids["q1"]: (True, True), ids["q2"]: (True, True), ids["q3"]: (False, True)}
+    assert hit_rates(hits(cases, ranked)).first().asDict() == {"total": 3, "source_hits": 2, "keyword_hits": 3, "passed": False}
+    expected = spark.createDataFrame([(ids["q1"], "s1"), (ids["q2"], "s1")], "query_id long, expected string")
+    assert sorted(r["hit"] for r in top1_check(expected, ranked).collect()) == [False, True]
+
+
+@pytest.mark.parametrize("limit", [0, 3])
+def test_empty_corpus(spark, limit):
+    d = spark.createDataFrame([(i, "same words") for i in range(4)], "id long, text string").limit(limit)
+    q = spark.createDataFrame([(1, "same")], "query_id long, text string")
+    assert bm25_topk(d, q, 5).count() in (0, limit)
