@@ -158,7 +158,8 @@ def exact_dedup(docs: DataFrame, moduli: tuple[int, int] = MODULI, bases: tuple[
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("uid"))
     facts = materialize(rows.mapInArrow(_facts(args), _ddl(FACTS)), "exact-facts")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
-    groups = facts.groupBy("fp", "n_bytes").agg(first, F.count(F.lit(1)).alias("group_size"))
+    # written, so that both joins below have plain exchanges on either side, whose hot partitions are split
+    groups = materialize(facts.groupBy("fp", "n_bytes").agg(first, F.count(F.lit(1)).alias("group_size")), "exact-groups")
 
     many = groups.where("group_size > 1").select("fp", "n_bytes")
     suspects = rows.mapInArrow(_chunks(args), _ddl(CHUNKS)).join(many, ["fp", "n_bytes"], "left_semi")
