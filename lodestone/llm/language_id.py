@@ -272,13 +272,14 @@ def language_id(docs: DataFrame, order: int = ORDER, fit_rows: int = FIT_ROWS, c
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     named = rows.select("doc_id", "lang").where(learnt()).where("lang IS NOT NULL")
-    common = [r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    named = named.where(F.col("doc_id").isNotNull())
+    common = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     need = fit_rows + calibrate_rows
-    key = F.xxhash64(F.lit(seed), "doc_id")
-    # the least of each language, without gathering a language: the least of each of its slices first
-    slice_ = F.spark_partition_id()
-    first = rows.where(learnt()).where(F.col("lang").isin(common) & F.length(F.trim("text")).between(1, FIT_CHARS)).select("lang", "doc_id", key.alias("key"), slice_.alias("part"))
-    some = first.withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy("key", "doc_id"))).where(F.col("r") <= need)
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1)
+    # the share of each language's hash range that holds about twice the rows needed: what is ranked stays small
+    reach = F.create_map(*(x for r in common for x in (F.lit(r["lang"]), F.lit((2**63 - 1) * min(2 * need + 50, r["count"]) // r["count"])))) if common else F.lit(None)
+    kept = rows.where(learnt()).where(F.col("lang").isin([r["lang"] for r in common]) & F.length(F.trim("text")).between(1, FIT_CHARS))
+    some = kept.where(key <= (F.element_at(reach, F.col("lang")) if common else F.lit(0))).select("lang", "doc_id", key.alias("key"))
     pick = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))).where(F.col("r") <= need).select("doc_id", "r", F.col("lang").alias("own"))
     chosen = materialize(rows.join(F.broadcast(pick), "doc_id").where("lang = own").select("doc_id", "r", "lang", "text"), "language-sample")  # at most LANGUAGES * need rows
     seen = chosen.orderBy("lang", "r", "doc_id").collect()
