@@ -26,6 +26,8 @@ MODULI = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 BLOCK = 512
 CHUNK = 4096
+#: Groups of copies up to which their keys (16 bytes each) are sent to every task.
+BROADCAST_GROUPS = 200_000
 #: Pieces of a longer text are hashed one after another.
 PIECE = 4 << 20
 
@@ -162,6 +164,8 @@ def exact_dedup(docs: DataFrame, moduli: tuple[int, int] = MODULI, bases: tuple[
     groups = materialize(facts.groupBy("fp", "n_bytes").agg(first, F.count(F.lit(1)).alias("group_size")), "exact-groups")
 
     many = groups.where("group_size > 1").select("fp", "n_bytes")
+    if many.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        many = F.broadcast(many)  # else texts and groups meet by a shuffle, whose hot partitions are split
     suspects = rows.mapInArrow(_chunks(args), _ddl(CHUNKS)).join(many, ["fp", "n_bytes"], "left_semi")
     # another key than the join's, so that chunks are combined before they are dealt out again
     lane = F.xxhash64("fp", "n_bytes", "seq").alias("lane")
