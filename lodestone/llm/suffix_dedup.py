@@ -35,6 +35,8 @@ from lodestone.plans.runtime import materialize, prepare
 WINDOW, GRAM = 50, 24
 #: Bytes of text in a batch, worked on at once, and for each bucket of leaders and of segments.
 BATCH, TILE, LEADERS, SEGMENTS = 2 << 20, 1 << 20, 48 << 20, 16 << 20
+#: Compression of texts, which are written once and dealt out twice.
+TEXT_LEVEL = 3
 NONE = np.iinfo(np.int64).max  # a null doc_id is larger than any other
 
 _SCHEMA = "batch_id long, kind int, part long, n_bytes long, ids binary, sizes binary, blob binary"
@@ -220,7 +222,7 @@ def _pack(batches: Iterator[pa.RecordBatch]):
 
     def row():
         nonlocal seq, held
-        out = _row((pid << 32) + seq, TEXT, 0, zstandard.compress(b"".join(texts), 1), held, np.concatenate(ids).tobytes(), np.concatenate(sizes).tobytes())
+        out = _row((pid << 32) + seq, TEXT, 0, zstandard.compress(b"".join(texts), TEXT_LEVEL), held, np.concatenate(ids).tobytes(), np.concatenate(sizes).tobytes())
         seq, held = seq + 1, 0
         ids.clear(), sizes.clear(), texts.clear()
         return out
@@ -332,7 +334,7 @@ def _ask_segments(leader_buckets: int, buckets: int):
             for b in np.flatnonzero(np.diff(cut)):
                 p = slice(cut[b], cut[b + 1])
                 sizes = np.array([len(x) for x in texts[p]], np.uint8)  # under WINDOW + WINDOW - GRAM
-                yield _row(own[0]["batch_id"], ASKED, int(b), zstandard.compress(b"".join(texts[p]), 1), 0, _squeeze(least[p]), sizes.tobytes())
+                yield _row(own[0]["batch_id"], ASKED, int(b), zstandard.compress(b"".join(texts[p]), TEXT_LEVEL), 0, _squeeze(least[p]), sizes.tobytes())
 
     return run
 
