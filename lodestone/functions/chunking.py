@@ -24,11 +24,15 @@ def split_tokens(c: Column, size: int, overlap: int) -> Column:
     if size <= 0:
         raise ValueError("chunk size must be above 0")
     step = size - max(0, min(overlap, size - 1))
-    units = token_units(c)
-    n = F.size(units)
-    last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / step)).cast("int")
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.array_join(F.slice(units, i * step + 1, F.lit(size)), "")))
-    return F.when(n > 0, F.filter(windows, lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+
+    def windows(units: Column) -> Column:
+        n = F.size(units)
+        last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / step)).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.array_join(F.slice(units, i * step + 1, F.lit(size)), "")))
+        return F.when(n > 0, F.filter(cut, lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+
+    # bound to a variable: otherwise the units would be worked out anew for every window
+    return F.transform(F.array(token_units(c)), windows)[0]
 
 
 def split_chars(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:

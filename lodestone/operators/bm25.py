@@ -6,12 +6,15 @@ that a question repeats counts as often. Postings of tokens that no question hol
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.dense import top_k
+from lodestone.operators.dense import QUERY_BLOCK, SPARE, top_k
 
 #: The constants of BM25.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -19,6 +22,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 TOKENS = r"[A-Za-z0-9]+|[一-鿿]|[^\sA-Za-z0-9]"
 #: Distinct question tokens up to which they are sent to every task; beyond, both sides are shuffled.
 BROADCAST_TOKENS = 200_000
+#: Distinct question tokens up to which questions become a matrix.
+MATRIX_TOKENS = 50_000
 
 
 def tokens(c: Column) -> Column:
@@ -59,6 +64,50 @@ def bm25_scores(index: Corpus, queries: DataFrame, tokenizer=tokens) -> DataFram
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "id", tokenizer=tokens) -> DataFrame:
-    """query_id, id, score above 0, rank. Ties go to the smaller id, which stands for the order of insertion."""
-    scored = bm25_scores(corpus(docs, id_col, tokenizer), queries, tokenizer)
-    return top_k(scored.where("score > 0"), k, "id").select("query_id", "id", "score", "rank")
+    """query_id, id, score above 0, rank. Ties go to the smaller id, which stands for the order of insertion.
+
+    A batch of questions is a matrix of token weights. Each batch of documents is multiplied with it where it is read and
+    keeps its best k for each question, so common tokens make no joined rows. Questions with more distinct tokens than
+    MATRIX_TOKENS, and other tokenizers, go by the joins of bm25_scores.
+    """
+    index = corpus(docs, id_col, tokenizer)
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(tokenizer(F.col("text"))).alias("tok")).groupBy("query_id", "tok").agg(F.count(F.lit(1)).alias("qtf"))
+    wanted = asked.groupBy("tok").agg(F.count(F.lit(1)).alias("questions"))
+    if tokenizer is not tokens or wanted.limit(MATRIX_TOKENS + 1).count() > MATRIX_TOKENS:
+        return top_k(bm25_scores(index, queries, tokenizer).where("score > 0"), k, "id").select("query_id", "id", "score", "rank")
+    rows = asked.join(index.vocabulary, "tok").select("query_id", "tok", (F.col("idf") * F.col("qtf")).alias("weight")).collect()  # the stated questions
+    avgdl = float(index.size.first()["avgdl"] or 1.0) or 1.0
+    column = {x: i for i, x in enumerate(sorted({r["tok"] for r in rows}))}
+    names = sorted({r["query_id"] for r in rows})
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    out = docs.sparkSession.createDataFrame([], "query_id long, id long, score double")
+    for lo in range(0, len(names), QUERY_BLOCK):
+        own = {q: i for i, q in enumerate(names[lo : lo + QUERY_BLOCK])}
+        matrix = np.zeros((len(column), len(own)))
+        for r in rows:
+            if r["query_id"] in own:
+                matrix[column[r["tok"]], own[r["query_id"]]] = r["weight"]
+        found = texts.mapInArrow(_best(column, list(own), matrix, avgdl, k), "query_id long, id long, score double")
+        out = found if lo == 0 else out.unionByName(found)
+    return top_k(out.withColumn("score", F.round("score", 6)).where("score > 0"), k, "id").select("query_id", "id", "score", "rank")
+
+
+def _best(column: dict[str, int], names: list[int], matrix: np.ndarray, avgdl: float, k: int):
+    def run(batches):
+        find, width = re.compile(TOKENS, re.ASCII).findall, len(column)
+        step = max(1, (4 << 20) // max(width, 1))  # documents at once: 32 MB of weights
+        for batch in batches:
+            for lo in range(0, len(batch), step):
+                part = batch.slice(lo, step)
+                toks = [find(x) for x in part.column("text").to_pylist()]
+                size = np.array([len(x) for x in toks])
+                code = np.fromiter((column.get(x, -1) for own in toks for x in own), np.int64, int(size.sum()))
+                at = np.repeat(np.arange(len(toks)), size) * width + code
+                tf = np.bincount(at[code >= 0], minlength=len(toks) * width).reshape(len(toks), width).astype(np.float64)
+                score = ((tf * (K1 + 1) / (tf + (K1 * (1 - B + B * size / avgdl))[:, None])) @ matrix).T
+                keep = min(k + SPARE, len(toks))
+                edge = np.partition(score, len(toks) - keep, axis=1)[:, len(toks) - keep]
+                q, d = np.nonzero((score >= edge[:, None] - 1e-6) & (score > 0))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int64)[q]), pa.array(part.column("id").to_numpy()[d]), pa.array(score[q, d])], names=["query_id", "id", "score"])
+
+    return run

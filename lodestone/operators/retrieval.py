@@ -14,8 +14,11 @@ from lodestone.operators.fusion import Reranker, recall_size, rerank, rrf_fuse,
 
 
 def with_text(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Ranked ids with the text and source of chunks (id, text, source). The ranked side is a few rows for each question."""
-    return ranked.join(chunks.select("id", "text", F.coalesce("source", F.lit(UNKNOWN_SOURCE)).alias("source")), "id")
+    """Ranked ids with the text and source of chunks (id, text, source).
+
+    The ranked side is k rows for each of the stated questions, so it goes to the chunks, which stay where they are.
+    """
+    return F.broadcast(ranked).join(chunks.select("id", "text", F.coalesce("source", F.lit(UNKNOWN_SOURCE)).alias("source")), "id")
 
 
 def hybrid_retrieve(chunks: DataFrame, queries: DataFrame, embedder: Embedder, top_k: int | None = None, threshold: float | None = None, reranker: Reranker | None = None, settings: Settings | None = None) -> DataFrame:

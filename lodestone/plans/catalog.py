@@ -19,7 +19,7 @@ from lodestone.operators.embed import HashingEmbedder, embed
 from lodestone.operators.evaluate import containing, hit_rates, hits, top1_check
 from lodestone.operators.fusion import recall_size, rerank, rrf_fuse, threshold_topk
 from lodestone.operators.retrieval import format_context, hybrid_retrieve, with_text
-from lodestone.plans.runtime import table
+from lodestone.plans.runtime import spread, table
 from lodestone.sources.parsers import html_text
 from lodestone.sources.registry import supported_frame
 
@@ -67,12 +67,12 @@ def _estimate(x: str) -> str:
 
 
 def _documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def _chunks(spark, sf_dir):
     """Documents as chunks: id (order of insertion), text, source."""
-    return _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "source")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source"))
 
 
 def _questions(spark, sf_dir):

@@ -74,3 +74,9 @@ def release(*frames: DataFrame) -> None:
             jvm = spark._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores if the input has fewer partitions, as a small file of one row group has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

@@ -20,11 +20,15 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(file_no, source, content) of files, in the order given. A missing file is an error."""
     if not paths:
         raise ValueError("no files given")
-    parts = [spark.read.format("binaryFile").load(p).select(F.lit(i).alias("file_no"), basename("path").alias("source"), "content") for i, p in enumerate(paths)]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    found = spark.read.format("binaryFile").load(list(dict.fromkeys(paths))).select("path", basename("path").alias("source"), "content")
+    order = spark.createDataFrame([(i, _qualified(spark, p)) for i, p in enumerate(paths)], "file_no int, path string")
+    return found.join(F.broadcast(order), "path").select("file_no", "source", "content")  # one short row for each path asked for
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(at).toString()
 
 
 def uploads(spark: SparkSession, files: list[tuple[str, bytes]]) -> DataFrame:
