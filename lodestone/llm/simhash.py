@@ -241,7 +241,8 @@ def link(nodes: DataFrame, radius: int = 3, crowd: int = CROWD) -> DataFrame:
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.shiftleft(F.least(x, F.col("own")).cast("long"), 31) + F.greatest(x, F.col("own")))
     cut = dealt.join(crowded, "k1", "left").withColumn("own", own)
     cut = cut.withColumn("k2", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pair)))
-    near = cut.select("k1", "k2", "fp", "node").repartition("k1", "k2").sortWithinPartitions("k1", "k2")
+    # sorted by node, so that the edges of a bucket lead to its least node and the components need few steps
+    near = cut.select("k1", "k2", "fp", "node").repartition("k1", "k2").sortWithinPartitions("k1", "k2", "node")
     return near.mapInArrow(_edges(radius), "a long, b long")
 
 
