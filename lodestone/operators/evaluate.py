@@ -49,8 +49,10 @@ def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
 
     inner = passages.select("query_id", F.col("text").alias("passage"), tokens(F.col("text")).alias("t")).where(F.size("t") >= 3)
     inner = inner.select("query_id", "passage", F.explode(F.array_distinct(F.slice("t", F.lit(2), F.size("t") - 2))).alias("tok"))
-    held = docs.select("id", "source", "text", F.explode(F.array_distinct(tokens(F.col("text")))).alias("tok"))
-    held = held.join(inner.select("tok").distinct(), "tok", "left_semi")
+    words = F.array_distinct(tokens(F.col("text")))
+    held = docs.select(F.explode(words).alias("tok")).join(F.broadcast(inner.select("tok").distinct()), "tok", "left_semi")
     rare = held.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).join(inner, "tok")
     best = rare.groupBy("query_id").agg(F.min_by("tok", F.struct("df", "tok")).alias("tok"), F.first("passage").alias("passage"))
-    return held.join(best, "tok").where(F.contains("text", "passage")).select("query_id", "id", "source")
+    # one row for each of the stated passages goes to the documents, whose texts stay where they are
+    met = docs.select("id", "source", "text", F.explode(words).alias("tok")).join(F.broadcast(best), "tok")
+    return met.where(F.contains("text", "passage")).select("query_id", "id", "source")
