@@ -31,17 +31,16 @@ CROWD = 8192
 BUCKET = 1024
 
 
-def _votes(data: np.ndarray, off: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each text, the number of shingles and how many of their hashes set each bit."""
+def _shingles(data: np.ndarray, off: np.ndarray, size: int):
+    """(words joined by single spaces; start, length and text of every shingle; shingles of each text)"""
     data = LOWER[data]
     start, end, text = words(data, off)
     n = len(off) - 1
     count = np.bincount(text, minlength=n)
-    votes = np.zeros((n, BITS), np.int64)
     shingles = np.where(count >= size, count - size + 1, (count > 0).astype(np.int64))
     if not len(start):
-        return shingles, votes
-    # words joined by single spaces
+        none = np.zeros(0, np.int64)
+        return np.zeros(16, np.uint8), none, none, none, shingles
     long = end - start
     to = np.cumsum(long + 1) - (long + 1)
     joined = np.full(int(to[-1] + long[-1]) + 16, 0x20, np.uint8)
@@ -52,9 +51,22 @@ def _votes(data: np.ndarray, off: np.ndarray, size: int, seed: int) -> tuple[np.
     k = np.arange(len(owner)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
     a = first_word[owner] + k
     b = np.minimum(a + size, first_word[owner] + count[owner]) - 1
+    return joined, to[a], to[b] + long[b] - to[a], owner, shingles
+
+
+def shingle_hashes(data: np.ndarray, off: np.ndarray, size: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every shingle, offsets by text)"""
+    joined, at, long, _, shingles = _shingles(data, off, size)
+    return xxh64(joined, at, long, seed), np.append(0, np.cumsum(shingles))
+
+
+def _votes(data: np.ndarray, off: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text, the number of shingles and how many of their hashes set each bit."""
+    joined, start, long, owner, shingles = _shingles(data, off, size)
+    votes = np.zeros((len(off) - 1, BITS), np.int64)
     for lo in range(0, len(owner), 1 << 18):
         part = slice(lo, lo + (1 << 18))
-        h = xxh64(joined, to[a[part]], to[b[part]] + long[b[part]] - to[a[part]], seed)
+        h = xxh64(joined, start[part], long[part], seed)
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         own = owner[part]
         at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
@@ -62,35 +74,43 @@ def _votes(data: np.ndarray, off: np.ndarray, size: int, seed: int) -> tuple[np.
     return shingles, votes
 
 
-def _pieces(data: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """A long text cut between words; each piece repeats the last size - 1 words of the one before."""
-    lo, n = 0, len(data)
+def _word_end(data: np.ndarray, at: int) -> int:
+    """The first white space from `at` on, or the end."""
+    while at < len(data):
+        white = WS[data[at : at + (1 << 16)]]
+        if white.any():
+            return at + int(white.argmax())
+        at += len(white)
+    return len(data)
+
+
+def long_pieces(data: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """A long text cut behind words so that the pieces' shingles, one after another, are those of the text.
+
+    Each piece but the last has `size` words or more and the next one begins with its last size - 1 words; a last piece
+    without a word of its own is left out.
+    """
+    lo, n, fresh = 0, len(data), True
     while lo < n:
-        hi = min(lo + SLICE_BYTES, n)
-        while hi < n and not WS[data[hi]]:
-            hi += 1
-        yield data[lo:hi]
+        hi = _word_end(data, min(lo + SLICE_BYTES, n))
+        start = words(data[lo:hi], np.array([0, hi - lo]))[0]
+        while len(start) < size and hi < n:
+            hi = _word_end(data, min(hi + max(hi - lo, SLICE_BYTES), n))
+            start = words(data[lo:hi], np.array([0, hi - lo]))[0]
+        if fresh or len(start) >= size:
+            yield data[lo:hi]
         if hi >= n:
             return
-        back, seen = hi, 0
-        while back > lo and seen < size - 1:
-            back -= 1
-            while back > lo and WS[data[back]]:
-                back -= 1
-            while back > lo and not WS[data[back - 1]]:
-                back -= 1
-            seen += 1
-        lo = max(back, lo + 1)
+        lo, fresh = lo + int(start[-(size - 1)]) if size > 1 else hi, False
 
 
 def fingerprints(data: np.ndarray, off: np.ndarray, size: int = 3, seed: int = 42) -> np.ndarray:
     """Unsigned fingerprints of texts; a text without words has zero."""
     if len(off) == 2 and len(data) > 2 * SLICE_BYTES:
         shingles, votes = np.zeros(1, np.int64), np.zeros((1, BITS), np.int64)
-        for part in _pieces(data, size):
-            if len(words(part, np.array([0, len(part)]))[0]) >= size or not shingles[0]:
-                more, also = _votes(part, np.array([0, len(part)]), size, seed)
-                shingles, votes = shingles + more, votes + also
+        for part in long_pieces(data, size):
+            more, also = _votes(part, np.array([0, len(part)]), size, seed)
+            shingles, votes = shingles + more, votes + also
     else:
         shingles, votes = _votes(data, off, size, seed)
     return np.packbits(2 * votes > shingles[:, None], axis=1, bitorder="little").reshape(-1).view("<u8")
