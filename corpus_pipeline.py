@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.catalog import MIXTURE, tokenizer_path
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.mixing import keep_mixed, source_group
+from lodestone.llm.near_dedup import near_dedup
 from lodestone.llm.packing import pack
 from lodestone.llm.quality_rules import quality_rules
-from lodestone.llm.simhash import simhash_dedup
 from lodestone.plans.runtime import materialize, table
 
 #: Share of the remaining tokens that the mixture takes.
@@ -45,8 +45,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    return _without(docs, simhash_dedup(docs).where("doc_id <> component_id"))
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
+    return _without(docs, near_dedup(docs).where("NOT kept"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
