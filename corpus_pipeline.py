@@ -1,8 +1,8 @@
 """From raw documents to packed sequences: each stage calls one operator of lodestone.llm on all its predecessor kept.
 
 Every function takes (spark, docs, sf_dir); docs has the columns of `documents`. All but the last return those columns.
-A document is known by its doc_id: rows that share one share its fate, and rows without one pass the filters. Stages are
-written as Parquet between one another, so a lost executor costs no more than its tasks.
+A row is known by its doc_id, null included, and a hash of its text: rows that share a doc_id but not a text are filtered
+each by itself. Stages are written as Parquet between one another, so a lost executor costs no more than its tasks.
 """
 
 from __future__ import annotations
@@ -20,12 +20,28 @@ from lodestone.plans.runtime import materialize, table
 
 #: Share of the remaining tokens that the mixture takes.
 BUDGET = 0.8
+#: Keys of rows to drop (8 bytes each) that are sent to every task; more meet the texts by a shuffle.
+BROADCAST_KEYS = 3_000_000
+
+
+def _key(doc_id, mark):
+    """A row's key, 64 bits; null ids have keys too."""
+    return F.xxhash64(doc_id.cast("long"), mark)
+
+
+def _own(docs: DataFrame):
+    return _key(docs["doc_id"], F.xxhash64(docs["text"].cast("string")))
+
+
+def _keys(found: DataFrame) -> DataFrame:
+    """The distinct keys (_key) of found (doc_id, mark), sent to every task up to BROADCAST_KEYS so that texts stay put."""
+    named = materialize(found.select(_key(F.col("doc_id"), F.col("mark")).alias("_key")).distinct(), "keys")
+    return F.broadcast(named) if named.count() <= BROADCAST_KEYS else named
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs whose doc_id is not among those of gone (doc_id)."""
-    named = materialize(gone.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(named, docs["doc_id"] == named["_gone"], "left_anti")
+    """The rows of docs that gone (doc_id, mark) does not name."""
+    return docs.join(_keys(gone), _own(docs) == F.col("_key"), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,17 +51,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal documents the one with the smallest doc_id stays; repeats of one row are dropped too."""
-    found = materialize(exact_dedup(docs).select("doc_id", "keep_id", "kept"), "exact")
-    left = _without(docs, found.where("NOT kept AND doc_id <> keep_id"))
-    twice = found.where("NOT kept AND doc_id = keep_id").select(F.col("doc_id").alias("_twice")).distinct()
-    if twice.isEmpty():
+    found = materialize(exact_dedup(docs).select("doc_id", "mark", "kept", F.expr("doc_id <=> keep_id AND mark = keep_mark").alias("same")), "exact")
+    left = _without(docs, found.where("NOT kept AND NOT same"))
+    repeated = found.where("NOT kept AND same")
+    if repeated.isEmpty():
         return left
-    again = left.join(twice, left["doc_id"] == twice["_twice"], "left_semi").dropDuplicates(["doc_id"])
-    return _without(left, twice.withColumnRenamed("_twice", "doc_id")).unionByName(again)
+    again = left.join(_keys(repeated), _own(left) == F.col("_key"), "left_semi").withColumn("_mark", F.xxhash64(F.col("text").cast("string")))
+    return _without(left, repeated).unionByName(again.dropDuplicates(["doc_id", "_mark"]).drop("_mark"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the row with the smallest doc_id stays."""
     return _without(docs, near_dedup(docs).where("NOT kept"))
 
 

@@ -89,9 +89,9 @@ class Polynomial:
         return (values[:, 0] << np.uint64(31) | values[:, 1]).astype(np.int64)
 
 
-FACTS = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("fp", pa.int64()), ("n_bytes", pa.int64()), ("text_sha256", pa.string())])
+FACTS = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("fp", pa.int64()), ("n_bytes", pa.int64()), ("text_sha256", pa.string()), ("mark", pa.int64())])
 CHUNKS = pa.schema([("fp", pa.int64()), ("n_bytes", pa.int64()), ("seq", pa.int64()), ("chunk", pa.binary())])
-WHOLE = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("fp", pa.int64()), ("n_bytes", pa.int64()), ("norm", pa.binary())])
+WHOLE = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("fp", pa.int64()), ("n_bytes", pa.int64()), ("norm", pa.binary()), ("mark", pa.int64())])
 
 
 def _normalised(batches: Iterator[pa.RecordBatch], poly: Polynomial):
@@ -106,7 +106,7 @@ def _facts(poly_args):
         for rows, data, off, fp in _normalised(batches, poly):
             raw = memoryview(np.ascontiguousarray(data))
             sha = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(off[:-1], off[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("uid"), pa.array(fp), pa.array(np.diff(off)), pa.array(sha, pa.string())], schema=FACTS)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("uid"), pa.array(fp), pa.array(np.diff(off)), pa.array(sha, pa.string()), rows.column("mark")], schema=FACTS)
 
     return run
 
@@ -134,7 +134,7 @@ def _whole(poly_args):
         poly = Polynomial(*poly_args)
         for rows, data, off, fp in _normalised(batches, poly):
             blob = pa.Array.from_buffers(pa.binary(), len(fp), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("uid"), pa.array(fp), pa.array(np.diff(off)), blob], schema=WHOLE)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("uid"), pa.array(fp), pa.array(np.diff(off)), blob, rows.column("mark")], schema=WHOLE)
 
     return run
 
@@ -148,7 +148,8 @@ def exact_dedup(docs: DataFrame, moduli: tuple[int, int] = MODULI, bases: tuple[
     """Group equal texts; of each group the row with the smallest doc_id stays.
 
     docs: doc_id long, text string; further columns, whatever their names, are not read. Returns, for each row, doc_id,
-    keep_id, group_size, kept, text_sha256, n_bytes and fp, in no order.
+    keep_id, group_size, kept, text_sha256, n_bytes, fp, mark and keep_mark, in no order. mark is the xxhash64 of the row's
+    own text, keep_mark that of the row that stays.
 
     - Texts are equal when identical after replacing each `[\\x20\\x09-\\x0D]+` by one space; null counts as empty.
     - Rows that repeat a doc_id with the same text: one of them stays, kept is true once in a group.
@@ -158,8 +159,9 @@ def exact_dedup(docs: DataFrame, moduli: tuple[int, int] = MODULI, bases: tuple[
     prepare(docs.sparkSession)
     args = (tuple(moduli), tuple(bases))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("uid"))
+    rows = rows.withColumn("mark", F.xxhash64("text"))
     facts = materialize(rows.mapInArrow(_facts(args), _ddl(FACTS)), "exact-facts")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "mark")).alias("first")
     # written, so that both joins below have plain exchanges on either side, whose hot partitions are split
     groups = materialize(facts.groupBy("fp", "n_bytes").agg(first, F.count(F.lit(1)).alias("group_size")), "exact-groups")
 
@@ -172,7 +174,7 @@ def exact_dedup(docs: DataFrame, moduli: tuple[int, int] = MODULI, bases: tuple[
     compared = suspects.groupBy(lane, "fp", "n_bytes", "seq").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi"))
     unequal = materialize(compared.where("lo <> hi").select("fp", "n_bytes").distinct(), "exact-unequal")
 
-    pick = [F.col("doc_id"), F.col("first.doc_id").alias("keep_id"), "group_size", F.expr("first.uid = uid").alias("kept"), "text_sha256", "n_bytes", "fp"]
+    pick = [F.col("doc_id"), F.col("first.doc_id").alias("keep_id"), "group_size", F.expr("first.uid = uid").alias("kept"), "text_sha256", "n_bytes", "fp", "mark", F.col("first.mark").alias("keep_mark")]
     if unequal.isEmpty():
         return facts.join(groups, ["fp", "n_bytes"]).select(*pick)
     good = facts.join(groups.join(unequal, ["fp", "n_bytes"], "left_anti"), ["fp", "n_bytes"]).select(*pick)

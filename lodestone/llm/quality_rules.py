@@ -25,7 +25,7 @@ SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 WINDOW = 8
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_upper", "n_lower", "n_marks", "n_unique", "n_bare")
-SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
+SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", mark long"
 
 
 def _flags(values: bytes) -> np.ndarray:
@@ -106,7 +106,7 @@ def count_text(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 def _count(batches):
     for rows, data, off in text_slices(batches, "text"):
         got = count_text(data, off)
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(got[:, k]) for k in range(len(COUNTS)))], names=["doc_id", *COUNTS])
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(got[:, k]) for k in range(len(COUNTS))), rows.column("mark")], names=["doc_id", *COUNTS, "mark"])
 
 
 @dataclass(frozen=True)
@@ -194,7 +194,8 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smoot
 
 
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
-    """Counts, base_failed, posterior, kept and votes for every row of docs (doc_id long, text string).
+    """Counts, mark (xxhash64 of the text), base_failed, posterior, kept and votes for every row of docs (doc_id long,
+    text string).
 
     Other columns are not read. Words are `[^\\x20\\x09-\\x0D]+`; a null text has none. base_failed: under 20 words, or
     over 30 % of the words in windows of 8 words that the text holds twice or more. kept is false where base_failed,
@@ -203,6 +204,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: f
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("mark", F.xxhash64("text"))
     facts = materialize(rows.mapInArrow(_count, SCHEMA), "rule-counts")
     voted = facts.withColumn("votes", F.array(*(r.vote() for r in rules)))
     found = voted.groupBy("votes").count().collect()  # at most 3^len(rules) rows

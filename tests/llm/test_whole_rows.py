@@ -55,6 +55,17 @@ def test_near_stage(spark):
     assert sum(0.8 <= share[2 * i, 2 * i + 1] < 0.95 for i in range(60)) > 20 and any(share[2 * i, 2 * i + 1] < 0.8 for i in range(60))
 
 
+def test_repeated_and_null_ids(spark):
+    rng = random.Random(8)
+    x, y = (" ".join(prose(rng, 60)) + "." for _ in range(2))
+    assert kept(spark, "exact_dedup", [(3, y), (5, x), (5, y)]) == [(3, y), (5, x)]
+    assert kept(spark, "exact_dedup", [(None, y), (3, y), (None, x), (None, x)]) == [(3, y), (None, x)]
+    bad = "# $ % & | " * 40
+    assert kept(spark, "quality_rules", [(5, x), (5, bad), (None, bad), (None, y)]) == [(5, x), (None, y)]
+    almost = x.replace(x.split()[0], "changed")
+    assert kept(spark, "simhash_dedup", [(2, x), (3, almost), (3, y), (None, almost + " end")]) == [(2, x), (3, y)]
+
+
 @pytest.mark.parametrize("size", [1, 3, 5])
 def test_long_words_in_pieces(monkeypatch, size):
     monkeypatch.setattr(simhash, "SLICE_BYTES", 40)
