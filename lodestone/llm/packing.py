@@ -26,8 +26,9 @@ from lodestone.plans.runtime import materialize, prepare
 WINDOW = 2048
 #: Windows of a cycle: weights are kept to 1 / (WINDOW * CYCLE).
 CYCLE = 256
-#: More sources than this share queues by hash.
+#: More sources than this share queues by hash; slices of the order within such a queue.
 QUEUES = 1024
+SLICES = 4096
 END = 1
 
 
@@ -292,18 +293,56 @@ def _pieces(made: Plan):
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
         for batch in batches:
             cells: list[list] = [[] for _ in names]
-            doc, queue, start, size, ids, source = (batch.column(c) for c in ("doc_id", "queue", "start", "doc_tokens", "ids", "queue_key"))
+            doc, queue, start, run, size, ids, source = (batch.column(c) for c in ("doc_id", "queue", "start", "run_start", "doc_tokens", "ids", "queue_key"))
             for i in range(len(batch)):
-                blob, n, d, s = ids[i].as_buffer(), size[i].as_py(), doc[i].as_py(), source[i].as_py()
+                blob, n, d, s, first = ids[i].as_buffer(), size[i].as_py(), doc[i].as_py(), source[i].as_py(), run[i].as_py()
                 view = memoryview(blob)
-                for at, length, sequence, offset in made.pieces(queue[i].as_py(), start[i].as_py(), n):
-                    for cell, x in zip(cells, (d, at, length, zlib.crc32(view[4 * at : 4 * (at + length)]), n, sequence, offset, s), strict=True):
+                for at, length, sequence, offset in made.pieces(queue[i].as_py(), start[i].as_py(), len(view) // 4):
+                    for cell, x in zip(cells, (d, first + at, length, zlib.crc32(view[4 * at : 4 * (at + length)]), n, sequence, offset, s), strict=True):
                         cell.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 7 else pa.int64()) for k, c in enumerate(cells)], names=names)
 
     return run
 
 
+def _dealt(tokens: DataFrame, sums: DataFrame, weights: dict[str, float] | None, window: int) -> tuple[DataFrame, list[int], list[float]]:
+    """For more than QUEUES sources: runs of documents in hashed queues, and the queues' tokens and weights.
+
+    Sources with a weight are hashed into QUEUES queues; all others are in one more, of weight zero. In a queue, runs of at
+    most `window` tokens come in the order of their middle's place in their source divided by the source's weight, which
+    interleaves the sources in proportion to their weights. Places are sums over slices of that order, then within a slice.
+    """
+    if weights is None:
+        known = sums.withColumn("weight", F.col("n").cast("double"))
+    else:
+        spark = tokens.sparkSession
+        given = spark.createDataFrame([(k, float(x)) for k, x in weights.items() if x > 0], "queue_key string, weight double")
+        known = sums.join(given, "queue_key", "left")
+    hashed = F.pmod(F.xxhash64("queue_key"), F.lit(QUEUES)).cast("int")
+    known = known.withColumn("queue", F.when(F.col("weight").isNull(), QUEUES).otherwise(hashed)).withColumn("rate", F.coalesce("weight", F.col("n").cast("double")))
+    known = materialize(known, "pack-sources")
+    totals, want = [0] * (QUEUES + 1), [0.0] * (QUEUES + 1)
+    for r in known.groupBy("queue").agg(F.sum("n").alias("n"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight")).collect():  # at most QUEUES + 1 rows
+        totals[r["queue"]], want[r["queue"]] = r["n"], r["weight"]
+    last = known.groupBy("queue").agg(F.max(F.col("n") / F.col("rate")).alias("last"))
+    known = known.join(F.broadcast(last), "queue")  # at most QUEUES + 1 rows
+
+    parts = tokens.groupBy("queue_key", "pid").agg(F.sum("doc_tokens").alias("n"))
+    order = Window.partitionBy("queue_key").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select("queue_key", "pid", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")).join(known.select("queue_key", "queue", "rate", "last"), "queue_key")
+    own = tokens.join(base, ["queue_key", "pid"]).withColumn("first", F.col("base") + F.col("local_start"))
+    runs = own.withColumn("run_start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_tokens") - 1, F.lit(window).cast("long"))))
+    runs = runs.withColumn("ids", F.expr(f"substring(ids, CAST(4 * run_start + 1 AS INT), {4 * window})")).withColumn("size", (F.length("ids") / 4).cast("long"))
+    runs = runs.withColumn("place", F.col("first") + F.col("run_start")).withColumn("turn", (F.col("place") + F.col("size") / 2) / F.col("rate"))
+    runs = runs.withColumn("slice", F.least(F.floor(F.col("turn") / F.col("last") * SLICES), F.lit(SLICES - 1)).cast("int"))
+    runs = materialize(runs.select("doc_id", "queue_key", "queue", "slice", "turn", "place", "run_start", "size", "doc_tokens", "ids"), "pack-runs", "zstd")
+    before = Window.partitionBy("queue").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = runs.groupBy("queue", "slice").agg(F.sum("size").alias("n")).select("queue", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("queue", "slice").orderBy("turn", "queue_key", "place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = runs.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(slices, ["queue", "slice"])
+    return placed.select("doc_id", "queue_key", "queue", (F.col("before") + F.col("inside")).alias("start"), "run_start", "doc_tokens", "ids"), totals, want
+
+
 def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str, float] | None = None, window: int = WINDOW, cycle: int = CYCLE) -> DataFrame:
     """Pack every document's tokens into sequences of `window` tokens, each mixed in the target proportions of sources.
 
@@ -315,6 +354,8 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str, float] | None
 
     - A document's ids are its tokens, then the id 1; a null or empty text is that id alone.
     - A null source counts as the source "". A source that weights does not name has weight zero: its tokens come last.
+    - Above QUEUES sources, sources share queues, in which runs of at most `window` tokens of each alternate by weight: the
+      proportions of sources in one queue then hold over stretches of windows; those of queues hold in every window.
     - Rows that repeat a doc_id, and null doc_ids, are packed like any other. No rows give no pieces.
     - A document of any length is cut freely; no id is lost and none is padded.
     """
@@ -330,16 +371,11 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str, float] | None
         totals, want = [r["n"] for r in named], None if weights is None else [weights.get(r["queue_key"], 0.0) for r in named]
         queues = spark.createDataFrame([(k, i) for k, i in number.items()] or [("", 0)], "queue_key string, queue int")
         parts = parts.join(F.broadcast(queues), "queue_key")  # at most QUEUES rows
+        order = Window.partitionBy("queue").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+        base = parts.select("queue_key", "pid", "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+        place = (F.col("base") + F.col("local_start")).alias("start")
+        placed = tokens.join(base, ["queue_key", "pid"]).select("doc_id", "queue_key", "queue", place, F.lit(0).cast("long").alias("run_start"), "doc_tokens", "ids")
     else:
-        parts = parts.withColumn("queue", F.pmod(F.xxhash64("queue_key"), F.lit(QUEUES)).cast("int"))
-        totals, want = [0] * QUEUES, None if weights is None else [0.0] * QUEUES
-        for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect():
-            totals[r["queue"]] = r["n"]
-        for k, x in (weights or {}).items():
-            q = spark.range(1).select(F.pmod(F.xxhash64(F.lit(k)), F.lit(QUEUES))).first()[0]
-            want[q] += x
-    order = Window.partitionBy("queue").orderBy("queue_key", "pid").rowsBetween(Window.unboundedPreceding, -1)
-    base = parts.select("queue_key", "pid", "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
-    placed = tokens.join(base, ["queue_key", "pid"]).select("doc_id", "queue_key", "queue", (F.col("base") + F.col("local_start")).alias("start"), "doc_tokens", "ids")
+        placed, totals, want = _dealt(tokens, sums, weights, window)
     made = plan(totals, want, window, cycle)
     return placed.mapInArrow(_pieces(made), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
