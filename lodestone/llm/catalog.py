@@ -43,7 +43,7 @@ QUERIES["op3_simhash"] = op3_simhash
 
 
 def op5_packing(spark, sf_dir):
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
 QUERIES["op5_packing"] = op5_packing

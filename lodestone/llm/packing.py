@@ -11,7 +11,6 @@ padded.
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -290,7 +289,7 @@ def plan(totals: list[int], weights: list[float] | None = None, window: int = WI
 
 def _pieces(made: Plan):
     def run(batches):
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
+        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "source"]
         for batch in batches:
             cells: list[list] = [[] for _ in names]
             doc, queue, start, run, size, ids, source = (batch.column(c) for c in ("doc_id", "queue", "start", "run_start", "doc_tokens", "ids", "queue_key"))
@@ -298,9 +297,10 @@ def _pieces(made: Plan):
                 blob, n, d, s, first = ids[i].as_buffer(), size[i].as_py(), doc[i].as_py(), source[i].as_py(), run[i].as_py()
                 view = memoryview(blob)
                 for at, length, sequence, offset in made.pieces(queue[i].as_py(), start[i].as_py(), len(view) // 4):
-                    for cell, x in zip(cells, (d, first + at, length, zlib.crc32(view[4 * at : 4 * (at + length)]), n, sequence, offset, s), strict=True):
+                    for cell, x in zip(cells, (d, first + at, length, view[4 * at : 4 * (at + length)], n, sequence, offset, s), strict=True):
                         cell.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 7 else pa.int64()) for k, c in enumerate(cells)], names=names)
+            kinds = {3: pa.binary(), 7: pa.string()}
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds.get(k, pa.int64())) for k, c in enumerate(cells)], names=names)
 
     return run
 
@@ -350,7 +350,8 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str, float] | None
     `tokenizers` library whose pre-tokenizer drops white space (words are then encoded once and looked up). weights:
     target proportion by source; by default each source's share of all tokens, so that every window mirrors the corpus.
 
-    Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
+    Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids. ids holds the
+    piece's token ids, four bytes each, least byte first: a sequence is its pieces' ids in the order of offset.
 
     - A document's ids are its tokens, then the id 1; a null or empty text is that id alone.
     - A null source counts as the source "". A source that weights does not name has weight zero: its tokens come last.
@@ -378,4 +379,5 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str, float] | None
     else:
         placed, totals, want = _dealt(tokens, sums, weights, window)
     made = plan(totals, want, window, cycle)
-    return placed.mapInArrow(_pieces(made), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
+    pieces = placed.mapInArrow(_pieces(made), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, source string")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "ids")

@@ -19,7 +19,6 @@ A passage in any number of documents is one segment for each batch, so no bucket
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -381,24 +380,26 @@ def _measure(batches):
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + WINDOW, -1)
         gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
-        begin = gone.copy()
-        begin[1:] &= ~gone[:-1]
+        cut = np.zeros(len(data) + 2, bool)  # whether each byte goes, between two that stay
+        cut[1:-1] = gone
         heads = off[:-1][off[:-1] < off[1:]]
-        begin[heads] = gone[heads]
+        first = np.zeros(len(data) + 1, bool)
+        first[heads] = True
+        begin = np.flatnonzero(gone & (~cut[:-2] | first[:-1]))
+        end = np.flatnonzero(gone & (~cut[2:] | first[1:])) + 1
         run = np.concatenate(([0], np.cumsum(gone, dtype=np.int64)))
-        spans = np.concatenate(([0], np.cumsum(begin, dtype=np.int64)))
-        removed = run[off[1:]] - run[off[:-1]]
-        sha = []
-        for a, b, k in zip(off[:-1].tolist(), off[1:].tolist(), removed.tolist(), strict=True):
-            sha.append(hashlib.sha256(data[a:b] if not k else data[a:b][~gone[a:b]]).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, mask=ids == NONE), pa.array(np.diff(off)), pa.array(removed), pa.array(spans[off[1:]] - spans[off[:-1]]), pa.array(sha, pa.string())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-        )
+        kept_off = (off - run[off]).astype(np.int32)
+        left = np.ascontiguousarray(data[~gone])
+        kept = pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(kept_off), pa.py_buffer(left)])
+        home = off[np.searchsorted(off, begin, side="right") - 1]
+        pairs = pa.StructArray.from_arrays([pa.array(begin - home), pa.array(end - home)], ["start", "stop"])
+        spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, off).astype(np.int32)), pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NONE), pa.array(np.diff(off)), kept, spans], names=["doc_id", "n_bytes", "kept", "spans"])
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
-    """What substring dedup leaves of every row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """What substring dedup leaves of every row: doc_id, n_bytes, kept (the bytes that stay) and spans (start and stop, in
+    bytes, of each stretch that went).
 
     docs: doc_id long, text string (as UTF-8; null is empty); other columns are not read. Each byte goes that is covered by
     a string of WINDOW bytes which also starts in a document with a smaller doc_id. Matches do not cross documents;
@@ -422,4 +423,10 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     asked = materialize(dealt(packed.unionByName(repeated), "batch_id").mapInArrow(_ask_segments(leader_buckets, buckets), _SCHEMA), "suffix-segments", "uncompressed")
     owners = dealt(asked.where(F.col("kind") == ASKED), "part").mapInArrow(_answer_segments, _SCHEMA)
     back = packed.unionByName(asked.where(F.col("kind") == PLACES)).unionByName(owners)
-    return dealt(back, "batch_id").mapInArrow(_measure, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return dealt(back, "batch_id").mapInArrow(_measure, "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, stop: long>>")
+
+
+def suffix_dedup(docs: DataFrame) -> DataFrame:
+    """Digests of cut_repeats(): doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    removed = (F.col("n_bytes") - F.length("kept")).alias("n_removed")
+    return cut_repeats(docs).select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
