@@ -26,11 +26,11 @@ ORDER = 4
 DISCOUNT = 0.75
 #: Rows of each language fitted on, and kept to calibrate; those whose hashed doc_id is least.
 FIT_ROWS, CALIBRATE_ROWS = 600, 200
-#: Longer texts are not fitted on. Scoring reads every text, whole.
+#: Characters of sampled texts counted or calibrated on at once; a longer text is counted in pieces of this size.
 FIT_CHARS = 1_000_000
 REJECT = 0.5
-#: Languages learnt; the commonest ones, in case a table names more.
-LANGUAGES = 64
+#: Languages whose log probabilities stand side by side in one table; more languages take more tables.
+TOGETHER = 16
 
 
 def _letters() -> np.ndarray:
@@ -91,8 +91,6 @@ class Models:
     back_keys: list[np.ndarray]
     backs: list[np.ndarray]
     floor: np.ndarray
-    slope: float = 1.0
-    shift: float = 0.0
 
     def entropy(self, s: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(nats for each character and language, characters) of n texts."""
@@ -101,6 +99,7 @@ class Models:
         if not len(s):
             return total, np.zeros(n, np.int64)
         hashes = grams(s, text, order)
+        opening = [h[0] for h in grams(np.zeros(1, np.uint32), np.zeros(1, np.int32), order)]  # the context before a text
         value = np.empty((len(s), len(self.languages)), np.float32)
         todo = np.arange(len(s))
         owed = np.zeros((len(s), len(self.languages)), np.float32)
@@ -113,11 +112,11 @@ class Models:
             if k and len(todo):
                 before = todo - 1  # the context of an unknown gram ends one symbol earlier
                 inside = (before >= 0) & (text[np.maximum(before, 0)] == text[todo])
-                c = np.where(inside, hashes[k - 1][np.maximum(before, 0)], np.uint64(0))
+                c = np.where(inside, hashes[k - 1][np.maximum(before, 0)], opening[k - 1])
                 back = self.back_keys[k - 1]
                 if len(back):
                     at = np.minimum(np.searchsorted(back, c), len(back) - 1)
-                    known = inside & (back[at] == c)
+                    known = back[at] == c
                     owed[todo[known]] += self.backs[k - 1][at[known]]
         value[todo] = self.floor + owed[todo]
         starts = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
@@ -157,10 +156,9 @@ class Alphabet:
         return grams(rows.reshape(-1), np.repeat(np.arange(len(rows), dtype=np.int32), n), n)[n - 1][n - 1 :: n] if len(rows) else np.zeros(0, np.uint64)
 
 
-def _kneser_ney(s: np.ndarray, text: np.ndarray, order: int, discount: float, letters: Alphabet):
-    """For one language: per order, (grams, log probabilities), sorted; per order below the top, (contexts, log weights);
+def _kneser_ney(kinds: np.ndarray, count: np.ndarray, order: int, discount: float, letters: Alphabet):
+    """For one language, from its grams of the top order and their counts: per order, (grams, log probabilities), sorted; per order below the top, (contexts, log weights);
     and the log probability of a character it has not seen."""
-    kinds, count = np.unique(letters.windows(s, text, order), return_counts=True)
     counted = {order: (kinds, count)}
     for n in range(order - 1, 0, -1):  # continuation counts: how many different symbols stand before the gram
         counted[n] = np.unique(letters.last(counted[n + 1][0], n), return_counts=True)
@@ -185,15 +183,56 @@ def _kneser_ney(s: np.ndarray, text: np.ndarray, order: int, discount: float, le
     return probs, backs, floor
 
 
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    raw = [t.encode() for t in texts]
+    return symbols(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])))
+
+
+def _batches(texts, most: int):
+    """Lists of (name, texts) of at most `most` characters from (name, text) sorted by name; longer texts in pieces."""
+    name, held, size = None, [], 0
+    for own, text in texts:
+        for at in range(0, max(len(text), 1), most):
+            part = text[at : at + most]
+            if held and (own != name or size + len(part) > most):
+                yield name, held
+                held, size = [], 0
+            name = own
+            held.append(part)
+            size += len(part)
+    if held:
+        yield name, held
+
+
+def _added(held: tuple[np.ndarray, np.ndarray] | None, more: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if held is None:
+        return more
+    kinds, where = np.unique(np.concatenate((held[0], more[0])), return_inverse=True)
+    return kinds, np.bincount(where, np.concatenate((held[1], more[1]))).astype(np.int64)
+
+
+def count_grams(read, order: int, most: int = FIT_CHARS) -> tuple[Alphabet, dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """The letters of all languages, and each language's grams with counts. read(): (language, text), by language."""
+    seen = np.zeros(0, np.uint32)
+    for _, texts in _batches(read(), most):
+        seen = np.union1d(seen, _joined(texts)[0])
+    letters = Alphabet([seen], order)
+    counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for name, texts in _batches(read(), most):
+        counts[name] = _added(counts.get(name), np.unique(letters.windows(*_joined(texts), order), return_counts=True))
+    return letters, counts
+
+
 def fit_models(texts: dict[str, list[str]], order: int = ORDER, discount: float = DISCOUNT) -> Models:
     """Models of the languages named, from their texts."""
-    names = sorted(texts)
-    read = {}
-    for name in names:
-        raw = [t.encode() for t in texts[name]]
-        read[name] = symbols(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])))
-    letters = Alphabet([s for s, _ in read.values()], order)
-    fitted = [_kneser_ney(*read[name], order, discount, letters) for name in names]
+    letters, counts = count_grams(lambda: ((name, t) for name in sorted(texts) for t in texts[name]), order)
+    return fit_counts(letters, counts, order, discount)
+
+
+def fit_counts(letters: Alphabet, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, discount: float = DISCOUNT) -> Models:
+    """Models of the languages named. A language's probabilities do not depend on the others named beside it."""
+    names = sorted(counts)
+    fitted = [_kneser_ney(*counts[name], order, discount, letters) for name in names]
     floor = np.array([f[2] for f in fitted], np.float32)
 
     def union(parts, blank):
@@ -238,16 +277,21 @@ def _lead(entropy: np.ndarray, count: np.ndarray) -> np.ndarray:
     return (two[:, 1] - two[:, 0]) * np.sqrt(count)
 
 
-def _predict(models: Models, reject: float):
+def _entropies(models: list[Models], s: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    found = [m.entropy(s, text, n) for m in models]
+    return np.hstack([e for e, _ in found]), found[0][1]
+
+
+def _predict(models: list[Models], slope: float, shift: float, reject: float):
     def run(batches):
-        names = np.array(models.languages, object)
+        names = np.array([x for m in models for x in m.languages], object)
         for rows, data, off in text_slices(batches, "text"):
             s, text = symbols(data, off)
             n = len(off) - 1
             letters = np.bincount(text[s != 0], minlength=n)
-            entropy, count = models.entropy(s, text, n)
+            entropy, count = _entropies(models, s, text, n)
             lead = _lead(entropy, count)
-            score = 1 / (1 + np.exp(-np.clip(models.slope * lead + models.shift, -40, 40)))
+            score = 1 / (1 + np.exp(-np.clip(slope * lead + shift, -40, 40)))
             some = letters > 0
             pick = np.where(some, names[entropy.argmin(axis=1)], "und")
             score = np.where(some, score, 0.0)
@@ -261,8 +305,8 @@ def language_id(docs: DataFrame, order: int = ORDER, fit_rows: int = FIT_ROWS, c
     """Predict the language of every whole text: doc_id, held_out, lang_pred, score, accepted, nats.
 
     docs: doc_id long, text string, lang string; other columns are not read. Learns only from the text and the non-null
-    lang of rows that are not held out: for each of at most LANGUAGES languages, the fit_rows rows of least hashed doc_id
-    (the bound of the sample; texts over FIT_CHARS are passed over), then calibrate_rows more for the score.
+    lang of rows that are not held out: for every language, the fit_rows rows of least hashed doc_id (the bound of the
+    sample), then calibrate_rows more for the score.
 
     - lang_pred is `und` and score 0 if the text is null or has no letter; otherwise it is a learnt language.
     - accepted is false for `und` and where the score is below `reject`.
@@ -273,34 +317,40 @@ def language_id(docs: DataFrame, order: int = ORDER, fit_rows: int = FIT_ROWS, c
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     named = rows.select("doc_id", "lang").where(learnt()).where("lang IS NOT NULL")
     named = named.where(F.col("doc_id").isNotNull())
-    common = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     need = fit_rows + calibrate_rows
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1)
     # the share of each language's hash range that holds about twice the rows needed: what is ranked stays small
-    reach = F.create_map(*(x for r in common for x in (F.lit(r["lang"]), F.lit((2**63 - 1) * min(2 * need + 50, r["count"]) // r["count"])))) if common else F.lit(None)
-    kept = rows.where(learnt()).where(F.col("lang").isin([r["lang"] for r in common]) & F.length(F.trim("text")).between(1, FIT_CHARS))
-    some = kept.where(key <= (F.element_at(reach, F.col("lang")) if common else F.lit(0))).select("lang", "doc_id", key.alias("key"))
+    share = F.least(F.lit(1.0), F.lit(float(2 * need + 50)) / F.col("count"))
+    reach = named.groupBy("lang").count().select("lang", (share * (2**63 - 1)).cast("long").alias("reach"))
+    kept = rows.where(learnt()).where("lang IS NOT NULL").where(F.length(F.trim("text")) >= 1)
+    some = kept.join(F.broadcast(reach), "lang").where(key <= F.col("reach")).select("lang", "doc_id", key.alias("key"))  # one row a language
     pick = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))).where(F.col("r") <= need).select("doc_id", "r", F.col("lang").alias("own"))
-    chosen = materialize(rows.join(F.broadcast(pick), "doc_id").where("lang = own").select("doc_id", "r", "lang", "text"), "language-sample")  # at most LANGUAGES * need rows
-    seen = chosen.orderBy("lang", "r", "doc_id").collect()
-    cut = {}
-    for r in seen:
-        cut.setdefault(r["lang"], []).append(r)
-    fit, rest = {}, []
-    for lang, own in cut.items():
-        n = min(fit_rows, max(1, len(own) * 3 // 4))
-        fit[lang] = [r["text"] for r in own[:n]]
-        rest += own[n:] or own
+    chosen = rows.join(F.broadcast(pick), "doc_id").where("lang = own").select("doc_id", "r", "lang", "text")  # at most `need` rows a language
+    chosen = materialize(chosen, "language-sample")
+    held = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
+    fit = {lang: min(fit_rows, max(1, n * 3 // 4)) for lang, n in held.items()}
+
+    def sample(wanted):
+        """(language, text) of the sampled rows whose place in their language is wanted; texts come one partition at a time."""
+        now, at = None, 0
+        for r in chosen.orderBy("lang", "r", "doc_id").toLocalIterator():
+            now, at = r["lang"], at + 1 if r["lang"] == now else 0
+            if wanted(now, at):
+                yield now, r["text"]
+
     if not fit:
         blank = rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"), F.lit(None).cast("double").alias("nats"))
         return blank.withColumn("held_out", ~learnt()).select("doc_id", "held_out", "lang_pred", "score", "accepted", "nats")
-    models = fit_models(fit, order)
-    raw = [r["text"].encode() for r in rest]
-    s, text = symbols(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])))
-    entropy, count = models.entropy(s, text, len(raw))
-    right = np.array([models.languages[k] == r["lang"] for k, r in zip(entropy.argmin(axis=1), rest, strict=True)], np.float64)
-    lead = _lead(entropy, count)
+    letters, counts = count_grams(lambda: sample(lambda lang, at: at < fit[lang]), order)
+    names = sorted(counts)
+    models = [fit_counts(letters, {x: counts[x] for x in names[k : k + TOGETHER]}, order) for k in range(0, len(names), TOGETHER)]
+    leads, rights = [], []
+    for lang, texts in _batches(sample(lambda lang, at: at >= fit[lang] or fit[lang] == held[lang]), FIT_CHARS):
+        entropy, count = _entropies(models, *_joined(texts), len(texts))
+        leads.append(_lead(entropy, count))
+        rights.append(np.array([names[k] == lang for k in entropy.argmin(axis=1)], np.float64))
+    lead, right = np.concatenate(leads), np.concatenate(rights)
     # one right and one wrong answer at no lead keep the map rising where all answers are right
-    models.slope, models.shift = fit_logistic(np.append(lead, [0.0, 0.0]), np.append(right, [0.5, 0.0]), np.append(1 - right, [0.0, 0.5]))
-    found = rows.select("doc_id", "text").mapInArrow(_predict(models, reject), "doc_id long, lang_pred string, score double, accepted boolean, nats double")
+    slope, shift = fit_logistic(np.append(lead, [0.0, 0.0]), np.append(right, [0.5, 0.0]), np.append(1 - right, [0.0, 0.5]))
+    found = rows.select("doc_id", "text").mapInArrow(_predict(models, slope, shift, reject), "doc_id long, lang_pred string, score double, accepted boolean, nats double")
     return found.select("doc_id", (~learnt()).alias("held_out"), "lang_pred", "score", "accepted", "nats")
