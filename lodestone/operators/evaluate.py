@@ -43,11 +43,13 @@ def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(query_id, id, source) of documents (id, text, source) that contain a passage (query_id, text).
 
     A document that contains a passage holds each of its inner tokens, so passages meet documents on their rarest inner
-    token; passages with fewer than three tokens are not looked for.
+    token; passages with fewer than three tokens go to all documents.
     """
     from lodestone.operators.bm25 import tokens
 
-    inner = passages.select("query_id", F.col("text").alias("passage"), tokens(F.col("text")).alias("t")).where(F.size("t") >= 3)
+    cut = passages.select("query_id", F.col("text").alias("passage"), tokens(F.col("text")).alias("t"))
+    short = docs.join(F.broadcast(cut.where(F.size("t") < 3).select("query_id", "passage")), F.contains("text", "passage")).select("query_id", "id", "source")
+    inner = cut.where(F.size("t") >= 3)
     inner = inner.select("query_id", "passage", F.explode(F.array_distinct(F.slice("t", F.lit(2), F.size("t") - 2))).alias("tok"))
     words = F.array_distinct(tokens(F.col("text")))
     held = docs.select(F.explode(words).alias("tok")).join(F.broadcast(inner.select("tok").distinct()), "tok", "left_semi")
@@ -55,4 +57,4 @@ def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
     best = rare.groupBy("query_id").agg(F.min_by("tok", F.struct("df", "tok")).alias("tok"), F.first("passage").alias("passage"))
     # one row for each of the stated passages goes to the documents, whose texts stay where they are
     met = docs.select("id", "source", "text", F.explode(words).alias("tok")).join(F.broadcast(best), "tok")
-    return met.where(F.contains("text", "passage")).select("query_id", "id", "source")
+    return met.where(F.contains("text", "passage")).select("query_id", "id", "source").unionByName(short)
