@@ -80,5 +80,15 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, np.flatnonzero(ends) + 1, np.searchsorted(off, start, side="right") - 1
 
 
+def word_end(data: np.ndarray, at: int) -> int:
+    """The first white space from `at` on, or the end."""
+    while at < len(data):
+        white = WS[data[at : at + (1 << 16)]]
+        if white.any():
+            return at + int(white.argmax())
+        at += len(white)
+    return len(data)
+
+
 def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f in schema for x in (columns[f.name],)], schema=schema)

@@ -1,17 +1,22 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Every window takes tokens from each source's queue in the target proportions; what a source was owed and did not get is
-a deficit that the next window pays. Weights are whole numbers over a cycle of windows, at whose end every deficit is
-paid, so the tokens a queue has given before window w follow from w alone. That makes the round-robin parallel: a
-document's place in its queue (sums over partitions, then within one) tells its windows and offsets, and deficits carry
-across partitions without a task waiting for another. A queue that runs dry leaves and the others' proportions are
-rescaled. What is left of dry queues fills windows of its own, the last of which are powers of two long, so nothing is
-padded.
+A phase is a stretch of windows in which the same source queues share each window. Queue k is due x_k tokens of every
+window, a real number; its share ends where the next one's begins, so shares are ranges between edges X_0 = 0 to
+X_m = window. In window w every edge stands at floor(X + t(w)), where the carry t(w), the same for all queues, runs
+through the van der Corput sequence: a queue gets its due rounded down or up, a window is always full, and what a queue
+was owed in one window it gets in the next ones (deficits stay below a few tokens). How often an edge was rounded up
+before window w has a closed form over the bits of w, so the tokens a queue gave before any window follow from w alone.
+That makes the round-robin parallel: a document's place in its queue (sums over partitions, then within one) tells its
+windows and offsets, and deficits carry across partitions without a task waiting for another.
+
+A queue that runs dry leaves at the end of a phase and the others' shares are rescaled; of queues that would run dry one
+soon after the other, all fade out over one phase. The few tokens a queue could not place fill windows of their own, the
+last of which are powers of two long, so nothing is padded.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +24,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import LOWER, text_slices
+from lodestone.llm.batches import LOWER, SLICE_BYTES, text_slices, utf8, word_end
 from lodestone.plans.runtime import materialize, prepare
 
 WINDOW = 2048
-#: Windows of a cycle: weights are kept to 1 / (WINDOW * CYCLE).
-CYCLE = 256
+#: Fractional bits of an edge; windows of a phase stay below 2^BITS.
+BITS = 40
+#: Tokens held back when a queue's last phase is planned: more than rounding can ever be off.
+SPARE = 32
+#: Queues that run dry within this part of the windows so far fade out together, which bounds the number of phases.
+TOGETHER = 1 / 16
 #: More sources than this share queues by hash; slices of the order within such a queue.
-QUEUES = 1024
+QUEUES = 16384
 SLICES = 4096
+#: Bases (source and partition) sent to every task at once; more go in several ranges of partitions.
+BASE_ROWS = 400_000
+#: Tokens of a document in one row of the token table.
+RUN = 1 << 20
 END = 1
 
 
@@ -67,7 +80,7 @@ class WordIds(dict):
     """
 
     #: Bytes of remembered words, at about 150 for each besides its letters.
-    ROOM = 96 << 20
+    ROOM = 64 << 20
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -149,163 +162,276 @@ def word_ids(path: str) -> WordIds:
     return _WORDS[path]
 
 
+def _encoded(vocabulary: WordIds, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """encode(); a long text goes piece by piece, cut at white space."""
+    if len(off) != 2 or len(data) <= 2 * SLICE_BYTES:
+        return vocabulary.encode(data, off)
+    parts, lo = [], 0
+    while lo < len(data):
+        hi = word_end(data, min(lo + SLICE_BYTES, len(data)))
+        ids, _ = vocabulary.encode(data[lo:hi], np.array([0, hi - lo]))
+        parts.append(ids if hi == len(data) else ids[:-1])
+        lo = hi
+    ids = np.concatenate(parts)
+    return ids, np.array([0, len(ids)])
+
+
+def _binary(flat: np.ndarray, off: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+_TOKENS = "doc_id long, queue_key string, pid int, local_start long, run_start long, doc_tokens long, ids binary"
+
+
 def _tokens(path: str):
     def run(batches):
         vocabulary, pid, given = word_ids(path), TaskContext.get().partitionId(), {}
         for rows, data, off in text_slices(batches, "text"):
-            ids, at = vocabulary.encode(data, off)
-            blob = memoryview(ids.astype("<u4").tobytes())
-            start = []
-            for source, n in zip(rows.column("queue_key").to_pylist(), np.diff(at).tolist(), strict=True):
-                start.append(given.get(source, 0))
-                given[source] = start[-1] + n
-            cells = [bytes(blob[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), rows.column("queue_key"), pa.array([pid] * len(start), pa.int32()), pa.array(start, pa.int64()), pa.array(np.diff(at)), pa.array(cells, pa.binary())],
-                names=["doc_id", "queue_key", "pid", "local_start", "doc_tokens", "ids"],
-            )
+            ids, at = _encoded(vocabulary, data, off)
+            size = np.diff(at)
+            start = np.empty(len(size), np.int64)
+            for i, (source, n) in enumerate(zip(rows.column("queue_key").to_pylist(), size.tolist(), strict=True)):
+                start[i] = given.get(source, 0)
+                given[source] = start[i] + n
+            runs = -(-size // RUN)
+            owner = np.repeat(np.arange(len(size)), runs)
+            first = (np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)) * RUN
+            whole = len(owner) == len(size)
+            for lo, hi in [(0, len(owner))] if whole else [(i, i + 1) for i in range(len(owner))]:
+                own, begin = owner[lo:hi], first[lo:hi]
+                cut = np.append(at[own] + begin, at[own[-1]] + min(begin[-1] + RUN, size[own[-1]]))
+                flat = np.ascontiguousarray(ids[cut[0] : cut[-1]], "<u4").view(np.uint8)
+                pick = pa.array(own)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id").take(pick), rows.column("queue_key").take(pick), pa.array(np.full(len(own), pid, np.int32)), pa.array(start[own]), pa.array(begin), pa.array(size[own]), _binary(flat, 4 * (cut - cut[0]))],
+                    names=["doc_id", "queue_key", "pid", "local_start", "run_start", "doc_tokens", "ids"],
+                )
 
     return run
 
 
 # ---- the round-robin ----
 
+_ONE = 1 << BITS
 
-def round_robin(weights: np.ndarray, window: int = WINDOW, cycle: int = CYCLE) -> np.ndarray:
-    """Tokens given by each queue before each window of a cycle: cycle + 1 rows. Each window gives `window` tokens."""
-    share = weights / weights.sum() * window * cycle
-    credit = np.maximum(np.floor(share).astype(np.int64), 1)
-    order = np.argsort(-(share - credit), kind="stable")
-    short = window * cycle - int(credit.sum())
-    if short > 0:
-        credit[order[np.arange(short) % len(order)]] += 1
-    else:
-        credit[np.argmax(credit)] += short
-    deficit = np.zeros(len(weights), np.int64)
-    given = np.zeros((cycle + 1, len(weights)), np.int64)
-    for w in range(cycle):
-        deficit += credit
-        take = np.maximum(deficit // cycle, 0)
-        deficit -= take * cycle
-        over = window - int(take.sum())
-        if over > 0:  # the largest debts are paid first
-            first = np.argsort(-deficit, kind="stable")[:over]
-            take[first] += 1
-            deficit[first] -= cycle
-        elif over < 0:
-            least = np.argsort(np.where(take > 0, deficit, np.iinfo(np.int64).max), kind="stable")[:-over]
-            take[least] -= 1
-            deficit[least] += cycle
-        given[w + 1] = given[w] + take
-    return given
+
+def carry(w: np.ndarray) -> np.ndarray:
+    """t(w) of the van der Corput sequence, in units of 2^-BITS: the bits of w in reverse."""
+    out = np.zeros(len(w), np.int64)
+    for i in range(int(w.max(initial=0)).bit_length()):
+        out |= ((w >> i) & 1) << (BITS - 1 - i)
+    return out
+
+
+def roundings(edge: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The sum of floor(edge + t(v)) over the windows v < w, edges in units of 2^-BITS.
+
+    The windows below w fall into one run of 2^i windows for each binary digit i of w; in a run the carries are evenly
+    spaced, so those that lift the edge's fraction over one are counted by a division.
+    """
+    part = edge & (_ONE - 1)
+    total = (edge >> BITS) * w
+    head = np.zeros(len(w), np.int64)
+    for i in range(int(w.max(initial=0)).bit_length() - 1, -1, -1):
+        on = (w >> i) & 1
+        below = np.clip((_ONE - part - head + (1 << (BITS - i)) - 1) >> (BITS - i), 0, 1 << i)
+        total += on * ((1 << i) - below)
+        head += on << (BITS - 1 - i)
+    return total
 
 
 @dataclass
 class Phase:
-    """Windows from `first` on, filled by the queues `active` until one of them runs dry."""
+    """`windows` windows from `first` on, shared by the queues `active` (sorted); edges in units of 2^-BITS; base: tokens
+    that each active queue gave before; end: those it gave after."""
 
     first: int
     windows: int
-    active: list[int]
-    given: np.ndarray
-    base: dict[int, int]  # tokens that each active queue gave before
+    active: np.ndarray
+    edges: np.ndarray
+    base: np.ndarray
+    end: np.ndarray
+
+    def given(self, k: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Tokens that the k-th active queues give before window w of the phase."""
+        return roundings(self.edges[k + 1], w) - roundings(self.edges[k], w)
+
+    def window_of(self, k: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The window in which the k-th active queues give their token of that number in the phase."""
+        share = (self.edges[k + 1] - self.edges[k]) / _ONE
+        lo = np.clip(np.floor((token - SPARE) / share), 0, self.windows - 1).astype(np.int64)
+        hi = np.minimum(np.ceil((token + SPARE) / share) + 1, self.windows).astype(np.int64)
+        while (open_ := np.flatnonzero(hi - lo > 1)).size:
+            mid = (lo[open_] + hi[open_]) >> 1
+            low = self.given(k[open_], mid) <= token[open_]
+            lo[open_[low]] = mid[low]
+            hi[open_[~low]] = mid[~low]
+        return lo
 
 
 @dataclass
 class Plan:
     window: int
-    phases: list[Phase] = field(default_factory=list)
-    left: dict[int, int] = field(default_factory=dict)  # queue -> where its left-over tokens begin
-    left_at: dict[int, int] = field(default_factory=dict)  # queue -> their place among all left-over tokens
-    first_left: int = 0
-    n_left: int = 0
-
-    def pieces(self, queue: int, start: int, size: int):
-        """(tokens from the document's start, length, sequence, offset) of a document at `start` in its queue."""
-        at, stop = start, start + size
+    phases: list[Phase]
+    gone: np.ndarray  # tokens of each queue that the phases take; the others are left over
+    left_at: np.ndarray  # place of each queue's left-over tokens among all of them
+    first_left: int
+    n_left: int
+
+    def pieces(self, queue: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, tokens from its start, length, sequence, offset) of all pieces of documents at `start` in their
+        queues, in the order of documents and tokens."""
+        at, stop = start.astype(np.int64), (start + size).astype(np.int64)
+        out: list[tuple[np.ndarray, ...]] = []
         for p in self.phases:
-            if queue not in p.base:
+            k = np.minimum(np.searchsorted(p.active, queue), len(p.active) - 1)
+            end = np.minimum(p.end[k], stop)
+            doc = np.flatnonzero((p.active[k] == queue) & (at < end))
+            if not len(doc):
                 continue
-            k = p.active.index(queue)
-            col, all_ = p.given[:, k], int(p.given[-1, k])
-            cycle = len(p.given) - 1
-            n, r = divmod(p.windows, cycle)
-            end = p.base[queue] + n * all_ + int(col[r])
-            while at < min(stop, end):
-                turn, rest = divmod(at - p.base[queue], all_)
-                r = int(np.searchsorted(col, rest, side="right")) - 1
-                room = int(col[r + 1]) - rest
-                n = min(room, stop - at)
-                offset = int((p.given[r + 1, :k] - p.given[r, :k]).sum()) + rest - int(col[r])
-                yield at - start, n, p.first + turn * cycle + r, offset
-                at += n
-        while at < stop:
-            place = self.left_at[queue] + at - self.left[queue]
-            sequence, offset, room = self.tail(place)
-            n = min(room, stop - at)
-            yield at - start, n, sequence, offset
-            at += n
-
-    def tail(self, place: int) -> tuple[int, int, int]:
-        """(sequence, offset, room to its end): whole windows, then one sequence for each binary digit of the rest."""
+            k, lo, hi = k[doc], at[doc] - p.base[k[doc]], end[doc] - p.base[k[doc]]
+            near = p.window_of(np.concatenate((k, k)), np.concatenate((lo, hi - 1)))
+            w0, w1 = near[: len(doc)], near[len(doc) :]
+            n = w1 - w0 + 1
+            own = np.repeat(np.arange(len(doc)), n)
+            w = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + w0[own]
+            turn = carry(w)
+            left, right = (p.edges[k[own]] + turn) >> BITS, (p.edges[k[own] + 1] + turn) >> BITS
+            before = np.cumsum(right - left) - (right - left)
+            heads = np.cumsum(n) - n
+            before += (p.given(k, w0) - before[heads])[own]  # tokens given before each window
+            a, b = np.maximum(before, lo[own]), np.minimum(before + right - left, hi[own])
+            some = np.flatnonzero(b > a)
+            own, w, left, before, a, b = (x[some] for x in (own, w, left, before, a, b))
+            out.append((doc[own], a - lo[own] + at[doc][own] - start[doc][own], b - a, p.first + w, left + a - before))
+            at[doc] = end[doc]
+        rest = np.flatnonzero(at < stop)
+        if len(rest):
+            place = self.left_at[queue[rest]] + at[rest] - self.gone[queue[rest]]
+            bound = self.tail_bounds()
+            last = np.searchsorted(bound, place + stop[rest] - at[rest] - 1, side="right")
+            s0 = np.searchsorted(bound, place, side="right")
+            n = last - s0 + 1
+            own = np.repeat(np.arange(len(rest)), n)
+            s = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + s0[own]
+            a = np.maximum(np.append(0, bound)[s], place[own])
+            b = np.minimum(bound[s], (place + stop[rest] - at[rest])[own])
+            out.append((rest[own], a - place[own] + (at - start)[rest][own], b - a, self.first_left + s, a - np.append(0, bound)[s]))
+        if not out:
+            z = np.zeros(0, np.int64)
+            return z, z, z, z, z
+        found = [np.concatenate(x) for x in zip(*out, strict=True)]
+        order = np.lexsort((found[1], found[0]))
+        return tuple(x[order] for x in found)
+
+    def tail_bounds(self) -> np.ndarray:
+        """Where the sequences of left-over tokens end: whole windows, then one for each binary digit of the rest."""
         whole, rest = divmod(self.n_left, self.window)
-        if place < whole * self.window:
-            return self.first_left + place // self.window, place % self.window, self.window - place % self.window
-        at, place = self.first_left + whole, place - whole * self.window
-        for bit in range(rest.bit_length() - 1, -1, -1):
-            if rest >> bit & 1:
-                if place < 1 << bit:
-                    return at, place, (1 << bit) - place
-                at, place = at + 1, place - (1 << bit)
-        raise ValueError("beyond the last token")
-
-
-def plan(totals: list[int], weights: list[float] | None = None, window: int = WINDOW, cycle: int = CYCLE) -> Plan:
-    """totals: tokens of each queue; weights: target proportions, by default the queues' own."""
-    out, gone = Plan(window), [0] * len(totals)
-    want = np.array(totals if weights is None else weights, np.float64)
-    active, first = [i for i, n in enumerate(totals) if n > 0], 0
-    while active and sum(totals[i] - gone[i] for i in active) >= window:
-        given = round_robin(np.maximum(want[active], 1e-9), window, cycle)
-        lasts = []
-        for k, i in enumerate(active):
-            turn, rest = divmod(totals[i] - gone[i], int(given[-1, k]))
-            lasts.append(turn * cycle + int(np.searchsorted(given[:, k], rest, side="right")) - 1)
-        n = min(lasts)
-        if n:
-            out.phases.append(Phase(first, n, list(active), given, {i: gone[i] for i in active}))
-            turn, r = divmod(n, cycle)
-            for k, i in enumerate(active):
-                gone[i] += turn * int(given[-1, k]) + int(given[r, k])
-            first += n
-        active = [i for i, last in zip(active, lasts, strict=True) if last > n]
-    out.first_left = first
-    for i, n in enumerate(totals):
-        if n > gone[i]:
-            out.left[i], out.left_at[i] = gone[i], out.n_left
-            out.n_left += n - gone[i]
+        digits = [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+        return np.cumsum(np.array([self.window] * whole + digits, np.int64))
+
+
+def _edges(share: np.ndarray, window: int) -> np.ndarray:
+    top = window << BITS
+    out = np.minimum(np.append(0, np.rint(np.cumsum(share) * _ONE)).astype(np.int64), top)
+    out[-1] = top
     return out
 
 
-def _pieces(made: Plan):
+def plan(totals, weights=None, window: int = WINDOW) -> Plan:
+    """totals: tokens of each queue; weights: target proportions, by default the queues' own.
+
+    Queues without weight come after all others, in proportion to their tokens.
+    """
+    totals = np.asarray(totals, np.int64)
+    want = totals.astype(np.float64) if weights is None else np.asarray(weights, np.float64)
+    gone = np.zeros(len(totals), np.int64)
+    phases: list[Phase] = []
+    first = 0
+
+    def add(active: np.ndarray, share: np.ndarray, n: int) -> None:
+        nonlocal first
+        p = Phase(first, n, active, _edges(share, window), gone[active], gone[active])
+        p.end = p.base + p.given(np.arange(len(active)), np.full(len(active), n))
+        phases.append(p)
+        gone[active] = p.end
+        first += n
+
+    for tier, rate in ((want > 0, want), (want <= 0, totals.astype(np.float64))):
+        active, began = np.flatnonzero(tier), first
+        while True:
+            left = totals[active] - gone[active] - SPARE
+            active, left = active[left > 0], left[left > 0]
+            if left.sum() < window:
+                break
+            share = rate[active] / rate[active].sum() * window
+            lasts = left / share
+            least = lasts.min()
+            if least < 1:  # less than a window's share: left over
+                active = active[lasts >= 1]
+                continue
+            ending = lasts <= (first - began + least) * (1 + TOGETHER) - (first - began)
+            if ending.all():
+                add(active, left / left.sum() * window, int(left.sum() // window))
+                break
+            add(active, share, int(least))
+            fade = int(lasts[ending].max() - least)
+            if fade:
+                left = np.maximum(totals[active] - gone[active] - SPARE, 0)
+                share = np.where(ending, np.minimum(left / fade, share), share)
+                share[~ending] *= (window - share[ending].sum()) / share[~ending].sum()
+                n = min(fade, int((left[~ending] / share[~ending]).min()))
+                if n:
+                    add(active, share, n)
+                if n < fade:
+                    continue
+            active = active[~ending]
+    over = totals - gone
+    return Plan(window, phases, gone, np.cumsum(over) - over, first, int(over.sum()))
+
+
+def _pieces(totals: np.ndarray, want: np.ndarray | None, window: int):
+    """Every task works the plan out from the queues' totals and weights, 16 bytes for each."""
+
     def run(batches):
-        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "source"]
+        made = plan(totals, want, window)
         for batch in batches:
-            cells: list[list] = [[] for _ in names]
-            doc, queue, start, run, size, ids, source = (batch.column(c) for c in ("doc_id", "queue", "start", "run_start", "doc_tokens", "ids", "queue_key"))
-            for i in range(len(batch)):
-                blob, n, d, s, first = ids[i].as_buffer(), size[i].as_py(), doc[i].as_py(), source[i].as_py(), run[i].as_py()
-                view = memoryview(blob)
-                for at, length, sequence, offset in made.pieces(queue[i].as_py(), start[i].as_py(), len(view) // 4):
-                    for cell, x in zip(cells, (d, first + at, length, view[4 * at : 4 * (at + length)], n, sequence, offset, s), strict=True):
-                        cell.append(x)
-            kinds = {3: pa.binary(), 7: pa.string()}
-            yield pa.RecordBatch.from_arrays([pa.array(c, kinds.get(k, pa.int64())) for k, c in enumerate(cells)], names=names)
+            data, off = utf8(batch.column("ids"))
+            begin = batch.column("run_start").to_numpy()
+            doc, at, length, sequence, offset = made.pieces(batch.column("queue").to_numpy(), batch.column("start").to_numpy(), np.diff(off) // 4)
+            for lo in range(0, len(doc), 1 << 15):
+                p = slice(lo, lo + (1 << 15))
+                own, end = pa.array(doc[p]), np.cumsum(4 * length[p])
+                base = int(off[doc[lo]] + 4 * at[lo])
+                ids = _binary(data[base : base + end[-1]], np.append(0, end))
+                cells = [batch.column("doc_id").take(own), pa.array((begin[doc] + at)[p]), pa.array(length[p]), ids, batch.column("doc_tokens").take(own), pa.array(sequence[p]), pa.array(offset[p]), batch.column("queue_key").take(own)]
+                yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "source"])
 
     return run
 
 
-def _dealt(tokens: DataFrame, sums: DataFrame, weights: dict[str, float] | None, window: int) -> tuple[DataFrame, list[int], list[float]]:
+def _bases(tokens: DataFrame, base: DataFrame, most: int) -> DataFrame:
+    """tokens with queue and base of their source and partition; token ids stay where they are.
+
+    Bases go to every task, in as many ranges of partitions (pruned by the files' statistics) as keep each broadcast to
+    `most` rows; a block of 256 partitions with more sources than that meets its tokens by a shuffle.
+    """
+    spans: list[list[int]] = []
+    for r in base.groupBy(F.shiftright("pid", 8).alias("block")).count().orderBy("block").collect():  # one row for 256 partitions
+        if spans and spans[-1][2] + r["count"] <= most:
+            spans[-1][1:] = r["block"], spans[-1][2] + r["count"]
+        else:
+            spans.append([r["block"], r["block"], r["count"]])
+    out = None
+    for lo, hi, n in spans or [[0, 0, 0]]:
+        inside = (F.col("pid") >= lo << 8) & (F.col("pid") < (hi + 1) << 8)
+        own = base.where(inside) if len(spans) > 1 else base
+        part = (tokens.where(inside) if len(spans) > 1 else tokens).join(F.broadcast(own) if n <= most else own, ["queue_key", "pid"])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _dealt(tokens: DataFrame, parts: DataFrame, sums: DataFrame, weights: dict[str, float] | None, window: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """For more than QUEUES sources: runs of documents in hashed queues, and the queues' tokens and weights.
 
     Sources with a weight are hashed into QUEUES queues; all others are in one more, of weight zero. In a queue, runs of at
@@ -327,12 +453,12 @@ def _dealt(tokens: DataFrame, sums: DataFrame, weights: dict[str, float] | None,
     last = known.groupBy("queue").agg(F.max(F.col("n") / F.col("rate")).alias("last"))
     known = known.join(F.broadcast(last), "queue")  # at most QUEUES + 1 rows
 
-    parts = tokens.groupBy("queue_key", "pid").agg(F.sum("doc_tokens").alias("n"))
     order = Window.partitionBy("queue_key").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select("queue_key", "pid", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")).join(known.select("queue_key", "queue", "rate", "last"), "queue_key")
     own = tokens.join(base, ["queue_key", "pid"]).withColumn("first", F.col("base") + F.col("local_start"))
-    runs = own.withColumn("run_start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_tokens") - 1, F.lit(window).cast("long"))))
-    runs = runs.withColumn("ids", F.expr(f"substring(ids, CAST(4 * run_start + 1 AS INT), {4 * window})")).withColumn("size", (F.length("ids") / 4).cast("long"))
+    runs = own.withColumn("in_run", F.explode(F.sequence(F.lit(0).cast("long"), (F.length("ids") / 4).cast("long") - 1, F.lit(window).cast("long"))))
+    runs = runs.withColumn("ids", F.expr(f"substring(ids, CAST(4 * in_run + 1 AS INT), {4 * window})")).withColumn("size", (F.length("ids") / 4).cast("long"))
+    runs = runs.withColumn("run_start", F.col("run_start") + F.col("in_run"))
     runs = runs.withColumn("place", F.col("first") + F.col("run_start")).withColumn("turn", (F.col("place") + F.col("size") / 2) / F.col("rate"))
     runs = runs.withColumn("slice", F.least(F.floor(F.col("turn") / F.col("last") * SLICES), F.lit(SLICES - 1)).cast("int"))
     runs = materialize(runs.select("doc_id", "queue_key", "queue", "slice", "turn", "place", "run_start", "size", "doc_tokens", "ids"), "pack-runs", "zstd")
@@ -340,10 +466,10 @@ def _dealt(tokens: DataFrame, sums: DataFrame, weights: dict[str, float] | None,
     slices = runs.groupBy("queue", "slice").agg(F.sum("size").alias("n")).select("queue", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("queue", "slice").orderBy("turn", "queue_key", "place").rowsBetween(Window.unboundedPreceding, -1)
     placed = runs.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(slices, ["queue", "slice"])
-    return placed.select("doc_id", "queue_key", "queue", (F.col("before") + F.col("inside")).alias("start"), "run_start", "doc_tokens", "ids"), totals, want
+    return placed.select("doc_id", "queue_key", "queue", (F.col("before") + F.col("inside")).alias("start"), "run_start", "doc_tokens", "ids"), np.array(totals), np.array(want)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str, float] | None = None, window: int = WINDOW, cycle: int = CYCLE) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str, float] | None = None, window: int = WINDOW) -> DataFrame:
     """Pack every document's tokens into sequences of `window` tokens, each mixed in the target proportions of sources.
 
     docs: doc_id long, text string, source string; other columns are not read. tokenizer_path: a file of the
@@ -358,26 +484,26 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str, float] | None
     - Above QUEUES sources, sources share queues, in which runs of at most `window` tokens of each alternate by weight: the
       proportions of sources in one queue then hold over stretches of windows; those of queues hold in every window.
     - Rows that repeat a doc_id, and null doc_ids, are packed like any other. No rows give no pieces.
-    - A document of any length is cut freely; no id is lost and none is padded.
+    - A document of any length is cut freely; no id is lost and none is padded. Long texts are encoded in slices cut at
+      white space and stored in rows of RUN tokens: memory grows with a document's ids and its longest word.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("queue_key"))
-    kinds = "doc_id long, queue_key string, pid int, local_start long, doc_tokens long, ids binary"
-    tokens = materialize(rows.mapInArrow(_tokens(tokenizer_path), kinds), "tokens", "zstd")
-    parts = tokens.groupBy("queue_key", "pid").agg(F.sum("doc_tokens").alias("n"))
+    tokens = materialize(rows.mapInArrow(_tokens(tokenizer_path), _TOKENS), "tokens", "zstd")
+    ends = tokens.groupBy("queue_key", "pid").agg(F.sum(F.length("ids") / 4).cast("long").alias("n"))
+    parts = materialize(ends, "pack-parts")  # one short row for each source of each partition
     sums = parts.groupBy("queue_key").agg(F.sum("n").alias("n"))
     named = sums.orderBy("queue_key").limit(QUEUES + 1).collect()
     if len(named) <= QUEUES:
-        number = {r["queue_key"]: i for i, r in enumerate(named)}
-        totals, want = [r["n"] for r in named], None if weights is None else [weights.get(r["queue_key"], 0.0) for r in named]
-        queues = spark.createDataFrame([(k, i) for k, i in number.items()] or [("", 0)], "queue_key string, queue int")
-        parts = parts.join(F.broadcast(queues), "queue_key")  # at most QUEUES rows
-        order = Window.partitionBy("queue").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-        base = parts.select("queue_key", "pid", "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
-        place = (F.col("base") + F.col("local_start")).alias("start")
-        placed = tokens.join(base, ["queue_key", "pid"]).select("doc_id", "queue_key", "queue", place, F.lit(0).cast("long").alias("run_start"), "doc_tokens", "ids")
+        totals = np.array([r["n"] for r in named], np.int64)
+        want = None if weights is None else np.array([weights.get(r["queue_key"], 0.0) for r in named])
+        queues = docs.sparkSession.createDataFrame([(r["queue_key"], i) for i, r in enumerate(named)] or [("", 0)], "queue_key string, queue int")
+        order = Window.partitionBy("queue_key").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+        base = parts.join(F.broadcast(queues), "queue_key")  # at most QUEUES rows
+        base = materialize(base.select("queue_key", "pid", "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")), "pack-bases")
+        placed = _bases(tokens, base, BASE_ROWS)
+        placed = placed.select("doc_id", "queue_key", "queue", (F.col("base") + F.col("local_start") + F.col("run_start")).alias("start"), "run_start", "doc_tokens", "ids")
     else:
-        placed, totals, want = _dealt(tokens, sums, weights, window)
-    made = plan(totals, want, window, cycle)
-    pieces = placed.mapInArrow(_pieces(made), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, source string")
+        placed, totals, want = _dealt(tokens, parts, sums, weights, window)
+    pieces = placed.mapInArrow(_pieces(totals, want, window), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, source string")
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "ids")

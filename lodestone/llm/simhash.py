@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import LOWER, SLICE_BYTES, WS, text_slices, words
+from lodestone.llm.batches import LOWER, SLICE_BYTES, text_slices, word_end, words
 from lodestone.llm.graph import components
 from lodestone.llm.xxh import xxh64
 from lodestone.plans.runtime import materialize, prepare
@@ -74,16 +74,6 @@ def _votes(data: np.ndarray, off: np.ndarray, size: int, seed: int) -> tuple[np.
     return shingles, votes
 
 
-def _word_end(data: np.ndarray, at: int) -> int:
-    """The first white space from `at` on, or the end."""
-    while at < len(data):
-        white = WS[data[at : at + (1 << 16)]]
-        if white.any():
-            return at + int(white.argmax())
-        at += len(white)
-    return len(data)
-
-
 def long_pieces(data: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """A long text cut behind words so that the pieces' shingles, one after another, are those of the text.
 
@@ -92,10 +82,10 @@ def long_pieces(data: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """
     lo, n, fresh = 0, len(data), True
     while lo < n:
-        hi = _word_end(data, min(lo + SLICE_BYTES, n))
+        hi = word_end(data, min(lo + SLICE_BYTES, n))
         start = words(data[lo:hi], np.array([0, hi - lo]))[0]
         while len(start) < size and hi < n:
-            hi = _word_end(data, min(hi + max(hi - lo, SLICE_BYTES), n))
+            hi = word_end(data, min(hi + max(hi - lo, SLICE_BYTES), n))
             start = words(data[lo:hi], np.array([0, hi - lo]))[0]
         if fresh or len(start) >= size:
             yield data[lo:hi]

@@ -85,36 +85,68 @@ def test_words_keep_their_ids():
         assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids + [1] for t in texts[lo : lo + 7]]
 
 
+def test_roundings_add_up():
+    rng = random.Random(9)
+    edge = np.array([rng.randrange(2048 << packing.BITS) for _ in range(40)] + [0, 1, (1 << packing.BITS) - 1, 2048 << packing.BITS])
+    turn = packing.carry(np.arange(700))
+    assert len(set(turn.tolist())) == 700 and turn[1] == 1 << (packing.BITS - 1)
+    total = np.zeros(len(edge), np.int64)
+    for w in range(700):
+        assert (packing.roundings(edge, np.full(len(edge), w)) == total).all()
+        total += (edge + turn[w]) >> packing.BITS
+
+
 def test_round_robin_pays_deficits():
     for weights in ([1.0], [3, 1, 1], [0.001, 1, 5, 0.3]):
-        w = np.array(weights, float)
-        given = packing.round_robin(w, 64, 32)
+        totals = np.array([10**7] * len(weights))
+        p = packing.plan(totals, weights, 64).phases[0]
+        w = np.arange(2000)
+        given = np.column_stack([p.given(np.full(2000, k), w) for k in range(len(weights))])
         assert (np.diff(given.sum(axis=1)) == 64).all() and (np.diff(given, axis=0) >= 0).all()
-        due = np.arange(33)[:, None] * 64 * w / w.sum()
-        assert np.abs(given - due).max() < 3
+        share = 64 * np.array(weights, float) / sum(weights)
+        assert np.abs(np.diff(given, axis=0) - share).max() < 1 and np.abs(given - w[:, None] * share).max() < 8
 
 
 def test_plan_places_every_token_once():
     rng = random.Random(4)
     for _ in range(150):
         totals = [rng.choice([0, 1, 5, 100, 3000, 20000]) for _ in range(rng.randrange(1, 6))]
-        made = packing.plan(totals, None if rng.random() < 0.5 else [rng.random() for _ in totals], 64, 8)
+        made = packing.plan(totals, None if rng.random() < 0.5 else [rng.choice([0, rng.random()]) for _ in totals], 64)
         held = defaultdict(set)
+        docs = []
         for q, total in enumerate(totals):
             at = 0
             while at < total:
                 size = min(rng.randrange(1, 300), total - at)
-                end = 0
-                for start, n, sequence, offset in made.pieces(q, at, size):
-                    assert start == end and n > 0 and not held[sequence] & set(range(offset, offset + n))
-                    held[sequence] |= set(range(offset, offset + n))
-                    end += n
-                assert end == size
+                docs.append((q, at, size))
                 at += size
+        rng.shuffle(docs)
+        ends = [0] * len(docs)
+        for lo in range(0, len(docs), 50):
+            part = np.array(docs[lo : lo + 50]).reshape(-1, 3)
+            for d, start, n, sequence, offset in zip(*(x.tolist() for x in made.pieces(*part.T)), strict=True):
+                assert start == ends[lo + d] and n > 0 and not held[sequence] & set(range(offset, offset + n))
+                held[sequence] |= set(range(offset, offset + n))
+                ends[lo + d] += n
+        assert ends == [d[2] for d in docs]
         assert sum(map(len, held.values())) == sum(totals)
         assert all(max(h) + 1 == len(h) and (len(h) == 64 or not len(h) & (len(h) - 1)) for h in held.values())
 
 
+def test_every_window_mirrors_thousands_of_sources():
+    rng = random.Random(5)
+    totals = np.array([int(4 * 10**8 / (k + 1)) for k in range(3000)])  # sizes falling as 1 / rank
+    made = packing.plan(totals)
+    assert len(made.phases) == 1 and made.n_left < 3000 * 64 + 2048 and totals.nbytes < 1 << 20
+    p, share = made.phases[0], 2048 * totals / totals.sum()
+    k = np.arange(3000)
+    for w in [0, 1, p.windows - 1] + [rng.randrange(p.windows) for _ in range(20)]:
+        got = p.given(k, np.full(3000, w + 1)) - p.given(k, np.full(3000, w))
+        assert got.sum() == 2048 and np.abs(got - share).max() < 1.1
+    named = packing.plan(totals, rng.choices(range(1, 9), k=3000))
+    assert len(named.phases) < 400 and named.phases[0].edges[-1] == 2048 << packing.BITS
+
+
 @pytest.mark.parametrize("weights", [None, {"src0": 0.5, "src1": 0.5}])
 def test_packing(spark, weights):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")

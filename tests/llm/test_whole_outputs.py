@@ -27,7 +27,7 @@ def sequences(pieces):
 def test_pieces_hold_their_ids(spark):
     rng = random.Random(1)
     rows = [(i, text(rng), f"s{i % 3}") for i in range(80)]
-    pieces = packing.pack(spark.createDataFrame(rows, KIND), tokenizer_path(), None, 64, 8).collect()
+    pieces = packing.pack(spark.createDataFrame(rows, KIND), tokenizer_path(), None, 64).collect()
     plain, docs = Tokenizer.from_file(tokenizer_path()), {}
     for r in sorted(pieces, key=lambda r: (r["doc_id"], r["start"])):
         docs.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], "<u4").tolist())
@@ -41,7 +41,7 @@ def test_many_sources(spark, monkeypatch):
     rows = [(i, text(rng), f"s{i * 6 // 600}") for i in range(600)]  # sources one after another
     docs = spark.createDataFrame(rows, KIND).repartition(3)
     for weights in (None, {"s0": 3.0, "s1": 1.0, "s2": 1.0, "s3": 1.0}):
-        pieces = packing.pack(docs, tokenizer_path(), weights, 256, 16).collect()
+        pieces = packing.pack(docs, tokenizer_path(), weights, 256).collect()
         full = sequences(pieces)
         assert sum(map(len, full.values())) == sum({r["doc_id"]: r["doc_tokens"] for r in pieces}.values())
         starts = {}
@@ -74,3 +74,12 @@ def test_cut_repeats_gives_text_and_spans(spark):
             gone += 1
         assert left + raw[at:] == r["kept"] and r["n_bytes"] == len(raw)
     assert gone > 20
+
+
+def test_bases_in_ranges_or_by_shuffle(spark, monkeypatch):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, text(rng), f"s{i % 2}") for i in range(700)], KIND).repartition(520, "doc_id").cache()
+    want = sorted(map(tuple, packing.pack(docs, tokenizer_path(), None, 256).drop("ids").collect()))
+    for most in (400, 3):  # three ranges of partitions; no range fits a broadcast
+        monkeypatch.setattr(packing, "BASE_ROWS", most)
+        assert sorted(map(tuple, packing.pack(docs, tokenizer_path(), None, 256).drop("ids").collect())) == want
