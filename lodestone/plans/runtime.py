@@ -24,6 +24,11 @@ def prepare(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     env.setdefault("TOKENIZERS_PARALLELISM", "false")
     env.setdefault("OMP_NUM_THREADS", "1")
+    # workers are kept between stages: what a task frees goes back to the system
+    env.setdefault("MALLOC_ARENA_MAX", "2")
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(1 << 20))
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", str(4 << 20))
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
