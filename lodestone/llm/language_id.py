@@ -7,10 +7,14 @@ hashes of the N-grams of all languages form one sorted array for each order, fou
 probabilities (one for each language) beside each hash. A text gets the language with the lowest cross-entropy for each
 character. A logistic fit on rows kept from training turns the lead over the second into a score, below which the
 prediction counts as rejected.
+
+N-grams of the sampled rows are counted where the rows are; the driver gets the distinct ones of each language with their
+counts. Texts are read and scored in slices, so memory does not grow with a text's length.
 """
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,25 +22,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import text_slices
+from lodestone.llm.batches import SLICE_BYTES, text_slices, utf8
 from lodestone.llm.quality_classifier import fit_logistic
 from lodestone.plans.runtime import materialize, prepare
 
 ORDER = 4
 DISCOUNT = 0.75
-#: Rows of each language fitted on, and kept to calibrate; those whose hashed doc_id is least.
+#: Rows of each language fitted on, and kept to calibrate; those whose hashed doc_id and text are least.
 FIT_ROWS, CALIBRATE_ROWS = 600, 200
-#: Characters of sampled texts counted or calibrated on at once; a longer text is counted in pieces of this size.
-FIT_CHARS = 1_000_000
 REJECT = 0.5
 #: Languages whose log probabilities stand side by side in one table; more languages take more tables.
 TOGETHER = 16
+#: Languages up to which the rows to sample (800 short keys for each) are sent to every task; more meet texts by a shuffle.
+BROADCAST_LANGUAGES = 500
+#: Symbols scored at once: bounds the memory of a task at about 12 bytes for each of these and each language.
+TILE = 1 << 17
 
 
 def _letters() -> np.ndarray:
-    """For every code point below 0x30000, the lower-case letter it stands for, or 0 for a boundary."""
-    out = np.zeros(0x30000, np.uint32)
-    for i in range(0x30000):
+    """For every code point, the lower-case letter it stands for, or 0 for a boundary."""
+    out = np.zeros(sys.maxunicode + 1, np.uint32)
+    for i in range(len(out)):
         if not 0xD800 <= i < 0xE000 and chr(i).isalpha():
             low = chr(i).lower()
             out[i] = ord(low) if len(low) == 1 else i
@@ -47,7 +53,7 @@ _TABLE: list[np.ndarray] = []
 
 
 def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, text of each): letters and single boundaries, and a boundary before and after every text."""
+    """(symbols, text of each): letters and single boundaries, and a boundary behind every text."""
     if not _TABLE:
         _TABLE.append(_letters())
     # a newline behind every text keeps texts apart
@@ -57,12 +63,36 @@ def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     code = np.frombuffer(joined.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     size = np.add.reduceat(((joined & 0xC0) != 0x80).astype(np.int64), off[:-1] + np.arange(n)) if n else np.zeros(0, np.int64)
     text = np.repeat(np.arange(n, dtype=np.int32), size)
-    s = _TABLE[0][np.minimum(code, 0x2FFFF)] if len(code) else np.zeros(0, np.uint32)
+    s = _TABLE[0][code] if len(code) else np.zeros(0, np.uint32)
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != 0) | (s[:-1] != 0) | (text[1:] != text[:-1])
     return s[keep], text[keep]
 
 
+def symbol_slices(data: np.ndarray, off: np.ndarray, order: int):
+    """(symbols, text of each, how many of the first ones are context only) of slices of texts.
+
+    A long text comes in pieces cut between code points: each after the first begins with the order - 1 symbols before
+    it, boundaries standing before the text. A piece that ends in a letter has no boundary behind it unless the text ends.
+    """
+    if len(off) != 2 or len(data) <= 2 * SLICE_BYTES:
+        yield *symbols(data, off), 0
+        return
+    lo, before, last = 0, np.zeros(order - 1, np.uint32), None
+    while lo < len(data):
+        hi = min(lo + SLICE_BYTES, len(data))
+        while hi < len(data) and data[hi] & 0xC0 == 0x80:
+            hi += 1
+        own, _ = symbols(data[lo:hi], np.array([0, hi - lo]))
+        if hi < len(data) and data[lo:hi][-4:].tobytes().decode("utf-8", "ignore")[-1:].isalpha():
+            own = own[:-1]
+        if last == 0 and len(own) and own[0] == 0:
+            own = own[1:]
+        s = np.concatenate((before, own))
+        yield s, np.zeros(len(s), np.int32), order - 1
+        before, last, lo = s[len(s) - (order - 1) :], own[-1] if len(own) else last, hi
+
+
 def grams(s: np.ndarray, text: np.ndarray, order: int) -> list[np.ndarray]:
     """Hashes of the 1- to `order`-grams that end at each symbol; before a text's first symbol stand boundaries."""
     with np.errstate(over="ignore"):
@@ -92,16 +122,13 @@ class Models:
     backs: list[np.ndarray]
     floor: np.ndarray
 
-    def entropy(self, s: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(nats for each character and language, characters) of n texts."""
+    def nats(self, s: np.ndarray, text: np.ndarray, lead: int = 0) -> np.ndarray:
+        """-log probability of every symbol from `lead` on, in each language."""
         order = len(self.keys)
-        total = np.zeros((n, len(self.languages)))
-        if not len(s):
-            return total, np.zeros(n, np.int64)
         hashes = grams(s, text, order)
         opening = [h[0] for h in grams(np.zeros(1, np.uint32), np.zeros(1, np.int32), order)]  # the context before a text
         value = np.empty((len(s), len(self.languages)), np.float32)
-        todo = np.arange(len(s))
+        todo = np.arange(lead, len(s))
         owed = np.zeros((len(s), len(self.languages)), np.float32)
         for k in range(order - 1, -1, -1):
             keys, h = self.keys[k], hashes[k][todo]
@@ -119,149 +146,130 @@ class Models:
                     known = back[at] == c
                     owed[todo[known]] += self.backs[k - 1][at[known]]
         value[todo] = self.floor + owed[todo]
-        starts = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
-        total[text[starts]] = -np.add.reduceat(value, starts, axis=0, dtype=np.float64)
-        count = np.bincount(text, minlength=n)
-        return total / np.maximum(count, 1)[:, None], count
-
+        return -value[lead:]
 
-class Alphabet:
-    """Symbols numbered from 0 (the boundary); a gram is its numbers in one machine word, the oldest highest."""
-
-    def __init__(self, seen: list[np.ndarray], order: int):
-        self.symbols = np.unique(np.concatenate([np.zeros(1, np.uint32), *seen]))
-        self.bits = np.uint64(64 // order)
-        if len(self.symbols) > 1 << int(self.bits):
-            raise ValueError(f"{len(self.symbols)} different letters are too many for order {order}")
-
-    def windows(self, s: np.ndarray, text: np.ndarray, order: int) -> np.ndarray:
-        """The `order`-gram that ends at each symbol; boundaries stand before a text."""
-        number = np.searchsorted(self.symbols, s).astype(np.uint64)
-        out = number.copy()
-        for k in range(1, order):
-            if len(s) > k:
-                out[k:] |= np.where(text[k:] == text[:-k], number[:-k], np.uint64(0)) << (self.bits * np.uint64(k))
-        return out
-
-    def last(self, gram: np.ndarray, n: int) -> np.ndarray:
-        return gram & np.uint64((1 << (int(self.bits) * n)) - 1) if int(self.bits) * n < 64 else gram
-
-    def context(self, gram: np.ndarray) -> np.ndarray:
-        return gram >> self.bits
+    def sums(self, s: np.ndarray, text: np.ndarray, n: int, lead: int = 0) -> np.ndarray:
+        """Nats of n texts in each language, from symbol `lead` on, in tiles of TILE symbols."""
+        reach = len(self.keys) - 1
+        total = np.zeros((n, len(self.languages)))
+        for lo in range(lead, len(s), TILE):
+            hi, back = min(lo + TILE, len(s)), max(lo - reach, 0)
+            found, own = self.nats(s[back:hi], text[back:hi], lo - back), text[lo:hi]
+            starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            total[own[starts]] += np.add.reduceat(found, starts, axis=0, dtype=np.float64)
+        return total
 
-    def hashes(self, gram: np.ndarray, n: int) -> np.ndarray:
-        """The hash grams() gives to these n-grams."""
-        mask = np.uint64((1 << int(self.bits)) - 1)
-        rows = np.column_stack([self.symbols[((gram >> (self.bits * np.uint64(k))) & mask).astype(np.int64)] for k in range(n - 1, -1, -1)])
-        return grams(rows.reshape(-1), np.repeat(np.arange(len(rows), dtype=np.int32), n), n)[n - 1][n - 1 :: n] if len(rows) else np.zeros(0, np.uint64)
+    def entropy(self, s: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(nats for each character and language, characters) of n texts."""
+        count = np.bincount(text, minlength=n)
+        return self.sums(s, text, n) / np.maximum(count, 1)[:, None], count
 
 
-def _kneser_ney(kinds: np.ndarray, count: np.ndarray, order: int, discount: float, letters: Alphabet):
-    """For one language, from its grams of the top order and their counts: per order, (grams, log probabilities), sorted; per order below the top, (contexts, log weights);
-    and the log probability of a character it has not seen."""
-    counted = {order: (kinds, count)}
+@dataclass
+class Grams:
+    """Distinct n-grams: rows of n symbols, the oldest first, sorted by hash; hashes as grams() gives them."""
+
+    rows: np.ndarray
+    hash: np.ndarray
+
+    @classmethod
+    def of(cls, rows: np.ndarray) -> tuple[Grams, np.ndarray]:
+        """(distinct grams, the number of each row's gram among them)"""
+        n, order = rows.shape
+        hashes = grams(rows.reshape(-1), np.repeat(np.arange(n, dtype=np.int32), order), order)[order - 1][order - 1 :: order]
+        hash_, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+        return cls(rows[first], hash_), where
+
+    def find(self, other: Grams) -> np.ndarray:
+        """Where other's grams stand, all of which are known here."""
+        return np.searchsorted(self.hash, other.hash)
+
+
+def _kneser_ney(rows: np.ndarray, count: np.ndarray, discount: float, letters: int):
+    """For one language, from its distinct grams of the top order and their counts: per order, (grams, log
+    probabilities); per order below the top, (contexts, log weights); and the log probability of a character it has not
+    seen. letters: different symbols of all languages."""
+    order = rows.shape[1]
+    top, where = Grams.of(rows)
+    counted = {order: (top, np.bincount(where, count))}
     for n in range(order - 1, 0, -1):  # continuation counts: how many different symbols stand before the gram
-        counted[n] = np.unique(letters.last(counted[n + 1][0], n), return_counts=True)
+        own, where = Grams.of(counted[n + 1][0].rows[:, 1:])
+        counted[n] = own, np.bincount(where).astype(np.float64)
     probs, backs, lower = [], [], None
     floor = -np.inf
     for n in range(1, order + 1):
-        gram, count = counted[n]
-        count = count.astype(np.float64)
+        own, count = counted[n]
         if n == 1:
-            spread = discount * len(gram) / count.sum() / (len(letters.symbols) + 1)
+            spread = discount * len(count) / count.sum() / (letters + 1)
             floor = float(np.log(spread))
             p = np.maximum(count - discount, 0) / count.sum() + spread
         else:
-            ctx, where = np.unique(letters.context(gram), return_inverse=True)
+            ctx, where = Grams.of(own.rows[:, :-1])
             sums = np.bincount(where, weights=count)
             weight = discount * np.bincount(where) / sums
-            low = lower[1][np.searchsorted(lower[0], letters.last(gram, n - 1))]
+            tail, at = Grams.of(own.rows[:, 1:])
+            low = lower[1][lower[0].find(tail)][at]
             p = np.maximum(count - discount, 0) / sums[where] + weight[where] * low
             backs.append((ctx, np.log(weight)))
-        lower = (gram, p)
-        probs.append((gram, np.log(p)))
+        lower = (own, p)
+        probs.append((own, np.log(p)))
     return probs, backs, floor
 
 
+def top_grams(s: np.ndarray, text: np.ndarray, order: int, lead: int = 0) -> np.ndarray:
+    """The `order`-gram that ends at each symbol from `lead` on, a row of symbols each; boundaries stand before a text."""
+    out = np.zeros((len(s), order), np.uint32)
+    out[:, -1] = s
+    for k in range(1, order):
+        if len(s) > k:
+            out[k:, -1 - k] = np.where(text[k:] == text[:-k], s[:-k], 0)
+    return out[lead:]
+
+
 def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [t.encode() for t in texts]
     return symbols(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])))
 
 
-def _batches(texts, most: int):
-    """Lists of (name, texts) of at most `most` characters from (name, text) sorted by name; longer texts in pieces."""
-    name, held, size = None, [], 0
-    for own, text in texts:
-        for at in range(0, max(len(text), 1), most):
-            part = text[at : at + most]
-            if held and (own != name or size + len(part) > most):
-                yield name, held
-                held, size = [], 0
-            name = own
-            held.append(part)
-            size += len(part)
-    if held:
-        yield name, held
-
-
-def _added(held: tuple[np.ndarray, np.ndarray] | None, more: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if held is None:
-        return more
-    kinds, where = np.unique(np.concatenate((held[0], more[0])), return_inverse=True)
-    return kinds, np.bincount(where, np.concatenate((held[1], more[1]))).astype(np.int64)
-
-
-def count_grams(read, order: int, most: int = FIT_CHARS) -> tuple[Alphabet, dict[str, tuple[np.ndarray, np.ndarray]]]:
-    """The letters of all languages, and each language's grams with counts. read(): (language, text), by language."""
-    seen = np.zeros(0, np.uint32)
-    for _, texts in _batches(read(), most):
-        seen = np.union1d(seen, _joined(texts)[0])
-    letters = Alphabet([seen], order)
-    counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for name, texts in _batches(read(), most):
-        counts[name] = _added(counts.get(name), np.unique(letters.windows(*_joined(texts), order), return_counts=True))
-    return letters, counts
-
-
 def fit_models(texts: dict[str, list[str]], order: int = ORDER, discount: float = DISCOUNT) -> Models:
     """Models of the languages named, from their texts."""
-    letters, counts = count_grams(lambda: ((name, t) for name in sorted(texts) for t in texts[name]), order)
-    return fit_counts(letters, counts, order, discount)
+    counts = {name: np.unique(top_grams(*_joined(texts[name]), order), axis=0, return_counts=True) for name in sorted(texts)}
+    return fit_counts(counts, discount=discount)
 
 
-def fit_counts(letters: Alphabet, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, discount: float = DISCOUNT) -> Models:
-    """Models of the languages named. A language's probabilities do not depend on the others named beside it."""
-    names = sorted(counts)
-    fitted = [_kneser_ney(*counts[name], order, discount, letters) for name in names]
+def alphabet(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> int:
+    """Different symbols, the boundary among them."""
+    return len(np.unique(np.concatenate([np.zeros(1, np.uint32), *(rows[:, -1] for rows, _ in counts.values())])))
+
+
+def fit_counts(counts: dict[str, tuple[np.ndarray, np.ndarray]], letters: int | None = None, discount: float = DISCOUNT) -> Models:
+    """Models of the languages named, from distinct grams (rows of symbols) and their counts. A language's probabilities
+    depend on the others only by `letters`, the number of different symbols of all."""
+    names, letters = sorted(counts), alphabet(counts) if letters is None else letters
+    fitted = [_kneser_ney(*counts[name], discount, letters) for name in names]
+    order = counts[names[0]][0].shape[1]
     floor = np.array([f[2] for f in fitted], np.float32)
 
     def union(parts, blank):
-        gram = np.unique(np.concatenate([k for k, _ in parts]))
-        row = np.full((len(gram), len(names)), blank, np.float32)
-        for j, (k, v) in enumerate(parts):
-            row[np.searchsorted(gram, k), j] = v
-        return gram, row
+        every, _ = Grams.of(np.concatenate([g.rows for g, _ in parts]))
+        row = np.full((len(every.hash), len(names)), blank, np.float32)
+        for j, (g, v) in enumerate(parts):
+            row[every.find(g), j] = v
+        return every, row
 
     contexts = [union([f[1][k] for f in fitted], 0.0) for k in range(order - 1)]  # an unknown context leaves the lower order whole
-    tables: list[tuple[np.ndarray, np.ndarray]] = []
+    tables: list[tuple[Grams, np.ndarray]] = []
     for k in range(order):
-        gram, row = union([f[0][k] for f in fitted], np.nan)
+        own, row = union([f[0][k] for f in fitted], np.nan)
         # a gram known to some languages only: for the others, the lower order times the weight of its context
         if k == 0:
-            low = np.tile(floor, (len(gram), 1))
+            low = np.tile(floor, (len(own.hash), 1))
         else:
-            low = tables[k - 1][1][np.searchsorted(tables[k - 1][0], letters.last(gram, k))]
-            low = low + contexts[k - 1][1][np.searchsorted(contexts[k - 1][0], letters.context(gram))]
-        tables.append((gram, np.where(np.isnan(row), low, row).astype(np.float32)))
-
-    def by_hash(gram, row, n):
-        h = letters.hashes(gram, n)
-        at = np.argsort(h)
-        return h[at], row[at]
-
-    hashed = [by_hash(*tables[k], k + 1) for k in range(order)]
-    back = [by_hash(*contexts[k], k + 1) for k in range(order - 1)]
-    return Models(names, [h for h, _ in hashed], [r for _, r in hashed], [h for h, _ in back], [r for _, r in back], floor)
+            tail, at = Grams.of(own.rows[:, 1:])
+            ctx, to = Grams.of(own.rows[:, :-1])
+            low = tables[k - 1][1][tables[k - 1][0].find(tail)][at] + contexts[k - 1][1][contexts[k - 1][0].find(ctx)][to]
+        tables.append((own, np.where(np.isnan(row), low, row).astype(np.float32)))
+    return Models(names, [g.hash for g, _ in tables], [r for _, r in tables], [g.hash for g, _ in contexts], [r for _, r in contexts], floor)
 
 
 def learnt(parts: int = 3, part: int = 1):
@@ -277,21 +285,58 @@ def _lead(entropy: np.ndarray, count: np.ndarray) -> np.ndarray:
     return (two[:, 1] - two[:, 0]) * np.sqrt(count)
 
 
-def _entropies(models: list[Models], s: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    found = [m.entropy(s, text, n) for m in models]
-    return np.hstack([e for e, _ in found]), found[0][1]
+def _entropies(models: list[Models], data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nats for each character and language, characters, letters) of texts."""
+    n = len(off) - 1
+    total = np.zeros((n, sum(len(m.languages) for m in models)))
+    count, letters = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for s, text, lead in symbol_slices(data, off, len(models[0].keys)):
+        total += np.hstack([m.sums(s, text, n, lead) for m in models])
+        count += np.bincount(text[lead:], minlength=n)
+        letters += np.bincount(text[lead:][s[lead:] != 0], minlength=n)
+    return total / np.maximum(count, 1)[:, None], count, letters
+
+
+def _count_grams(order: int):
+    """Each batch's grams of the top order by language: lang, gram (its symbols as characters), n."""
+
+    def run(batches):
+        for rows, data, off in text_slices(batches, "text"):
+            names = rows.column("lang").to_pylist()
+            known = {x: i for i, x in enumerate(dict.fromkeys(names))}
+            lang = np.array([known[x] for x in names])
+            for s, text, lead in symbol_slices(data, off, order):
+                if len(s) == lead:
+                    continue
+                own, where = Grams.of(np.column_stack((lang[text[lead:]].astype(np.uint32), top_grams(s, text, order, lead))))
+                n = np.bincount(where)
+                gram = np.ascontiguousarray(own.rows[:, 1:], "<u4")
+                blob = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.arange(len(n) + 1) * 4 * order).astype(np.int32)), pa.py_buffer(gram)])
+                label = pa.array(list(known), pa.string()).take(pa.array(own.rows[:, 0].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([label, blob, pa.array(n)], names=["lang", "gram", "n"])
+
+    return run
+
+
+def _leads(models: list[Models]):
+    """The lead of every row's best language, and whether it is the row's own."""
+
+    def run(batches):
+        names = np.array([x for m in models for x in m.languages], object)
+        for rows, data, off in text_slices(batches, "text"):
+            entropy, count, _ = _entropies(models, data, off)
+            right = names[entropy.argmin(axis=1)] == np.array(rows.column("lang").to_pylist(), object)
+            yield pa.RecordBatch.from_arrays([pa.array(_lead(entropy, count)), pa.array(right.astype(bool))], names=["lead", "right"])
+
+    return run
 
 
 def _predict(models: list[Models], slope: float, shift: float, reject: float):
     def run(batches):
         names = np.array([x for m in models for x in m.languages], object)
         for rows, data, off in text_slices(batches, "text"):
-            s, text = symbols(data, off)
-            n = len(off) - 1
-            letters = np.bincount(text[s != 0], minlength=n)
-            entropy, count = _entropies(models, s, text, n)
-            lead = _lead(entropy, count)
-            score = 1 / (1 + np.exp(-np.clip(slope * lead + shift, -40, 40)))
+            entropy, count, letters = _entropies(models, data, off)
+            score = 1 / (1 + np.exp(-np.clip(slope * _lead(entropy, count) + shift, -40, 40)))
             some = letters > 0
             pick = np.where(some, names[entropy.argmin(axis=1)], "und")
             score = np.where(some, score, 0.0)
@@ -301,56 +346,70 @@ def _predict(models: list[Models], slope: float, shift: float, reject: float):
     return run
 
 
+def _sample(rows: DataFrame, need: int, fit_rows: int, seed: int) -> DataFrame:
+    """(lang, fit, text): for every language `need` different rows to learn from (fewer where there are fewer), those of
+    least hashed doc_id and text. fit: to fit on, else to calibrate on.
+
+    Only keys are ranked, and each task passes on its best `need` of each language; the texts are then found by their
+    keys. Copies of one row have one key and are combined where they are, so neither they nor a doc_id that many rows
+    share make the sample larger.
+    """
+    named = rows.where(learnt()).where("lang IS NOT NULL AND doc_id IS NOT NULL").where(F.length(F.trim("text")) >= 1)
+    keyed = named.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")))
+    # the share of each language's hash range that holds about twice the rows needed: what is dealt out stays small
+    keys = materialize(keyed.select("lang", "key"), "language-rows")
+    share = F.least(F.lit(1.0), F.lit(float(2 * need + 50)) / F.approx_count_distinct("key"))
+    reach = keys.groupBy("lang").agg((F.lit(-float(2**63)) + share * float(2**64)).alias("reach"))
+    some = keys.join(reach, "lang").where(F.col("key").cast("double") <= F.col("reach")).select("lang", "key").distinct()
+    pick = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("r") <= need)
+    pick = materialize(pick, "language-keys")
+    held = pick.groupBy("lang").agg(F.count(F.lit(1)).alias("held"))
+    fit = F.least(F.lit(fit_rows), F.greatest(F.lit(1), F.floor(F.col("held") * 3 / 4)))
+    pick = pick.join(held, "lang").select("lang", "key", (F.col("r") <= fit).alias("fit"), (F.col("held") == 1).alias("only"))
+    small = held.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    met = keyed.join(F.broadcast(pick) if small else pick, ["lang", "key"])
+    return materialize(met.groupBy("lang", "key", "fit", "only").agg(F.first("text").alias("text")).drop("key"), "language-sample")
+
+
 def language_id(docs: DataFrame, order: int = ORDER, fit_rows: int = FIT_ROWS, calibrate_rows: int = CALIBRATE_ROWS, reject: float = REJECT, seed: int = 42) -> DataFrame:
     """Predict the language of every whole text: doc_id, held_out, lang_pred, score, accepted, nats.
 
     docs: doc_id long, text string, lang string; other columns are not read. Learns only from the text and the non-null
-    lang of rows that are not held out: for every language, the fit_rows rows of least hashed doc_id (the bound of the
-    sample), then calibrate_rows more for the score.
+    lang of rows that are not held out: for every language, the fit_rows rows of least hashed doc_id and text (the bound
+    of the sample), then calibrate_rows more for the score. Sampled texts are learnt whole, whatever their length; a
+    language with one row is calibrated on it, too.
 
-    - lang_pred is `und` and score 0 if the text is null or has no letter; otherwise it is a learnt language.
+    - lang_pred is `und` and score 0 if the text is null or has no letter; otherwise it is a learnt language. Letters are
+      those of all of Unicode.
     - accepted is false for `und` and where the score is below `reject`.
     - Without rows to learn from, every lang_pred is `und`.
-    - Rows that repeat a doc_id or have none each give a row; a null doc_id is never held out.
+    - Rows that repeat a doc_id or have none each give a row. A null doc_id is never held out, nor learnt from. Rows that
+      repeat doc_id and text are learnt from once.
+    - Texts of any length are read in slices: memory does not grow with a text beyond the text itself.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    named = rows.select("doc_id", "lang").where(learnt()).where("lang IS NOT NULL")
-    named = named.where(F.col("doc_id").isNotNull())
-    need = fit_rows + calibrate_rows
-    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1)
-    # the share of each language's hash range that holds about twice the rows needed: what is ranked stays small
-    share = F.least(F.lit(1.0), F.lit(float(2 * need + 50)) / F.col("count"))
-    reach = named.groupBy("lang").count().select("lang", (share * (2**63 - 1)).cast("long").alias("reach"))
-    kept = rows.where(learnt()).where("lang IS NOT NULL").where(F.length(F.trim("text")) >= 1)
-    some = kept.join(F.broadcast(reach), "lang").where(key <= F.col("reach")).select("lang", "doc_id", key.alias("key"))  # one row a language
-    pick = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))).where(F.col("r") <= need).select("doc_id", "r", F.col("lang").alias("own"))
-    chosen = rows.join(F.broadcast(pick), "doc_id").where("lang = own").select("doc_id", "r", "lang", "text")  # at most `need` rows a language
-    chosen = materialize(chosen, "language-sample")
-    held = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
-    fit = {lang: min(fit_rows, max(1, n * 3 // 4)) for lang, n in held.items()}
-
-    def sample(wanted):
-        """(language, text) of the sampled rows whose place in their language is wanted; texts come one partition at a time."""
-        now, at = None, 0
-        for r in chosen.orderBy("lang", "r", "doc_id").toLocalIterator():
-            now, at = r["lang"], at + 1 if r["lang"] == now else 0
-            if wanted(now, at):
-                yield now, r["text"]
-
-    if not fit:
+    chosen = _sample(rows, fit_rows + calibrate_rows, fit_rows, seed)
+    fitted = chosen.where("fit").select("lang", "text").mapInArrow(_count_grams(order), "lang string, gram binary, n long")
+    found = fitted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # distinct grams of the sample
+    if not len(found):
         blank = rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"), F.lit(None).cast("double").alias("nats"))
         return blank.withColumn("held_out", ~learnt()).select("doc_id", "held_out", "lang_pred", "score", "accepted", "nats")
-    letters, counts = count_grams(lambda: sample(lambda lang, at: at < fit[lang]), order)
-    names = sorted(counts)
-    models = [fit_counts(letters, {x: counts[x] for x in names[k : k + TOGETHER]}, order) for k in range(0, len(names), TOGETHER)]
-    leads, rights = [], []
-    for lang, texts in _batches(sample(lambda lang, at: at >= fit[lang] or fit[lang] == held[lang]), FIT_CHARS):
-        entropy, count = _entropies(models, *_joined(texts), len(texts))
-        leads.append(_lead(entropy, count))
-        rights.append(np.array([names[k] == lang for k in entropy.argmin(axis=1)], np.float64))
-    lead, right = np.concatenate(leads), np.concatenate(rights)
+    lang = found.column("lang").combine_chunks().dictionary_encode()
+    data, _ = utf8(found.column("gram").combine_chunks())
+    cells = np.frombuffer(data.tobytes(), "<u4").reshape(-1, order)
+    own, n = lang.indices.to_numpy(), found.column("n").to_numpy()
+    counts = {x: (cells[own == i], n[own == i]) for i, x in enumerate(lang.dictionary.to_pylist())}
+    names, letters = sorted(counts), alphabet(counts)
+    models = [fit_counts({x: counts[x] for x in names[k : k + TOGETHER]}, letters) for k in range(0, len(names), TOGETHER)]
+    shared = spark.sparkContext.broadcast(models)  # of the sample's size; a task has it once
+
+    def with_models(make):
+        return lambda batches: make(shared.value)(batches)
+
+    seen = chosen.where("NOT fit OR only").select("lang", "text").mapInArrow(with_models(_leads), "lead double, right boolean").collect()  # calibrate_rows for each language
+    lead, right = np.array([r["lead"] for r in seen]), np.array([r["right"] for r in seen], np.float64)
     # one right and one wrong answer at no lead keep the map rising where all answers are right
     slope, shift = fit_logistic(np.append(lead, [0.0, 0.0]), np.append(right, [0.5, 0.0]), np.append(1 - right, [0.0, 0.5]))
-    found = rows.select("doc_id", "text").mapInArrow(_predict(models, slope, shift, reject), "doc_id long, lang_pred string, score double, accepted boolean, nats double")
-    return found.select("doc_id", (~learnt()).alias("held_out"), "lang_pred", "score", "accepted", "nats")
+    scored = rows.select("doc_id", "text").mapInArrow(with_models(lambda m: _predict(m, slope, shift, reject)), "doc_id long, lang_pred string, score double, accepted boolean, nats double")
+    return scored.select("doc_id", (~learnt()).alias("held_out"), "lang_pred", "score", "accepted", "nats")
