@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -18,7 +19,10 @@ ARROW_BYTES = 16 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and keep Arrow batches of documents small."""
+    """Let Python workers import this package, and keep Arrow batches of documents small.
+
+    Sets the session's Arrow batch limits for as long as it lives, as plans read them when they run.
+    """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
@@ -40,13 +44,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it; a local one only where that is unset."""
+    """The folder all executors share, as spark.checkpoint.dir names it. Only a local session may do without: it gets a
+    temporary folder; elsewhere a local folder would be another one on every machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="lodestone-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{made}")
@@ -57,28 +64,58 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+#: Tables written since each open scratch() began, innermost last.
+_SCRATCH: list[list[DataFrame]] = []
+
+
 def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Cut lineage: write df as Parquet into the shared folder and read it again.
 
-    The table survives the loss of any executor. release() deletes it once nothing reads it.
+    The table survives the loss of any executor. release(), the end of a scratch() it was written in, or
+    release_all() deletes it.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
+    for scope in _SCRATCH[-1:]:
+        scope.append(out)
     return out
 
 
+@contextlib.contextmanager
+def scratch():
+    """Delete the tables written inside when the block ends, but for those taken out by keep(df)."""
+    own: list[DataFrame] = []
+    _SCRATCH.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        own[:] = [x for x in own if x is not df]
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.remove(own)
+        release(*own)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables made by materialize() that no later plan reads."""
     for df in frames:
-        path = getattr(df, "_lodestone_path", None)
-        if path:
-            spark = df.sparkSession
-            jvm = spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if path := getattr(df, "_lodestone_path", None):
+            _delete(df.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete every table this application has materialised; results that read them must have been used."""
+    _delete(spark, f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}")
 
 
 def spread(df: DataFrame) -> DataFrame:
