@@ -2,11 +2,17 @@
 
 Every function takes (spark, docs, sf_dir); docs has the columns of `documents`. All but the last return those columns.
 A row is known by its doc_id, null included, and a hash of its text: rows that share a doc_id but not a text are filtered
-each by itself. Stages are written as Parquet between one another, so a lost executor costs no more than its tasks.
+each by itself. Stages are written as Parquet between one another, so a lost executor costs no more than its tasks; what
+a stage wrote meanwhile is deleted when its output is there.
+
+Texts stay where they are in the quality and mixing stages at any size. The two dedup stages send the keys of the rows to
+drop (8 bytes each) to the texts; only above BROADCAST_KEYS of them do texts meet their keys by a shuffle.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +21,8 @@ from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.mixing import keep_mixed, source_group
 from lodestone.llm.near_dedup import near_dedup
 from lodestone.llm.packing import pack
-from lodestone.llm.quality_rules import quality_rules
-from lodestone.plans.runtime import materialize, table
+from lodestone.llm.quality_rules import keep_quality
+from lodestone.plans.runtime import materialize, release, scratch, table
 
 #: Share of the remaining tokens that the mixture takes.
 BUDGET = 0.8
@@ -33,20 +39,22 @@ def _own(docs: DataFrame):
     return _key(docs["doc_id"], F.xxhash64(docs["text"].cast("string")))
 
 
-def _keys(found: DataFrame) -> DataFrame:
-    """The distinct keys (_key) of found (doc_id, mark), sent to every task up to BROADCAST_KEYS so that texts stay put."""
-    named = materialize(found.select(_key(F.col("doc_id"), F.col("mark")).alias("_key")).distinct(), "keys")
-    return F.broadcast(named) if named.count() <= BROADCAST_KEYS else named
+def _keys(found: DataFrame) -> tuple[DataFrame, str]:
+    """The distinct keys of found (doc_id, mark) and their column's name, sent to every task up to BROADCAST_KEYS."""
+    name = f"_key_{uuid.uuid4().hex}"  # no column of the documents has it
+    named = materialize(found.select(_key(F.col("doc_id"), F.col("mark")).alias(name)).distinct(), "keys")
+    return (F.broadcast(named) if named.count() <= BROADCAST_KEYS else named), name
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of docs that gone (doc_id, mark) does not name."""
-    return docs.join(_keys(gone), _own(docs) == F.col("_key"), "left_anti")
+    keys, name = _keys(gone)
+    return docs.join(keys, _own(docs) == F.col(name), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return _without(docs, quality_rules(docs).where(~F.col("kept")))
+    return keep_quality(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +64,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = found.where("NOT kept AND same")
     if repeated.isEmpty():
         return left
-    again = left.join(_keys(repeated), _own(left) == F.col("_key"), "left_semi").withColumn("_mark", F.xxhash64(F.col("text").cast("string")))
-    return _without(left, repeated).unionByName(again.dropDuplicates(["doc_id", "_mark"]).drop("_mark"))
+    keys, name = _keys(repeated)
+    again = left.join(keys, _own(left) == F.col(name), "left_semi")
+    once = again.groupBy(_own(again).alias(name)).agg(F.min(F.struct("*")).alias("row")).select("row.*")
+    return _without(left, repeated).unionByName(once)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,5 +100,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch() as keep:
+            out = keep(materialize(stage(spark, docs, sf_dir), name))
+        release(docs)  # the stage before; the input is no table of ours
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)

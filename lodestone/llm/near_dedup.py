@@ -1,15 +1,20 @@
-"""Near-duplicate rows by exact Jaccard similarity of word shingles.
+"""SimHash near-dedup of a corpus at a similarity of word shingles: the wide form of simhash.py.
 
-Bands of min-hashes propose pairs: two texts of similarity s share one of BANDS bands with the chance
-1 - (1 - s^ROWS)^BANDS, 0.9996 at s = 0.8 and more above. Every proposed pair is decided by the similarity of its whole
-shingle sets. Members of a bucket are compared with its least member first; then those of other components with all they
-are not yet linked to, so that a group of near copies costs one comparison for each, not its pairs. Texts with the same
-sequence of shingles are one node.
+Texts of Jaccard similarity 0.8 differ in about 10 of 64 fingerprint bits, which no choice of equal blocks finds. So
+buckets come from bands of min-hashes over the shingle hashes that vote for the fingerprint: two texts of similarity s
+share one of BANDS bands with the chance 1 - (1 - s^ROWS)^BANDS, 0.9996 at s = 0.8 and more above. In a bucket the wide
+fingerprints (WIDTH words) are compared bit-sliced, and pairs within RADIUS are candidates; the radius lies 4 standard
+deviations above the mean distance at similarity 0.8. Whole shingle sets then decide every candidate exactly.
+
+A bucket first gives a spanning forest of its candidates (fewer than it has members); what these leave apart is compared
+again, and only pairs from different components are candidates then, so a group of near copies costs about one comparison
+for each, not its pairs. Texts with the same sequence of shingles are one node.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +23,33 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.batches import SLICE_BYTES, text_slices
 from lodestone.llm.graph import components
-from lodestone.llm.simhash import long_pieces, shingle_hashes
+from lodestone.llm.simhash import BITS, CROWD, add_votes, close_pairs, in_blocks, links, long_pieces, majority, per_bucket, shingle_hashes
 from lodestone.plans.runtime import materialize, prepare
 
 #: Words of a shingle, and the similarity from which texts are near duplicates.
 SHINGLE, LEVEL = 5, 0.8
 BANDS, ROWS = 20, 5
+#: Words of a fingerprint, and the names of their columns.
+WIDTH = 4
+WORDS = tuple(f"w{k}" for k in range(WIDTH))
 #: Texts with a candidate up to which their keys are sent to every task.
 BROADCAST_ROWS = 200_000
+#: Sets compared with one set in one task.
+CROWDED_PAIRS = 4096
 
 _ODD = np.random.default_rng(42).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def reach(level: float, bits: int = BITS * WIDTH) -> int:
+    """Bits in which texts of a similarity of `level` or more differ at most, but for chances beyond 4 standard deviations.
+
+    Fingerprints of vectors at an angle differ in each bit with the chance angle / pi; equal weights for all shingles, of
+    which a share of 2 s / (1 + s) is common, give its cosine.
+    """
+    p = math.acos(min(1.0, 2 * level / (1 + level))) / math.pi
+    return min(bits, math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p))))
+
+
 def _parts(data: np.ndarray, off: np.ndarray, size: int):
     """(hashes, offsets by text), one after another for a long text."""
     if len(off) == 2 and len(data) > 2 * SLICE_BYTES:
@@ -73,77 +93,140 @@ def _facts(size: int):
     return run
 
 
+def _distinct(data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
+    """The set of shingle hashes of every text, sorted."""
+    parts = [*_parts(data, off, size)]
+    if len(off) == 2:
+        return [np.unique(np.concatenate([h for h, _ in parts]))]
+    h, at = parts[0]
+    return [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def wide_prints(sets: list[np.ndarray]) -> np.ndarray:
+    """Fingerprints of WIDTH words, each different shingle with one vote, so that they tell the similarity of sets."""
+    votes, size = np.zeros((len(sets), BITS * WIDTH), np.int64), np.array([len(x) for x in sets])
+    h, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    for lo in range(0, len(h), 1 << 16):
+        add_votes(votes, h[lo : lo + (1 << 16)], owner[lo : lo + (1 << 16)])
+    return majority(votes, size)
+
+
+def _prints(size: int):
+    def run(batches):
+        for rows, data, off in text_slices(batches, "text"):
+            fp = wide_prints(_distinct(data, off, size)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([rows.column("node"), *(pa.array(fp[:, k]) for k in range(WIDTH))], names=["node", *WORDS])
+
+    return run
+
+
 def _sets(size: int):
     def run(batches):
         for rows, data, off in text_slices(batches, "text"):
-            parts = [*_parts(data, off, size)]
-            if len(off) == 2:
-                own = [np.unique(np.concatenate([h for h, _ in parts]))]
-            else:
-                h, at = parts[0]
-                own = [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            own = _distinct(data, off, size)
             yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "shingles"])
 
     return run
 
 
+def _forest(radius: int):
+    def work(fp, group, table):
+        node = table.column("node").to_numpy()
+        i, j = links(fp, group, radius)
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[i], node[j])), pa.array(np.minimum(node[i], node[j]))], names=["a", "b"])
+
+    return per_bucket(work, WORDS)
+
+
+def _apart(radius: int):
+    def work(fp, group, table):
+        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
+        for i, j in close_pairs(fp, group, radius):
+            some = np.flatnonzero(root[i] != root[j])
+            x, y = node[i[some]], node[j[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+
+    return per_bucket(work, WORDS)
+
+
 def _similar(level: float):
+    """Of rows sorted by b and salt, the set of b itself (a is null) before those to compare with it."""
+
     def run(batches):
+        y = None
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = sorted((len(x), len(y)))
-                if small < level * large:
+            for a, blob in zip(batch.column("a").to_pylist(), batch.column("shingles"), strict=True):
+                x = np.frombuffer(blob.as_buffer(), np.uint64)
+                if a is None:
+                    y = x
                     keep.append(False)
                     continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                small, large = sorted((len(x), len(y)))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if small >= level * large else 0
                 keep.append(both >= level * (small + large - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            y = None if y is None else y.copy()  # not a view of the batch
 
     return run
 
 
-def near_dedup(docs: DataFrame, size: int = SHINGLE, level: float = LEVEL) -> DataFrame:
+def near_dedup(docs: DataFrame, size: int = SHINGLE, level: float = LEVEL, crowd: int = CROWD) -> DataFrame:
     """Of each group of near duplicates one row stays: doc_id, mark (xxhash64 of the text) and kept, for every row.
 
     docs: doc_id long, text string; other columns are not read. Two rows are near duplicates if the sets of their
     shingles of `size` words have a Jaccard similarity of `level` or more; groups are what such pairs connect. Words are
     `[^\\x20\\x09-\\x0D]+` with A-Z in lower case; a text with fewer words is one shingle; texts without words, or null,
     are equal to one another. The row with the smallest doc_id stays, of rows with one doc_id that with the least mark;
-    null doc_ids come last. Rows that repeat doc_id and text share their fate.
+    null doc_ids come last. Rows that repeat doc_id and text share their fate. No rows give no rows. Texts of any length
+    are hashed in pieces; a candidate's set of shingle hashes is held whole.
     """
     prepare(docs.sparkSession)
-    text = F.col("text").cast("string")
+    text, radius = F.col("text").cast("string"), reach(level)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
     facts = materialize(rows.mapInArrow(_facts(size), "doc_id long, mark long, node long, bands array<long>"), "near-facts")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     nodes = materialize(facts.groupBy("node").agg(F.min(place).alias("first")), "near-nodes")
 
-    dealt = facts.select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("k"))
-    groups = dealt.groupBy("k").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = materialize(dealt.join(groups, "k"), "near-buckets")
-    pairs = met.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    ask = met.select("node").distinct().join(nodes, "node").select("node", F.col("first.doc_id").alias("_doc"), F.col("first.mark").alias("_mark"))
-    ask = materialize(ask, "near-asked")
-    few = F.broadcast(ask) if ask.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ask
-    texts = rows.join(few, rows["doc_id"].eqNullSafe(F.col("_doc")) & (rows["mark"] == F.col("_mark"))).select("node", "text")
-    sets = materialize(texts.mapInArrow(_sets(size), "node long, shingles binary").dropDuplicates(["node"]), "near-sets")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        x, y = (sets.select(F.col("node").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-        return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar(level), "a long, b long"), "near-links")
-
-    links = linked(pairs)
-    roots = components(links)
-    at = met.join(roots, "node", "left").select("k", "node", "lead", F.coalesce("root", "node").alias("root"))
-    top = roots.select(F.col("node").alias("lead"), F.col("root").alias("top"))
-    at = materialize(at.join(top, "lead", "left").withColumn("top", F.coalesce("top", "lead")), "near-rooted")
-    other = at.where("root <> top").select("k", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    cross = other.join(at.where("node <> lead"), "k").where("x_root <> root")
-    cross = materialize(cross.select(F.greatest("x", "node").alias("a"), F.least("x", "node").alias("b")).distinct(), "near-cross")
+    def per_text(work, kinds: str, needed: DataFrame, label: str) -> DataFrame:
+        """work on one text of each node needed."""
+        ask = needed.join(nodes, "node").select("node", F.col("first.doc_id").alias("_doc"), F.col("first.mark").alias("_mark"))
+        ask = materialize(ask, f"{label}-asked")
+        few = F.broadcast(ask) if ask.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ask
+        texts = rows.join(few, rows["doc_id"].eqNullSafe(F.col("_doc")) & (rows["mark"] == F.col("_mark"))).select("node", "text")
+        return materialize(texts.mapInArrow(work, kinds).dropDuplicates(["node"]), label)
+
+    dealt = facts.select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("k1"))
+    groups = dealt.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialize(dealt.join(groups, "k1"), "near-met")
+    prints = per_text(_prints(size), ", ".join(["node long", *(f"{w} long" for w in WORDS)]), met.select("node").distinct(), "near-prints")
+    buckets = materialize(met.join(prints, "node"), "near-buckets")
+    pairs = materialize(in_blocks(buckets, crowd, *WORDS).mapInArrow(_forest(radius), "a long, b long").distinct(), "near-pairs")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs whose sets are similar; the set of b goes to its pairs, in one copy for CROWDED_PAIRS of them."""
+        salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CROWDED_PAIRS).cast("int").alias("salts"))
+        left = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
+        left = left.join(sets.withColumnRenamed("node", "a"), "a").select("b", "salt", "a", "shingles")
+        own = salts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(sets.withColumnRenamed("node", "b"), "b")
+        both = left.unionByName(own.select("b", "salt", F.lit(None).cast("long").alias("a"), "shingles"))
+        both = both.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+        return materialize(both.mapInArrow(_similar(level), "a long, b long"), "near-links")
+
+    sets = per_text(_sets(size), "node long, shingles binary", ends(pairs), "near-sets")
+    found = linked(pairs, sets)
+    roots = components(found)
+    rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialize(rooted, "near-rooted")
+    split = rooted.groupBy("k1").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k1")
+    cross = in_blocks(rooted.join(split, "k1"), crowd, *WORDS).mapInArrow(_apart(radius), "a long, b long")
+    cross = materialize(cross.distinct().join(pairs, ["a", "b"], "left_anti"), "near-cross")
     if not cross.isEmpty():
-        roots = components(links.unionByName(linked(cross)))
+        more = per_text(_sets(size), "node long, shingles binary", ends(cross).join(sets.select("node"), "node", "left_anti"), "near-sets")
+        roots = components(found.unionByName(linked(cross, sets.unionByName(more))))
     whole = materialize(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "near-roots")
     best = whole.groupBy("root").agg(F.min("first").alias("best"))
     return facts.join(whole.join(best, "root").select("node", "best"), "node").select("doc_id", "mark", (place == F.col("best")).alias("kept"))

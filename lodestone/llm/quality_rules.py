@@ -193,6 +193,37 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smoot
     return VoteModel(share, chance)
 
 
+def _carry(batches, text: str):
+    """Whole rows, with the COUNTS of their texts beside them."""
+    for rows, data, off in text_slices(batches, text):
+        got = count_text(data, off)
+        yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(got[:, k]) for k in range(len(COUNTS)))], names=[*rows.schema.names, *COUNTS])
+
+
+def _verdict(facts: DataFrame, rules: tuple[Rule, ...], threshold: float) -> DataFrame:
+    """facts (COUNTS and any others) with votes, base_failed, posterior and kept."""
+    voted = facts.withColumn("votes", F.array(*(r.vote() for r in rules)))
+    found = voted.groupBy("votes").count().collect()  # at most 3^len(rules) rows
+    model = fit_votes(np.array([r["votes"] for r in found], np.int64).reshape(-1, len(rules)), np.array([r["count"] for r in found], np.float64))
+    base = F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
+    posterior = model.posterior([F.col("votes")[k] for k in range(len(rules))])
+    return voted.withColumn("base_failed", base).withColumn("posterior", posterior).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+
+
+def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that quality_rules() keeps, with all their columns.
+
+    Counts are written beside the rows, which are then filtered where they stand: no row moves. Columns may have any names.
+    """
+    prepare(docs.sparkSession)
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index("text")]
+    plain = docs.toDF(*names).withColumn(text, F.col(text).cast("string"))
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema), *(f"{c} long" for c in COUNTS)])
+    facts = materialize(plain.mapInArrow(lambda batches: _carry(batches, text), kinds), "rule-rows")
+    return _verdict(facts, rules, threshold).where("kept").select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+
+
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
     """Counts, mark (xxhash64 of the text), base_failed, posterior, kept and votes for every row of docs (doc_id long,
     text string).
@@ -206,9 +237,4 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: f
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
     facts = materialize(rows.mapInArrow(_count, SCHEMA), "rule-counts")
-    voted = facts.withColumn("votes", F.array(*(r.vote() for r in rules)))
-    found = voted.groupBy("votes").count().collect()  # at most 3^len(rules) rows
-    model = fit_votes(np.array([r["votes"] for r in found], np.int64).reshape(-1, len(rules)), np.array([r["count"] for r in found], np.float64))
-    base = F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
-    posterior = model.posterior([F.col("votes")[k] for k in range(len(rules))])
-    return voted.withColumn("base_failed", base).withColumn("posterior", posterior).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+    return _verdict(facts, rules, threshold)

@@ -60,17 +60,37 @@ def shingle_hashes(data: np.ndarray, off: np.ndarray, size: int, seed: int = 42)
     return xxh64(joined, at, long, seed), np.append(0, np.cumsum(shingles))
 
 
+def _spread(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th 64 bits of a wide hash; the first are the hash itself."""
+    if not k:
+        return h
+    with np.errstate(over="ignore"):
+        h = (h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+
+
+def add_votes(votes: np.ndarray, h: np.ndarray, owner: np.ndarray) -> None:
+    """Count, for each text, how many of its hashes set each bit; owner is the text of each hash, in order."""
+    if not len(h):
+        return
+    at = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    for k in range(votes.shape[1] // BITS):
+        bits = np.unpackbits(_spread(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes[owner[at], BITS * k : BITS * (k + 1)] += np.add.reduceat(bits, at, axis=0, dtype=np.int64)
+
+
+def majority(votes: np.ndarray, voters: np.ndarray) -> np.ndarray:
+    """A bit is 1 if it is set in over half the hashes: rows of 64-bit words."""
+    return np.packbits(2 * votes > voters[:, None], axis=1, bitorder="little").view("<u8").reshape(len(votes), -1)
+
+
 def _votes(data: np.ndarray, off: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """For each text, the number of shingles and how many of their hashes set each bit."""
     joined, start, long, owner, shingles = _shingles(data, off, size)
     votes = np.zeros((len(off) - 1, BITS), np.int64)
     for lo in range(0, len(owner), 1 << 18):
         part = slice(lo, lo + (1 << 18))
-        h = xxh64(joined, start[part], long[part], seed)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        own = owner[part]
-        at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        votes[own[at]] += np.add.reduceat(bits, at, axis=0, dtype=np.int64)
+        add_votes(votes, xxh64(joined, start[part], long[part], seed), owner[part])
     return shingles, votes
 
 
@@ -103,7 +123,7 @@ def fingerprints(data: np.ndarray, off: np.ndarray, size: int = 3, seed: int = 4
             shingles, votes = shingles + more, votes + also
     else:
         shingles, votes = _votes(data, off, size, seed)
-    return np.packbits(2 * votes > shingles[:, None], axis=1, bitorder="little").reshape(-1).view("<u8")
+    return majority(votes, shingles)[:, 0]
 
 
 def _find(batches, size: int, seed: int):
@@ -118,13 +138,17 @@ _ALL = _BELOW[64]
 
 
 def planes(fp: np.ndarray) -> np.ndarray:
-    """Vertical planes: word w of plane b holds bit b of fingerprints 64 w to 64 w + 63."""
-    full = np.zeros(-(-len(fp) // 64) * 64, np.uint64)
+    """Vertical planes of fingerprints (rows of words): word w of plane b holds bit b of rows 64 w to 64 w + 63."""
+    full = np.zeros((-(-len(fp) // 64) * 64, fp.shape[1]), np.uint64)
     full[: len(fp)] = fp
-    bits = np.unpackbits(full.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(full.view(np.uint8), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
+def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+
+
 def _near(store: np.ndarray, fp: np.ndarray, query: np.ndarray, word: np.ndarray, live: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row, row) within the radius among the live lanes of (query, word).
 
@@ -134,9 +158,10 @@ def _near(store: np.ndarray, fp: np.ndarray, query: np.ndarray, word: np.ndarray
     width = max(1, radius.bit_length())
     counter = [np.zeros(len(query), np.uint64) for _ in range(width)]
     value = fp[query]
-    for b in range(0, BITS, 2):
-        x = store[b, word] ^ (np.uint64(0) - ((value >> np.uint64(b)) & np.uint64(1)))
-        y = store[b + 1, word] ^ (np.uint64(0) - ((value >> np.uint64(b + 1)) & np.uint64(1)))
+    for b in range(0, len(store), 2):
+        own = value[:, b // BITS]
+        x = store[b, word] ^ (np.uint64(0) - ((own >> np.uint64(b % BITS)) & np.uint64(1)))
+        y = store[b + 1, word] ^ (np.uint64(0) - ((own >> np.uint64(b % BITS + 1)) & np.uint64(1)))
         # carry-save: counter 0 and two planes give a sum and a carry
         odd = x ^ y
         carry = (x & y) | (odd & counter[0])
@@ -155,16 +180,15 @@ def _near(store: np.ndarray, fp: np.ndarray, query: np.ndarray, word: np.ndarray
         return query, query
     at, lane = np.nonzero(np.unpackbits(live.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
     i, j = query[at], 64 * word[at] + lane
-    close = np.bitwise_count(fp[i] ^ fp[j]) <= radius
+    close = distance(fp[i], fp[j]) <= radius
     return i[close], j[close]
 
 
-def forest(fp: np.ndarray, group: np.ndarray, radius: int = 3) -> np.ndarray:
-    """For rows sorted by group, the first row of each row's component within its group."""
+def close_pairs(fp: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (sorted by group) of one group whose fingerprints are within the radius, some at a time."""
     n = len(fp)
-    label = np.arange(n)
     if n < 2:
-        return label
+        return
     store = planes(fp)
     last = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, n)
     stop = last[np.searchsorted(last, np.arange(n), side="right")]
@@ -177,32 +201,60 @@ def forest(fp: np.ndarray, group: np.ndarray, radius: int = 3) -> np.ndarray:
         hi = np.clip(stop[q] - 64 * w, 0, 64)
         mask = _BELOW[hi] & ~_BELOW[lo]
         some = np.flatnonzero(mask)
-        for part in range(0, len(some), 1 << 16):
-            at = some[part : part + (1 << 16)]
+        for part in range(0, len(some), 1 << 14):
+            at = some[part : part + (1 << 14)]
             i, j = _near(store, fp, q[at], w[at], mask[at], radius)
-            while len(i):
-                a, b = label[i], label[j]
-                apart = np.flatnonzero(a != b)
-                if not len(apart):
-                    break
-                i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-                np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-                while not np.array_equal(label, nearer := label[label]):
-                    label = nearer
+            if len(i):
+                yield i, j
+
+
+def forest(fp: np.ndarray, group: np.ndarray, radius: int = 3) -> np.ndarray:
+    """For rows sorted by group, the first row of each row's component within its group."""
+    label = np.arange(len(fp))
+    for i, j in close_pairs(fp, group, radius):
+        while len(i):
+            a, b = label[i], label[j]
+            apart = np.flatnonzero(a != b)
+            if not len(apart):
+                break
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(label, nearer := label[label]):
+                label = nearer
     return label
 
 
-def _edges(radius: int):
+def links(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the radius that connect the rows of each group as all such pairs do: fewer than there are rows."""
+    label, found = np.arange(len(fp)), []
+    for i, j in close_pairs(fp, group, radius):
+        while len(i):
+            a, b = label[i], label[j]
+            apart = np.flatnonzero(a != b)
+            if not len(apart):
+                break
+            i, j = i[apart], j[apart]
+            hi, lo = np.maximum(a, b)[apart], np.minimum(a, b)[apart]
+            _, first = np.unique(hi, return_index=True)  # one pair for each component that joins a smaller one
+            found.append((i[first], j[first]))
+            label[hi[first]] = lo[first]
+            while not np.array_equal(label, nearer := label[label]):
+                label = nearer
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (label[:0], label[:0])
+
+
+def per_bucket(work, words: tuple[str, ...]):
+    """Run work(fingerprints, groups, table) on whole buckets (k1, k2), by which the rows are sorted."""
+
     def run(batches):
         held: list[pa.RecordBatch] = []
         rows = 0
 
         def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            k1, k2, fp, node = (table.column(c).to_numpy() for c in ("k1", "k2", "fp", "node"))
+            k1, k2 = (table.column(c).to_numpy() for c in ("k1", "k2"))
             change = np.append(False, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))
-            root = forest(fp.view(np.uint64), np.cumsum(change), radius)
-            more = np.flatnonzero(root != np.arange(len(root)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[more]), pa.array(node[root[more]])], names=["a", "b"])
+            fp = np.column_stack([table.column(c).to_numpy() for c in words]).view(np.uint64)
+            yield from work(fp, np.cumsum(change), table)
 
         for batch in batches:
             held.append(batch)
@@ -221,6 +273,15 @@ def _edges(radius: int):
     return run
 
 
+def _edges(radius: int):
+    def work(fp, group, table):
+        node, root = table.column("node").to_numpy(), forest(fp, group, radius)
+        more = np.flatnonzero(root != np.arange(len(root)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[more]), pa.array(node[root[more]])], names=["a", "b"])
+
+    return per_bucket(work, ("fp",))
+
+
 def _tables(nodes: int, radius: int) -> list[tuple[list[tuple[int, int]], int]]:
     """Bit ranges of each table's key, and the key's width."""
     for k in range(radius + 1, 2 * radius + 5):
@@ -240,19 +301,24 @@ def _key(fp: Column, ranges: list[tuple[int, int]]) -> Column:
     return key
 
 
+def in_blocks(dealt: DataFrame, crowd: int, *words: str) -> DataFrame:
+    """Rows of buckets (k1, n rows each) dealt out to tasks by (k1, k2): buckets above `crowd` are cut into blocks of about
+    half as many rows by a hash of the fingerprint, and every two blocks meet. Sorted by node inside, so that the edges of
+    a bucket lead to its least node and the components need few steps."""
+    blocks = F.when(F.col("n") > crowd, F.ceil(F.col("n") / (crowd // 2)).cast("int"))
+    cut = dealt.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(*words), F.col("blocks")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.shiftleft(F.least(x, F.col("own")).cast("long"), 31) + F.greatest(x, F.col("own")))
+    cut = cut.withColumn("k2", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pair)))
+    return cut.drop("blocks", "own", "n").repartition("k1", "k2").sortWithinPartitions("k1", "k2", "node")
+
+
 def link(nodes: DataFrame, radius: int = 3, crowd: int = CROWD) -> DataFrame:
     """Edges (a, b) between nodes (fp, node) that connect the same nodes as all pairs of fingerprints within radius."""
     tables = _tables(nodes.count(), radius)
     keys = F.array(*(F.struct(F.lit(t).alias("t"), _key(F.col("fp"), ranges).alias("key")) for t, (ranges, _) in enumerate(tables)))
     dealt = nodes.select("fp", "node", F.explode(keys).alias("x")).select("fp", "node", (F.shiftleft(F.col("x.t").cast("long"), 40) + F.col("x.key")).alias("k1"))
-    half = crowd // 2
-    crowded = dealt.groupBy("k1").count().where(F.col("count") > crowd).select("k1", F.ceil(F.col("count") / half).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.shiftleft(F.least(x, F.col("own")).cast("long"), 31) + F.greatest(x, F.col("own")))
-    cut = dealt.join(crowded, "k1", "left").withColumn("own", own)
-    cut = cut.withColumn("k2", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pair)))
-    # sorted by node, so that the edges of a bucket lead to its least node and the components need few steps
-    near = cut.select("k1", "k2", "fp", "node").repartition("k1", "k2").sortWithinPartitions("k1", "k2", "node")
+    crowded = dealt.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
+    near = in_blocks(dealt.join(crowded, "k1", "left"), crowd, "fp")
     return near.mapInArrow(_edges(radius), "a long, b long")
 
 

@@ -126,7 +126,12 @@ def test_forest(n, groups, radius):
     fp = np.array([rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5))) for _ in range(n)], np.uint64)
     group = np.sort(np.array([rng.randrange(groups) for _ in range(n)], np.int64))
     close = [(i, j) for i in range(n) for j in range(i) if group[i] == group[j] and bin(int(fp[i]) ^ int(fp[j])).count("1") <= radius]
-    assert simhash.forest(fp, group, radius).tolist() == list(reach(range(n), close).values())
+    want = list(reach(range(n), close).values())
+    assert simhash.forest(fp[:, None], group, radius).tolist() == want
+    wide = np.column_stack((fp, fp, fp))  # three times the distance
+    assert simhash.forest(wide, group, 3 * radius + 2).tolist() == want
+    found = list(zip(*(x.tolist() for x in simhash.links(wide, group, 3 * radius)), strict=True))
+    assert len(found) < max(n, 1) and set(found) <= {(j, i) for i, j in close} and list(reach(range(n), found).values()) == want
 
 
 @pytest.mark.parametrize("crowd", [simhash.CROWD, 6])

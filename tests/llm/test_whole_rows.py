@@ -55,6 +55,34 @@ def test_near_stage(spark):
     assert sum(0.8 <= share[2 * i, 2 * i + 1] < 0.95 for i in range(60)) > 20 and any(share[2 * i, 2 * i + 1] < 0.8 for i in range(60))
 
 
+def test_wide_prints_tell_the_similarity_of_sets():
+    rng = random.Random(9)
+    far = []
+    for _ in range(300):
+        base = [rng.getrandbits(64) for _ in range(rng.choice([60, 400]))]
+        common = int(len(base) * 0.889)  # similarity 0.8
+        other = base[:common] + [rng.getrandbits(64) for _ in range(len(base) - common)]
+        x, y = near_dedup.wide_prints([np.unique(np.array(s, np.uint64)) for s in (base, other)])
+        far.append(int(simhash.distance(x[None], y[None])[0]))
+    assert max(far) <= near_dedup.reach(0.8) == 62 and 35 < np.mean(far) < 45
+
+
+def test_repetition_and_crowds(spark):
+    rng, rows = random.Random(10), []
+    for i in range(40):  # the same shingles, some of them many times over
+        base = prose(rng, 60)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:20] * 9 + base))]
+    line = prose(rng, 55)
+    rows += [(1000 + i, " ".join(line + prose(rng, 30))) for i in range(80)]  # a common passage, similarity under 0.8
+    rows += [(2000 + i, " ".join(line + [f"z{i}"])) for i in range(30)]
+    sets = {i: shingles(t) for i, t in rows}
+    root = reach(list(sets), [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    want = sorted(i for i, _ in rows if root[i] == i)
+    for crowd in (simhash.CROWD, 8):
+        got = near_dedup.near_dedup(table(spark, rows), crowd=crowd).where("kept").collect()
+        assert sorted(r["doc_id"] for r in got) == want and 100 < len(want) < 190
+
+
 def test_repeated_and_null_ids(spark):
     rng = random.Random(8)
     x, y = (" ".join(prose(rng, 60)) + "." for _ in range(2))
