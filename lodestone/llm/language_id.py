@@ -359,15 +359,15 @@ def _sample(rows: DataFrame, need: int, fit_rows: int, seed: int) -> DataFrame:
     # the share of each language's hash range that holds about twice the rows needed: what is dealt out stays small
     keys = materialize(keyed.select("lang", "key"), "language-rows")
     share = F.least(F.lit(1.0), F.lit(float(2 * need + 50)) / F.approx_count_distinct("key"))
-    reach = keys.groupBy("lang").agg((F.lit(-float(2**63)) + share * float(2**64)).alias("reach"))
-    some = keys.join(reach, "lang").where(F.col("key").cast("double") <= F.col("reach")).select("lang", "key").distinct()
+    reach = materialize(keys.groupBy("lang").agg((F.lit(-float(2**63)) + share * float(2**64)).alias("reach")), "language-reach")
+    few = reach.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    some = keys.join(F.broadcast(reach) if few else reach, "lang").where(F.col("key").cast("double") <= F.col("reach")).select("lang", "key").distinct()
     pick = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("r") <= need)
     pick = materialize(pick, "language-keys")
     held = pick.groupBy("lang").agg(F.count(F.lit(1)).alias("held"))
     fit = F.least(F.lit(fit_rows), F.greatest(F.lit(1), F.floor(F.col("held") * 3 / 4)))
     pick = pick.join(held, "lang").select("lang", "key", (F.col("r") <= fit).alias("fit"), (F.col("held") == 1).alias("only"))
-    small = held.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
-    met = keyed.join(F.broadcast(pick) if small else pick, ["lang", "key"])
+    met = keyed.join(F.broadcast(pick) if few else pick, ["lang", "key"])
     return materialize(met.groupBy("lang", "key", "fit", "only").agg(F.first("text").alias("text")).drop("key"), "language-sample")
 
 
