@@ -3,12 +3,14 @@
 Texts of Jaccard similarity 0.8 differ in about 10 of 64 fingerprint bits, which no choice of equal blocks finds. So
 buckets come from bands of min-hashes over the shingle hashes that vote for the fingerprint: two texts of similarity s
 share one of BANDS bands with the chance 1 - (1 - s^ROWS)^BANDS, 0.9996 at s = 0.8 and more above. In a bucket the wide
-fingerprints (WIDTH words) are compared bit-sliced, and pairs within RADIUS are candidates; the radius lies 4 standard
-deviations above the mean distance at similarity 0.8. Whole shingle sets then decide every candidate exactly.
-
-A bucket first gives a spanning forest of its candidates (fewer than it has members); what these leave apart is compared
-again, and only pairs from different components are candidates then, so a group of near copies costs about one comparison
-for each, not its pairs. Texts with the same sequence of shingles are one node.
+fingerprints (WIDTH words) are compared bit-sliced; pairs within a radius, 4 standard deviations above the mean distance
+at similarity 0.8, are candidates, of which a bucket passes on a spanning forest.
+
+What candidates connect is a family, in which whole shingle sets decide. A family's sets meet in one task, which counts
+the common shingles of all its pairs by products of incidence matrices and passes on a spanning forest of the similar
+ones. A larger family is cut into parts that share some members (pivots), so that what is alike ends up connected; then
+only members outside its largest group are compared with all others, part by part. Pairs are never rows. Texts with the
+same sequence of shingles are one node.
 """
 
 from __future__ import annotations
@@ -23,19 +25,21 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.batches import SLICE_BYTES, text_slices
 from lodestone.llm.graph import components
-from lodestone.llm.simhash import BITS, CROWD, add_votes, close_pairs, in_blocks, links, long_pieces, majority, per_bucket, shingle_hashes
-from lodestone.plans.runtime import materialize, prepare
+from lodestone.llm.simhash import BITS, CROWD, add_votes, in_blocks, links, long_pieces, majority, per_bucket, shingle_hashes
+from lodestone.plans.runtime import materialize, prepare, release
 
 #: Words of a shingle, and the similarity from which texts are near duplicates.
 SHINGLE, LEVEL = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Words of a fingerprint, and the names of their columns.
-WIDTH = 4
+WIDTH = 8
 WORDS = tuple(f"w{k}" for k in range(WIDTH))
 #: Texts with a candidate up to which their keys are sent to every task.
 BROADCAST_ROWS = 200_000
-#: Sets compared with one set in one task.
-CROWDED_PAIRS = 4096
+#: Members of a family, and bytes of their sets, that meet in one task; members that all parts of a larger one share.
+MEMBERS, SET_BYTES, PIVOTS = 4096, 32 << 20, 64
+#: Families' members (two numbers each) sent to every task that reads sets; more meet them by a shuffle.
+BROADCAST_MEMBERS = 1_000_000
 
 _ODD = np.random.default_rng(42).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -111,20 +115,15 @@ def wide_prints(sets: list[np.ndarray]) -> np.ndarray:
     return majority(votes, size)
 
 
-def _prints(size: int):
-    def run(batches):
-        for rows, data, off in text_slices(batches, "text"):
-            fp = wide_prints(_distinct(data, off, size)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column("node"), *(pa.array(fp[:, k]) for k in range(WIDTH))], names=["node", *WORDS])
+def _described(size: int):
+    """The fingerprint, the number of bytes of the set, and the set of every text."""
 
-    return run
-
-
-def _sets(size: int):
     def run(batches):
         for rows, data, off in text_slices(batches, "text"):
             own = _distinct(data, off, size)
-            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "shingles"])
+            fp = wide_prints(own).view(np.int64)
+            blobs = pa.array([x.tobytes() for x in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column("node"), *(pa.array(fp[:, k]) for k in range(WIDTH)), pa.array([8 * len(x) for x in own], pa.int64()), blobs], names=["node", *WORDS, "size", "shingles"])
 
     return run
 
@@ -138,39 +137,162 @@ def _forest(radius: int):
     return per_bucket(work, WORDS)
 
 
-def _apart(radius: int):
-    def work(fp, group, table):
-        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
-        for i, j in close_pairs(fp, group, radius):
-            some = np.flatnonzero(root[i] != root[j])
-            x, y = node[i[some]], node[j[some]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
-
-    return per_bucket(work, WORDS)
-
+def common_shingles(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """For every two sets of x and y, how many shingles they share.
 
-def _similar(level: float):
-    """Of rows sorted by b and salt, the set of b itself (a is null) before those to compare with it."""
+    Shingles in many sets are columns of incidence matrices; the others give their few pairs one by one.
+    """
+    def flat(sets):
+        h = np.concatenate(sets)
+        return h, np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+    (hx, ox), (hy, oy) = flat(x), flat(y)
+    both = np.intersect1d(hx, hy)
+    out = np.zeros((len(x), len(y)), np.float32)  # exact: counts stay below 2^24
+    if not len(both):
+        return out.astype(np.int64)
+
+    def numbered(h, owner):
+        at = np.minimum(np.searchsorted(both, h), len(both) - 1)
+        some = np.flatnonzero(both[at] == h)
+        order = some[np.argsort(at[some], kind="stable")]
+        return at[order], owner[order]
+
+    (cx, ox), (cy, oy) = numbered(hx, ox), numbered(hy, oy)
+    nx, ny = np.bincount(cx, minlength=len(both)), np.bincount(cy, minlength=len(both))
+    heavy = nx * ny * 64 > len(x) * len(y)
+    wide = np.flatnonzero(heavy)
+    column = np.full(len(both), -1)
+    column[wide] = np.arange(len(wide))
+    sx, sy = np.cumsum(nx) - nx, np.cumsum(ny) - ny
+    for lo in range(0, len(wide), 1024):
+        own = wide[lo : lo + 1024]
+        parts = []
+        for c, o, start, n, rows in ((cx, ox, sx, nx, len(x)), (cy, oy, sy, ny, len(y))):
+            at = np.repeat(start[own] - (np.cumsum(n[own]) - n[own]), n[own]) + np.arange(n[own].sum())
+            m = np.zeros((rows, len(own)), np.float32)
+            m[o[at], column[c[at]] - lo] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    thin = np.flatnonzero(~heavy)
+    pairs = nx[thin] * ny[thin]
+    cuts = np.searchsorted(np.cumsum(pairs), np.arange(1 << 21, int(pairs.sum()) + 1, 1 << 21))
+    for own in np.split(thin, cuts):
+        n = nx[own] * ny[own]
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        inner = np.repeat(ny[own], n)
+        i, j = ox[np.repeat(sx[own], n) + k // np.maximum(inner, 1)], oy[np.repeat(sy[own], n) + k % np.maximum(inner, 1)]
+        np.add.at(out, (i, j), 1)
+    return out.astype(np.int64)
+
+
+def similar(x: list[np.ndarray], y: list[np.ndarray], level: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets of x and y with a Jaccard similarity of `level` or more."""
+    both = common_shingles(x, y)
+    size = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
+    return np.nonzero(both >= level * (size - both))
+
+
+def _joined(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """Of the links (i, j) between nodes, some that connect the same ones."""
+    label, found = np.arange(len(node)), []
+    while len(i):
+        a, b = label[i], label[j]
+        apart = np.flatnonzero(a != b)
+        i, j = i[apart], j[apart]
+        hi, lo = np.maximum(a, b)[apart], np.minimum(a, b)[apart]
+        _, first = np.unique(hi, return_index=True)
+        found.append((i[first], j[first]))
+        label[hi[first]] = lo[first]
+        while not np.array_equal(label, nearer := label[label]):
+            label = nearer
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (i, j)
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(node[i], node[j])), pa.array(np.minimum(node[i], node[j]))], names=["a", "b"])
+
+
+def _meetings(work):
+    """Run work(node, side, root, sets) on the rows of each (k1, k2), by which the rows are sorted."""
 
     def run(batches):
-        y = None
+        held: list[tuple] = []
+        now = None
         for batch in batches:
-            keep = []
-            for a, blob in zip(batch.column("a").to_pylist(), batch.column("shingles"), strict=True):
-                x = np.frombuffer(blob.as_buffer(), np.uint64)
-                if a is None:
-                    y = x
-                    keep.append(False)
-                    continue
-                small, large = sorted((len(x), len(y)))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if small >= level * large else 0
-                keep.append(both >= level * (small + large - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-            y = None if y is None else y.copy()  # not a view of the batch
+            cells = (batch.column(c).to_pylist() for c in ("k1", "k2", "node", "side", "root"))
+            for k1, k2, node, side, root, blob in zip(*cells, batch.column("shingles"), strict=True):
+                if held and (k1, k2) != now:
+                    yield from work(*_columns(held))
+                    held = []
+                now = k1, k2
+                held.append((node, side, root, np.frombuffer(blob.as_buffer(), np.uint64).copy()))
+        if held:
+            yield from work(*_columns(held))
 
     return run
 
 
+def _columns(held: list[tuple]):
+    node, side, root, sets = zip(*held, strict=True)
+    return np.array(node, np.int64), np.array(side), np.array(root, np.int64), list(sets)
+
+
+def _within(level: float):
+    def work(node, side, root, sets):
+        i, j = similar(sets, sets, level)
+        yield _joined(node, i[i < j], j[i < j])
+
+    return _meetings(work)
+
+
+def _across(level: float):
+    def work(node, side, root, sets):
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if len(x) and len(y):
+            i, j = similar([sets[k] for k in x], [sets[k] for k in y], level)
+            apart = root[x[i]] != root[y[j]]
+            yield _joined(node, x[i[apart]], y[j[apart]])
+
+    return _meetings(work)
+
+
+def _decide(pairs: DataFrame, sets: DataFrame, level: float) -> DataFrame:
+    """Links (a, b) between similar nodes that connect all that are similar within the families of the candidate pairs."""
+    tree = components(pairs)
+    members = tree.select("node", F.col("root").alias("k1")).unionByName(tree.select(F.col("root").alias("node"), F.col("root").alias("k1")).distinct())
+    members = members.join(sets.select("node", "size"), "node")
+    sums = members.groupBy("k1").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    parts = lambda n, size: F.greatest(F.ceil(n / MEMBERS), F.ceil(size / SET_BYTES), F.lit(1)).cast("int")
+    sums = sums.withColumn("parts", parts(F.col("n"), F.col("bytes"))).drop("bytes")
+    members = materialize(members.join(sums, "k1"), "near-members")
+    few = members.count() <= BROADCAST_MEMBERS
+
+    def met(rows: DataFrame, work, label: str) -> DataFrame:
+        """work on the sets of rows (k1, k2, node, side, root)."""
+        both = (F.broadcast(rows) if few else rows).join(sets.select("node", "shingles"), "node")
+        near = both.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "node")
+        return materialize(near.mapInArrow(work, "a long, b long"), label)
+
+    hashed = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), n).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    own = F.array(hashed(1, F.col("parts")))
+    pivot = (F.col("parts") > 1) & (hashed(2, F.greatest(F.lit(1), F.floor(F.col("n") / PIVOTS))) == 0)
+    rows = members.withColumn("k2", F.explode(F.when(pivot, every(F.col("parts"))).otherwise(own))).withColumn("k2", F.col("k2").cast("long"))
+    links = met(rows.select("k1", "k2", "node", F.lit(0).alias("side"), F.col("node").alias("root")), _within(level), "near-links")
+
+    large = members.where("parts > 1")
+    if large.isEmpty():
+        return links
+    rooted = materialize(large.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")
+    most = rooted.groupBy("k1", "root").count().groupBy("k1").agg(F.max_by("root", F.struct("count", -F.col("root"))).alias("most"))
+    rooted = rooted.join(most, "k1").withColumn("out", F.col("root") != F.col("most"))
+    left = rooted.where("out").groupBy("k1").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("bytes"))
+    rooted = rooted.join(left.select("k1", parts(F.col("m"), F.col("bytes")).alias("outs")), "k1")  # families that are one drop out
+    key = lambda i, j: F.shiftleft(i.cast("long"), 31) + j
+    asked = rooted.where("out").withColumn("k2", F.explode(F.transform(every(F.col("parts")), lambda j: key(hashed(3, F.col("outs")), j)))).withColumn("side", F.lit(0))
+    store = rooted.withColumn("k2", F.explode(F.transform(every(F.col("outs")), lambda i: key(i, hashed(1, F.col("parts")))))).withColumn("side", F.lit(1))
+    rows = asked.unionByName(store).select("k1", "k2", "node", "side", "root")
+    return links.unionByName(met(rows, _across(level), "near-more-links"))
+
+
 def near_dedup(docs: DataFrame, size: int = SHINGLE, level: float = LEVEL, crowd: int = CROWD) -> DataFrame:
     """Of each group of near duplicates one row stays: doc_id, mark (xxhash64 of the text) and kept, for every row.
 
@@ -199,34 +321,21 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, level: float = LEVEL, crowd
     dealt = facts.select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("k1"))
     groups = dealt.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialize(dealt.join(groups, "k1"), "near-met")
-    prints = per_text(_prints(size), ", ".join(["node long", *(f"{w} long" for w in WORDS)]), met.select("node").distinct(), "near-prints")
-    buckets = materialize(met.join(prints, "node"), "near-buckets")
+    # one text of each node that shares a bucket
+    ask = met.select("node").distinct().join(nodes, "node").select("node", F.col("first.doc_id").alias("_doc"), F.col("first.mark").alias("_mark"))
+    ask = materialize(ask, "near-asked")
+    few = F.broadcast(ask) if ask.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ask
+    texts = rows.join(few, rows["doc_id"].eqNullSafe(F.col("_doc")) & (rows["mark"] == F.col("_mark"))).select("node", "text")
+    kinds = ", ".join(["node long", *(f"{w} long" for w in WORDS), "size long", "shingles binary"])
+    # rows that repeat doc_id and text give a node twice
+    again = facts.groupBy("doc_id", "mark").count().where("count > 1").isEmpty()
+    sets = texts.mapInArrow(_described(size), kinds)
+    sets = materialize(sets if again else sets.dropDuplicates(["node"]), "near-sets")
+    buckets = materialize(met.join(sets.select("node", *WORDS), "node"), "near-buckets")
     pairs = materialize(in_blocks(buckets, crowd, *WORDS).mapInArrow(_forest(radius), "a long, b long").distinct(), "near-pairs")
-
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-
-    def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs whose sets are similar; the set of b goes to its pairs, in one copy for CROWDED_PAIRS of them."""
-        salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CROWDED_PAIRS).cast("int").alias("salts"))
-        left = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
-        left = left.join(sets.withColumnRenamed("node", "a"), "a").select("b", "salt", "a", "shingles")
-        own = salts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(sets.withColumnRenamed("node", "b"), "b")
-        both = left.unionByName(own.select("b", "salt", F.lit(None).cast("long").alias("a"), "shingles"))
-        both = both.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
-        return materialize(both.mapInArrow(_similar(level), "a long, b long"), "near-links")
-
-    sets = per_text(_sets(size), "node long, shingles binary", ends(pairs), "near-sets")
-    found = linked(pairs, sets)
-    roots = components(found)
-    rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = materialize(rooted, "near-rooted")
-    split = rooted.groupBy("k1").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k1")
-    cross = in_blocks(rooted.join(split, "k1"), crowd, *WORDS).mapInArrow(_apart(radius), "a long, b long")
-    cross = materialize(cross.distinct().join(pairs, ["a", "b"], "left_anti"), "near-cross")
-    if not cross.isEmpty():
-        more = per_text(_sets(size), "node long, shingles binary", ends(cross).join(sets.select("node"), "node", "left_anti"), "near-sets")
-        roots = components(found.unionByName(linked(cross, sets.unionByName(more))))
+    release(met, buckets)
+    roots = components(_decide(pairs, sets, level))
+    release(sets)
     whole = materialize(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "near-roots")
     best = whole.groupBy("root").agg(F.min("first").alias("best"))
     return facts.join(whole.join(best, "root").select("node", "best"), "node").select("doc_id", "mark", (place == F.col("best")).alias("kept"))

@@ -64,10 +64,10 @@ def test_wide_prints_tell_the_similarity_of_sets():
         other = base[:common] + [rng.getrandbits(64) for _ in range(len(base) - common)]
         x, y = near_dedup.wide_prints([np.unique(np.array(s, np.uint64)) for s in (base, other)])
         far.append(int(simhash.distance(x[None], y[None])[0]))
-    assert max(far) <= near_dedup.reach(0.8) == 62 and 35 < np.mean(far) < 45
+    assert max(far) <= near_dedup.reach(0.8) == 111 and 70 < np.mean(far) < 90
 
 
-def test_repetition_and_crowds(spark):
+def test_repetition_and_crowds(spark, monkeypatch):
     rng, rows = random.Random(10), []
     for i in range(40):  # the same shingles, some of them many times over
         base = prose(rng, 60)
@@ -78,11 +78,41 @@ def test_repetition_and_crowds(spark):
     sets = {i: shingles(t) for i, t in rows}
     root = reach(list(sets), [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
     want = sorted(i for i, _ in rows if root[i] == i)
-    for crowd in (simhash.CROWD, 8):
+    for crowd, members in ((simhash.CROWD, 4096), (8, 4096), (simhash.CROWD, 12)):  # the last: families in parts
+        monkeypatch.setattr(near_dedup, "MEMBERS", members)
+        monkeypatch.setattr(near_dedup, "PIVOTS", 3)
         got = near_dedup.near_dedup(table(spark, rows), crowd=crowd).where("kept").collect()
         assert sorted(r["doc_id"] for r in got) == want and 100 < len(want) < 190
 
 
+def test_large_family_in_parts(spark, monkeypatch):
+    """Copies changed in few to many places: some belong together, others are alone, and no part holds them all."""
+    monkeypatch.setattr(near_dedup, "MEMBERS", 10)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 2)
+    rng = random.Random(12)
+    base, rows = prose(rng, 150), []
+    for i in range(150):
+        own = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 2, 3, 5, 7])):
+            own[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    sets = {i: shingles(t) for i, t in rows}
+    root = reach(list(sets), [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    want = sorted(i for i, _ in rows if root[i] == i)
+    got = near_dedup.near_dedup(table(spark, rows)).where("kept").collect()
+    assert sorted(r["doc_id"] for r in got) == want and 3 < len(want) < 140
+
+
+def test_common_shingles():
+    rng = np.random.default_rng(4)
+    for nx, ny, room in ((1, 1, 5), (30, 50, 40), (60, 70, 5000), (5, 400, 300)):
+        x, y = ([np.unique(rng.integers(0, room, rng.integers(1, 200)).astype(np.uint64)) for _ in range(n)] for n in (nx, ny))
+        plain = [[len(set(a.tolist()) & set(b.tolist())) for b in y] for a in x]
+        assert near_dedup.common_shingles(x, y).tolist() == plain
+        i, j = near_dedup.similar(x, y, 0.5)
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a in range(nx) for b in range(ny) if 2 * plain[a][b] >= len(set(x[a].tolist()) | set(y[b].tolist()))}
+
+
 def test_repeated_and_null_ids(spark):
     rng = random.Random(8)
     x, y = (" ".join(prose(rng, 60)) + "." for _ in range(2))
