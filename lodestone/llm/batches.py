@@ -60,7 +60,9 @@ def collapse(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     starts = off[:-1][off[:-1] < off[1:]]
     again[starts] = False
     out = np.where(ws, np.uint8(0x20), data)[~again]
-    return out, off - np.concatenate(([0], np.cumsum(again)))[off]
+    gone = np.zeros(len(off), np.int64)
+    gone[1:][off[:-1] < off[1:]] = np.add.reduceat(again, starts, dtype=np.int64)
+    return out, off - np.cumsum(gone)
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

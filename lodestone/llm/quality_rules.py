@@ -37,69 +37,82 @@ def _flags(values: bytes) -> np.ndarray:
 _SYMBOL, _UPPER, _LOWER = _flags(bytes(SYMBOLS)), _flags(bytes(range(65, 91))), _flags(bytes(range(97, 123)))
 _LETTER = _UPPER | _LOWER
 _LETTER[128:] = True  # a byte of a longer code point
-_DIGIT = _flags(b"0123456789")
+_NAMED = _LETTER | _flags(b"0123456789")
 _ENDS = tuple(x.encode() for x in ".!?\"':;)。！？…")
 
 
 def _per_text(flag: np.ndarray, off: np.ndarray) -> np.ndarray:
-    run = np.concatenate(([0], np.cumsum(flag, dtype=np.int64)))
-    return run[off[1:]] - run[off[:-1]]
+    """How many bytes of each text are flagged."""
+    out = np.zeros(len(off) - 1, np.int64)
+    some = off[:-1] < off[1:]
+    if some.any():
+        out[some] = np.add.reduceat(flag, off[:-1][some], dtype=np.int64)
+    return out
 
 
-def repeated_words(raw: bytes, start: np.ndarray, end: np.ndarray, text: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """For each text, the words inside windows of WINDOW words that occur twice or more in that text."""
-    m = len(start) - WINDOW + 1
+def repeated_words(text: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """For each text, the words inside windows of WINDOW words that occur twice or more in that text. h: a 64-bit hash of
+    each word; windows are equal if the hashes of their words are, one by one."""
+    m = len(h) - WINDOW + 1
     if m <= 0:
         return np.zeros(n, np.int64)
     with np.errstate(over="ignore"):
         roll = np.zeros(m, np.uint64)
         for k in range(WINDOW):
-            roll = roll * np.uint64(0x9E3779B97F4A7C15) + h[k : k + m]
-        mixed = (roll ^ (roll >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + text[:m].astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+            roll *= np.uint64(0x9E3779B97F4A7C15)
+            roll += h[k : k + m]
+        roll ^= roll >> np.uint64(29)
+        roll *= np.uint64(0xBF58476D1CE4E5B9)
+        roll += text[:m].astype(np.uint64) * np.uint64(0x94D049BB133111EB)
     inside = np.flatnonzero(text[:m] == text[WINDOW - 1 :])
-    key = mixed[inside]
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
-    in_group = np.append(same, False) | np.append(False, same)
-    cand = inside[order[in_group]]
-    cover = np.zeros(len(start) + 1, np.int64)
-    seen: dict[tuple[int, bytes], int] = {}
-    for w, t in zip(cand.tolist(), text[cand].tolist(), strict=True):  # equal hashes are compared by their words
-        own = (t, b" ".join(raw[start[w] : end[w + WINDOW - 1]].split()))
-        first = seen.setdefault(own, w)
-        if first != w:
-            for x in (w,) if first < 0 else (first, w):
-                cover[x] += 1
-                cover[x + WINDOW] -= 1
-            seen[own] = -1
-    hit = np.cumsum(cover[:-1]) > 0
-    return np.bincount(text[hit], minlength=n)
+    order = inside[np.argsort(roll[inside], kind="stable")]
+    same = roll[order[1:]] == roll[order[:-1]]
+    at = np.flatnonzero(same)
+    differ = text[order[at]] != text[order[at + 1]]
+    for k in range(WINDOW):
+        differ |= h[order[at] + k] != h[order[at + 1] + k]
+    twice = np.append(same, False) | np.append(False, same)
+    if differ.any():  # windows that share a mixed hash by chance: decided word by word
+        odd = np.isin(roll, roll[order[at[differ]]])
+        twice &= ~odd[order]
+        seen: dict[tuple, list[int]] = {}
+        for w in inside[odd[inside]].tolist():
+            seen.setdefault((int(text[w]), *h[w : w + WINDOW].tolist()), []).append(w)
+        extra = [w for own in seen.values() if len(own) > 1 for w in own]
+    else:
+        extra = []
+    cover = np.zeros(len(h) + 1, np.int8)  # windows start once at a word, so at most WINDOW cover one
+    for hit in (order[twice], np.array(extra, np.int64)):
+        cover[hit] += 1
+        cover[hit + WINDOW] -= 1
+    covered = np.cumsum(cover[:-1], dtype=np.int8) > 0
+    return np.bincount(text[covered], minlength=n)
 
 
 def count_text(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """The COUNTS of many texts, one row each."""
     n = len(off) - 1
-    raw = data.tobytes()
     start, end, text = words(data, off)
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    h = xxh64(padded, start, end - start)
     out = np.zeros((n, len(COUNTS)), np.int64)
     out[:, 0] = np.bincount(text, minlength=n)
     out[:, 1] = _per_text((data & 0xC0) != 0x80, off) - _per_text(WS[data], off)
     out[:, 2] = _per_text(_SYMBOL[data], off)
-    out[:, 4] = repeated_words(raw, start, end, text, h, n)
-    for i in range(n):
-        lines = [x for x in raw[off[i] : off[i + 1]].split(b"\n") if x and not x.isspace()]
-        out[i, 3], out[i, 5] = len(lines) - len(set(lines)), len(lines)
-        out[i, 6] = sum(x.rstrip().endswith(_ENDS) for x in lines)
     out[:, 7], out[:, 8] = _per_text(_UPPER[data], off), _per_text(_LOWER[data], off)
     out[:, 9] = _per_text(data == 0x21, off)
     if len(start):
-        order = np.lexsort((h, text))
+        out[:, 11] = np.bincount(text[~np.logical_or.reduceat(_NAMED[data], start)], minlength=n)  # white space is not named
+        h = xxh64(np.concatenate((data, np.zeros(8, np.uint8))), start, end - start)
+        del start, end
+        out[:, 4] = repeated_words(text, h, n)
+        order = np.lexsort((h, text)) if n > 1 else np.argsort(h)
         new = np.append(True, (h[order[1:]] != h[order[:-1]]) | (text[order[1:]] != text[order[:-1]]))
         out[:, 10] = np.bincount(text[order[new]], minlength=n)
-        run = np.concatenate(([0], np.cumsum(_LETTER[data] | _DIGIT[data], dtype=np.int64)))
-        out[:, 11] = np.bincount(text[run[end] == run[start]], minlength=n)
+        del h, order, new
+    raw = data.tobytes()
+    for i in range(n):
+        lines = [x for x in raw[off[i] : off[i + 1]].split(b"\n") if x and not x.isspace()]
+        out[i, 3], out[i, 5] = len(lines) - len(set(lines)), len(lines)
+        out[i, 6] = sum(x.rstrip().endswith(_ENDS) for x in lines)
     return out
 
 
@@ -231,7 +244,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: f
     Other columns are not read. Words are `[^\\x20\\x09-\\x0D]+`; a null text has none. base_failed: under 20 words, or
     over 30 % of the words in windows of 8 words that the text holds twice or more. kept is false where base_failed,
     else whether the posterior reaches the threshold. An empty text fails the base. Rows that repeat a doc_id, or have
-    none, each give a row. No rows give no rows.
+    none, each give a row. No rows give no rows. A text is counted whole: memory grows to some ten times the longest one.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
