@@ -2,10 +2,12 @@
 
 Records are hashed into thousands of slots, the bytes of every slot are summed, and a versioned map tells each slot's
 shard. Rebalancing edits the map: version 1 deals slots out in turn, each later version moves slots from the heaviest
-shards to the lightest. Records follow their slot, so an edit moves only the records of the slots it names.
+shards to the lightest. Records follow their slot, so an edit moves only the records of the slots it names. The map is
+kept in a folder: a later run loads it, adds a version that fits the sizes it finds, and moves as little as that takes.
 
 Records with equal text share a slot, and so a shard. A text whose copies hold more than half of a shard's bytes or
-rows (so there are at most 4 * shards such texts) has its records spread over many slots by doc_id.
+rows (so there are at most 4 * shards such texts in a run) has its records spread over many slots by doc_id, from then on
+and in all later versions.
 """
 
 from __future__ import annotations
@@ -28,11 +30,17 @@ SPREAD = 4096
 TOLERANCE = 0.0005
 
 
+#: Rows of a slot that one task numbers; a larger slot is numbered in parts.
+PART_ROWS = 1 << 16
+
+
 @dataclass
 class SlotMap:
-    """shards[v][s] is the shard of slot s in version v + 1."""
+    """shards[v][s] is the shard of slot s in version v + 1; crowded: the text hashes spread over slots, with the version
+    that began it."""
 
     versions: list[np.ndarray] = field(default_factory=list)
+    crowded: dict[int, int] = field(default_factory=dict)
 
     @classmethod
     def fixed(cls, slots: int, shards: int) -> SlotMap:
@@ -42,15 +50,29 @@ class SlotMap:
     def current(self) -> np.ndarray:
         return self.versions[-1]
 
+    def moves(self, version: int | None = None) -> list[tuple[int, int, int]]:
+        """(slot, shard before, shard after) of the slots that a version, by default the last, moved."""
+        v = len(self.versions) if version is None else version
+        if v < 2:
+            return []
+        before, after = self.versions[v - 2], self.versions[v - 1]
+        return [(int(s), int(before[s]), int(after[s])) for s in np.flatnonzero(before != after)]
+
     def rebalance(self, size: np.ndarray, shards: int, tolerance: float = TOLERANCE) -> int:
-        """Add a version in which shards hold nearly equal size. Returns the number of slots moved.
+        """Add a version in which shards hold nearly equal size, unless the current one does. Returns the number of slots
+        moved.
 
-        Each step moves, from the heaviest shard to the lightest, the slot that is nearest to half their difference; if
-        none helps, the pair of slots whose exchange is nearest. Slots without size stay.
+        Slots of shards that are no more go to the lightest, largest first. Then each step moves, from the heaviest shard
+        to the lightest, the slot that is nearest to half their difference; if none helps, the pair of slots whose
+        exchange is nearest. Slots without size stay.
         """
         home = self.current.copy()
-        load = np.bincount(home, weights=size, minlength=shards)
-        mean, moved = load.mean(), 0
+        lost = np.flatnonzero(home >= shards)
+        load = np.bincount(home[home < shards], weights=size[home < shards], minlength=shards)
+        for s in lost[np.argsort(-size[lost], kind="stable")]:
+            home[s] = int(load.argmin())
+            load[home[s]] += size[s]
+        mean = load.mean()
         for _ in range(4 * len(size)):
             hi, lo = int(load.argmax()), int(load.argmin())
             gap = (load[hi] - load[lo]) / 2
@@ -75,30 +97,45 @@ class SlotMap:
             home[best] = lo
             load[hi] -= size[best]
             load[lo] += size[best]
-            moved += 1
             if swap is not None:
                 home[swap] = hi
                 load[hi] += size[swap]
                 load[lo] -= size[swap]
-                moved += 1
-        self.versions.append(home)
+        moved = int((home != self.current).sum())
+        if moved:
+            self.versions.append(home)
         return moved
 
-    def frame(self, spark) -> DataFrame:
-        """(version, slot, shard), one row per slot and version."""
-        rows = [(v + 1, s, int(x)) for v, home in enumerate(self.versions) for s, x in enumerate(home)]
+    def frame(self, spark, since: int = 0) -> DataFrame:
+        """The edits of versions after `since`: (version, vslot, shard), all slots for version 1, else those it moved."""
+        rows = [(1, s, int(x)) for s, x in enumerate(self.versions[0])] if not since else []
+        for v in range(max(since + 1, 2), len(self.versions) + 1):
+            rows += [(v, s, after) for s, _, after in self.moves(v)]
         return spark.createDataFrame(rows, "version int, vslot int, shard int")
 
-    def save(self, spark, path: str) -> None:
-        self.frame(spark).coalesce(1).write.mode("overwrite").parquet(path)
+    def save(self, spark, path: str, since: int = 0) -> None:
+        """Add the versions after `since`, and the texts they began to spread, to the folder; no older file is touched."""
+        fresh = [(v, int(k)) for k, v in self.crowded.items() if v > since]
+        self.frame(spark, since).coalesce(1).write.mode("append").parquet(f"{path}/slots")
+        spark.createDataFrame(fresh, "version int, key long").coalesce(1).write.mode("append").parquet(f"{path}/crowded")
 
     @classmethod
-    def load(cls, spark, path: str) -> SlotMap:
-        rows = spark.read.parquet(path).orderBy("version", "vslot").collect()  # SLOTS + SPREAD rows a version
-        out: dict[int, list[int]] = {}
-        for r in rows:
-            out.setdefault(r["version"], []).append(r["shard"])
-        return cls([np.array(out[v]) for v in sorted(out)])
+    def load(cls, spark, path: str) -> SlotMap | None:
+        """The map in the folder, or None where there is none."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/slots/_SUCCESS")
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return None
+        rows = spark.read.parquet(f"{path}/slots").orderBy("version", "vslot").collect()  # SLOTS + SPREAD rows, then those moved
+        home = np.array([r["shard"] for r in rows if r["version"] == 1])
+        out = cls([home])
+        for v in range(2, max(r["version"] for r in rows) + 1):
+            home = home.copy()
+            for r in rows:
+                if r["version"] == v:
+                    home[r["vslot"]] = r["shard"]
+            out.versions.append(home)
+        out.crowded = {r["key"]: r["version"] for r in spark.read.parquet(f"{path}/crowded").collect()}
+        return out
 
 
 def _measure(batches):
@@ -108,17 +145,20 @@ def _measure(batches):
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("uid"), pa.array(np.diff(off) + 1), pa.array(crc, pa.int64()), rows.column("key")], names=["doc_id", "uid", "size", "text_crc32", "key"])
 
 
-def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, spread: int = SPREAD, seed: int = 42, map_path: str | None = None) -> DataFrame:
-    """Put every row into a shard: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version.
+@dataclass
+class Sharding:
+    """rows as shard() gives them, the slot map with its last version, and the slots that this run moved."""
 
-    docs: doc_id long, text string; other columns are not read. size: UTF-8 bytes of the text (null: none) plus 1. The
-    law is `bytes`: the shards' sizes are near equal. slot counts a shard's rows from 0 without gaps, in the order of
-    virtual slots, then doc_id. The slot map is written to map_path, by default in the shared folder.
+    rows: DataFrame
+    map: SlotMap
+    moved: list[tuple[int, int, int]]
 
-    - Rows that repeat a doc_id, null doc_ids (last in their slot) and empty texts are placed like any other.
-    - Fewer rows than shards leave shards empty. No rows give no rows.
-    """
+
+def place(docs: DataFrame, shards: int = 16, slots: int = SLOTS, spread: int = SPREAD, seed: int = 42, map_path: str | None = None) -> Sharding:
+    """Put every row into a shard, see shard(). If map_path holds a map, it is loaded and edited, and the slots and spread
+    of its time are kept; else a new one is begun there (by default in the shared folder)."""
     spark = prepare(docs.sparkSession)
+    path = map_path or new_path(spark, "slot-map")
     text = F.col("text").cast("string").alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.monotonically_increasing_id().alias("uid"))
     rows = rows.withColumn("key", F.xxhash64(F.lit(seed), F.coalesce("text", F.lit(""))))
@@ -133,21 +173,26 @@ def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, spread: int = S
             out[:, r["vslot"]] = r["size"], r["n"]
         return out
 
+    known = SlotMap.load(spark, path) if map_path else None
+    made = known or SlotMap.fixed(slots + spread, shards)
+    if len(made.current) != slots + spread:
+        raise ValueError(f"the map in {path} has {len(made.current)} slots, not {slots + spread}")
+    since = len(made.versions) if known else 0
     first = totals(facts.select(own.alias("vslot"), "size"))
     limit = first.sum(axis=1) / (2 * shards)
     full = [int(s) for s in np.flatnonzero((first > limit[:, None]).any(axis=0))]
-    vslot = own
     if full and first[1].sum():
         texts = facts.where(own.isin(full)).groupBy("key").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-        crowded = [r["key"] for r in texts.where((F.col("size") > float(limit[0])) | (F.col("n") > float(limit[1]))).select("key").collect()]  # at most 4 * shards
-        if crowded:
-            apart = (F.lit(slots) + F.pmod(F.xxhash64(F.lit(seed), "key", "doc_id", "uid"), F.lit(spread))).cast("int")
-            vslot = F.when(F.col("key").isin(crowded), apart).otherwise(own)
+        for r in texts.where((F.col("size") > float(limit[0])) | (F.col("n") > float(limit[1]))).select("key").collect():  # at most 4 * shards
+            made.crowded.setdefault(r["key"], since + 1)
+    vslot = own
+    if made.crowded:
+        apart = (F.lit(slots) + F.pmod(F.xxhash64(F.lit(seed), "key", "doc_id", "uid"), F.lit(spread))).cast("int")
+        vslot = F.when(F.col("key").isin(list(made.crowded)), apart).otherwise(own)
     dealt = facts.withColumn("vslot", vslot)
     held = totals(dealt)
-    made = SlotMap.fixed(slots + spread, shards)
     made.rebalance(held[0], shards)
-    made.save(spark, map_path or new_path(spark, "slot-map"))
+    made.save(spark, path, since)
 
     home = made.current
     order = np.lexsort((np.arange(len(home)), home))
@@ -156,11 +201,35 @@ def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, spread: int = S
     run = np.cumsum(count) - count
     starts = np.searchsorted(home[order], np.arange(shards))
     before[order] = run - run[np.minimum(starts, len(run) - 1)][home[order]]
-    places = spark.createDataFrame([(int(s), int(home[s]), int(before[s])) for s in np.flatnonzero(held[1])], "vslot int, shard int, before long")
-    window = Window.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_last(), "uid")
+    parts = np.maximum(1, -(-held[1].astype(np.int64) // PART_ROWS))
+    places = spark.createDataFrame([(int(s), int(home[s]), int(before[s]), int(parts[s])) for s in np.flatnonzero(held[1])], "vslot int, shard int, before long, parts int")
     placed = dealt.join(F.broadcast(places), "vslot")  # at most slots + spread rows
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("before") + F.row_number().over(window) - 1).alias("slot"),
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "uid"), F.col("parts")).cast("int"))
+    inside = Window.partitionBy("vslot", "part").orderBy(F.col("doc_id").asc_nulls_last(), "uid")
+    number = F.col("before") + F.row_number().over(inside) - 1
+    if (parts > 1).any():
+        earlier = Window.partitionBy("vslot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for PART_ROWS rows
+        sums = placed.where("parts > 1").groupBy("vslot", "part").agg(F.count(F.lit(1)).alias("n"))
+        sums = sums.select("vslot", "part", F.sum("n").over(earlier).alias("skip"))
+        placed = placed.withColumn("number", number).join(sums, ["vslot", "part"], "left")
+        number = F.col("number") + F.coalesce("skip", F.lit(0))
+    rows = placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", number.alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(len(made.versions)).alias("map_version"),
     )
+    return Sharding(rows, made, made.moves() if known and len(made.versions) > since else [])
+
+
+def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, spread: int = SPREAD, seed: int = 42, map_path: str | None = None) -> DataFrame:
+    """Put every row into a shard: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version.
+
+    docs: doc_id long, text string; other columns are not read. size: UTF-8 bytes of the text (null: none) plus 1. The
+    law is `bytes`: the shards' sizes are near equal. slot counts a shard's rows from 0 without gaps, in the order of
+    virtual slots, within one by doc_id (slots of more than PART_ROWS rows in parts). place() also gives the map and what
+    moved.
+
+    - Equal texts share a shard unless their copies hold over half of a shard's bytes or rows.
+    - Rows that repeat a doc_id, null doc_ids (last in their slot or part) and empty texts are placed like any other.
+    - Fewer rows than shards leave shards empty. No rows give no rows. Texts are measured whole, in slices of many texts.
+    """
+    return place(docs, shards, slots, spread, seed, map_path).rows
