@@ -1,20 +1,24 @@
 """Substring dedup with two-stage suffix sorting, in parallel.
 
-A byte goes if a string of WINDOW bytes that covers it also starts in a document with a smaller doc_id. The suffixes of a
-corpus fit no single task, so windows (suffixes cut at WINDOW bytes) are dealt out by content: each window is led by the
+A byte goes if a string of `window` bytes that covers it also starts in a document with a smaller doc_id. The suffixes of
+a corpus fit no single task, so windows (suffixes cut at `window` bytes) are dealt out by content: each window is led by the
 least hash among the GRAM-byte strings in it, so equal windows have equal leaders, and neighbouring windows mostly share
 theirs. A maximal row of windows with one leader is a segment.
 
 1. Documents are packed into batches (compressed; the unit of all later steps) and written once.
 2. Leaders that occur in one document only cannot belong to a repeated window. Each batch sends its distinct leaders, with
-   the least and greatest doc_id, to buckets by hash; a bucket answers with one bit for each.
-3. Each batch sends the distinct segments of the repeated leaders, with their least doc_id, to buckets. A bucket sorts the
-   suffixes of its segments in two stages: suffixes smaller than their successor are sorted directly, all others are
-   induced by one scan over the buckets of first bytes. Neighbours in that order with WINDOW bytes in common form runs;
-   the least doc_id of a run owns its windows. The bucket answers with the owner of each window.
+   the least and greatest doc_id, to buckets by hash; a bucket answers with one bit for each, and another if the leader
+   is crowded: led by more than CROWD different segments, as a common phrase in ever new surroundings is.
+3. Each batch sends the distinct segments of the repeated leaders, with their least doc_id, to buckets; those of crowded
+   leaders go one window at a time, each by its own hash. A bucket sorts the suffixes of its segments in two stages:
+   suffixes smaller than their successor are sorted directly, all others are induced by one scan over the buckets of first
+   bytes. Then the common prefix of every two neighbours is measured: stretches with prefixes of `window` bytes or more are
+   equal windows, which the least doc_id among them owns. The bucket answers with the owner of each window.
 4. Each batch marks the windows owned by a smaller doc_id and measures what is left.
 
-A passage in any number of documents is one segment for each batch, so no bucket grows with the number of copies.
+A passage in any number of documents is one segment for each batch, and a phrase in any number of surroundings is dealt
+out by these, so no bucket grows with the copies of one string. A row is a (batch, bucket) pair: their number grows with
+the square of the input, from some 10 TB on until every leader is a row of its own.
 """
 
 from __future__ import annotations
@@ -29,11 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.batches import text_slices
+from lodestone.llm.xxh import xxh64
 from lodestone.plans.runtime import materialize, prepare
 
 WINDOW, GRAM = 50, 24
 #: Bytes of text in a batch, worked on at once, and for each bucket of leaders and of segments.
-BATCH, TILE, LEADERS, SEGMENTS = 2 << 20, 1 << 20, 48 << 20, 16 << 20
+BATCH, TILE, LEADERS, SEGMENTS = 2 << 20, 1 << 20, 48 << 20, 12 << 20
+#: Different segments of one leader, as far as batches differ in them, above which its windows are dealt out one by one.
+CROWD = 20_000
 #: Compression of texts, which are written once and dealt out twice.
 TEXT_LEVEL = 3
 NONE = np.iinfo(np.int64).max  # a null doc_id is larger than any other
@@ -72,22 +79,22 @@ def _numbers(data: np.ndarray, kind: str) -> np.ndarray:
     return np.ndarray((len(data) - size + 1,), kind, data, strides=(1,))
 
 
-def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments(data: np.ndarray, off: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window, number of windows, leader's hash) of every segment of the texts in data."""
     n = len(data)
     first, count, lead = [], [], []
     whole = np.zeros(n + 1, np.int8)  # positions at which a window starts
-    fits = np.diff(off) >= WINDOW
+    fits = np.diff(off) >= window
     whole[off[:-1][fits]] += 1
-    whole[off[1:][fits] - WINDOW + 1] -= 1
+    whole[off[1:][fits] - window + 1] -= 1
     starts = np.cumsum(whole[:n], dtype=np.int8).view(bool)
-    span = WINDOW - GRAM + 1
-    padded = np.concatenate((data, np.zeros(WINDOW + GRAM, np.uint8)))
+    span = window - GRAM + 1
+    padded = np.concatenate((data, np.zeros(window + GRAM, np.uint8)))
     with np.errstate(over="ignore"):
         for lo in range(0, n, TILE):
             hi = min(lo + TILE, n)
-            u = _numbers(padded[lo : hi + WINDOW + GRAM], "<u8")
-            m = hi - lo + WINDOW
+            u = _numbers(padded[lo : hi + window + GRAM], "<u8")
+            m = hi - lo + window
             h = u[:m] * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(32)
             h += u[8 : m + 8]
@@ -124,21 +131,26 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 # ---- two-stage suffix sorting ----
 
 
-def sorted_suffixes(text: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Window starts of the strings text[cut[i]:cut[i + 1]] (each of WINDOW bytes or more), in order of their windows.
+def _steps(window: int) -> list[int]:
+    """Offsets of 8-byte words that cover a window; the last may overlap the one before."""
+    return sorted({*range(0, window - 7, 8), window - 8})
 
-    Type B suffixes (smaller than their successor) are sorted directly by WINDOW bytes. Type A suffixes are induced: in
+
+def sorted_suffixes(text: np.ndarray, cut: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Window starts of the strings text[cut[i]:cut[i + 1]] (each of `window` bytes or more), in order of their windows.
+
+    Type B suffixes (smaller than their successor) are sorted directly by `window` bytes. Type A suffixes are induced: in
     a scan over buckets of first bytes, the predecessors of the suffixes placed so far come in their order.
     """
     n = len(text)
-    padded = np.concatenate((text, np.zeros(64, np.uint8)))
+    padded = np.concatenate((text, np.zeros(window + 8, np.uint8)))
     ends = np.zeros(n, bool)
     ends[cut[1:] - 1] = True
     differ = np.flatnonzero((padded[:n] != padded[1 : n + 1]) | ends)
     falls = ends[differ] | (text[differ] > padded[differ + 1])
     type_a = np.repeat(falls, np.diff(np.append(-1, differ)))
     # windows, and after the last window of a string what its induction needs: up to the first suffix of type B
-    last = cut[1:] - WINDOW
+    last = cut[1:] - window
     rises = np.append(np.flatnonzero(~type_a), n)
     stop = np.minimum(rises[np.searchsorted(rises, last)], cut[1:] - 1)
     edge = np.zeros(n + 1, np.int8)
@@ -150,8 +162,7 @@ def sorted_suffixes(text: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
     direct = np.flatnonzero(needed & ~type_a)
     big = _numbers(padded, ">u8")
-    keys = [_numbers(padded, ">u2")[direct + 48]] + [big[direct + 8 * k] for k in range(5, -1, -1)]
-    direct = direct[np.lexsort(keys)]
+    direct = direct[np.lexsort([big[direct + at] for at in reversed(_steps(window))])]
     at_byte = np.searchsorted(text[direct], np.arange(257))
 
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -187,22 +198,34 @@ def sorted_suffixes(text: np.ndarray, cut: np.ndarray) -> np.ndarray:
             out.append(placed)
     suffixes = np.concatenate(out) if out else np.zeros(0, np.int64)
     owner = np.searchsorted(cut, suffixes, side="right") - 1
-    return suffixes[suffixes <= cut[owner + 1] - WINDOW]
-
-
-def window_owners(text: np.ndarray, cut: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    return suffixes[suffixes <= cut[owner + 1] - window]
+
+
+def common_prefixes(text: np.ndarray, order: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Bytes that each suffix in order has in common with the one before, up to `window`; 0 for the first."""
+    big = _numbers(np.concatenate((text, np.zeros(window + 8, np.uint8))), ">u8")
+    out = np.zeros(len(order), np.int64)
+    open_ = np.arange(1, len(order))
+    for at in _steps(window):
+        differ = big[order[open_] + at] ^ big[order[open_ - 1] + at]
+        same = differ == 0
+        # leading equal bytes of the first words that differ
+        own, x = open_[~same], differ[~same]
+        equal = np.zeros(len(own), np.int64)
+        for k in range(1, 8):
+            equal += x < np.uint64(1) << np.uint64(64 - 8 * k)
+        out[own] = at + equal
+        open_ = open_[same]
+    out[open_] = window
+    return np.minimum(out, window)
+
+
+def window_owners(text: np.ndarray, cut: np.ndarray, owner: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """For each window of the strings, in text order, the least owner of a string that holds it."""
-    order = sorted_suffixes(text, cut)
-    padded = np.concatenate((text, np.zeros(64, np.uint8)))
-    same = np.ones(max(len(order) - 1, 0), bool)
-    for k in range(6):
-        x = _numbers(padded, "<u8")[order + 8 * k]
-        same &= x[1:] == x[:-1]
-    x = _numbers(padded, "<u2")[order + 48]
-    same &= x[1:] == x[:-1]
+    order = sorted_suffixes(text, cut, window)
     own = owner[np.searchsorted(cut, order, side="right") - 1]
     if len(order):
-        run = np.flatnonzero(np.append(True, ~same))
+        run = np.flatnonzero(common_prefixes(text, order, window) < window)
         own = np.repeat(np.minimum.reduceat(own, run), np.diff(np.append(run, len(order))))
     out = np.empty(len(text), np.int64)
     out[order] = own
@@ -261,9 +284,9 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]
         yield own
 
 
-def _leaders(data, off, ids):
+def _leaders(data, off, ids, window):
     """Distinct leaders of a batch in order of hash, with the least and greatest doc_id; and each segment's place."""
-    first, count, lead = segments(data, off)
+    first, count, lead = segments(data, off, window)
     doc = ids[np.searchsorted(off, first, side="right") - 1]
     order = np.argsort(lead, kind="stable")
     h, d = lead[order], doc[order]
@@ -275,139 +298,188 @@ def _leaders(data, off, ids):
     return first, count, place, doc, h[start], low, high
 
 
-def _ask_leaders(buckets: int, bits: int):
+def _variety(data, first, count, place, n, window):
+    """For each leader, its different segments in the batch (at most 255) and a byte that batches with the same ones share."""
+    h = xxh64(np.concatenate((data, np.zeros(8, np.uint8))), first, count + window - 1)
+    order = np.lexsort((h, place))
+    p, k = place[order], h[order]
+    new = np.append(True, (p[1:] != p[:-1]) | (k[1:] != k[:-1]))[: len(p)]
+    kinds = np.minimum(np.bincount(p[new], minlength=n), 255).astype(np.uint8)
+    least = k[np.flatnonzero(np.append(True, p[1:] != p[:-1])[: len(p)])]
+    return kinds, (least >> np.uint64(56)).astype(np.uint8)
+
+
+def _ask_leaders(buckets: int, bits: int, window: int):
     def run(batches):
         for row in _rows(batches):
-            *_, h, low, high = _leaders(*_text(row))
+            data, off, ids = _text(row)
+            first, count, place, _, h, low, high = _leaders(data, off, ids, window)
+            kinds, sign = _variety(data, first, count, place, len(h), window)
             at = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(at)):
                 p = slice(at[b], at[b + 1])
-                yield _row(row["batch_id"], TEXT, int(b), _squeeze(h[p] >> np.uint64(64 - bits), low[p], high[p] - low[p]))
+                yield _row(row["batch_id"], TEXT, int(b), _squeeze(h[p] >> np.uint64(64 - bits), low[p], high[p] - low[p], kinds[p], sign[p]))
 
     return run
 
 
-def _answer_leaders(batches):
-    for own in _groups(batches, "part"):
-        parts = [_expand(r["blob"], "<u8", "<i8", "<i8") for r in own]
-        h, low, high = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        high += low
-        order = np.argsort(h, kind="stable")
-        k = h[order]
-        start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        many = np.minimum.reduceat(low[order], start) != np.maximum.reduceat(high[order], start)
-        flag = np.empty(len(h), bool)
-        flag[order] = np.repeat(many, np.diff(np.append(start, len(h))))
-        at = 0
-        for r, p in zip(own, parts, strict=True):
-            yield _row(r["batch_id"], REPEATED, r["part"], np.packbits(flag[at : at + len(p[0])]).tobytes())
-            at += len(p[0])
-
-
-def _ask_segments(leader_buckets: int, buckets: int):
+def _answer_leaders(crowd: int):
+    def run(batches):
+        for own in _groups(batches, "part"):
+            parts = [_expand(r["blob"], "<u8", "<i8", "<i8", "u1", "u1") for r in own]
+            h, low, high, kinds, sign = (np.concatenate([p[k] for p in parts]) for k in range(5))
+            high += low
+            order = np.argsort(h, kind="stable")
+            k = h[order]
+            start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            size = np.diff(np.append(start, len(h)))
+            many = np.minimum.reduceat(low[order], start) != np.maximum.reduceat(high[order], start)
+            # different segments, but for those of the batches that agree most
+            total = np.add.reduceat(kinds[order], start, dtype=np.int64)
+            full = np.zeros(len(start), bool)
+            for i in np.flatnonzero(total > crowd):
+                run_ = order[start[i] : start[i] + size[i]]
+                by_sign = np.bincount(sign[run_], weights=kinds[run_], minlength=256)
+                alike = int(by_sign.argmax())
+                full[i] = total[i] - by_sign[alike] + kinds[run_][sign[run_] == alike].max() > crowd
+            flag = np.empty((2, len(h)), bool)
+            for f, x in zip(flag, (many, full), strict=True):
+                f[order] = np.repeat(x, size)
+            at = 0
+            for r, p in zip(own, parts, strict=True):
+                bits = np.concatenate((flag[0, at : at + len(p[0])], flag[1, at : at + len(p[0])]))
+                yield _row(r["batch_id"], REPEATED, r["part"], zstandard.compress(np.packbits(bits).tobytes(), 1))
+                at += len(p[0])
+
+    return run
+
+
+def _ask_segments(leader_buckets: int, buckets: int, window: int):
     def run(batches):
         for own in _groups(batches, "batch_id"):
             data, off, ids = _text(own[0])
-            first, count, place, doc, h, *_ = _leaders(data, off, ids)
-            flags = np.zeros(len(h), bool)
+            first, count, place, doc, h, *_ = _leaders(data, off, ids, window)
+            many, full = np.zeros(len(h), bool), np.zeros(len(h), bool)
             at = np.searchsorted(_bucket(h, leader_buckets), np.arange(leader_buckets + 1))
             for r in own[1:]:
                 a, b = at[r["part"]], at[r["part"] + 1]
-                flags[a:b] = np.unpackbits(np.frombuffer(r["blob"], np.uint8), count=b - a).view(bool)
-            pick = np.flatnonzero(flags[place])
+                bits = np.unpackbits(np.frombuffer(zstandard.decompress(r["blob"]), np.uint8), count=2 * (b - a)).view(bool)
+                many[a:b], full[a:b] = bits[: b - a], bits[b - a :]
+            pick = np.flatnonzero(many[place])
             if not len(pick):
                 continue
-            pick = pick[np.argsort(place[pick], kind="stable")]  # by hash, hence by bucket
+            key, first, count, doc, crowded = h[place[pick]], first[pick], count[pick], doc[pick], (many & full)[place[pick]]
+            if crowded.any():  # one segment for each window, under a hash of its own
+                alone = np.flatnonzero(crowded)
+                each = np.repeat(alone, count[alone])
+                at = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(count[alone]) - count[alone], count[alone])
+                hashed = xxh64(np.concatenate((data, np.zeros(8, np.uint8))), at, np.full(len(at), window))
+                key, first, doc = (np.concatenate((x[~crowded], y)) for x, y in ((key, hashed), (first, at), (doc, doc[each])))
+                count = np.concatenate((count[~crowded], np.ones(len(each), np.int64)))
+            order = np.argsort(key, kind="stable")  # hence by bucket
+            key, first, count, doc = key[order], first[order], count[order], doc[order]
             raw = data.tobytes()
             seen: dict[bytes, int] = {}
-            seg = np.empty(len(pick), np.int64)
-            for i, (a, n) in enumerate(zip(first[pick].tolist(), count[pick].tolist(), strict=True)):
-                seg[i] = seen.setdefault(raw[a : a + n + WINDOW - 1], len(seen))
+            seg = np.empty(len(key), np.int64)
+            for i, (a, n) in enumerate(zip(first.tolist(), count.tolist(), strict=True)):
+                seg[i] = seen.setdefault(raw[a : a + n + window - 1], len(seen))
             least = np.full(len(seen), NONE)
-            np.minimum.at(least, seg, doc[pick])
+            np.minimum.at(least, seg, doc)
             lead = np.empty(len(seen), np.uint64)
-            lead[seg] = h[place[pick]]
+            lead[seg] = key
             texts = list(seen)
-            yield _row(own[0]["batch_id"], PLACES, 0, _squeeze(first[pick], seg))
+            yield _row(own[0]["batch_id"], PLACES, 0, _squeeze(first, seg))
             cut = np.searchsorted(_bucket(lead, buckets), np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cut)):
                 p = slice(cut[b], cut[b + 1])
-                sizes = np.array([len(x) for x in texts[p]], np.uint8)  # under WINDOW + WINDOW - GRAM
-                yield _row(own[0]["batch_id"], ASKED, int(b), zstandard.compress(b"".join(texts[p]), TEXT_LEVEL), 0, _squeeze(least[p]), sizes.tobytes())
+                sizes = np.array([len(x) for x in texts[p]], np.uint16)
+                yield _row(own[0]["batch_id"], ASKED, int(b), zstandard.compress(b"".join(texts[p]), TEXT_LEVEL), 0, _squeeze(least[p]), _squeeze(sizes))
+
+    return run
+
+
+def _answer_segments(window: int):
+    def run(batches):
+        for own in _groups(batches, "part"):
+            seen: dict[bytes, int] = {}
+            which, low = [], []
+            for r in own:
+                raw, size = zstandard.decompress(r["blob"]), _expand(r["sizes"], "<u2")[0].astype(np.int64)
+                end = np.cumsum(size).tolist()
+                which.append(np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip([0, *end[:-1]], end, strict=True)]))
+                low.append(_expand(r["ids"], "<i8")[0])
+            least = np.full(len(seen), NONE)
+            np.minimum.at(least, np.concatenate(which), np.concatenate(low))
+            text = np.frombuffer(b"".join(seen), np.uint8)
+            size = np.array([len(x) for x in seen])
+            seen.clear()
+            owners = window_owners(text, np.append(0, np.cumsum(size)), least, window)
+            windows = size - window + 1
+            start = np.cumsum(windows) - windows
+            for r, w in zip(own, which, strict=True):
+                n = windows[w]
+                index = np.repeat(start[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                yield _row(r["batch_id"], OWNERS, r["part"], _squeeze(owners[index]), 0, None, _squeeze(n.astype(np.uint16)))
+
+    return run
+
+
+def _measure(window: int):
+    def run(batches):
+        for own in _groups(batches, "batch_id"):
+            data, off, ids = _text(own[0])
+            # windows start once at a place, so at most `window` cover a byte
+            edge = np.zeros(len(data) + 1, np.int8 if window < 128 else np.int16 if window < 1 << 15 else np.int32)
+            if len(own) > 1:
+                first, seg = _expand(own[1]["blob"], "<i8", "<i8")
+                owner = np.concatenate([_expand(r["blob"], "<i8")[0] for r in own[2:]])
+                n = np.concatenate([_expand(r["sizes"], "<u2")[0] for r in own[2:]]).astype(np.int64)
+                start = np.cumsum(n) - n
+                doc = ids[np.searchsorted(off, first, side="right") - 1]
+                for lo in range(0, len(first), 1 << 16):
+                    p = slice(lo, lo + (1 << 16))
+                    size = n[seg[p]]
+                    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                    hit = owner[np.repeat(start[seg[p]], size) + step] < np.repeat(doc[p], size)
+                    at = (np.repeat(first[p], size) + step)[hit]
+                    edge[at] += 1
+                    edge[at + window] -= 1
+            gone = np.cumsum(edge[:-1], dtype=edge.dtype) > 0
+            cut = np.zeros(len(data) + 2, bool)  # whether each byte goes, between two that stay
+            cut[1:-1] = gone
+            some = off[:-1] < off[1:]
+            heads = off[:-1][some]
+            first = np.zeros(len(data) + 1, bool)
+            first[heads] = True
+            begin = np.flatnonzero(gone & (~cut[:-2] | first[:-1]))
+            end = np.flatnonzero(gone & (~cut[2:] | first[1:])) + 1
+            left = np.diff(off)
+            if len(heads):
+                left[some] -= np.add.reduceat(gone, heads, dtype=np.int64)
+            kept_off = np.append(0, np.cumsum(left)).astype(np.int32)
+            kept = pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(kept_off), pa.py_buffer(np.ascontiguousarray(data[~gone]))])
+            home = off[np.searchsorted(off, begin, side="right") - 1]
+            pairs = pa.StructArray.from_arrays([pa.array(begin - home), pa.array(end - home)], ["start", "stop"])
+            spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, off).astype(np.int32)), pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NONE), pa.array(np.diff(off)), kept, spans], names=["doc_id", "n_bytes", "kept", "spans"])
 
     return run
 
 
-def _answer_segments(batches):
-    for own in _groups(batches, "part"):
-        seen: dict[bytes, int] = {}
-        which, low = [], []
-        for r in own:
-            raw, size = zstandard.decompress(r["blob"]), np.frombuffer(r["sizes"], np.uint8).astype(np.int64)
-            end = np.cumsum(size).tolist()
-            which.append(np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip([0, *end[:-1]], end, strict=True)]))
-            low.append(_expand(r["ids"], "<i8")[0])
-        least = np.full(len(seen), NONE)
-        np.minimum.at(least, np.concatenate(which), np.concatenate(low))
-        text = np.frombuffer(b"".join(seen), np.uint8)
-        size = np.array([len(x) for x in seen])
-        seen.clear()
-        owners = window_owners(text, np.append(0, np.cumsum(size)), least)
-        windows = size - WINDOW + 1
-        start = np.cumsum(windows) - windows
-        for r, w in zip(own, which, strict=True):
-            n = windows[w]
-            index = np.repeat(start[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            yield _row(r["batch_id"], OWNERS, r["part"], _squeeze(owners[index]), 0, None, n.astype(np.uint8).tobytes())
-
-
-def _measure(batches):
-    for own in _groups(batches, "batch_id"):
-        data, off, ids = _text(own[0])
-        edge = np.zeros(len(data) + 1, np.int32)
-        if len(own) > 1:
-            first, seg = _expand(own[1]["blob"], "<i8", "<i8")
-            owner = np.concatenate([_expand(r["blob"], "<i8")[0] for r in own[2:]])
-            n = np.concatenate([np.frombuffer(r["sizes"], np.uint8) for r in own[2:]]).astype(np.int64)
-            start = np.cumsum(n) - n
-            doc = ids[np.searchsorted(off, first, side="right") - 1]
-            for lo in range(0, len(first), 1 << 16):
-                p = slice(lo, lo + (1 << 16))
-                size = n[seg[p]]
-                step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                hit = owner[np.repeat(start[seg[p]], size) + step] < np.repeat(doc[p], size)
-                at = (np.repeat(first[p], size) + step)[hit]
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + WINDOW, -1)
-        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
-        cut = np.zeros(len(data) + 2, bool)  # whether each byte goes, between two that stay
-        cut[1:-1] = gone
-        heads = off[:-1][off[:-1] < off[1:]]
-        first = np.zeros(len(data) + 1, bool)
-        first[heads] = True
-        begin = np.flatnonzero(gone & (~cut[:-2] | first[:-1]))
-        end = np.flatnonzero(gone & (~cut[2:] | first[1:])) + 1
-        run = np.concatenate(([0], np.cumsum(gone, dtype=np.int64)))
-        kept_off = (off - run[off]).astype(np.int32)
-        left = np.ascontiguousarray(data[~gone])
-        kept = pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(kept_off), pa.py_buffer(left)])
-        home = off[np.searchsorted(off, begin, side="right") - 1]
-        pairs = pa.StructArray.from_arrays([pa.array(begin - home), pa.array(end - home)], ["start", "stop"])
-        spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, off).astype(np.int32)), pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NONE), pa.array(np.diff(off)), kept, spans], names=["doc_id", "n_bytes", "kept", "spans"])
-
-
-def cut_repeats(docs: DataFrame) -> DataFrame:
+def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """What substring dedup leaves of every row: doc_id, n_bytes, kept (the bytes that stay) and spans (start and stop, in
     bytes, of each stretch that went).
 
     docs: doc_id long, text string (as UTF-8; null is empty); other columns are not read. Each byte goes that is covered by
-    a string of WINDOW bytes which also starts in a document with a smaller doc_id. Matches do not cross documents;
-    matches overlap freely and are judged on the input.
+    a string of `window` bytes (32 or more) which also starts in a document with a smaller doc_id. Matches do not cross
+    documents; matches overlap freely and are judged on the input.
 
     - Rows that share a doc_id are not smaller than one another: neither loses bytes for the other's sake.
-    - A null doc_id is larger than all others. A text under WINDOW bytes loses nothing. No rows give no rows.
+    - A null doc_id is larger than all others. A text under `window` bytes loses nothing. No rows give no rows.
+    - A text longer than BATCH is a batch of its own: memory grows to some ten times the longest text.
     """
+    if window < 32:
+        raise ValueError("the window must have 32 bytes or more")
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = materialize(rows.mapInArrow(_pack, _SCHEMA), "suffix-batches", "uncompressed")
@@ -418,15 +490,15 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     def dealt(df: DataFrame, key: str) -> DataFrame:
         return df.repartition(key).sortWithinPartitions(key, "kind", "part", "batch_id")
 
-    leaders = dealt(packed.mapInArrow(_ask_leaders(leader_buckets, bits), _SCHEMA), "part")
-    repeated = leaders.mapInArrow(_answer_leaders, _SCHEMA)
-    asked = materialize(dealt(packed.unionByName(repeated), "batch_id").mapInArrow(_ask_segments(leader_buckets, buckets), _SCHEMA), "suffix-segments", "uncompressed")
-    owners = dealt(asked.where(F.col("kind") == ASKED), "part").mapInArrow(_answer_segments, _SCHEMA)
+    leaders = dealt(packed.mapInArrow(_ask_leaders(leader_buckets, bits, window), _SCHEMA), "part")
+    repeated = leaders.mapInArrow(_answer_leaders(CROWD), _SCHEMA)
+    asked = materialize(dealt(packed.unionByName(repeated), "batch_id").mapInArrow(_ask_segments(leader_buckets, buckets, window), _SCHEMA), "suffix-segments", "uncompressed")
+    owners = dealt(asked.where(F.col("kind") == ASKED), "part").mapInArrow(_answer_segments(window), _SCHEMA)
     back = packed.unionByName(asked.where(F.col("kind") == PLACES)).unionByName(owners)
-    return dealt(back, "batch_id").mapInArrow(_measure, "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, stop: long>>")
+    return dealt(back, "batch_id").mapInArrow(_measure(window), "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, stop: long>>")
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Digests of cut_repeats(): doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     removed = (F.col("n_bytes") - F.length("kept")).alias("n_removed")
-    return cut_repeats(docs).select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return cut_repeats(docs, window).select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

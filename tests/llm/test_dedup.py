@@ -194,20 +194,29 @@ def test_sorted_suffixes():
         assert windows == sorted(every)
 
 
-def cut_down(rows):
+def test_common_prefixes():
+    rng = random.Random(6)
+    for window in (32, 50, 64):
+        raw = bytes(rng.choice(b"ab") for _ in range(400)) * 2
+        order = np.array(sorted(range(len(raw) - window), key=lambda i: raw[i : i + window]))
+        plain = [0] + [next((k for k in range(window) if raw[a + k] != raw[b + k]), window) for a, b in zip(order, order[1:], strict=False)]
+        assert suffix_dedup.common_prefixes(np.frombuffer(raw, np.uint8), order, window).tolist() == plain
+
+
+def cut_down(rows, window=50):
     first = {}
     top = 2**63 - 1
     for i, t in rows:
         raw = (t or "").encode()
-        for k in range(len(raw) - 49):
-            first[raw[k : k + 50]] = min(first.get(raw[k : k + 50], top), top if i is None else i)
+        for k in range(len(raw) - window + 1):
+            first[raw[k : k + window]] = min(first.get(raw[k : k + window], top), top if i is None else i)
     out = []
     for i, t in rows:
         raw = (t or "").encode()
         gone = np.zeros(len(raw), bool)
-        for k in range(len(raw) - 49):
-            if first[raw[k : k + 50]] < (top if i is None else i):
-                gone[k : k + 50] = True
+        for k in range(len(raw) - window + 1):
+            if first[raw[k : k + window]] < (top if i is None else i):
+                gone[k : k + window] = True
         spans = int((gone & ~np.append(False, gone[:-1])[: len(gone)]).sum())
         out.append((i, len(raw), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()))
     return sorted(out, key=repr)
@@ -228,3 +237,51 @@ def test_suffix_dedup(spark, monkeypatch, batch):
 def test_suffix_dedup_table(spark):
     got = QUERIES["op4_suffix_dedup"](spark, f"{DATA}/sf0.001")
     assert sorted(map(tuple, got.collect()), key=repr) == cut_down(documents("sf0.001"))
+
+
+@pytest.mark.parametrize(("crowd", "window"), [(20_000, 50), (5, 50), (5, 37)])
+def test_one_phrase_in_many_surroundings(spark, monkeypatch, crowd, window):
+    """A common phrase alone is no repeat; with enough of its surroundings it is. Crowded leaders go window by window."""
+    monkeypatch.setattr(suffix_dedup, "BATCH", 3000)
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    rng = random.Random(8)
+    words = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase, longer = "a phrase of thirty bytes, as is", "a passage of some seventy bytes that stands in ever new surroundings, too"
+    rows = [(i, words(rng.randrange(60)) + phrase + words(rng.randrange(60))) for i in range(300)]
+    rows += [(300 + i, words(30) + longer + words(30)) for i in range(120)] + [(500, rows[7][1]), (501, rows[9][1] + "x")]
+    split = []
+    plain = suffix_dedup._answer_segments
+
+    def watched(window):
+        split.append(window)
+        return plain(window)
+
+    monkeypatch.setattr(suffix_dedup, "_answer_segments", watched)
+    df = spark.createDataFrame(rows, KIND).repartition(4)
+    assert sorted(map(tuple, suffix_dedup.suffix_dedup(df, window).collect()), key=repr) == cut_down(rows, window)
+    assert split == [window]
+
+
+def test_crowded_leaders_are_found():
+    rng = random.Random(9)
+    words = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase = "a passage of some seventy bytes that stands in ever new surroundings, too"
+    rows = []
+    for b in range(8):
+        texts = [(words(30) + phrase + words(30)).encode() for _ in range(6)] + [b"the same text in all of the batches, and hence one segment for each leader"]
+        data, off = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+        ids = np.arange(len(texts)) + 10 * b
+        first, count, place, _, h, low, high = suffix_dedup._leaders(data, off, ids, 50)
+        kinds, sign = suffix_dedup._variety(data, first, count, place, len(h), 50)
+        rows.append(suffix_dedup._row(b, 0, 0, suffix_dedup._squeeze(h, low, high - low, kinds, sign)))
+    full = {}
+    for crowd in (3, 20, 1000):
+        flags = []
+        for out in suffix_dedup._answer_leaders(crowd)(iter(rows)):
+            r = out.to_pylist()[0]
+            n = len(suffix_dedup._expand(rows[r["batch_id"]].column("blob")[0].as_py(), "<u8", "<i8", "<i8", "u1", "u1")[0])
+            bits = np.unpackbits(np.frombuffer(suffix_dedup.zstandard.decompress(r["blob"]), np.uint8), count=2 * n)
+            flags.append((int(bits[:n].sum()), int(bits[n:].sum())))
+        full[crowd] = [f for _, f in flags]
+        assert all(many > 0 for many, _ in flags)
+    assert all(0 < x < 8 for x in full[20]) and not any(full[1000])  # leaders of the passage's ends; copies are no crowd

@@ -274,8 +274,43 @@ def test_slot_map(spark, tmp_path):
     moved = made.rebalance(size, 8)
     load = np.bincount(made.current, weights=size, minlength=8)
     assert 0 < moved < 100 and load.max() - load.min() <= 0.01 * load.mean() + 1
+    made.crowded[77] = 2
     made.save(spark, str(tmp_path / "map"))
-    assert all((a == b).all() for a, b in zip(sharding.SlotMap.load(spark, str(tmp_path / "map")).versions, made.versions, strict=True))
+    assert sharding.SlotMap.load(spark, str(tmp_path / "none")) is None
+    loaded = sharding.SlotMap.load(spark, str(tmp_path / "map"))
+    assert len(loaded.versions) == 2 and all((a == b).all() for a, b in zip(loaded.versions, made.versions, strict=True)) and loaded.crowded == {77: 2}
+    assert loaded.rebalance(size, 8) == 0 and len(loaded.versions) == 2
+    assert loaded.rebalance(size, 6) > 0 and loaded.current.max() == 5
+    loaded.save(spark, str(tmp_path / "map"), 2)
+    again = sharding.SlotMap.load(spark, str(tmp_path / "map"))
+    assert len(again.versions) == 3 and (again.current == loaded.current).all() and again.moves() == loaded.moves()
+
+
+def test_second_run_moves_only_the_slots_it_names(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text")
+    path, keys = str(tmp_path / "map"), ["doc_id", "text_crc32", "size"]
+    one = sharding.place(docs, map_path=path)
+    first = one.rows.toPandas()
+    assert not one.moved and len(one.map.versions) == 2
+    same = sharding.place(docs, map_path=path)
+    assert not same.moved and same.rows.toPandas().set_index(keys).shard.sort_index().equals(first.set_index(keys).shard.sort_index())
+    grown = docs.unionByName(docs.where("doc_id % 3 = 0").selectExpr("doc_id + 100000 AS doc_id", "concat(text, ' and more of it') AS text"))
+    two = sharding.place(grown, map_path=path)
+    second = two.rows.toPandas()
+    size = second.groupby("shard")["size"].sum()
+    assert size.max() - size.min() < 0.01 * size.mean()
+    moved = {s for s, _, _ in two.moved}
+    both = first.merge(second, on=keys, suffixes=("", "_new"))
+    assert len(both) >= len(first) and (both.vslot == both.vslot_new).all()
+    assert set(both[both.shard != both.shard_new].vslot) <= moved and 0 < len(moved) < 2000
+    assert {(r.vslot, r.shard, r.shard_new) for r in both.itertuples() if r.shard != r.shard_new} <= set(two.moved)
+
+
+def test_large_slots_are_numbered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 50)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id % 9) AS text")
+    got = sharding.shard(docs, 4, 8, 8).toPandas()
+    assert all(sorted(x) == list(range(len(x))) for _, x in got.groupby("shard")["slot"]) and len(got) == 3000
 
 
 def test_sharding_edges(spark, edges):
