@@ -10,20 +10,24 @@ from pyspark.sql import functions as F
 
 from lodestone.config import Settings
 from lodestone.functions.pii import RULES
+from lodestone.log import get_logger
 from lodestone.operators.dedup import dedup_stats
-from lodestone.operators.embed import Embedder, HashingEmbedder
+from lodestone.operators.embed import Embedder, HashingEmbedder, Progress, warm_up
 from lodestone.operators.evaluate import hit_rates, hits
 from lodestone.operators.fusion import Reranker
 from lodestone.operators.retrieval import hybrid_retrieve
 from lodestone.operators.store import ChunkStore
 from lodestone.plans.agent import Answerer, Chat
-from lodestone.plans.runtime import prepare
+from lodestone.plans.runtime import prepare, scratch
 from lodestone.retry import retry_with_backoff
 from lodestone.sources.files import load_chunks, read_files, uploads
 from lodestone.sources.ocr import OCRProvider
 from lodestone.sources.registry import describe
 
 
+log = get_logger("lodestone.engine")
+
+
 @dataclass(frozen=True)
 class IngestResult:
     added: int
@@ -57,24 +61,30 @@ class Engine:
         self.store = ChunkStore(spark, root or self.settings.chroma_dir, self.embedder, self.settings.collection_name)
         self._chat = retry_with_backoff(max_retries=3)(chat) if chat else None
 
+    def warm_up(self) -> None:
+        """Load the models and the search index, so that the first question does not wait for them."""
+        warm_up(self.embedder, self.reranker)
+        self.store.collection()
+        log.info("ready: %d chunks", self.store.count())
+
     # ---- documents ----
 
-    def ingest(self, paths: list[str], names: list[str] | None = None) -> IngestResult:
-        return self._ingest(read_files(self.spark, paths), names)
+    def ingest(self, paths: list[str], names: list[str] | None = None, progress: Progress | None = None) -> IngestResult:
+        """Add files; progress(done, total) is called as chunks are embedded."""
+        return self._ingest(read_files(self.spark, paths), names, progress)
 
-    def ingest_bytes(self, files: list[tuple[str, bytes]]) -> IngestResult:
+    def ingest_bytes(self, files: list[tuple[str, bytes]], progress: Progress | None = None) -> IngestResult:
         if not files:
             raise ValueError("no files given")
-        return self._ingest(uploads(self.spark, files), None)
+        return self._ingest(uploads(self.spark, files), None, progress)
 
-    def _ingest(self, files: DataFrame, names: list[str] | None) -> IngestResult:
-        every, kept = load_chunks(files, self.settings, self.ocr, names=names)
-        every = every.cache()
-        try:
-            skipped = dedup_stats(every, ["content_hash"]).first()["skipped"]
-            return IngestResult(self.store.add(kept), int(skipped), self.store.count())
-        finally:
-            every.unpersist()
+    def _ingest(self, files: DataFrame, names: list[str] | None, progress: Progress | None) -> IngestResult:
+        with scratch():
+            every, kept = load_chunks(files, self.settings, self.ocr, names=names)
+            skipped = int(dedup_stats(every, ["content_hash"]).first()["skipped"])
+            got = IngestResult(self.store.add(kept, progress), skipped, self.store.count())
+        log.info("ingest: %d added or replaced, %d skipped, %d in all", got.added, got.skipped_duplicates, got.total_chunks)
+        return got
 
     def list_sources(self) -> DataFrame:
         return self.store.sources()
@@ -99,7 +109,7 @@ class Engine:
 
     def retrieve(self, queries: DataFrame, top_k: int | None = None, threshold: float | None = None) -> DataFrame:
         """queries (query_id, text) to query_id, rank, text, source, score: one plan for all."""
-        return hybrid_retrieve(self.store.read(), queries, self.embedder, top_k, threshold, self.reranker, self.settings)
+        return hybrid_retrieve(self.store.collection(), queries, self.embedder, top_k, threshold, self.reranker, self.settings)
 
     def search(self, questions: list[str], top_k: int | None = None, threshold: float | None = None) -> list[list[dict]]:
         queries = self.spark.createDataFrame(list(enumerate(questions)), "query_id long, text string")

@@ -1,29 +1,41 @@
-"""BM25 over a batch of questions.
+"""BM25 over a batch of questions, from a postings index.
 
 idf = ln(N - n + 0.5) - ln(n + 0.5); where that is negative it is EPSILON times the mean idf of the vocabulary. A token
-that a question repeats counts as often. Postings of tokens that no question holds are dropped before any shuffle.
+that a question repeats counts as often.
+
+The index is one row for each token of each block of documents: which documents of the block hold it, how often, and their
+lengths. It is built where the texts are read, without a shuffle, and sorted by token, so that a search skips the pages of
+tokens nobody asked for. A search brings the rows of a block together, adds up the scores of all questions over the
+block's documents, and passes on each task's best k: pairs of questions and documents are never rows.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.dense import QUERY_BLOCK, SPARE, top_k
+from lodestone.operators.best import SCHEMA, SPARE, Best
+from lodestone.operators.dense import QUERY_BLOCK, passes, top_k
+from lodestone.plans.runtime import materialize
 
 #: The constants of BM25.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Words, single Han characters and single other marks; case is kept.
 TOKENS = r"[A-Za-z0-9]+|[一-鿿]|[^\sA-Za-z0-9]"
-#: Distinct question tokens up to which they are sent to every task; beyond, both sides are shuffled.
-BROADCAST_TOKENS = 200_000
-#: Distinct question tokens up to which questions become a matrix.
-MATRIX_TOKENS = 50_000
+#: Documents of a block.
+BLOCK = 8192
+#: Questions of one pass over the postings: their tokens and weights go to every task.
+PASS_QUESTIONS = 5_000
+#: Asked tokens up to which the scan is filtered by them.
+PUSHED_TOKENS = 200
+
+POSTINGS = "block long, tok string, n long, total long, ids binary, tfs binary, lens binary"
 
 
 def tokens(c: Column) -> Column:
@@ -32,82 +44,169 @@ def tokens(c: Column) -> Column:
 
 @dataclass
 class Corpus:
-    """rows: id and its tokens; vocabulary: tok, df, idf; size: one row with n and avgdl."""
+    """vocabulary: tok, df, idf; n documents of `length` tokens together."""
 
-    rows: DataFrame
     vocabulary: DataFrame
-    size: DataFrame
+    n: int
+    length: int
+
+
+def weigh(counts: DataFrame, n: int) -> DataFrame:
+    """counts (tok, df) with idf for n documents."""
+    raw = counts.withColumn("raw", F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+    mean = raw.agg(F.coalesce(F.avg("raw"), F.lit(0.0))).first()[0]
+    return raw.select("tok", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
 
 
 def corpus(docs: DataFrame, id_col: str = "id", tokenizer=tokens) -> Corpus:
     """Statistics of docs (id_col, text). Counts are combined before they are shuffled."""
+    rows = docs.select(tokenizer(F.col("text")).alias("toks"))
+    n, length = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("toks")), F.lit(0))).first()
+    counts = rows.select(F.explode(F.array_distinct("toks")).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    return Corpus(weigh(counts, n), n, length)
+
+
+# ---- the index ----
+
+
+def _invert(segment: int):
+    def run(batches):
+        block, held, rows = (segment << 48) | (TaskContext.get().partitionId() << 24), [], 0
+
+        def flush():
+            table = pa.Table.from_batches(held).combine_chunks()
+            toks = table.column("toks").combine_chunks()
+            if isinstance(toks, pa.ChunkedArray):
+                toks = toks.chunk(0)
+            size = np.diff(toks.offsets.to_numpy())
+            words = toks.flatten().dictionary_encode()
+            if not len(words):
+                return
+            code, doc = words.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(size)), size)
+            pair, tf = np.unique(code * len(size) + doc, return_counts=True)
+            code, doc = pair // len(size), pair % len(size)
+            ids = table.column("id").to_numpy()
+            start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            cut = np.append(start, len(code))
+
+            def packed(values, kind):
+                flat = np.ascontiguousarray(values.astype(kind))
+                return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((cut * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
+
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(start), block)), words.dictionary.take(pa.array(code[start])), pa.array(np.diff(cut)), pa.array(np.add.reduceat(tf, start)), packed(ids[doc], "<i8"), packed(tf, "<i4"), packed(size[doc], "<i4")],
+                names=["block", "tok", "n", "total", "ids", "tfs", "lens"],
+            )
+
+        for batch in batches:
+            for lo in range(0, len(batch), BLOCK):
+                part = batch.slice(lo, BLOCK)
+                if rows + len(part) > BLOCK:
+                    yield from flush()
+                    block, held, rows = block + 1, [], 0
+                held.append(part)
+                rows += len(part)
+        if rows:
+            yield from flush()
+
+    return run
+
+
+def invert(docs: DataFrame, id_col: str = "id", tokenizer=tokens, segment: int = 0) -> DataFrame:
+    """The postings of docs (id_col long, unique; text), each task's sorted by token. segment keeps blocks of several
+    tables apart."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), tokenizer(F.col("text")).alias("toks"))
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl"))
-    df = rows.select(F.explode(F.array_distinct("toks")).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(F.broadcast(size.select("n"))).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))  # size has one row
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("tok", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Corpus(rows, idf, size)
-
-
-def bm25_scores(index: Corpus, queries: DataFrame, tokenizer=tokens) -> DataFrame:
-    """query_id, id, score of every document that shares a token with the question. queries: query_id, text."""
-    asked = queries.select("query_id", F.explode(tokenizer(F.col("text"))).alias("tok")).groupBy("query_id", "tok").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = asked.select("tok").distinct()
-    if wanted.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS:
-        wanted = F.broadcast(wanted)
-    dl = F.size("toks").alias("dl")
-    posts = index.rows.select("id", dl, F.explode("toks").alias("tok")).join(wanted, "tok", "left_semi").groupBy("id", "tok", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = posts.join(index.vocabulary, "tok").crossJoin(F.broadcast(index.size.select("avgdl")))
-    part = F.col("idf") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    return weighed.select("id", "tok", part.alias("part")).join(asked, "tok").groupBy("query_id", "id").agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score"))
+    return rows.mapInArrow(_invert(segment), POSTINGS).sortWithinPartitions("tok", "block")
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "id", tokenizer=tokens) -> DataFrame:
-    """query_id, id, score above 0, rank. Ties go to the smaller id, which stands for the order of insertion.
-
-    A batch of questions is a matrix of token weights. Each batch of documents is multiplied with it where it is read and
-    keeps its best k for each question, so common tokens make no joined rows. Questions with more distinct tokens than
-    MATRIX_TOKENS, and other tokenizers, go by the joins of bm25_scores.
-    """
-    index = corpus(docs, id_col, tokenizer)
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(tokenizer(F.col("text"))).alias("tok")).groupBy("query_id", "tok").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = asked.groupBy("tok").agg(F.count(F.lit(1)).alias("questions"))
-    if tokenizer is not tokens or wanted.limit(MATRIX_TOKENS + 1).count() > MATRIX_TOKENS:
-        return top_k(bm25_scores(index, queries, tokenizer).where("score > 0"), k, "id").select("query_id", "id", "score", "rank")
-    rows = asked.join(index.vocabulary, "tok").select("query_id", "tok", (F.col("idf") * F.col("qtf")).alias("weight")).collect()  # the stated questions
-    avgdl = float(index.size.first()["avgdl"] or 1.0) or 1.0
-    column = {x: i for i, x in enumerate(sorted({r["tok"] for r in rows}))}
-    names = sorted({r["query_id"] for r in rows})
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    out = docs.sparkSession.createDataFrame([], "query_id long, id long, score double")
-    for lo in range(0, len(names), QUERY_BLOCK):
-        own = {q: i for i, q in enumerate(names[lo : lo + QUERY_BLOCK])}
-        matrix = np.zeros((len(column), len(own)))
-        for r in rows:
-            if r["query_id"] in own:
-                matrix[column[r["tok"]], own[r["query_id"]]] = r["weight"]
-        found = texts.mapInArrow(_best(column, list(own), matrix, avgdl, k), "query_id long, id long, score double")
-        out = found if lo == 0 else out.unionByName(found)
-    return top_k(out.withColumn("score", F.round("score", 6)).where("score > 0"), k, "id").select("query_id", "id", "score", "rank")
+def counts_of(postings: DataFrame) -> DataFrame:
+    """tok, df, total: documents that hold a token, and how often all do."""
+    return postings.groupBy("tok").agg(F.sum("n").alias("df"), F.sum("total").alias("total"))
 
 
-def _best(column: dict[str, int], names: list[int], matrix: np.ndarray, avgdl: float, k: int):
+@dataclass
+class Index:
+    """Postings of a table, with the vocabulary (tok, df, idf), the number of documents and of tokens."""
+
+    postings: DataFrame
+    vocabulary: DataFrame
+    n: int
+    length: int
+
+    @classmethod
+    def build(cls, docs: DataFrame, id_col: str = "id", tokenizer=tokens) -> Index:
+        postings = materialize(invert(docs, id_col, tokenizer), "postings")
+        return cls.of(postings, materialize(counts_of(postings), "token-counts"), docs.count())
+
+    @classmethod
+    def of(cls, postings: DataFrame, counts: DataFrame, n: int) -> Index:
+        """counts as counts_of() gives them; n: documents, those without tokens among them."""
+        length = counts.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+        return cls(postings, weigh(counts, n), n, length)
+
+
+def _score(names: np.ndarray, asked: dict[str, tuple[np.ndarray, np.ndarray]], avgdl: float, k: int):
+    """asked: the questions (by number) that hold a token, in order, and its weight in each."""
+
     def run(batches):
-        find, width = re.compile(TOKENS, re.ASCII).findall, len(column)
-        step = max(1, (4 << 20) // max(width, 1))  # documents at once: 32 MB of weights
+        best = Best(len(names), k + SPARE)
+
+        def flush(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> None:
+            ids, place = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
+            at = np.split(place, np.cumsum([len(r[1]) for r in rows])[:-1])
+            for lo in range(0, len(names), QUERY_BLOCK):
+                total = np.zeros((min(QUERY_BLOCK, len(names) - lo), len(ids)))
+                for (tok, _, part), col in zip(rows, at, strict=True):
+                    q, w = asked[tok]
+                    a, b = np.searchsorted(q, (lo, lo + QUERY_BLOCK))
+                    if a < b:
+                        total[q[a:b, None] - lo, col] += w[a:b, None] * part
+                best.add_block(lo, ids, total, 0.0)
+
+        held: list[tuple[str, np.ndarray, np.ndarray]] = []
+        now = None
         for batch in batches:
-            for lo in range(0, len(batch), step):
-                part = batch.slice(lo, step)
-                toks = [find(x) for x in part.column("text").to_pylist()]
-                size = np.array([len(x) for x in toks])
-                code = np.fromiter((column.get(x, -1) for own in toks for x in own), np.int64, int(size.sum()))
-                at = np.repeat(np.arange(len(toks)), size) * width + code
-                tf = np.bincount(at[code >= 0], minlength=len(toks) * width).reshape(len(toks), width).astype(np.float64)
-                score = ((tf * (K1 + 1) / (tf + (K1 * (1 - B + B * size / avgdl))[:, None])) @ matrix).T
-                keep = min(k + SPARE, len(toks))
-                edge = np.partition(score, len(toks) - keep, axis=1)[:, len(toks) - keep]
-                q, d = np.nonzero((score >= edge[:, None] - 1e-6) & (score > 0))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int64)[q]), pa.array(part.column("id").to_numpy()[d]), pa.array(score[q, d])], names=["query_id", "id", "score"])
+            block = batch.column("block").to_numpy()
+            for i, tok in enumerate(batch.column("tok").to_pylist()):
+                if held and block[i] != now:
+                    flush(held)
+                    held = []
+                now = block[i]
+                ids, tf, size = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in (("ids", "<i8"), ("tfs", "<i4"), ("lens", "<i4")))
+                held.append((tok, ids.copy(), tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / avgdl))))
+        if held:
+            flush(held)
+        yield best.batch(names)
 
     return run
+
+
+def search(index: Index, queries: DataFrame, k: int, tokenizer=tokens) -> DataFrame:
+    """query_id, id, score above 0, rank. Ties go to the smaller id, which stands for the order of insertion."""
+    avgdl = (index.length / index.n if index.n else 1.0) or 1.0
+
+    def one(part: DataFrame) -> DataFrame:
+        asked = part.select(F.col("query_id").cast("long").alias("query_id"), F.explode(tokenizer(F.col("text"))).alias("tok")).groupBy("query_id", "tok").agg(F.count(F.lit(1)).alias("qtf"))
+        rows = index.vocabulary.join(asked, "tok").select("query_id", "tok", (F.col("idf") * F.col("qtf")).alias("weight")).orderBy("query_id").collect()  # the questions of one pass
+        names = np.array(sorted({r["query_id"] for r in rows}), np.int64)
+        number = {q: i for i, q in enumerate(names.tolist())}
+        held: dict[str, list] = {}
+        for r in rows:
+            held.setdefault(r["tok"], []).append((number[r["query_id"]], r["weight"]))
+        weights = {t: (np.array([q for q, _ in x], np.int64), np.array([w for _, w in x])) for t, x in held.items()}
+        postings = index.postings
+        if held and len(held) <= PUSHED_TOKENS:  # as comparisons, which reach the pages of the scan
+            postings = postings.where(reduce(lambda a, b: a | b, (F.col("tok") == t for t in held)))
+        else:
+            known = postings.sparkSession.createDataFrame([(t,) for t in held], "tok string")
+            postings = postings.join(F.broadcast(known), "tok", "left_semi")  # tokens of one pass
+        near = postings.select("block", "tok", "ids", "tfs", "lens").repartition("block").sortWithinPartitions("block")
+        found = near.mapInArrow(_score(names, weights, avgdl, k), SCHEMA)
+        return top_k(found.withColumn("score", F.round("score", 6)).where("score > 0"), k, "id").select("query_id", "id", "score", "rank")
+
+    return passes(queries, PASS_QUESTIONS, one)
+
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "id", tokenizer=tokens) -> DataFrame:
+    """search() over docs (id_col, text) without an index kept for them."""
+    return search(Index.build(docs, id_col, tokenizer), queries, k, tokenizer)

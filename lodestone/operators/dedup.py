@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import UNKNOWN_SOURCE
+
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of the rows with equal keys, the first in `order`.
@@ -24,14 +26,13 @@ def dedup_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def numbered(rows: DataFrame, by: str) -> DataFrame:
-    """With `no`, 1 to n in the order of `by`: meant for short listings."""
+    """With `no`, 1 to n in the order of `by`. One task numbers all rows: for listings that a person reads, such as one row
+    for each source, after aggregation."""
     return rows.withColumn("no", F.row_number().over(Window.orderBy(by)))
 
 
 def list_sources(chunks: DataFrame) -> DataFrame:
     """source, chunks: a null source is the unknown one. In code-point order."""
-    from lodestone.functions.text import UNKNOWN_SOURCE
-
     return chunks.groupBy(F.coalesce("source", F.lit(UNKNOWN_SOURCE)).alias("source")).agg(F.count(F.lit(1)).alias("chunks")).orderBy("source")
 
 

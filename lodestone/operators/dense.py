@@ -1,16 +1,20 @@
-"""Exact dense retrieval: every stored vector is compared with a block of query vectors, on the side where it is stored."""
+"""Exact dense retrieval: every stored vector is compared with all query vectors, where it is stored."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries compared in one pass over the vectors: bounds what is sent to the workers.
+from lodestone.operators.best import SCHEMA, SPARE, Best
+from lodestone.plans.runtime import materialize
+
+#: Queries multiplied with a batch of vectors at once.
 QUERY_BLOCK = 1024
-#: Candidates that a batch keeps beyond k, so that rounding cannot lose a tie.
-SPARE = 8
+#: Queries sent to every task for one pass over the store; more take several passes.
+PASS_QUERIES = 50_000
 
 
 def cosine(left, right):
@@ -21,46 +25,66 @@ def cosine(left, right):
     return F.when(norm > 0, dot / norm).otherwise(F.lit(0.0))
 
 
-def _candidates(names: list, matrix: np.ndarray, k: int):
+def unit(vectors: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(norm > 0, norm, 1)
+
+
+def matrix_of(column) -> np.ndarray:
+    """An Arrow column of equally long lists as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _candidates(names: np.ndarray, matrix: np.ndarray, k: int):
     def run(batches):
+        best = Best(len(names), k + SPARE)
         for batch in batches:
-            col = batch.column("vector")
             if not len(batch):
                 continue
-            store = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
-            norm = np.linalg.norm(store, axis=1)
-            score = matrix @ (store / np.where(norm > 0, norm, 1)[:, None]).T
-            ids = batch.column("id").to_numpy()
-            keep = min(k + SPARE, score.shape[1])
-            edge = np.partition(score, score.shape[1] - keep, axis=1)[:, score.shape[1] - keep]
-            q, at = np.nonzero(score >= edge[:, None] - 1e-6)
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(names)[q]), pa.array(ids[at]), pa.array(score[q, at])], names=["query_id", "id", "score"])
+            store, ids = unit(matrix_of(batch.column("vector"))).T, batch.column("id").to_numpy()
+            for lo in range(0, len(names), QUERY_BLOCK):
+                best.add_block(lo, ids, matrix[lo : lo + QUERY_BLOCK] @ store)
+        yield best.batch(names)
 
     return run
 
 
+def passes(queries: DataFrame, most: int, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """search over queries (query_id, ...), at most about `most` at a time; the results of several passes are written."""
+    n = queries.count()
+    if n <= most:
+        return search(queries)
+    parts, out = -(-n // (most // 2)), None
+    for i in range(parts):
+        found = materialize(search(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)), "pass")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def query_rows(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(query_ids, unit vectors) of queries (query_id long, vector array), of one pass."""
+    rows = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>").alias("vector")).orderBy("query_id").collect()
+    return np.array([r["query_id"] for r in rows], np.int64), unit(np.array([r["vector"] for r in rows], np.float64)) if rows else np.zeros((0, 0))
+
+
 def dense_topk(store: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """query_id, id, score (rounded to 6 places), rank 1 to k. Ties go to the smaller id.
 
-    store: id_col long, vector_col array; queries: query_id long, vector array. Each batch of stored vectors is one
-    matrix product with a block of queries and keeps its best, so the shuffle holds about k rows for each batch and query.
+    store: id_col long, vector_col array; queries: query_id long, vector array. A task multiplies each batch of stored
+    vectors with all queries of the pass, QUERY_BLOCK at a time, and keeps its best: the shuffle holds about k rows for
+    each task and query, and the store is read once for each PASS_QUERIES queries.
     """
-    spark = store.sparkSession
-    rows = store.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("vector IS NOT NULL")
-    out = None
-    asked = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>").alias("vector")).orderBy("query_id").collect()  # the stated query set
-    for lo in range(0, len(asked), QUERY_BLOCK):
-        part = asked[lo : lo + QUERY_BLOCK]
-        matrix = np.array([r["vector"] for r in part], np.float64)
-        norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-        found = rows.mapInArrow(_candidates([r["query_id"] for r in part], matrix / np.where(norm > 0, norm, 1), k), "query_id long, id long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
-    return top_k(out.withColumn("score", F.round("score", 6)), k, "id")
+    rows = store.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("vector IS NOT NULL")
+
+    def search(asked: DataFrame) -> DataFrame:
+        names, matrix = query_rows(asked)
+        return top_k(rows.mapInArrow(_candidates(names, matrix, k), SCHEMA).withColumn("score", F.round("score", 6)), k, "id")
+
+    return passes(queries, PASS_QUERIES, search)
 
 
 def top_k(scored: DataFrame, k: int, tie: str) -> DataFrame:
     """The k rows of each query_id with the highest score, ranked from 1; only each task's best k are shuffled."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), tie)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+

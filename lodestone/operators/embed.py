@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
+import threading
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.accumulators import Accumulator
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import QUERY_PREFIX
@@ -17,6 +20,9 @@ from lodestone.operators.bm25 import TOKENS
 
 BATCH = 64
 
+#: Called with the number of texts done and of all texts.
+Progress = Callable[[int, int], None]
+
 
 class Embedder(Protocol):
     """Unit vectors of texts. Questions are marked by a prefix, as models for asymmetric search expect."""
@@ -78,7 +84,7 @@ class ModelEmbedder:
         return np.asarray(self.model().encode(texts, normalize_embeddings=True, convert_to_numpy=True, show_progress_bar=False))
 
 
-def embed_texts(embedder: Embedder, texts: list[str], is_query: bool = False, progress: Callable[[int, int], None] | None = None) -> np.ndarray:
+def embed_texts(embedder: Embedder, texts: list[str], is_query: bool = False, progress: Progress | None = None) -> np.ndarray:
     """Unit vectors of a few texts on the driver, in batches; progress(done, total) after each."""
     texts = [embedder.prefix + t for t in texts] if is_query else texts
     parts = []
@@ -89,13 +95,48 @@ def embed_texts(embedder: Embedder, texts: list[str], is_query: bool = False, pr
     return np.concatenate(parts) if parts else np.zeros((0, embedder.dims))
 
 
-def embed(embedder: Embedder, text: Column, is_query: bool = False) -> Column:
-    """Unit vectors as array<double>; the embedder is set up once for each worker."""
+def embed(embedder: Embedder, text: Column, is_query: bool = False, counter: Accumulator | None = None) -> Column:
+    """Unit vectors as array<double>; the embedder is set up once for each worker. counter counts texts as tasks end."""
 
     @F.pandas_udf("array<double>")
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in series:
             rows = embed_texts(embedder, texts.fillna("").tolist(), is_query)
+            if counter is not None:
+                counter.add(len(texts))
             yield pd.Series([r.astype(float) for r in rows], index=texts.index)
 
     return run(text)
+
+
+@contextlib.contextmanager
+def reporting(spark: SparkSession, progress: Progress | None, total: int, every: float = 0.2):
+    """A counter for embed() that is reported to progress(done, total) while the block runs, and at its end."""
+    if progress is None:
+        yield None
+        return
+    counter, over = spark.sparkContext.accumulator(0), threading.Event()
+
+    def watch():
+        seen = 0
+        while not over.wait(every):
+            if (now := min(counter.value, total)) > seen and now < total:
+                seen = now
+                progress(now, total)
+
+    thread = threading.Thread(target=watch, daemon=True)
+    thread.start()
+    try:
+        yield counter
+    finally:
+        over.set()
+        thread.join()
+    progress(total, total)
+
+
+def warm_up(*models) -> None:
+    """Load the models that load on first use, so that the first request does not wait for them."""
+    for m in models:
+        load = getattr(m, "model", None)
+        if callable(load):
+            load()

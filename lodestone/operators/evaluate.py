@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.bm25 import tokens
+from lodestone.plans.runtime import materialize
+
 CASE = "question string, expected_sources array<string>, expected_keywords array<string>"
 
 
@@ -39,22 +42,35 @@ def top1_check(cases: DataFrame, ranked: DataFrame) -> DataFrame:
     return cases.join(first, "query_id", "left").select("query_id", F.coalesce(F.col("source") == F.col("expected"), F.lit(False)).alias("hit"))
 
 
+#: Passages and their tokens sent to every task; more meet the documents by a shuffle.
+BROADCAST_PASSAGES = 100_000
+
+
 def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(query_id, id, source) of documents (id, text, source) that contain a passage (query_id, text).
 
     A document that contains a passage holds each of its inner tokens, so passages meet documents on their rarest inner
-    token; passages with fewer than three tokens go to all documents.
+    token. Passages with fewer than three tokens have none: they are compared with the documents in blocks of as many as
+    may be sent to every task.
     """
-    from lodestone.operators.bm25 import tokens
-
-    cut = passages.select("query_id", F.col("text").alias("passage"), tokens(F.col("text")).alias("t"))
-    short = docs.join(F.broadcast(cut.where(F.size("t") < 3).select("query_id", "passage")), F.contains("text", "passage")).select("query_id", "id", "source")
+    cut = materialize(passages.select("query_id", F.col("text").alias("passage"), tokens(F.col("text")).alias("t")), "passages")
     inner = cut.where(F.size("t") >= 3)
     inner = inner.select("query_id", "passage", F.explode(F.array_distinct(F.slice("t", F.lit(2), F.size("t") - 2))).alias("tok"))
     words = F.array_distinct(tokens(F.col("text")))
-    held = docs.select(F.explode(words).alias("tok")).join(F.broadcast(inner.select("tok").distinct()), "tok", "left_semi")
+    held = docs.select(F.explode(words).alias("tok")).join(_few(inner.select("tok").distinct()), "tok", "left_semi")
     rare = held.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).join(inner, "tok")
-    best = rare.groupBy("query_id").agg(F.min_by("tok", F.struct("df", "tok")).alias("tok"), F.first("passage").alias("passage"))
-    # one row for each of the stated passages goes to the documents, whose texts stay where they are
-    met = docs.select("id", "source", "text", F.explode(words).alias("tok")).join(F.broadcast(best), "tok")
-    return met.where(F.contains("text", "passage")).select("query_id", "id", "source").unionByName(short)
+    best = materialize(rare.groupBy("query_id").agg(F.min_by("tok", F.struct("df", "tok")).alias("tok"), F.first("passage").alias("passage")), "rare-tokens")
+    # up to BROADCAST_PASSAGES one row for each passage goes to the documents, whose texts stay where they are
+    met = docs.select("id", "source", "text", F.explode(words).alias("tok")).join(_few(best), "tok")
+    out = met.where(F.contains("text", "passage")).select("query_id", "id", "source")
+    short = cut.where(F.size("t") < 3).select("query_id", "passage")
+    n = short.count()
+    blocks = -(-n // (BROADCAST_PASSAGES // 2)) if n > BROADCAST_PASSAGES else 1 if n else 0
+    for i in range(blocks):
+        part = short.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        out = out.unionByName(docs.join(F.broadcast(part), F.contains("text", "passage")).select("query_id", "id", "source"))
+    return out
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(BROADCAST_PASSAGES + 1).count() <= BROADCAST_PASSAGES else rows

@@ -21,12 +21,17 @@ def recall_size(top_k: int) -> int:
 
 
 def rrf_fuse(dense: DataFrame, sparse: DataFrame, limit: int, k: int = RRF_K) -> DataFrame:
-    """query_id, text, source, rrf, rank from two lists (query_id, text, source, rank from 1).
+    """fuse() of two lists (query_id, text, source, rank from 1)."""
+    places = [df.select("query_id", "text", "source", F.lit(i).alias("list"), "rank") for i, df in enumerate((dense, sparse))]
+    return fuse(places[0].unionByName(places[1]), limit, k)
 
-    A text scores the sum of 1 / (k + rank) over its places. Its source is that of its first place, dense before sparse,
-    which also breaks ties.
+
+def fuse(places: DataFrame, limit: int, k: int = RRF_K) -> DataFrame:
+    """query_id, text, source, rrf, rank from places (query_id, text, source, list, rank from 1).
+
+    A text scores the sum of 1 / (k + rank) over its places. Its source is that of its first place, lists in order, which
+    also breaks ties.
     """
-    places = dense.select("query_id", "text", "source", F.lit(0).alias("list"), "rank").unionByName(sparse.select("query_id", "text", "source", F.lit(1).alias("list"), "rank"))
     seen = F.struct("list", "rank")
     fused = places.groupBy("query_id", "text").agg(F.round(F.sum(1 / (F.lit(k) + F.col("rank"))), 10).alias("rrf"), F.min_by("source", seen).alias("source"), F.min(seen).alias("seen"))
     order = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "seen.list", "seen.rank")
@@ -47,7 +52,7 @@ class CrossEncoderReranker:
     def __init__(self, name: str):
         self.name = name
 
-    def score(self, questions: list[str], texts: list[str]) -> list[float]:
+    def model(self):
         if self.name not in self._loaded:
             from sentence_transformers import CrossEncoder
 
@@ -58,7 +63,10 @@ class CrossEncoderReranker:
                     self._loaded[self.name] = CrossEncoder(self.name)
                 except Exception as e:
                     raise RuntimeError(f"cannot load the reranking model {self.name}; download it or check the network") from e
-        return [float(x) for x in self._loaded[self.name].predict([list(p) for p in zip(questions, texts, strict=True)])]
+        return self._loaded[self.name]
+
+    def score(self, questions: list[str], texts: list[str]) -> list[float]:
+        return [float(x) for x in self.model().predict([list(p) for p in zip(questions, texts, strict=True)])]
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, reranker: Reranker | None = None) -> DataFrame:

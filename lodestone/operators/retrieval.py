@@ -1,38 +1,64 @@
-"""Hybrid retrieval for a batch of questions, as one plan: dense and BM25 lists, fusion, reranking, threshold, top k."""
+"""Hybrid retrieval for a batch of questions: dense and BM25 lists, fusion, reranking, threshold, top k."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.config import Settings
 from lodestone.functions.text import UNKNOWN_SOURCE
-from lodestone.operators.bm25 import bm25_topk
+from lodestone.operators import bm25
 from lodestone.operators.dense import dense_topk
 from lodestone.operators.embed import Embedder, embed
-from lodestone.operators.fusion import Reranker, recall_size, rerank, rrf_fuse, threshold_topk
+from lodestone.operators.fusion import Reranker, fuse, recall_size, rerank, threshold_topk
+from lodestone.plans.runtime import materialize
+
+#: Ranked ids (a few numbers each) sent to every task, so that texts stay where they are; more meet the texts by a shuffle.
+BROADCAST_RANKED = 1_000_000
+
+
+@dataclass
+class Collection:
+    """What a search reads: rows (id in the order of insertion, text, source), vectors (id, vector) and the postings. Rows
+    are read for the texts of results only."""
+
+    rows: DataFrame
+    vectors: DataFrame
+    index: bm25.Index
+
+    @classmethod
+    def of(cls, chunks: DataFrame, embedder: Embedder) -> Collection:
+        """Index chunks (id, text, source and, if embedded, vector), in the shared folder."""
+        vectors = chunks.select("id", "vector") if "vector" in chunks.columns else materialize(chunks.select("id", embed(embedder, F.col("text")).alias("vector")), "vectors")
+        return cls(chunks.select("id", "text", "source"), vectors, bm25.Index.build(chunks))
 
 
 def with_text(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Ranked ids with the text and source of chunks (id, text, source).
+    """Ranked ids with the text and source of chunks (id, text, source)."""
+    ranked = materialize(ranked, "ranked")
+    few = F.broadcast(ranked) if ranked.count() <= BROADCAST_RANKED else ranked
+    return few.join(chunks.select("id", "text", F.coalesce("source", F.lit(UNKNOWN_SOURCE)).alias("source")), "id")
+
 
-    The ranked side is k rows for each of the stated questions, so it goes to the chunks, which stay where they are.
-    """
-    return F.broadcast(ranked).join(chunks.select("id", "text", F.coalesce("source", F.lit(UNKNOWN_SOURCE)).alias("source")), "id")
+def places(held: Collection, queries: DataFrame, embedder: Embedder, fetch: int) -> DataFrame:
+    """query_id, text, source, list (0 dense, 1 BM25), rank: both lists, whose texts are read in one pass."""
+    asked = queries.select("query_id", embed(embedder, F.col("text"), is_query=True).alias("vector"))
+    dense = dense_topk(held.vectors, asked, fetch).select("query_id", "id", F.lit(0).alias("list"), "rank")
+    sparse = bm25.search(held.index, queries, fetch).select("query_id", "id", F.lit(1).alias("list"), "rank")
+    return with_text(dense.unionByName(sparse), held.rows).drop("id")
 
 
-def hybrid_retrieve(chunks: DataFrame, queries: DataFrame, embedder: Embedder, top_k: int | None = None, threshold: float | None = None, reranker: Reranker | None = None, settings: Settings | None = None) -> DataFrame:
-    """query_id, rank, text, source, score. chunks: id (order of insertion), text, source and, if embedded, vector;
-    queries: query_id, text. A top_k of 0 or None and a threshold of None are the settings'."""
+def hybrid_retrieve(chunks: DataFrame | Collection, queries: DataFrame, embedder: Embedder, top_k: int | None = None, threshold: float | None = None, reranker: Reranker | None = None, settings: Settings | None = None) -> DataFrame:
+    """query_id, rank, text, source, score. chunks: a Collection, or rows to make one of; queries: query_id, text. A top_k of
+    0 or None and a threshold of None are the settings'."""
     settings = settings or Settings()
     top_k = top_k or settings.top_k
     threshold = settings.score_threshold if threshold is None else threshold
     fetch = recall_size(top_k)
-    stored = chunks if "vector" in chunks.columns else chunks.withColumn("vector", embed(embedder, F.col("text")))
-    asked = queries.select("query_id", embed(embedder, F.col("text"), is_query=True).alias("vector"))
-    dense = with_text(dense_topk(stored, asked, fetch), chunks)
-    sparse = with_text(bm25_topk(chunks, queries, fetch), chunks)
-    fused = rrf_fuse(dense, sparse, fetch)
+    held = chunks if isinstance(chunks, Collection) else Collection.of(chunks, embedder)
+    fused = fuse(places(held, queries, embedder, fetch), fetch)
     best = threshold_topk(rerank(fused, queries, reranker), top_k, threshold)
     return best.select("query_id", "rank", "text", "source", F.round("score", 4).alias("score"))
 

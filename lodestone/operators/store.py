@@ -1,81 +1,220 @@
-"""The chunk store: one Parquet snapshot for each revision, so readers never see a half-written change.
+"""The chunk store: immutable segments, and a manifest for each revision that says which of their rows live.
 
-A change writes the next snapshot and ends with Spark's _SUCCESS mark; the current revision is the greatest marked one.
-One writer at a time is assumed. The last two snapshots are kept.
+An upsert writes its chunks, with their vectors, as one new segment, and the ids they replace in older segments as graves;
+a delete writes graves only. So a change costs what it changes, and reads columns of ids of the rest. The manifest is
+written last, and never over another one: readers see a revision whole or not at all, and of two writers at once one
+fails. When segments or graves become many, the same change writes one segment of all that lives. Each segment's postings
+are kept beside it until its live rows change. Files of all but the last two revisions are deleted.
 """
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.log import get_logger
+from lodestone.operators import bm25
 from lodestone.operators.dedup import first_wins, list_sources
-from lodestone.operators.embed import Embedder, embed
+from lodestone.operators.embed import Embedder, Progress, embed, reporting
+from lodestone.operators.retrieval import Collection
+from lodestone.plans.runtime import materialize, scratch
+
+SCHEMA = "chunk_id string, text string, source string, chunk_index int, content_hash string, vector array<float>, id long"
+COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
+#: Segments, and share of dead rows, above which a change merges all that lives.
+MOST_SEGMENTS, MOST_DEAD = 16, 0.25
+#: Graves of a segment sent to every task that reads it; more meet the rows by a shuffle.
+BROADCAST_GRAVES = 1_000_000
 
-SCHEMA = "chunk_id string, text string, source string, chunk_index int, content_hash string, vector array<double>, id long"
+log = get_logger("lodestone.store")
 
 
 class ChunkStore:
     def __init__(self, spark: SparkSession, root: str, embedder: Embedder, collection: str = "enterprise_kb"):
         self.spark, self.embedder, self.path = spark, embedder, f"{root.rstrip('/')}/{collection}"
+        self._held: tuple[int, Collection] | None = None
+
+    # ---- files ----
 
-    def _fs(self):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
+    def _at(self, *names: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *names)))
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def _versions(self) -> list[int]:
-        fs, path = self._fs()
-        if not fs.exists(path(self.path)):
-            return []
-        names = [x.getPath().getName() for x in fs.listStatus(path(self.path))]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
+    def _names(self, folder: str) -> list[str]:
+        fs, path = self._at(folder)
+        return [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _delete(self, *names: str) -> None:
+        fs, path = self._at(*names)
+        fs.delete(path, True)
+
+    def _revisions(self) -> list[int]:
+        return sorted(int(n[:-5]) for n in self._names("manifests") if n.endswith(".json") and n[:-5].isdigit())
 
     @property
     def revision(self) -> int:
         """0 for a store that was never changed; each change adds one."""
-        return max(self._versions(), default=0)
+        return max(self._revisions(), default=0)
+
+    def _manifest(self, revision: int | None = None) -> dict:
+        at = self.revision if revision is None else revision
+        if not at:
+            return {"revision": 0, "next_segment": 1, "next_id": 0, "segments": []}
+        fs, path = self._at("manifests", f"{at}.json")
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, new: dict) -> None:
+        fs, path = self._at("manifests", f"{new['revision']}.json")
+        part = path.suffix(".part")
+        stream = fs.create(part, True)
+        stream.write(bytearray(json.dumps(new).encode()))
+        stream.close()
+        if fs.exists(path) or not fs.rename(part, path):
+            raise RuntimeError(f"revision {new['revision']} was written by someone else")
+        log.info("%s: revision %d, %d chunks in %d segments", self.path, new["revision"], self._alive(new), len(new["segments"]))
+        self._clean()
+
+    def _clean(self) -> None:
+        """Delete what the last two manifests do not name."""
+        known = self._revisions()
+        for r in known[:-2]:
+            self._delete("manifests", f"{r}.json")
+        segments = [s for r in known[-2:] for s in self._manifest(r)["segments"]]
+        used = {"segments": {f"s={s['name']}" for s in segments}, "graves": {f"r={g}" for s in segments for g in s["graves"]}, "index": {self._index_name(s) for s in segments}}
+        for folder, names in used.items():
+            for n in self._names(folder):
+                if n not in names:
+                    self._delete(folder, n)
+
+    # ---- reading ----
+
+    @staticmethod
+    def _alive(manifest: dict) -> int:
+        return sum(s["rows"] - s["dead"] for s in manifest["segments"])
+
+    @staticmethod
+    def _index_name(segment: dict) -> str:
+        return f"s={segment['name']}-d={segment['dead']}"
+
+    def _live(self, segment: dict) -> DataFrame:
+        rows = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/segments/s={segment['name']}")
+        if not segment["graves"]:
+            return rows
+        dead = self.spark.read.schema("segment int, chunk_id string").parquet(*(f"{self.path}/graves/r={g}" for g in segment["graves"]))
+        dead = dead.where(F.col("segment") == segment["name"]).select("chunk_id")
+        return rows.join(F.broadcast(dead) if segment["dead"] <= BROADCAST_GRAVES else dead, "chunk_id", "left_anti").select(*COLUMNS)
+
+    def _union(self, frames: list[DataFrame], schema: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], schema)
 
     def read(self) -> DataFrame:
-        at = self.revision
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v={at}") if at else self.spark.createDataFrame([], SCHEMA)
-
-    def _write(self, rows: DataFrame) -> None:
-        at = self.revision + 1
-        rows.select([x.split()[0] for x in SCHEMA.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/v={at}")
-        fs, path = self._fs()
-        for old in self._versions()[:-2]:
-            fs.delete(path(f"{self.path}/v={old}"), True)
+        return self._union([self._live(s) for s in self._manifest()["segments"]], SCHEMA)
 
     def count(self) -> int:
-        return self.read().count()
+        return self._alive(self._manifest())
 
-    def add(self, chunks: DataFrame) -> int:
+    def sources(self) -> DataFrame:
+        return list_sources(self.read())
+
+    def collection(self) -> Collection:
+        """What searches read. The postings of segments whose live rows changed since they were last made are written; a
+        search at a revision that was searched before reads no texts but its results'."""
+        manifest = self._manifest()
+        if self._held and self._held[0] == manifest["revision"]:
+            return self._held[1]
+        postings, counts = [], []
+        for s in manifest["segments"]:
+            at = f"{self.path}/index/{self._index_name(s)}"
+            fs, done = self._at("index", self._index_name(s), "counts", "_SUCCESS")
+            if not fs.exists(done):
+                bm25.invert(self._live(s).select("id", "text"), segment=s["name"]).write.mode("overwrite").parquet(f"{at}/postings")
+                bm25.counts_of(self.spark.read.parquet(f"{at}/postings")).write.mode("overwrite").parquet(f"{at}/counts")
+                log.info("%s: postings of segment %d written", self.path, s["name"])
+            postings.append(self.spark.read.schema(bm25.POSTINGS).parquet(f"{at}/postings"))
+            counts.append(self.spark.read.schema("tok string, df long, total long").parquet(f"{at}/counts"))
+        sums = self._union(counts, "tok string, df long, total long")
+        if len(counts) > 1:
+            sums = sums.groupBy("tok").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+        index = bm25.Index.of(self._union(postings, bm25.POSTINGS), sums, self._alive(manifest))
+        rows = self._union([self._live(s) for s in manifest["segments"]], SCHEMA)
+        self._held = manifest["revision"], Collection(rows.select("id", "text", "source"), rows.select("id", "vector"), index)
+        return self._held[1]
+
+    # ---- changes ----
+
+    def _bury(self, manifest: dict, dead: DataFrame, revision: int) -> None:
+        """Write the graves (segment, chunk_id) and note them in the manifest's segments."""
+        dead = materialize(dead, "dead")
+        sums = {r["segment"]: r["count"] for r in dead.groupBy("segment").count().collect()}  # one row for each segment
+        if not sums:
+            return
+        dead.write.mode("overwrite").parquet(f"{self.path}/graves/r={revision}")
+        for s in manifest["segments"]:
+            if s["name"] in sums:
+                s["dead"] += sums[s["name"]]
+                s["graves"].append(revision)
+        manifest["segments"] = [s for s in manifest["segments"] if s["dead"] < s["rows"]]
+
+    def _merge(self, manifest: dict) -> None:
+        """One segment of all that lives, if there are many segments or dead rows."""
+        rows, dead = (sum(s[k] for s in manifest["segments"]) for k in ("rows", "dead"))
+        if len(manifest["segments"]) <= MOST_SEGMENTS and dead <= MOST_DEAD * rows:
+            return
+        name = manifest["next_segment"]
+        self._union([self._live(s) for s in manifest["segments"]], SCHEMA).write.mode("overwrite").parquet(f"{self.path}/segments/s={name}")
+        manifest |= {"next_segment": name + 1, "segments": [{"name": name, "rows": rows - dead, "dead": 0, "graves": []}]}
+
+    def _ids(self, manifest: dict, *columns: str) -> DataFrame:
+        """segment, chunk_id and further columns of all live rows."""
+        kinds = ", ".join(["segment int", *(f for f in SCHEMA.split(", ") if f.split()[0] in ("chunk_id", *columns))])
+        return self._union([self._live(s).select(F.lit(s["name"]).alias("segment"), "chunk_id", *columns) for s in manifest["segments"]], kinds)
+
+    def add(self, chunks: DataFrame, progress: Progress | None = None) -> int:
         """Upsert by content_hash: text, source, index and vector of a known chunk are replaced, its place is kept. Returns
-        the number added or replaced; without chunks nothing changes."""
+        the number added or replaced; without chunks nothing changes. progress(done, total): chunks embedded so far."""
         order = [c for c in ("file_no", "chunk_index") if c in chunks.columns]
-        new = first_wins(chunks, ["content_hash"], order or ["source"])
-        new = new.select(F.col("content_hash").alias("chunk_id"), "text", "source", F.col("chunk_index").cast("int").alias("chunk_index"), "content_hash", *order[:-1])
-        n = new.count()
-        if not n:
-            return 0
-        old = self.read()
-        last = old.agg(F.max("id")).first()[0]
-        places = old.select("chunk_id", F.col("id").alias("_old"))
-        fresh = new.orderBy(*order[:-1], "source", "chunk_index").withColumn("_new", F.monotonically_increasing_id() + (0 if last is None else last + 1))
-        fresh = fresh.join(places, "chunk_id", "left").withColumn("id", F.coalesce("_old", "_new")).withColumn("vector", embed(self.embedder, F.col("text")))
-        columns = [x.split()[0] for x in SCHEMA.split(", ")]
-        self._write(old.join(new.select("chunk_id"), "chunk_id", "left_anti").select(columns).unionByName(fresh.select(columns)))
+        with scratch():
+            new = first_wins(chunks, ["content_hash"], order or ["source"])
+            new = materialize(new.select(F.col("content_hash").alias("chunk_id"), "text", "source", F.col("chunk_index").cast("int").alias("chunk_index"), "content_hash", *order[:-1]), "new-chunks")
+            n = new.count()
+            if not n:
+                return 0
+            manifest = self._manifest()
+            revision, name = manifest["revision"] + 1, manifest["next_segment"]
+            known = materialize(self._ids(manifest, "id").join(new.select("chunk_id"), "chunk_id"), "known-chunks")
+            fresh = new.orderBy(*order[:-1], "source", "chunk_index").withColumn("_new", F.monotonically_increasing_id() + manifest["next_id"])
+            fresh = fresh.join(known.select("chunk_id", F.col("id").alias("_old")), "chunk_id", "left").withColumn("id", F.coalesce("_old", "_new"))
+            at = f"{self.path}/segments/s={name}"
+            with reporting(self.spark, progress, n) as counter:
+                rows = fresh.withColumn("vector", embed(self.embedder, F.col("text"), counter=counter).cast("array<float>"))
+                rows.select(COLUMNS).write.mode("overwrite").parquet(at)
+            last = self.spark.read.schema(SCHEMA).parquet(at).agg(F.max("id")).first()[0]
+            self._bury(manifest, known.select("segment", "chunk_id"), revision)
+            manifest["segments"].append({"name": name, "rows": n, "dead": 0, "graves": []})
+            manifest |= {"revision": revision, "next_segment": name + 1, "next_id": max(manifest["next_id"], last + 1)}
+            self._merge(manifest)
+            self._commit(manifest)
         return n
 
     def delete_source(self, source: str) -> tuple[int, int]:
         """(chunks deleted, chunks left); the revision grows even if nothing matched."""
-        before = self.count()
-        self._write(self.read().where(~F.col("source").eqNullSafe(F.lit(source))))
-        after = self.count()
-        return max(before - after, 0), after
+        manifest = self._manifest()
+        before, revision = self._alive(manifest), manifest["revision"] + 1
+        with scratch():
+            gone = self._ids(manifest, "source").where(F.col("source").eqNullSafe(F.lit(source))).select("segment", "chunk_id")
+            self._bury(manifest, gone, revision)
+            manifest["revision"] = revision
+            self._merge(manifest)
+            self._commit(manifest)
+        return before - self._alive(manifest), self._alive(manifest)
 
     def clear(self) -> None:
-        self._write(self.spark.createDataFrame([], SCHEMA))
-
-    def sources(self) -> DataFrame:
-        return list_sources(self.read())
+        manifest = self._manifest()
+        self._commit(manifest | {"revision": manifest["revision"] + 1, "segments": []})

@@ -8,18 +8,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.config import Settings
 from lodestone.functions import pii
 from lodestone.functions.chunking import chunk_documents, token_units
 from lodestone.functions.text import clean_text, content_hash, escape_html, estimate_tokens, extract_json, preview, strip
-from lodestone.operators.bm25 import bm25_topk, corpus
+from lodestone.operators import bm25
+from lodestone.operators.ann import AnnIndex
 from lodestone.operators.conversation import append_turns, compress, token_totals
 from lodestone.operators.dedup import dedup_stats, first_wins, list_sources, numbered, source_totals
 from lodestone.operators.dense import dense_topk
 from lodestone.operators.embed import HashingEmbedder, embed
 from lodestone.operators.evaluate import containing, hit_rates, hits, top1_check
-from lodestone.operators.fusion import recall_size, rerank, rrf_fuse, threshold_topk
-from lodestone.operators.retrieval import format_context, hybrid_retrieve, with_text
-from lodestone.plans.runtime import spread, table
+from lodestone.operators.fusion import fuse, recall_size, rerank, threshold_topk
+from lodestone.operators.retrieval import Collection, format_context, hybrid_retrieve, places
+from lodestone.operators.store import ChunkStore
+from lodestone.plans.runtime import new_path, spread, table
+from lodestone.sources.files import parse_files
 from lodestone.sources.parsers import html_text
 from lodestone.sources.registry import supported_frame
 
@@ -75,6 +79,22 @@ def _chunks(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source"))
 
 
+_COLLECTIONS: dict[tuple, Collection] = {}
+
+
+def _collection(spark, sf_dir) -> Collection:
+    """Vectors and postings of documents, made once for each state of the table and application, as a store keeps them for
+    each of its revisions."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = fs.getContentSummary(at)
+    state = (spark.sparkContext.applicationId, str(sf_dir), held.getLength(), held.getFileCount(), fs.getFileStatus(at).getModificationTime())
+    if state not in _COLLECTIONS:
+        made = Collection.of(_chunks(spark, sf_dir), HashingEmbedder(DIMS))
+        _COLLECTIONS[state] = Collection(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source"), made.vectors, made.index)
+    return _COLLECTIONS[state]
+
+
 def _questions(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -154,6 +174,64 @@ def pii_mask_turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", pii.mask(F.col("text")).alias("masked"), pii.hits(F.col("text")).alias("hits"))
 
 
+@query(f"SELECT conv_id, string_agg(role || ': ' || masked, chr(10) ORDER BY turn) AS history FROM ({_pii_sql('conversations', 'conv_id, turn, role')}) GROUP BY conv_id")
+def pii_mask_history(spark, sf_dir):
+    """Whole conversations with their contents masked."""
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("h"))
+    line = lambda x: F.concat(x["role"], F.lit(": "), x["content"])
+    return whole.select("conv_id", F.array_join(F.transform(pii.mask_history(F.col("h")), line), "\n").alias("history"))
+
+
+# ---- files: contents are put together from tables, then parsed as files are ----
+
+
+def _parsed(files):
+    return parse_files(files, Settings()).select(F.col("file_no").alias("id"), "text")
+
+
+def _files(rows, key: str, name: str, content):
+    return rows.select(F.col(key).alias("file_no"), F.concat(F.col(key).cast("string"), F.lit(name)).alias("source"), F.encode(content, "UTF-8").alias("content"))
+
+
+def _text_file(name: str, content: str, wanted: str):
+    """Every document in a file of its own; content and wanted are SQL over text (t) that both engines know."""
+
+    @query(f"SELECT doc_id AS id, {wanted} AS text FROM (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL)")
+    def run(spark, sf_dir):
+        rows = _documents(spark, sf_dir).where("text IS NOT NULL").selectExpr("doc_id", "text AS t")
+        return _parsed(_files(rows, "doc_id", name, F.expr(content)))
+
+    return run
+
+
+_WORDS_ONLY = r"regexp_replace(t, '[^a-zA-Z0-9 ]', ' '{g})"
+for _label, _name, _content, _wanted in (
+    ("txt", ".txt", "replace(t, '\n', '\r\n')", "t"),
+    ("md", ".md", "concat('# ', t)", "concat('# ', t)"),
+    ("rtf", ".rtf", "concat('{rtf1 ', replace(replace(replace(t, '\\\\', '/'), '{', '('), '}', ')'), '}')", "' rtf1 ' || replace(replace(replace(t, chr(92), '/'), '{', '('), '}', ')') || ' '"),
+    ("xml", ".xml", f"concat('<d><a>', {_WORDS_ONLY.format(g='')}, '</a><b> end </b></d>')", f"""trim({_WORDS_ONLY.format(g=", 'g'")}) || CASE WHEN trim({_WORDS_ONLY.format(g=", 'g'")}) = '' THEN '' ELSE chr(10) END || 'end'"""),
+    ("broken_xml", ".xml", f"concat('<d><br>', {_WORDS_ONLY.format(g='')}, '</d>')", f"""'  ' || {_WORDS_ONLY.format(g=", 'g'")} || ' '"""),
+    ("html", ".html", f"concat('<p>', {_WORDS_ONLY.format(g='')}, '</p><!-- no --><b>a &amp; b</b>')", f"""trim({_WORDS_ONLY.format(g=", 'g'")}) || CASE WHEN trim({_WORDS_ONLY.format(g=", 'g'")}) = '' THEN '' ELSE chr(10) END || 'a & b'"""),
+    ("json", ".json", f"concat('{{\"b\":1, \"a\":\"', {_WORDS_ONLY.format(g='')}, '\"}}')", f"""'{{' || chr(10) || '  "b": 1,' || chr(10) || '  "a": "' || {_WORDS_ONLY.format(g=", 'g'")} || '"' || chr(10) || '}}'"""),
+    ("jsonl", ".jsonl", f"concat('{{\"a\":\"', {_WORDS_ONLY.format(g='')}, '\"}}\n\n[1,2]\n')", f"""'{{"a": "' || {_WORDS_ONLY.format(g=", 'g'")} || '"}}' || chr(10) || '[1, 2]'"""),
+):
+    _run = _text_file(_name, _content, _wanted)
+    for _table in (QUERIES, ORACLES):
+        _table[f"parse_{_label}"] = _table.pop("run")
+
+
+@query(
+    "SELECT c_nationkey::BIGINT AS id, 'key | name | segment' || chr(10) || string_agg(c_custkey || ' | ' || c_name || ' | ' || c_mktsegment, chr(10) ORDER BY c_custkey) AS text FROM customer GROUP BY c_nationkey"
+)
+def parse_csv(spark, sf_dir):
+    """The customers of each nation in a file of their own."""
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment")
+    rows = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("nation"))
+    whole = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("x")))), lambda r: r["x"]), "\n").alias("t"))
+    return _parsed(_files(whole, "nation", ".csv", F.concat(F.lit("key,name,segment\n"), F.col("t"))))
+
+
 # ---- chunking ----
 
 _SIZE, _OVERLAP = 200, 40
@@ -209,11 +287,16 @@ def sources_total(spark, sf_dir):
     return source_totals(list_sources(_documents(spark, sf_dir)))
 
 
-# ---- changes of the store, as plans ----
+# ---- the chunk store: documents as its chunks, in stores of their own ----
+
+
+def _as_chunks(docs, source=None, order=None):
+    """Documents as chunks whose index is the doc_id; of equal ones the first in `order` is added."""
+    return docs.select("text", (F.col("source") if source is None else source).alias("source"), F.col("doc_id").cast("int").alias("chunk_index"), content_hash("text").alias("content_hash"), (F.lit(0) if order is None else order).alias("file_no"))
 
 
-def _snapshot(spark, sf_dir):
-    return dedup_first_docs(spark, sf_dir).select("content_hash", "doc_id", "source")
+def _store(spark) -> ChunkStore:
+    return ChunkStore(spark, new_path(spark, "store"), HashingEmbedder(8))
 
 
 @query(
@@ -223,10 +306,11 @@ new AS (SELECT content_hash, doc_id, 'again/' || source AS source FROM d WHERE l
 SELECT * FROM old WHERE content_hash NOT IN (SELECT content_hash FROM new) UNION ALL SELECT * FROM new"""
 )
 def upsert_snapshot(spark, sf_dir):
-    old = _snapshot(spark, sf_dir)
-    again = _documents(spark, sf_dir).where("lang = 'en'").select(content_hash("text").alias("content_hash"), "doc_id", F.concat(F.lit("again/"), F.col("source")).alias("source"), (-F.col("doc_id")).alias("last"))
-    new = first_wins(again, ["content_hash"], ["last"]).select("content_hash", "doc_id", "source")
-    return old.join(new.select("content_hash"), "content_hash", "left_anti").select("content_hash", "doc_id", "source").unionByName(new)
+    """A store after an upsert that replaces the English documents."""
+    docs, store = _documents(spark, sf_dir), _store(spark)
+    store.add(_as_chunks(docs))
+    store.add(_as_chunks(docs.where("lang = 'en'"), F.concat(F.lit("again/"), F.col("source")), -F.col("doc_id")))
+    return store.read().select("content_hash", F.col("chunk_index").cast("long").alias("doc_id"), "source")
 
 
 @query(
@@ -235,8 +319,22 @@ old AS (SELECT content_hash, doc_id, source FROM d QUALIFY row_number() OVER (PA
 SELECT count(*) FILTER (WHERE source IS NOT DISTINCT FROM 'src3') AS deleted_chunks, count(*) FILTER (WHERE source IS DISTINCT FROM 'src3') AS total_chunks FROM old"""
 )
 def delete_counts(spark, sf_dir):
-    gone = F.col("source").eqNullSafe(F.lit("src3"))
-    return _snapshot(spark, sf_dir).agg(F.count(F.when(gone, 1)).alias("deleted_chunks"), F.count(F.when(~gone, 1)).alias("total_chunks"))
+    store = _store(spark)
+    store.add(_as_chunks(_documents(spark, sf_dir)))
+    return spark.createDataFrame([store.delete_source("src3")], "deleted_chunks long, total_chunks long")
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, source, {_hash('text')} AS content_hash FROM documents),
+old AS (SELECT content_hash, doc_id, source FROM d QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) = 1)
+SELECT content_hash, doc_id, source, CAST(row_number() OVER (ORDER BY doc_id) AS INTEGER) AS place FROM old WHERE source IS DISTINCT FROM 'src3'"""
+)
+def store_rows(spark, sf_dir):
+    """What lives in a store after a delete, numbered in the order of insertion."""
+    store = _store(spark)
+    store.add(_as_chunks(_documents(spark, sf_dir), order=F.col("doc_id")))
+    store.delete_source("src3")
+    return numbered(store.read().select("content_hash", F.col("chunk_index").cast("long").alias("doc_id"), "source", "id"), "id").withColumnRenamed("no", "place").drop("id")
 
 
 # ---- retrieval ----
@@ -289,19 +387,35 @@ _ALL = f"WITH {_QUERY}, {_BM25}, {_DENSE}, {_FUSED}, {_SCORED}, "
 
 @query(f"WITH {_QUERY}, {_BM25} SELECT tok, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark, sf_dir):
-    return corpus(_chunks(spark, sf_dir)).vocabulary.select("tok", "df", F.round("idf", 6).alias("idf"))
+    return _collection(spark, sf_dir).index.vocabulary.select("tok", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_QUERY}, {_BM25} SELECT query_id, id, score, rank FROM sparse")
 def bm25_search(spark, sf_dir):
-    return bm25_topk(_chunks(spark, sf_dir), _questions(spark, sf_dir), FETCH)
+    return bm25.search(_collection(spark, sf_dir).index, _questions(spark, sf_dir), FETCH)
+
+
+#: The chunks of a store to which documents are added in two batches, those with even doc_id first: an equal chunk of the
+#: second batch replaces the first's text and keeps its place.
+_BATCHES = f"""d AS (SELECT doc_id, text, source, {_hash('text')} AS hash, doc_id % 2 AS b FROM documents),
+f AS (SELECT hash, b, min(doc_id) AS doc_id FROM d GROUP BY ALL),
+p AS (SELECT hash, arg_max(doc_id, b) AS doc_id, min(b * 1000000000000 + doc_id) AS place FROM f GROUP BY hash),
+dd AS (SELECT place AS doc_id, text, source, d.hash FROM p JOIN d USING (doc_id))"""
+
+
+@query(f"WITH {_QUERY}, {_BATCHES}, {_BM25.replace('FROM documents', 'FROM dd')} SELECT query_id, hash AS content_hash, score, rank FROM sparse JOIN dd ON id = doc_id")
+def store_bm25_search(spark, sf_dir):
+    """BM25 through a store of two segments, the first of which has replaced chunks."""
+    docs, store = _documents(spark, sf_dir), _store(spark)
+    store.add(_as_chunks(docs.where("doc_id % 2 = 0")))
+    store.collection()
+    store.add(_as_chunks(docs.where("doc_id % 2 = 1")))
+    found = bm25.search(store.collection().index, _questions(spark, sf_dir), FETCH)
+    return found.join(store.read().select("id", "content_hash"), "id").select("query_id", "content_hash", "score", "rank")
 
 
 def _fused(spark, sf_dir):
-    chunks, asked, embedder = _chunks(spark, sf_dir), _questions(spark, sf_dir), HashingEmbedder(DIMS)
-    stored = chunks.withColumn("vector", embed(embedder, F.col("text")))
-    dense = dense_topk(stored, asked.select("query_id", embed(embedder, F.col("text"), is_query=True).alias("vector")), FETCH)
-    return rrf_fuse(with_text(dense, chunks), with_text(bm25_topk(chunks, asked, FETCH), chunks), FETCH)
+    return fuse(places(_collection(spark, sf_dir), _questions(spark, sf_dir), HashingEmbedder(DIMS), FETCH), FETCH)
 
 
 @query(f"WITH {_QUERY}, {_BM25}, {_DENSE}, {_FUSED} SELECT * FROM fused")
@@ -321,7 +435,7 @@ def hybrid_search(spark, sf_dir):
 
 def flagship(spark, sf_dir):
     """Hybrid retrieval over documents for all questions of benchmark."""
-    return hybrid_retrieve(_chunks(spark, sf_dir), _questions(spark, sf_dir), HashingEmbedder(DIMS), TOP_K, 0.3)
+    return hybrid_retrieve(_collection(spark, sf_dir), _questions(spark, sf_dir), HashingEmbedder(DIMS), TOP_K, 0.3)
 
 
 @query(_ALL + _best(0.3) + " SELECT query_id, string_agg('[片段' || rank || '｜来源:' || source || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM best GROUP BY query_id")
@@ -329,6 +443,23 @@ def answer_context(spark, sf_dir):
     return format_context(flagship(spark, sf_dir))
 
 
+@query(
+    _ALL + _best(0.3) + f", masked_best AS ({_pii_sql('best', 'query_id, rank, source')})"
+    " SELECT query_id, string_agg('[片段' || rank || '｜来源:' || source || ']' || chr(10) || masked, chr(10) || chr(10) ORDER BY rank) AS context FROM masked_best GROUP BY query_id"
+)
+def answer_context_masked(spark, sf_dir):
+    """The context of a prompt, without personal data."""
+    return format_context(flagship(spark, sf_dir), mask=pii.mask)
+
+
+@query()
+def ann_search(spark, sf_dir):
+    """Approximate nearest vectors of the stated query set; tests hold it against dense_search."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return AnnIndex.build(rows, "vec_id", "embedding").search(asked, FETCH)
+
+
 # ---- evaluation ----
 
 _EXPECT = "want AS (SELECT query_id, list_distinct(list(source)) AS want, substr(any_value(q.text), 1, 30) AS word FROM q JOIN documents d ON contains(d.text, q.text) GROUP BY query_id)"

@@ -15,7 +15,7 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Rows of one Arrow batch: documents are a few KB each, so a batch stays a few MB.
 ARROW_ROWS = 1000
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -30,8 +30,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     env.setdefault("OMP_NUM_THREADS", "1")
     # workers are kept between stages: what a task frees goes back to the system
     env.setdefault("MALLOC_ARENA_MAX", "2")
-    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(1 << 20))
-    env.setdefault("MALLOC_TRIM_THRESHOLD_", str(4 << 20))
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(24 << 20))
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", str(32 << 20))
     env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))

@@ -11,6 +11,7 @@ from lodestone.config import Settings
 from lodestone.functions.chunking import chunk_documents
 from lodestone.functions.text import basename, extension
 from lodestone.operators.dedup import first_wins
+from lodestone.plans.runtime import materialize
 from lodestone.sources.ocr import OCRProvider
 from lodestone.sources.parsers import parse
 from lodestone.sources.registry import family_of, supported_frame
@@ -57,22 +58,24 @@ def parse_files(files: DataFrame, settings: Settings, provider: OCRProvider | No
                 rows.append((None, str(e) or type(e).__name__))
         return pd.DataFrame(rows, columns=["text", "error"])
 
-    return files.withColumn("got", run("source", "content")).select("file_no", "source", "got.text", "got.error")
+    once = run.asNondeterministic()  # else filters on the text would parse, or ask the provider, a second time
+    return files.withColumn("got", once("source", "content")).select("file_no", "source", "got.text", "got.error")
 
 
 def load_chunks(files: DataFrame, settings: Settings, provider: OCRProvider | None = None, size: int | None = None, overlap: int | None = None, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(all chunks, chunks that stay): equal content stays where it comes first, by file, then place in the file.
+    """(all chunks, chunks that stay): equal content stays where it comes first, by file_no, then place in the file.
 
-    Any file that cannot be read fails the whole batch. names: sources by file number, instead of the files' own; files
-    without a name are left out.
+    Files are parsed here and once: their chunks are written to the shared folder, so nothing that is done with them parses
+    a file, or asks an OCR provider, again. Any file that cannot be read fails the whole batch. names: sources by file
+    number, instead of the files' own; files without a name are left out.
     """
-    for (name,) in files.select("source").distinct().collect():  # one row for each file of a request
-        family_of(name[name.rfind(".") :].lower() if "." in name else "")
+    for r in unsupported(files).limit(1).collect():
+        family_of(r["extension"])
     parsed = parse_files(files, settings, provider)
     if names is not None:
         pairs = files.sparkSession.createDataFrame(list(enumerate(names)), T.StructType([T.StructField("file_no", T.IntegerType()), T.StructField("name", T.StringType())]))
-        parsed = parsed.join(F.broadcast(pairs), "file_no").withColumn("source", F.col("name")).drop("name")
+        parsed = parsed.join(F.broadcast(pairs), "file_no").withColumn("source", F.col("name")).drop("name")  # one name for each file of a request
     parsed = parsed.withColumn("text", F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", "source", "error"))).otherwise(F.col("text")))
     size, overlap = settings.resolve_chunking(size, overlap)
-    chunks = chunk_documents(parsed, size, overlap, settings.chunk_strategy, keep=("file_no",))
+    chunks = materialize(chunk_documents(parsed, size, overlap, settings.chunk_strategy, keep=("file_no",)), "chunks")
     return chunks, first_wins(chunks, ["content_hash"], ["file_no", "chunk_index"])

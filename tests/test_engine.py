@@ -1,12 +1,19 @@
 import json
 import random
+import uuid
+from pathlib import Path
 
 import pytest
 
 from lodestone.config import Settings
 from lodestone.engine import Engine, sources_markdown
+from lodestone.operators import bm25
+from lodestone.operators import store as store_module
 from lodestone.operators.conversation import compress, compress_messages
+from lodestone.operators.embed import HashingEmbedder
+from lodestone.operators.store import ChunkStore
 from lodestone.plans.agent import Answerer, first_seen, parse_json
+from lodestone.plans.runtime import materialize, release, scratch, shared_dir
 from lodestone.retry import delay, retry_with_backoff
 from lodestone.streaming.ingest import ingest_stream
 
@@ -49,6 +56,123 @@ def test_store(spark, engine):
     assert engine.ingest_bytes([("blank.txt", b" \n ")]).added == 0 and engine.store.revision == at + 4
 
 
+def test_store_in_segments(spark, tmp_path, monkeypatch):
+    """Against a dictionary: upserts keep places, deletes count, searches see live rows only; segments merge."""
+    rng = random.Random(3)
+    monkeypatch.setattr(store_module, "MOST_SEGMENTS", 4)
+    store = ChunkStore(spark, str(tmp_path), HashingEmbedder(8))
+    live, n_place, merged = {}, 0, 0
+    for turn in range(9):
+        if turn in (4, 7):
+            source = f"s{rng.randrange(3)}"
+            gone = [h for h, r in live.items() if r[1] == source]
+            assert store.delete_source(source) == (len(gone), len(live) - len(gone))
+            for h in gone:
+                del live[h]
+        else:
+            rows = []
+            for i, h in enumerate(rng.sample(range(40), 9)):
+                source = f"s{rng.randrange(3)}"
+                rows.append((f"word{h} text{turn}", source, i, f"h{h}", 0))
+            store.add(spark.createDataFrame(rows, "text string, source string, chunk_index int, content_hash string, file_no int"))
+            for text, source, i, h, _ in rows:
+                place = live[h][3] if h in live else (n_place, source, i)
+                live[h] = (text, source, i, place)
+            n_place += 1
+        got = sorted(store.read().collect(), key=lambda r: r["id"])
+        assert [(r["chunk_id"], r["text"], r["source"], r["chunk_index"]) for r in got] == [(h, *r[:3]) for h, r in sorted(live.items(), key=lambda x: x[1][3])]
+        assert store.count() == len(live) and store.revision == turn + 1 and len({r["id"] for r in got}) == len(got)
+        merged += len(store._manifest()["segments"]) == 1 and turn > 1
+        ask = spark.createDataFrame([(1, "word7 text2 word3")], "query_id long, text string")
+        found = bm25.search(store.collection().index, ask, 50).join(store.read(), "id").select("chunk_id", "score").collect()
+        plain = bm25.bm25_topk(store.read().select("id", "text"), ask, 50).join(store.read(), "id").select("chunk_id", "score").collect()
+        assert sorted(map(tuple, found)) == sorted(map(tuple, plain))
+    assert merged
+    assert len(store._revisions()) == 2 and len(store._names("segments")) <= 10
+
+
+def test_second_search_reads_no_texts(spark, engine):
+    engine.search(["年假"])
+    held = engine.store.collection()
+    assert engine.store.collection() is held
+    files = bm25.search(held.index, spark.createDataFrame([(0, "年假")], "query_id long, text string"), 5).inputFiles()
+    assert files and all("/index/s=" in f and "/postings/" in f for f in files)
+    written = engine.store._names("index")
+    engine.search(["报销"])
+    assert engine.store._names("index") == written
+
+
+def test_two_writers(spark, engine):
+    late = engine.store._manifest()
+    engine.delete_source("none")
+    with pytest.raises(RuntimeError):
+        engine.store._commit(late | {"revision": late["revision"] + 1})
+
+
+def test_progress_and_warm_up(spark, tmp_path):
+    seen = []
+    e = Engine(spark, str(tmp_path / "s"), Settings(chunk_size=20, chunk_overlap=0))
+    got = e.ingest_bytes([(f"{i}.txt", f"text number {i}, with a few words".encode()) for i in range(20)], progress=lambda a, b: seen.append((a, b)))
+    assert seen[-1] == (got.added, got.added) and all(0 < a <= b for a, b in seen) and sorted(seen) == seen
+    e.warm_up()
+    assert e.store._names("index")
+
+    class Lazy(HashingEmbedder):
+        loaded = 0
+
+        def model(self):
+            Lazy.loaded += 1
+
+    Engine(spark, str(tmp_path / "t"), embedder=Lazy()).warm_up()
+    assert Lazy.loaded == 1
+
+
+class CountingOCR:
+    def __init__(self, folder):
+        self.folder = folder
+
+    def extract_image_bytes(self, content, mime_type):
+        (self.folder / uuid.uuid4().hex).write_text(mime_type)
+        return f"text of {content.decode()}"
+
+
+def test_files_are_parsed_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    e = Engine(spark, str(tmp_path / "s"), Settings(enable_ocr=True), ocr=CountingOCR(calls))
+    assert e.ingest_bytes([("a.png", b"one"), ("b.png", b"two")]).added == 2
+    assert len(list(calls.iterdir())) == 2
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name in ("c", "d"):
+        (folder / f"{name}.png").write_bytes(name.encode())
+    ingest_stream(e, str(folder), str(tmp_path / "cp")).awaitTermination(120)
+    assert len(list(calls.iterdir())) == 4 and e.health()["total_chunks"] == 4
+
+
+def test_scratch_tables_are_deleted(spark, tmp_path):
+    made = []
+    with scratch() as keep:
+        a, b = (materialize(spark.range(3), "t") for _ in range(2))
+        made = [x._lodestone_path.removeprefix("file://") for x in (a, keep(b))]
+    assert [Path(p).exists() for p in made] == [False, True]
+    release(b)
+    assert not Path(made[1]).exists()
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+    class Session:
+        conf = type("C", (), {"get": lambda self, *a: None})()
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
+
+
 def test_ask(engine):
     seen = []
     engine._chat = lambda m: seen.append(m) or "call 13812345678"

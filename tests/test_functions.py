@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from lodestone.config import Settings, chunk_strategy, first_real
+from lodestone.config import Settings, chunk_strategy, read_env_file, usable
 from lodestone.engine import mask_text
 from lodestone.functions import pii
 from lodestone.functions.chunking import SEPARATORS, split_chars, split_tokens
@@ -93,10 +93,91 @@ def test_char_chunks():
     assert split_chars("short", 100, 10) == ["short"] and split_chars("", 10, 2) == []
 
 
+def split_plainly(text, size, overlap, marks):
+    """The splitter's description, written down without its code: a list of pieces by the first mark present, each with the
+    mark before it; pieces of at least `size` are split further; runs of shorter ones are joined while they fit, and a
+    chunk starts with the longest tail of the one before that is at most `overlap` long and leaves room."""
+    mark = next((m for m in marks if m and m in text), "")
+    weaker = marks[marks.index(mark) + 1 :] if mark in marks else ()
+    if mark:
+        pieces, at = [], 0
+        for m in re.finditer(re.escape(mark), text):
+            if m.start() > at:
+                pieces.append(text[at : m.start()])
+            at = m.start()
+        pieces.append(text[at:])
+    else:
+        pieces = list(text)
+    out, run = [], []
+
+    def close():
+        if not run:
+            return
+        window = [run[0]]
+        for p in run[1:]:
+            if len("".join(window)) + len(p) > size:
+                out.append("".join(window).strip())
+                while window and (len("".join(window)) > overlap or len("".join(window)) + len(p) > size):
+                    window.pop(0)
+            window.append(p)
+        out.append("".join(window).strip())
+        run.clear()
+
+    for p in pieces:
+        if len(p) < size:
+            run.append(p)
+        else:
+            close()
+            out.extend(split_plainly(p, size, overlap, weaker) if weaker else [p])
+    close()
+    return [c for c in out if c]
+
+
+def test_char_chunks_by_another_splitter():
+    rng = random.Random(11)
+    for _ in range(400):
+        text = "".join(rng.choice(["word ", "Sentence. ", "\n", "\n\n", "汉字。", "x" * 30, "? ", "!", "；", ". "]) for _ in range(rng.randrange(60)))
+        for size, overlap in ((40, 10), (80, 0), (25, 24), (7, 3), (1, 0)):
+            assert split_chars(text, size, overlap, SEPARATORS) == split_plainly(text, size, overlap, SEPARATORS), (text, size, overlap)
+
+
+def test_char_chunks_of_documents(spark):
+    import pyarrow.parquet as pq
+
+    from lodestone.plans.catalog import QUERIES
+    from tests.conftest import DATA
+
+    want = set()
+    for r in pq.read_table(f"{DATA}/sf0.001/documents.parquet").to_pylist():
+        cleaned = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", r["text"]))).strip()
+        want |= {(r["doc_id"], i, c.strip()) for i, c in enumerate(split_plainly(cleaned, 800, 150, SEPARATORS)) if c.strip()}
+    assert {(r["doc_id"], r["chunk_index"], r["text"]) for r in QUERIES["chunk_char"](spark, f"{DATA}/sf0.001").collect()} == want
+
+
+def test_env_file(tmp_path):
+    (tmp_path / ".env").write_text('# note\nTOP_K=9\nexport LLM_MODEL="m # x"\nCHUNK_SIZE = 50 # why\nOCR_MODEL=\nno line\nCOLLECTION_NAME=\'kb\'\n', encoding="utf-8")
+    s = Settings.from_env({"chunk_size": "60"}, tmp_path / ".env")
+    assert (s.top_k, s.llm_model, s.chunk_size, s.ocr_model, s.collection_name) == (9, "m # x", 60, "", "kb")
+    assert read_env_file(tmp_path / "none") == {} and Settings.from_env({}, None).top_k == 5
+
+
+def test_logger(capsys):
+    import logging
+
+    from lodestone.log import get_logger
+
+    log = get_logger("lodestone.test")
+    assert get_logger("lodestone.test") is log and len(log.handlers) == 1 and log.level == logging.INFO and not log.propagate
+
+
 def test_settings():
     s = Settings.from_env({"TOP_K": "7", "enable_ocr": "true", "OPENAI_BASE_URL": "https://api.deepseek.com", "DEEPSEEK_API_KEY": "k1", "OPENAI_API_KEY": "k2"})
     assert (s.top_k, s.enable_ocr, s.llm_api_key, s.ocr_key) == (7, True, "k1", "k2")
-    assert first_real("sk-your-key-here", " your-x ", "", None, "sk-xxxx", " real ") == "real"
+    assert [usable(x) for x in ("sk-your-key-here", " YOUR-x ", "", None, " ", "sk-xxxx", "你的 API key", " real ", "my-your-key2")] == [""] * 7 + ["real", "my-your-key2"]
+    assert Settings(openai_base_url="https://dashscope.x", openai_api_key="o", dashscope_api_key="d", deepseek_api_key="p").llm_api_key == "d"
+    assert Settings(openai_base_url="https://a.deepseek.aliyuncs.com", openai_api_key="o", dashscope_api_key="d").llm_api_key == "d"
+    assert Settings(openai_base_url="", dashscope_api_key="d", deepseek_api_key="p").llm_api_key == "p" and Settings().llm_api_key == ""
+    assert Settings(ocr_api_key="your-key", dashscope_api_key="d", openai_api_key="o").ocr_key == "d"
     assert [chunk_strategy(x) for x in ("Recursive", "TOKENS", "other", None)] == ["char", "token", "char", "char"]
     assert Settings().resolve_chunking(0, None) == (800, 150) and Settings().resolve_chunking(10, 0) == (10, 0)
     assert Settings(enable_ocr=True).check_ocr()[1] == 1 and Settings().check_ocr()[1] == 0

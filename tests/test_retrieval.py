@@ -6,7 +6,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from lodestone.operators.bm25 import TOKENS, bm25_scores, bm25_topk, corpus
+from lodestone.operators import bm25, dense
+from lodestone.operators.ann import AnnIndex
+from lodestone.operators.best import Best
+from lodestone.operators.bm25 import TOKENS, Index, bm25_topk, corpus, search
 from lodestone.operators.dense import dense_topk
 from lodestone.operators.embed import HashingEmbedder, embed_texts
 from lodestone.operators.evaluate import hit_rates, hits, load_cases, top1_check
@@ -35,13 +38,74 @@ def test_bm25(spark):
     asked = {0: "the cat cat", 1: "unknown", 2: "汉字 tree"}
     d = spark.createDataFrame(list(docs.items()), "id long, text string")
     q = spark.createDataFrame(list(asked.items()), "query_id long, text string")
-    got = {(r["query_id"], r["id"]): r["score"] for r in bm25_scores(corpus(d), q).collect()}
-    want = {(k, i): s for k, t in asked.items() for i, s in okapi(docs, t).items()}
+    got = {(r["query_id"], r["id"]): r["score"] for r in bm25_topk(d, q, 1000).collect()}
+    want = {(k, i): s for k, t in asked.items() for i, s in okapi(docs, t).items() if s > 0}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
     assert all(r["score"] > 0 for r in bm25_topk(d, q, 5).collect())
+    index, counted = Index.build(d), corpus(d)
+    assert (index.n, index.length) == (counted.n, counted.length) == (30, sum(len(re.findall(TOKENS, t)) for t in docs.values()))
+    assert sorted(map(tuple, index.vocabulary.collect())) == sorted(map(tuple, counted.vocabulary.collect()))
     assert bm25_topk(d.limit(0), q, 5).count() == 0
 
 
+@pytest.mark.parametrize(("block", "questions", "pushed"), [(7, 5000, 200), (8192, 4, 200), (64, 3, 0)])
+def test_bm25_in_blocks_and_passes(spark, monkeypatch, block, questions, pushed):
+    rng = random.Random(block)
+    vocabulary = [f"w{i}" for i in range(60)]
+    docs = {i * 3: " ".join(rng.choice(vocabulary[: rng.randrange(2, 60)]) for _ in range(rng.randrange(0, 40))) for i in range(200)}
+    docs[1] = docs[3]  # a tie
+    asked = {i: " ".join(rng.choice(vocabulary) for _ in range(6)) for i in range(11)}
+    d = spark.createDataFrame(list(docs.items()), "id long, text string").repartition(3)
+    q = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    for name, value in (("BLOCK", block), ("PASS_QUESTIONS", questions), ("PUSHED_TOKENS", pushed), ("QUERY_BLOCK", 4)):
+        monkeypatch.setattr(bm25, name, value)
+    got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in search(Index.build(d), q, 9).collect()}
+    for k, t in asked.items():
+        best = sorted(((-round(s, 6), i) for i, s in okapi(docs, t).items() if round(s, 6) > 0))[:9]
+        for rank, (s, i) in enumerate(best, 1):
+            assert got[k, rank][0] == i and abs(got[k, rank][1] + s) < 2e-6
+    assert len(got) <= 99
+
+
+def test_best_keeps_ties_by_id():
+    rng = np.random.default_rng(5)
+    best, every = Best(6, 4), []
+    best.room = 40
+    for _ in range(30):
+        ids, score = rng.integers(0, 10**6, 8), rng.integers(0, 4, (6, 8)) / 3
+        best.add_block(0, ids, score[:4], 0.0)
+        best.add_block(4, ids, score[4:], 0.0)
+        every += [(q, -round(float(score[q, k]), 6), int(ids[k])) for q in range(6) for k in range(8) if score[q, k] > 0]
+    got = best.batch(np.arange(6)).to_pylist()
+    want = [x for q in range(6) for x in sorted(e for e in every if e[0] == q)[:4]]
+    assert [(r["query_id"], -round(r["score"], 6), r["id"]) for r in got] == want
+
+
+def test_dense_in_passes(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(120, 6)))], "id long, vector array<float>").repartition(3)
+    q = d.selectExpr("id AS query_id", "vector")
+    want = sorted(map(tuple, dense_topk(d, q, 5).collect()))
+    monkeypatch.setattr(dense, "PASS_QUERIES", 20)
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 7)
+    assert sorted(map(tuple, dense_topk(d, q, 5).collect())) == want and len(want) == 600
+
+
+def test_approximate_search(spark):
+    from tests.conftest import DATA
+
+    rows = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet")
+    asked = rows.where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+    index = AnnIndex.build(rows, "vec_id", "embedding", k=10)
+    exact = {(r["query_id"], r["id"]) for r in dense_topk(rows, asked, 10, "vec_id", "embedding").collect()}
+    found = index.search(asked, 10).collect()
+    assert index.rows.count() == rows.count() and index.recall >= 0.95 and index.probes < len(index.centres)
+    assert len({(r["query_id"], r["id"]) for r in found} & exact) >= 0.9 * len(exact)
+    assert AnnIndex.build(rows.limit(0), "vec_id", "embedding").search(asked, 10).count() == 0
+    few = AnnIndex.build(rows.limit(3), "vec_id", "embedding", k=2)
+    assert few.search(asked.limit(1), 2).count() == 2
+
+
 def test_dense(spark):
     rng = np.random.default_rng(0)
     store = rng.normal(size=(300, 8))
