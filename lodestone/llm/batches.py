@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,5 +93,24 @@ def word_end(data: np.ndarray, at: int) -> int:
     return len(data)
 
 
-def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f in schema for x in (columns[f.name],)], schema=schema)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
+def tidy(run):
+    """run, which after its last batch gives freed memory back to the system: workers wait for their next task with what
+    they hold, and a task may have two of them."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            libc = _libc()
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return inner

@@ -17,8 +17,9 @@ theirs. A maximal row of windows with one leader is a segment.
 4. Each batch marks the windows owned by a smaller doc_id and measures what is left.
 
 A passage in any number of documents is one segment for each batch, and a phrase in any number of surroundings is dealt
-out by these, so no bucket grows with the copies of one string. A row is a (batch, bucket) pair: their number grows with
-the square of the input, from some 10 TB on until every leader is a row of its own.
+out by these, so no bucket grows with the copies of one string. A row is a (batch, bucket) pair. Above BASE bytes of input
+batches and buckets grow with its square root, so that rows grow in proportion to it and keep some KB each; both stop
+growing at GROWTH times their size, which is what a worker of 2 GB holds, at some 60 TB for batches and 1.5 TB for buckets.
 """
 
 from __future__ import annotations
@@ -32,13 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import text_slices
+from lodestone.llm.batches import text_slices, tidy
 from lodestone.llm.xxh import xxh64
 from lodestone.plans.runtime import materialize, prepare
 
 WINDOW, GRAM = 50, 24
 #: Bytes of text in a batch, worked on at once, and for each bucket of leaders and of segments.
 BATCH, TILE, LEADERS, SEGMENTS = 2 << 20, 1 << 20, 48 << 20, 12 << 20
+#: Input up to which these sizes hold; how many times as large batches, and buckets, may become beyond.
+BASE, GROWTH = 64 << 30, (32, 5)
 #: Different segments of one leader, as far as batches differ in them, above which its windows are dealt out one by one.
 CROWD = 20_000
 #: Compression of texts, which are written once and dealt out twice.
@@ -235,7 +238,22 @@ def window_owners(text: np.ndarray, cut: np.ndarray, owner: np.ndarray, window:
 # ---- the steps ----
 
 
-def _pack(batches: Iterator[pa.RecordBatch]):
+def growth(total: int, most: int) -> float:
+    """How many times their size batches or buckets have for an input of `total` bytes."""
+    return min(max(1.0, (total / BASE) ** 0.5), most)
+
+
+def expected_bytes(docs: DataFrame) -> int:
+    """The optimizer's estimate of the input's size, or 0 if it has none."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
+def _pack(limit: int):
+    return lambda batches: _packed(batches, limit)
+
+
+def _packed(batches: Iterator[pa.RecordBatch], limit: int):
     pid, seq = TaskContext.get().partitionId(), 0
     ids: list[np.ndarray] = []
     sizes: list[np.ndarray] = []
@@ -249,8 +267,8 @@ def _pack(batches: Iterator[pa.RecordBatch]):
         ids.clear(), sizes.clear(), texts.clear()
         return out
 
-    for rows, data, off in text_slices(batches, "text", BATCH):
-        if held and held + len(data) > BATCH:
+    for rows, data, off in text_slices(batches, "text", limit):
+        if held and held + len(data) > limit:
             yield row()
         ids.append(rows.column("doc_id").fill_null(int(NONE)).to_numpy())
         sizes.append(np.diff(off))
@@ -299,14 +317,21 @@ def _leaders(data, off, ids, window):
 
 
 def _variety(data, first, count, place, n, window):
-    """For each leader, its different segments in the batch (at most 255) and a byte that batches with the same ones share."""
-    h = xxh64(np.concatenate((data, np.zeros(8, np.uint8))), first, count + window - 1)
-    order = np.lexsort((h, place))
-    p, k = place[order], h[order]
-    new = np.append(True, (p[1:] != p[:-1]) | (k[1:] != k[:-1]))[: len(p)]
-    kinds = np.minimum(np.bincount(p[new], minlength=n), 255).astype(np.uint8)
-    least = k[np.flatnonzero(np.append(True, p[1:] != p[:-1])[: len(p)])]
-    return kinds, (least >> np.uint64(56)).astype(np.uint8)
+    """For each leader, its different segments in the batch (at most 255) and a byte that batches with the same ones share.
+    Segments are told apart by a hash of their length, their ends and middle: this only decides how they are dealt out."""
+    u = _numbers(np.concatenate((data, np.zeros(8, np.uint8))), "<u8")
+    size = count + window - 1
+    with np.errstate(over="ignore"):
+        h = size.astype(np.uint64)
+        for at in (first, first + size // 2, first + size - 8):
+            h = (h ^ u[at]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    key = np.sort((place.astype(np.uint64) << np.uint64(36)) | (h >> np.uint64(28)))
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    own = (key >> np.uint64(36)).astype(np.int64)
+    kinds = np.minimum(np.bincount(own[new], minlength=n), 255).astype(np.uint8)
+    least = key[np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])]
+    return kinds, (least >> np.uint64(28)).astype(np.uint8)
 
 
 def _ask_leaders(buckets: int, bits: int, window: int):
@@ -482,20 +507,21 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         raise ValueError("the window must have 32 bytes or more")
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = materialize(rows.mapInArrow(_pack, _SCHEMA), "suffix-batches", "uncompressed")
+    packed = materialize(rows.mapInArrow(tidy(_pack(int(BATCH * growth(expected_bytes(rows), GROWTH[0])))), _SCHEMA), "suffix-batches", "uncompressed")
     total = packed.agg(F.sum("n_bytes")).first()[0] or 0
-    leader_buckets, buckets = max(12, -(-total // LEADERS)), max(12, -(-total // SEGMENTS))
+    larger = growth(total, GROWTH[1])
+    leader_buckets, buckets = (max(12, int(-(-total // (size * larger)))) for size in (LEADERS, SEGMENTS))
     bits = min(64, total.bit_length() + 16)
 
     def dealt(df: DataFrame, key: str) -> DataFrame:
         return df.repartition(key).sortWithinPartitions(key, "kind", "part", "batch_id")
 
-    leaders = dealt(packed.mapInArrow(_ask_leaders(leader_buckets, bits, window), _SCHEMA), "part")
-    repeated = leaders.mapInArrow(_answer_leaders(CROWD), _SCHEMA)
-    asked = materialize(dealt(packed.unionByName(repeated), "batch_id").mapInArrow(_ask_segments(leader_buckets, buckets, window), _SCHEMA), "suffix-segments", "uncompressed")
-    owners = dealt(asked.where(F.col("kind") == ASKED), "part").mapInArrow(_answer_segments(window), _SCHEMA)
+    leaders = dealt(packed.mapInArrow(tidy(_ask_leaders(leader_buckets, bits, window)), _SCHEMA), "part")
+    repeated = leaders.mapInArrow(tidy(_answer_leaders(CROWD)), _SCHEMA)
+    asked = materialize(dealt(packed.unionByName(repeated), "batch_id").mapInArrow(tidy(_ask_segments(leader_buckets, buckets, window)), _SCHEMA), "suffix-segments", "uncompressed")
+    owners = dealt(asked.where(F.col("kind") == ASKED), "part").mapInArrow(tidy(_answer_segments(window)), _SCHEMA)
     back = packed.unionByName(asked.where(F.col("kind") == PLACES)).unionByName(owners)
-    return dealt(back, "batch_id").mapInArrow(_measure(window), "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, stop: long>>")
+    return dealt(back, "batch_id").mapInArrow(tidy(_measure(window)), "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, stop: long>>")
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:

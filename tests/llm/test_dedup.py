@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 
+from lodestone.llm import exact_dedup as exact
 from lodestone.llm import simhash, suffix_dedup
 from lodestone.llm.batches import utf8
 from lodestone.llm.catalog import ORACLES, QUERIES
@@ -52,8 +53,10 @@ def test_fingerprints_compose():
 CASES = [(5, "a b"), (2, "a \t\n b"), (9, "a b "), (1, None), (0, ""), (7, " "), (8, "\x0b"), (3, "x" * 9000), (4, "x" * 9000), (6, "x" * 8999 + "y"), (2, "a b"), (None, "a b"), (None, "only"), (None, "only"), (11, "a\xa0b"), (12, "é")]
 
 
-@pytest.mark.parametrize("moduli", [(2147483647, 2147483629), (3, 2)])
-def test_exact_edges(spark, moduli):
+@pytest.mark.parametrize(("moduli", "broadcast"), [((2147483647, 2147483629), 200_000), ((3, 2), 200_000), ((2147483647, 2147483629), 0), ((3, 2), 0)])
+def test_exact_edges(spark, monkeypatch, moduli, broadcast):
+    """Also with fingerprints that collide, and with more groups than are sent to every task."""
+    monkeypatch.setattr(exact, "BROADCAST_GROUPS", broadcast)
     got = exact_dedup(extra(spark, CASES), moduli).collect()
     groups = {}
     for i, t in CASES:
@@ -285,3 +288,14 @@ def test_crowded_leaders_are_found():
         full[crowd] = [f for _, f in flags]
         assert all(many > 0 for many, _ in flags)
     assert all(0 < x < 8 for x in full[20]) and not any(full[1000])  # leaders of the passage's ends; copies are no crowd
+
+
+def test_rows_grow_in_proportion(spark):
+    """(batches x buckets) for each byte of input, from 10 GB to 1 TB, and the sizes' limits."""
+    def rows(total):
+        return total / (suffix_dedup.BATCH * suffix_dedup.growth(total, suffix_dedup.GROWTH[0])) * total / (suffix_dedup.LEADERS * suffix_dedup.growth(total, suffix_dedup.GROWTH[1]))
+
+    assert suffix_dedup.growth(30 << 30, 32) == 1 and suffix_dedup.growth(1 << 50, 32) == 32
+    assert abs(rows(1 << 40) / (1 << 40) / (rows(128 << 30) / (128 << 30)) - 1) < 0.01
+    assert 0 < suffix_dedup.expected_bytes(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")) < 1 << 30
+    assert suffix_dedup.expected_bytes(spark.createDataFrame([(1, "a")], KIND)) < 1 << 30
