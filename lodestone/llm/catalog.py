@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lodestone.llm.chat_format import format_preferences, stale_reply_pairs
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.language_id import language_id
@@ -64,6 +66,51 @@ def op9_quality_rules(spark, sf_dir):
 QUERIES["op9_quality_rules"] = op9_quality_rules
 
 
+def rule_counts(spark, sf_dir):
+    """What op9 counts, without the verdict that SQL cannot express."""
+    return op9_quality_rules(spark, sf_dir).drop("kept", "posterior")
+
+
+QUERIES["rule_counts"] = rule_counts
+ORACLES["rule_counts"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+x AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 8], ' ') AS win FROM (SELECT doc_id, w, unnest(range(0, len(w) - 7)) AS i FROM d)),
+twice AS (SELECT doc_id, i FROM x QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+rep AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM twice) GROUP BY doc_id),
+c AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+      coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c
+"""
+
+
+def leaf_tokens(spark, sf_dir):
+    """The leaves of op10's tree with what they hold; the shares themselves are tested against plain Python."""
+    rows = op10_mixing(spark, sf_dir).groupBy("domain", "lang", "source")
+    return rows.agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"))
+
+
+QUERIES["leaf_tokens"] = leaf_tokens
+ORACLES["leaf_tokens"] = r"""
+WITH d AS (SELECT coalesce(source, '') AS source, coalesce(lang, '') AS lang, regexp_extract(coalesce(source, ''), '(\d{1,9})$', 1) AS number,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents)
+SELECT 'd' || CASE WHEN number = '' THEN '0' ELSE (number::BIGINT % 4)::VARCHAR END AS domain, lang, source, count(*) AS documents, sum(n)::BIGINT AS tokens FROM d GROUP BY ALL
+"""
+
+
+def shard_sizes(spark, sf_dir):
+    """What op8 puts into shards, by text, and how many shards equal texts are in."""
+    own = op8_sharding(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return own.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("text")).agg(F.count(F.lit(1)).alias("documents"), F.sum("size").alias("bytes"), F.count_distinct("shard").alias("shards"))
+
+
+QUERIES["shard_sizes"] = shard_sizes
+ORACLES["shard_sizes"] = r"""
+SELECT sha256(coalesce(text, '')) AS text, count(*) AS documents, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS bytes, 1::BIGINT AS shards FROM documents GROUP BY coalesce(text, '')
+"""
+
+
 def op6_quality_classifier(spark, sf_dir):
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import SLICE_BYTES, text_slices, utf8
+from lodestone.llm.batches import SLICE_BYTES, text_slices, tidy, utf8
 from lodestone.llm.quality_classifier import fit_logistic
 from lodestone.plans.runtime import materialize, prepare
 
@@ -411,5 +411,5 @@ def language_id(docs: DataFrame, order: int = ORDER, fit_rows: int = FIT_ROWS, c
     lead, right = np.array([r["lead"] for r in seen]), np.array([r["right"] for r in seen], np.float64)
     # one right and one wrong answer at no lead keep the map rising where all answers are right
     slope, shift = fit_logistic(np.append(lead, [0.0, 0.0]), np.append(right, [0.5, 0.0]), np.append(1 - right, [0.0, 0.5]))
-    scored = rows.select("doc_id", "text").mapInArrow(with_models(lambda m: _predict(m, slope, shift, reject)), "doc_id long, lang_pred string, score double, accepted boolean, nats double")
+    scored = rows.select("doc_id", "text").mapInArrow(tidy(with_models(lambda m: _predict(m, slope, shift, reject))), "doc_id long, lang_pred string, score double, accepted boolean, nats double")
     return scored.select("doc_id", (~learnt()).alias("held_out"), "lang_pred", "score", "accepted", "nats")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import SLICE_BYTES, text_slices
+from lodestone.llm.batches import SLICE_BYTES, text_slices, tidy
 from lodestone.llm.graph import components
 from lodestone.llm.simhash import BITS, CROWD, add_votes, in_blocks, links, long_pieces, majority, per_bucket, shingle_hashes
 from lodestone.plans.runtime import materialize, prepare, release
@@ -269,7 +269,7 @@ def _decide(pairs: DataFrame, sets: DataFrame, level: float) -> DataFrame:
         """work on the sets of rows (k1, k2, node, side, root)."""
         both = (F.broadcast(rows) if few else rows).join(sets.select("node", "shingles"), "node")
         near = both.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "node")
-        return materialize(near.mapInArrow(work, "a long, b long"), label)
+        return materialize(near.mapInArrow(tidy(work), "a long, b long"), label)
 
     hashed = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), n).cast("int")
     every = lambda n: F.sequence(F.lit(0), n - 1)
@@ -306,7 +306,7 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, level: float = LEVEL, crowd
     prepare(docs.sparkSession)
     text, radius = F.col("text").cast("string"), reach(level)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
-    facts = materialize(rows.mapInArrow(_facts(size), "doc_id long, mark long, node long, bands array<long>"), "near-facts")
+    facts = materialize(rows.mapInArrow(tidy(_facts(size)), "doc_id long, mark long, node long, bands array<long>"), "near-facts")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     nodes = materialize(facts.groupBy("node").agg(F.min(place).alias("first")), "near-nodes")
 
@@ -329,7 +329,7 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, level: float = LEVEL, crowd
     kinds = ", ".join(["node long", *(f"{w} long" for w in WORDS), "size long", "shingles binary"])
     # rows that repeat doc_id and text give a node twice
     again = facts.groupBy("doc_id", "mark").count().where("count > 1").isEmpty()
-    sets = texts.mapInArrow(_described(size), kinds)
+    sets = texts.mapInArrow(tidy(_described(size)), kinds)
     sets = materialize(sets if again else sets.dropDuplicates(["node"]), "near-sets")
     buckets = materialize(met.join(sets.select("node", *WORDS), "node"), "near-buckets")
     pairs = materialize(in_blocks(buckets, crowd, *WORDS).mapInArrow(_forest(radius), "a long, b long").distinct(), "near-pairs")

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import LOWER, SLICE_BYTES, text_slices, utf8, word_end
+from lodestone.llm.batches import LOWER, SLICE_BYTES, text_slices, tidy, utf8, word_end
 from lodestone.plans.runtime import materialize, prepare
 
 WINDOW = 2048
@@ -489,7 +489,7 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str, float] | None
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("queue_key"))
-    tokens = materialize(rows.mapInArrow(_tokens(tokenizer_path), _TOKENS), "tokens", "zstd")
+    tokens = materialize(rows.mapInArrow(tidy(_tokens(tokenizer_path)), _TOKENS), "tokens", "zstd")
     ends = tokens.groupBy("queue_key", "pid").agg(F.sum(F.length("ids") / 4).cast("long").alias("n"))
     parts = materialize(ends, "pack-parts")  # one short row for each source of each partition
     sums = parts.groupBy("queue_key").agg(F.sum("n").alias("n"))
@@ -505,5 +505,5 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str, float] | None
         placed = placed.select("doc_id", "queue_key", "queue", (F.col("base") + F.col("local_start") + F.col("run_start")).alias("start"), "run_start", "doc_tokens", "ids")
     else:
         placed, totals, want = _dealt(tokens, parts, sums, weights, window)
-    pieces = placed.mapInArrow(_pieces(totals, want, window), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, source string")
+    pieces = placed.mapInArrow(tidy(_pieces(totals, want, window)), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, source string")
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "ids")

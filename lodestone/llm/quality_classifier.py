@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import WS, text_slices, words
+from lodestone.llm.batches import WS, text_slices, tidy, words
 from lodestone.llm.quality_rules import count_text
 from lodestone.llm.xxh import xxh64
 from lodestone.plans.runtime import materialize, prepare
@@ -183,7 +183,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    facts = materialize(rows.mapInArrow(_measure, "doc_id long, x array<double>"), "quality-features")
+    facts = materialize(rows.mapInArrow(tidy(_measure), "doc_id long, x array<double>"), "quality-features")
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL").where(~held_out())
     train = materialize(facts.join(marked, "doc_id").select("x", "label"), "quality-train")  # read twice
     sums = train.mapInArrow(_moments, "label int, place int, value double").groupBy("label", "place").agg(F.sum("value").alias("value")).collect()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import WS, text_slices, words
+from lodestone.llm.batches import WS, text_slices, tidy, words
 from lodestone.llm.xxh import xxh64
 from lodestone.plans.runtime import materialize, prepare
 
@@ -233,7 +233,7 @@ def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: fl
     text = names[docs.columns.index("text")]
     plain = docs.toDF(*names).withColumn(text, F.col(text).cast("string"))
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema), *(f"{c} long" for c in COUNTS)])
-    facts = materialize(plain.mapInArrow(lambda batches: _carry(batches, text), kinds), "rule-rows")
+    facts = materialize(plain.mapInArrow(tidy(lambda batches: _carry(batches, text)), kinds), "rule-rows")
     return _verdict(facts, rules, threshold).where("kept").select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
@@ -249,5 +249,5 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: f
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
-    facts = materialize(rows.mapInArrow(_count, SCHEMA), "rule-counts")
+    facts = materialize(rows.mapInArrow(tidy(_count), SCHEMA), "rule-counts")
     return _verdict(facts, rules, threshold)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import LOWER, SLICE_BYTES, text_slices, word_end, words
+from lodestone.llm.batches import LOWER, SLICE_BYTES, text_slices, tidy, word_end, words
 from lodestone.llm.graph import components
 from lodestone.llm.xxh import xxh64
 from lodestone.plans.runtime import materialize, prepare
@@ -332,7 +332,7 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    facts = materialize(rows.mapInArrow(lambda batches: _find(batches, shingle, seed), "doc_id long, fp long"), "simhash-facts")
+    facts = materialize(rows.mapInArrow(tidy(lambda batches: _find(batches, shingle, seed)), "doc_id long, fp long"), "simhash-facts")
     nodes = materialize(facts.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
     roots = components(link(nodes.where("node IS NOT NULL"), radius, crowd))
     whole = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))

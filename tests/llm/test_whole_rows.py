@@ -113,7 +113,12 @@ def test_common_shingles():
         assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a in range(nx) for b in range(ny) if 2 * plain[a][b] >= len(set(x[a].tolist()) | set(y[b].tolist()))}
 
 
-def test_repeated_and_null_ids(spark):
+@pytest.mark.parametrize("keys", [3_000_000, 0])
+def test_repeated_and_null_ids(spark, monkeypatch, keys):
+    """Also with more dropped rows than are sent to every task."""
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_KEYS", keys)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", keys)
+    monkeypatch.setattr(near_dedup, "BROADCAST_MEMBERS", keys)
     rng = random.Random(8)
     x, y = (" ".join(prose(rng, 60)) + "." for _ in range(2))
     assert kept(spark, "exact_dedup", [(3, y), (5, x), (5, y)]) == [(3, y), (5, x)]
