@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import Settings
-from lodestone.functions.pii import RULES
+from lodestone.functions.pii import mask_text
 from lodestone.log import get_logger
 from lodestone.operators.dedup import dedup_stats
 from lodestone.operators.embed import Embedder, HashingEmbedder, Progress, warm_up
@@ -42,18 +41,6 @@ class AskResult:
     mode: str
 
 
-_PYTHON_RULES = [(re.compile(r.pattern.replace(r"\p{Nd}", r"\d")), r.mask) for r in RULES]
-
-
-def mask_text(text: str) -> tuple[str, int]:
-    """The masked text and the number of masks: the driver's form of functions.pii, for one request."""
-    total = 0
-    for pattern, mask in _PYTHON_RULES:
-        text, n = pattern.subn(mask, text)
-        total += n
-    return text, total
-
-
 class Engine:
     def __init__(self, spark: SparkSession, root: str | None = None, settings: Settings | None = None, embedder: Embedder | None = None, reranker: Reranker | None = None, chat: Chat | None = None, ocr: OCRProvider | None = None):
         self.spark, self.settings = prepare(spark), settings or Settings()
@@ -121,7 +108,11 @@ class Engine:
     def ask(self, question: str, mode: str = "rag", history: list[dict] | None = None, top_k: int | None = None, threshold: float | None = None, enable_hyde: bool | None = None, enable_pii: bool | None = None) -> AskResult:
         """Answer with sources; any mode but `agent` is one round. Personal data is masked in the question, the history,
         the prompt, the answer and the sources' texts, but not in the store or in source names."""
-        if not question:
+        return self.ask_many([question], mode, [history or []], top_k, threshold, enable_hyde, enable_pii)[0]
+
+    def ask_many(self, questions: list[str], mode: str = "rag", histories: list[list[dict]] | None = None, top_k: int | None = None, threshold: float | None = None, enable_hyde: bool | None = None, enable_pii: bool | None = None) -> list[AskResult]:
+        """ask() for many questions, whose retrievals are one plan for each round."""
+        if not all(questions):
             raise ValueError("question must not be empty")
         if top_k is not None and not 1 <= top_k <= 20:
             raise ValueError("top_k must be from 1 to 20")
@@ -132,10 +123,13 @@ class Engine:
         s = self.settings
         masking = s.enable_pii if enable_pii is None else enable_pii
         mask = (lambda t: mask_text(t)[0]) if masking else (lambda t: t)
-        past = [m | {"content": mask(m["content"])} if isinstance(m.get("content"), str) else dict(m) for m in history or []]
         answerer = Answerer(self._chat, lambda qs: self.search(qs, top_k, threshold), mask, s.summary_max_tokens, s.summary_keep_recent, s.enable_hyde if enable_hyde is None else enable_hyde)
-        got = (answerer.agent if mode == "agent" else answerer.rag)(mask(question), past)
-        return AskResult(mask(got["answer"]), [d | {"text": mask(d["text"])} for d in got["sources"]], mode)
+        begin = answerer.agent_steps if mode == "agent" else answerer.rag_steps
+        steps = []
+        for question, history in zip(questions, histories or [[]] * len(questions), strict=True):
+            past = [m | {"content": mask(m["content"])} if isinstance(m.get("content"), str) else dict(m) for m in history]
+            steps.append(begin(mask(question), past))
+        return [AskResult(mask(got["answer"]), [d | {"text": mask(d["text"])} for d in got["sources"]], mode) for got in answerer.run(steps)]
 
     # ---- evaluation ----
 

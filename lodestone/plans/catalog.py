@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import json
+import re
+import zipfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,17 +15,18 @@ from pyspark.sql import functions as F
 from lodestone.config import Settings
 from lodestone.functions import pii
 from lodestone.functions.chunking import chunk_documents, token_units
-from lodestone.functions.text import clean_text, content_hash, escape_html, estimate_tokens, extract_json, preview, strip
+from lodestone.functions.text import QUERY_PREFIX, basename, clean_text, content_hash, escape_html, estimate_tokens, extension, extract_json, preview, query_text, strip
 from lodestone.operators import bm25
 from lodestone.operators.ann import AnnIndex
 from lodestone.operators.conversation import append_turns, compress, token_totals
 from lodestone.operators.dedup import dedup_stats, first_wins, list_sources, numbered, source_totals
 from lodestone.operators.dense import dense_topk
-from lodestone.operators.embed import HashingEmbedder, embed
+from lodestone.operators.embed import HashingEmbedder
 from lodestone.operators.evaluate import containing, hit_rates, hits, top1_check
 from lodestone.operators.fusion import fuse, recall_size, rerank, threshold_topk
 from lodestone.operators.retrieval import Collection, format_context, hybrid_retrieve, places
 from lodestone.operators.store import ChunkStore
+from lodestone.plans.agent import DECIDE, DECOMPOSE, Answerer
 from lodestone.plans.runtime import new_path, spread, table
 from lodestone.sources.files import parse_files
 from lodestone.sources.parsers import html_text
@@ -148,6 +153,21 @@ def supported_types(spark, sf_dir):
     return supported_frame(spark)
 
 
+@query(
+    r"""SELECT page_id, regexp_extract(p, '[^/]*$') AS base, CASE WHEN regexp_extract(p, '[^/]*$') LIKE '%.%' THEN lower(regexp_extract(p, '\.[^./]*$')) ELSE '' END AS ext FROM
+    (SELECT page_id, url || '/File.' || page_id || CASE page_id % 3 WHEN 0 THEN '.TXT' WHEN 1 THEN '.tar.Gz' ELSE '' END AS p FROM pages)"""
+)
+def path_parts(spark, sf_dir):
+    name = F.concat(F.col("url"), F.lit("/File."), F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, ".TXT").when(F.col("page_id") % 3 == 1, ".tar.Gz").otherwise(""))
+    return table(spark, sf_dir, "pages").select("page_id", basename(name).alias("base"), extension(name).alias("ext"))
+
+
+@query(f"SELECT item_id AS query_id, '{QUERY_PREFIX}' || text AS asked FROM benchmark")
+def question_texts(spark, sf_dir):
+    """Questions as an asymmetric embedding model is asked them."""
+    return _questions(spark, sf_dir).select("query_id", query_text("text").alias("asked"))
+
+
 # ---- personal data: the oracle classifies whole digit runs, as its engine has no look-around ----
 
 
@@ -221,6 +241,71 @@ for _label, _name, _content, _wanted in (
         _table[f"parse_{_label}"] = _table.pop("run")
 
 
+def _plain(t: str | None) -> str:
+    return re.sub("[^a-zA-Z0-9 ]", " ", t or "")
+
+
+#: Members of zipped formats that hold a plain text t, and what their parsers make of it.
+_ZIPPED = {
+    ".docx": ({"word/document.xml": '<w:document xmlns:w="w"><w:body><w:p><w:r><w:t>{t}</w:t></w:r></w:p><w:p><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t> c </w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>d</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'}, "CASE WHEN trim(t) = '' THEN '' ELSE t || chr(10) END || 'a' || chr(9) || 'b' || chr(10) || 'c | d'"),
+    ".xlsx": ({"xl/sharedStrings.xml": "<sst><si><t>{t}</t></si></sst>", "xl/worksheets/sheet1.xml": '<worksheet><sheetData><row><c t="s"><v>0</v></c><c><v>5</v></c></row></sheetData></worksheet>'}, "CASE WHEN trim(t) = '' THEN '' ELSE trim(t) || ' | ' END || '5'"),
+    ".pptx": ({"ppt/slides/slide2.xml": "<s><t>{t}</t></s>", "ppt/slides/slide10.xml": "<s><t>ten</t></s>", "ppt/notes.xml": "<s><t>no</t></s>"}, "'ten' || CASE WHEN trim(t) = '' THEN '' ELSE chr(10) || trim(t) END"),
+    ".odt": ({"content.xml": "<c><p>{t}</p><p>end</p></c>", "meta.xml": "<m>no</m>"}, "CASE WHEN trim(t) = '' THEN '' ELSE trim(t) || chr(10) END || 'end'"),
+    ".epub": ({"b.xhtml": "<p>{t}</p>", "a.html": "<p>a<br>c", "x.css": "no"}, "CASE WHEN trim(t) = '' THEN '' ELSE trim(t) || chr(10) END || 'a' || chr(10) || 'c'"),
+}
+
+
+def _zipped_file(extension: str):
+    members, wanted = _ZIPPED[extension]
+
+    def pack(t: str | None) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, body in members.items():
+                z.writestr(name, body.replace("{t}", _plain(t)))
+        return out.getvalue()
+
+    def run(spark, sf_dir):
+        @F.pandas_udf("binary")
+        def packed(texts: pd.Series) -> pd.Series:
+            return texts.map(pack)
+
+        rows = _documents(spark, sf_dir).where("text IS NOT NULL")
+        return _parsed(rows.select(F.col("doc_id").alias("file_no"), F.concat(F.col("doc_id").cast("string"), F.lit(extension)).alias("source"), packed("text").alias("content")))
+
+    QUERIES[f"parse_{extension[1:]}"] = run
+    ORACLES[f"parse_{extension[1:]}"] = f"SELECT doc_id AS id, {wanted} AS text FROM (SELECT doc_id, regexp_replace(text, '[^a-zA-Z0-9 ]', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL)"
+
+
+for _extension in _ZIPPED:
+    _zipped_file(_extension)
+
+
+class _Reader:
+    """An OCR provider for images that are their own text."""
+
+    def extract_image_bytes(self, content: bytes, mime_type: str) -> str:
+        return f"{mime_type}: {content.decode()}"
+
+
+@query("SELECT doc_id AS id, 'image/png: ' || text AS text FROM documents WHERE text IS NOT NULL")
+def parse_image(spark, sf_dir):
+    rows = _documents(spark, sf_dir).where("text IS NOT NULL")
+    files = _files(rows, "doc_id", ".png", F.col("text"))
+    return parse_files(files, Settings(enable_ocr=True), _Reader()).select(F.col("file_no").alias("id"), "text")
+
+
+@query("SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'read' WHEN 1 THEN 'legacy' WHEN 2 THEN 'no OCR' ELSE 'unknown' END AS outcome FROM documents WHERE text IS NOT NULL")
+def parse_refused(spark, sf_dir):
+    """Files that cannot be read are told apart by their errors; the others are not lost."""
+    rows = _documents(spark, sf_dir).where("text IS NOT NULL")
+    ends = F.element_at(F.array(*(F.lit(x) for x in (".txt", ".xls", ".jpg", ".zip"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    files = rows.select(F.col("doc_id").alias("file_no"), F.concat(F.lit("f"), ends).alias("source"), F.encode("text", "UTF-8").alias("content"))
+    error = F.col("error")
+    outcome = F.when(error.isNull(), "read").when(error.contains("vendor"), "legacy").when(error.contains("OCR"), "no OCR").when(error.contains("unsupported"), "unknown")
+    return parse_files(files, Settings()).select(F.col("file_no").alias("id"), outcome.alias("outcome"))
+
+
 @query(
     "SELECT c_nationkey::BIGINT AS id, 'key | name | segment' || chr(10) || string_agg(c_custkey || ' | ' || c_name || ' | ' || c_mktsegment, chr(10) ORDER BY c_custkey) AS text FROM customer GROUP BY c_nationkey"
 )
@@ -452,6 +537,49 @@ def answer_context_masked(spark, sf_dir):
     return format_context(flagship(spark, sf_dir), mask=pii.mask)
 
 
+def _ask_documents(spark, sf_dir, agent: bool):
+    """The answers of a scripted model, which names the first source it is shown, for all questions side by side."""
+
+    def search(texts: list[str]) -> list[list[dict]]:
+        asked = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+        out: list[list[dict]] = [[] for _ in texts]
+        for r in hybrid_retrieve(_collection(spark, sf_dir), asked, HashingEmbedder(DIMS), TOP_K, 0.3).orderBy("query_id", "rank").collect():  # TOP_K rows for each question
+            out[r["query_id"]].append({"text": r["text"], "source": r["source"], "score": r["score"]})
+        return out
+
+    def model(messages: list[dict]) -> str:
+        said = messages[-1]["content"]
+        if messages[0]["role"] == "system":
+            found = re.search(r"\[片段1｜来源:(.*?)\]", said)
+            return f"see {found[1]} or 13812345678" if found else "hello"
+        if said.startswith(DECIDE):
+            return '{"need_retrieve": %s}' % ("false" if said[len(DECIDE) :].startswith("A") else "true")
+        return json.dumps({"sub_questions": [said[len(DECOMPOSE) :]]}) if said.startswith(DECOMPOSE) else '{"enough": true}'
+
+    rows = _questions(spark, sf_dir).orderBy("query_id").collect()  # the stated questions
+    mask = lambda t: pii.mask_text(t)[0]
+    answerer = Answerer(model, search, mask)
+    got = answerer.run([(answerer.agent_steps if agent else answerer.rag_steps)(r["text"], []) for r in rows])
+    cells = [(r["query_id"], mask(g["answer"]), len(g["sources"])) for r, g in zip(rows, got, strict=True)]
+    return spark.createDataFrame(cells, "query_id long, answer string, sources int")
+
+
+_ANSWERS = (
+    "SELECT q.query_id, CASE WHEN {direct} OR n IS NULL THEN 'hello' ELSE 'see ' || source || ' or [PHONE]' END AS answer, CAST(CASE WHEN {direct} THEN 0 ELSE coalesce(n, 0) END AS INTEGER) AS sources"
+    " FROM q LEFT JOIN (SELECT query_id, count(DISTINCT text) AS n, arg_min(source, rank) AS source FROM best GROUP BY query_id) USING (query_id)"
+)
+
+
+@query(_ALL + _best(0.3) + " " + _ANSWERS.format(direct="false"))
+def rag_answers(spark, sf_dir):
+    return _ask_documents(spark, sf_dir, agent=False)
+
+
+@query(_ALL + _best(0.3) + " " + _ANSWERS.format(direct="starts_with(q.text, 'A')"))
+def agent_answers(spark, sf_dir):
+    return _ask_documents(spark, sf_dir, agent=True)
+
+
 @query()
 def ann_search(spark, sf_dir):
     """Approximate nearest vectors of the stated query set; tests hold it against dense_search."""
