@@ -249,6 +249,28 @@ def expected_bytes(docs: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
+#: Buckets up to which each has a partition of its own.
+OWN_PARTITIONS = 4096
+
+
+def even_labels(spark, n: int) -> np.ndarray | None:
+    """Names for n buckets that Spark's hash partitioning deals to n partitions, one to each; above OWN_PARTITIONS None:
+    then partitions have many buckets, whose numbers spread well enough."""
+    if n > OWN_PARTITIONS:
+        return None
+    size = 32 * n + 1024
+    while True:
+        found = spark.range(size).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).orderBy("p").collect()  # n rows
+        if len(found) == n:
+            return np.array([r["id"] for r in found], np.int64)
+        size *= 4
+
+
+def _numbers_of(labels: np.ndarray | None):
+    """From the name of a bucket to its number."""
+    return (lambda x: x) if labels is None else {x: i for i, x in enumerate(labels.tolist())}.__getitem__
+
+
 def _pack(limit: int):
     return lambda batches: _packed(batches, limit)
 
@@ -334,7 +356,7 @@ def _variety(data, first, count, place, n, window):
     return kinds, (least >> np.uint64(28)).astype(np.uint8)
 
 
-def _ask_leaders(buckets: int, bits: int, window: int):
+def _ask_leaders(buckets: int, bits: int, window: int, labels: np.ndarray | None):
     def run(batches):
         for row in _rows(batches):
             data, off, ids = _text(row)
@@ -343,7 +365,7 @@ def _ask_leaders(buckets: int, bits: int, window: int):
             at = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(at)):
                 p = slice(at[b], at[b + 1])
-                yield _row(row["batch_id"], TEXT, int(b), _squeeze(h[p] >> np.uint64(64 - bits), low[p], high[p] - low[p], kinds[p], sign[p]))
+                yield _row(row["batch_id"], TEXT, int(b if labels is None else labels[b]), _squeeze(h[p] >> np.uint64(64 - bits), low[p], high[p] - low[p], kinds[p], sign[p]))
 
     return run
 
@@ -379,15 +401,16 @@ def _answer_leaders(crowd: int):
     return run
 
 
-def _ask_segments(leader_buckets: int, buckets: int, window: int):
+def _ask_segments(leader_buckets: int, buckets: int, window: int, leader_labels: np.ndarray | None, labels: np.ndarray | None):
     def run(batches):
+        number = _numbers_of(leader_labels)
         for own in _groups(batches, "batch_id"):
             data, off, ids = _text(own[0])
             first, count, place, doc, h, *_ = _leaders(data, off, ids, window)
             many, full = np.zeros(len(h), bool), np.zeros(len(h), bool)
             at = np.searchsorted(_bucket(h, leader_buckets), np.arange(leader_buckets + 1))
             for r in own[1:]:
-                a, b = at[r["part"]], at[r["part"] + 1]
+                a, b = at[number(r["part"])], at[number(r["part"]) + 1]
                 bits = np.unpackbits(np.frombuffer(zstandard.decompress(r["blob"]), np.uint8), count=2 * (b - a)).view(bool)
                 many[a:b], full[a:b] = bits[: b - a], bits[b - a :]
             pick = np.flatnonzero(many[place])
@@ -418,7 +441,7 @@ def _ask_segments(leader_buckets: int, buckets: int, window: int):
             for b in np.flatnonzero(np.diff(cut)):
                 p = slice(cut[b], cut[b + 1])
                 sizes = np.array([len(x) for x in texts[p]], np.uint16)
-                yield _row(own[0]["batch_id"], ASKED, int(b), zstandard.compress(b"".join(texts[p]), TEXT_LEVEL), 0, _squeeze(least[p]), _squeeze(sizes))
+                yield _row(own[0]["batch_id"], ASKED, int(b if labels is None else labels[b]), zstandard.compress(b"".join(texts[p]), TEXT_LEVEL), 0, _squeeze(least[p]), _squeeze(sizes))
 
     return run
 
@@ -449,9 +472,11 @@ def _answer_segments(window: int):
     return run
 
 
-def _measure(window: int):
+def _measure(window: int, labels: np.ndarray | None):
     def run(batches):
+        number = _numbers_of(labels)
         for own in _groups(batches, "batch_id"):
+            own[2:] = sorted(own[2:], key=lambda r: number(r["part"]))  # segments are numbered by bucket
             data, off, ids = _text(own[0])
             # windows start once at a place, so at most `window` cover a byte
             edge = np.zeros(len(data) + 1, np.int8 if window < 128 else np.int16 if window < 1 << 15 else np.int32)
@@ -512,16 +537,19 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     larger = growth(total, GROWTH[1])
     leader_buckets, buckets = (max(12, int(-(-total // (size * larger)))) for size in (LEADERS, SEGMENTS))
     bits = min(64, total.bit_length() + 16)
+    leader_labels, labels = (even_labels(docs.sparkSession, n) for n in (leader_buckets, buckets))
 
-    def dealt(df: DataFrame, key: str) -> DataFrame:
-        return df.repartition(key).sortWithinPartitions(key, "kind", "part", "batch_id")
+    def dealt(df: DataFrame, key: str, named: np.ndarray | None = None) -> DataFrame:
+        """Rows by key; each bucket that has a name in a partition of its own."""
+        by = df.repartition(key) if named is None else df.repartition(len(named), key)
+        return by.sortWithinPartitions(key, "kind", "part", "batch_id")
 
-    leaders = dealt(packed.mapInArrow(tidy(_ask_leaders(leader_buckets, bits, window)), _SCHEMA), "part")
+    leaders = dealt(packed.mapInArrow(tidy(_ask_leaders(leader_buckets, bits, window, leader_labels)), _SCHEMA), "part", leader_labels)
     repeated = leaders.mapInArrow(tidy(_answer_leaders(CROWD)), _SCHEMA)
-    asked = materialize(dealt(packed.unionByName(repeated), "batch_id").mapInArrow(tidy(_ask_segments(leader_buckets, buckets, window)), _SCHEMA), "suffix-segments", "uncompressed")
-    owners = dealt(asked.where(F.col("kind") == ASKED), "part").mapInArrow(tidy(_answer_segments(window)), _SCHEMA)
+    asked = materialize(dealt(packed.unionByName(repeated), "batch_id").mapInArrow(tidy(_ask_segments(leader_buckets, buckets, window, leader_labels, labels)), _SCHEMA), "suffix-segments", "uncompressed")
+    owners = dealt(asked.where(F.col("kind") == ASKED), "part", labels).mapInArrow(tidy(_answer_segments(window)), _SCHEMA)
     back = packed.unionByName(asked.where(F.col("kind") == PLACES)).unionByName(owners)
-    return dealt(back, "batch_id").mapInArrow(tidy(_measure(window)), "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, stop: long>>")
+    return dealt(back, "batch_id").mapInArrow(tidy(_measure(window, labels)), "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, stop: long>>")
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:

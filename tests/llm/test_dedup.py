@@ -299,3 +299,11 @@ def test_rows_grow_in_proportion(spark):
     assert abs(rows(1 << 40) / (1 << 40) / (rows(128 << 30) / (128 << 30)) - 1) < 0.01
     assert 0 < suffix_dedup.expected_bytes(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")) < 1 << 30
     assert suffix_dedup.expected_bytes(spark.createDataFrame([(1, "a")], KIND)) < 1 << 30
+
+
+def test_buckets_have_partitions_of_their_own(spark):
+    for n in (1, 7, 60):
+        labels = suffix_dedup.even_labels(spark, n)
+        df = spark.createDataFrame([(int(x),) for x in labels], "part long").repartition(n, "part")
+        assert df.select(suffix_dedup.F.spark_partition_id().alias("p")).distinct().count() == n == len(set(labels.tolist()))
+    assert suffix_dedup.even_labels(spark, 10**6) is None
