@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import Settings
 from lodestone.functions.pii import mask_text
 from lodestone.log import get_logger
+from lodestone.operators import bm25
 from lodestone.operators.dedup import dedup_stats
 from lodestone.operators.embed import Embedder, HashingEmbedder, Progress, warm_up
 from lodestone.operators.evaluate import hit_rates, hits
@@ -42,10 +44,10 @@ class AskResult:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str | None = None, settings: Settings | None = None, embedder: Embedder | None = None, reranker: Reranker | None = None, chat: Chat | None = None, ocr: OCRProvider | None = None):
+    def __init__(self, spark: SparkSession, root: str | None = None, settings: Settings | None = None, embedder: Embedder | None = None, reranker: Reranker | None = None, chat: Chat | None = None, ocr: OCRProvider | None = None, tokenizer: Callable[[Column], Column] = bm25.tokens):
         self.spark, self.settings = prepare(spark), settings or Settings()
         self.embedder, self.reranker, self.ocr = embedder or HashingEmbedder(), reranker, ocr
-        self.store = ChunkStore(spark, root or self.settings.chroma_dir, self.embedder, self.settings.collection_name)
+        self.store = ChunkStore(spark, root or self.settings.chroma_dir, self.embedder, self.settings.collection_name, tokenizer)
         self._chat = retry_with_backoff(max_retries=3)(chat) if chat else None
 
     def warm_up(self) -> None:
@@ -101,7 +103,9 @@ class Engine:
     def search(self, questions: list[str], top_k: int | None = None, threshold: float | None = None) -> list[list[dict]]:
         queries = self.spark.createDataFrame(list(enumerate(questions)), "query_id long, text string")
         out: list[list[dict]] = [[] for _ in questions]
-        for r in self.retrieve(queries, top_k, threshold).orderBy("query_id", "rank").collect():  # top_k rows for each question
+        with scratch():
+            rows = self.retrieve(queries, top_k, threshold).orderBy("query_id", "rank").collect()  # top_k rows for each question
+        for r in rows:
             out[r["query_id"]].append({"text": r["text"], "source": r["source"], "score": r["score"]})
         return out
 
@@ -135,8 +139,8 @@ class Engine:
 
     def evaluate(self, cases: DataFrame, top_k: int = 3) -> dict:
         """cases as evaluate.load_cases gives them."""
-        found = hits(cases, self.retrieve(cases.select("query_id", "text"), top_k))
-        return hit_rates(found).first().asDict()
+        with scratch():
+            return hit_rates(hits(cases, self.retrieve(cases.select("query_id", "text"), top_k))).first().asDict()
 
     def ingest_samples(self, paths: list[str]) -> int:
         """Clear the store, then add every file by itself."""

@@ -11,10 +11,12 @@ block's documents, and passes on each task's best k: pairs of questions and docu
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -42,6 +44,16 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKENS), F.lit(0))
 
 
+def cut_by(cut: Callable[[str], list[str]]) -> Callable[[Column], Column]:
+    """A tokenizer from a Python function, such as a dictionary segmenter's: blank tokens are dropped."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [w for w in cut(t or "") if w.strip()])
+
+    return run
+
+
 @dataclass
 class Corpus:
     """vocabulary: tok, df, idf; n documents of `length` tokens together."""

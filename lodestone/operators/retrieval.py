@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.config import Settings
@@ -21,18 +22,19 @@ BROADCAST_RANKED = 1_000_000
 
 @dataclass
 class Collection:
-    """What a search reads: rows (id in the order of insertion, text, source), vectors (id, vector) and the postings. Rows
-    are read for the texts of results only."""
+    """What a search reads: rows (id in the order of insertion, text, source), vectors (id, vector) and the postings, with
+    the tokenizer they were made by. Rows are read for the texts of results only."""
 
     rows: DataFrame
     vectors: DataFrame
     index: bm25.Index
+    tokenizer: Callable[[Column], Column] = bm25.tokens
 
     @classmethod
-    def of(cls, chunks: DataFrame, embedder: Embedder) -> Collection:
+    def of(cls, chunks: DataFrame, embedder: Embedder, tokenizer: Callable[[Column], Column] = bm25.tokens) -> Collection:
         """Index chunks (id, text, source and, if embedded, vector), in the shared folder."""
         vectors = chunks.select("id", "vector") if "vector" in chunks.columns else materialize(chunks.select("id", embed(embedder, F.col("text")).alias("vector")), "vectors")
-        return cls(chunks.select("id", "text", "source"), vectors, bm25.Index.build(chunks))
+        return cls(chunks.select("id", "text", "source"), vectors, bm25.Index.build(chunks, tokenizer=tokenizer), tokenizer)
 
 
 def with_text(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -46,7 +48,7 @@ def places(held: Collection, queries: DataFrame, embedder: Embedder, fetch: int)
     """query_id, text, source, list (0 dense, 1 BM25), rank: both lists, whose texts are read in one pass."""
     asked = queries.select("query_id", embed(embedder, F.col("text"), is_query=True).alias("vector"))
     dense = dense_topk(held.vectors, asked, fetch).select("query_id", "id", F.lit(0).alias("list"), "rank")
-    sparse = bm25.search(held.index, queries, fetch).select("query_id", "id", F.lit(1).alias("list"), "rank")
+    sparse = bm25.search(held.index, queries, fetch, held.tokenizer).select("query_id", "id", F.lit(1).alias("list"), "rank")
     return with_text(dense.unionByName(sparse), held.rows).drop("id")
 
 

@@ -10,9 +10,10 @@ are kept beside it until its live rows change. Files of all but the last two rev
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.log import get_logger
@@ -33,7 +34,10 @@ log = get_logger("lodestone.store")
 
 
 class ChunkStore:
-    def __init__(self, spark: SparkSession, root: str, embedder: Embedder, collection: str = "enterprise_kb"):
+    """tokenizer: a Column function that the postings are made by; a store is searched with the one it was written with."""
+
+    def __init__(self, spark: SparkSession, root: str, embedder: Embedder, collection: str = "enterprise_kb", tokenizer: Callable[[Column], Column] = bm25.tokens):
+        self.tokenizer = tokenizer
         self.spark, self.embedder, self.path = spark, embedder, f"{root.rstrip('/')}/{collection}"
         self._held: tuple[int, Collection] | None = None
 
@@ -134,7 +138,7 @@ class ChunkStore:
             at = f"{self.path}/index/{self._index_name(s)}"
             fs, done = self._at("index", self._index_name(s), "counts", "_SUCCESS")
             if not fs.exists(done):
-                bm25.invert(self._live(s).select("id", "text"), segment=s["name"]).write.mode("overwrite").parquet(f"{at}/postings")
+                bm25.invert(self._live(s).select("id", "text"), "id", self.tokenizer, s["name"]).write.mode("overwrite").parquet(f"{at}/postings")
                 bm25.counts_of(self.spark.read.parquet(f"{at}/postings")).write.mode("overwrite").parquet(f"{at}/counts")
                 log.info("%s: postings of segment %d written", self.path, s["name"])
             postings.append(self.spark.read.schema(bm25.POSTINGS).parquet(f"{at}/postings"))
@@ -144,7 +148,7 @@ class ChunkStore:
             sums = sums.groupBy("tok").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
         index = bm25.Index.of(self._union(postings, bm25.POSTINGS), sums, self._alive(manifest))
         rows = self._union([self._live(s) for s in manifest["segments"]], SCHEMA)
-        self._held = manifest["revision"], Collection(rows.select("id", "text", "source"), rows.select("id", "vector"), index)
+        self._held = manifest["revision"], Collection(rows.select("id", "text", "source"), rows.select("id", "vector"), index, self.tokenizer)
         return self._held[1]
 
     # ---- changes ----

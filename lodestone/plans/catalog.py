@@ -26,7 +26,7 @@ from lodestone.operators.evaluate import containing, hit_rates, hits, top1_check
 from lodestone.operators.fusion import fuse, recall_size, rerank, threshold_topk
 from lodestone.operators.retrieval import Collection, format_context, hybrid_retrieve, places
 from lodestone.operators.store import ChunkStore
-from lodestone.plans.agent import DECIDE, DECOMPOSE, Answerer
+from lodestone.plans.agent import DECIDE, DECOMPOSE, HYDE, Answerer
 from lodestone.plans.runtime import new_path, spread, table
 from lodestone.sources.files import parse_files
 from lodestone.sources.parsers import html_text
@@ -537,7 +537,7 @@ def answer_context_masked(spark, sf_dir):
     return format_context(flagship(spark, sf_dir), mask=pii.mask)
 
 
-def _ask_documents(spark, sf_dir, agent: bool):
+def _ask_documents(spark, sf_dir, agent: bool, hyde: bool = False):
     """The answers of a scripted model, which names the first source it is shown, for all questions side by side."""
 
     def search(texts: list[str]) -> list[list[dict]]:
@@ -552,13 +552,15 @@ def _ask_documents(spark, sf_dir, agent: bool):
         if messages[0]["role"] == "system":
             found = re.search(r"\[片段1｜来源:(.*?)\]", said)
             return f"see {found[1]} or 13812345678" if found else "hello"
+        if said.startswith(HYDE):
+            return said[len(HYDE) :][:60]
         if said.startswith(DECIDE):
             return '{"need_retrieve": %s}' % ("false" if said[len(DECIDE) :].startswith("A") else "true")
         return json.dumps({"sub_questions": [said[len(DECOMPOSE) :]]}) if said.startswith(DECOMPOSE) else '{"enough": true}'
 
     rows = _questions(spark, sf_dir).orderBy("query_id").collect()  # the stated questions
     mask = lambda t: pii.mask_text(t)[0]
-    answerer = Answerer(model, search, mask)
+    answerer = Answerer(model, search, mask, enable_hyde=hyde)
     got = answerer.run([(answerer.agent_steps if agent else answerer.rag_steps)(r["text"], []) for r in rows])
     cells = [(r["query_id"], mask(g["answer"]), len(g["sources"])) for r, g in zip(rows, got, strict=True)]
     return spark.createDataFrame(cells, "query_id long, answer string, sources int")
@@ -575,6 +577,12 @@ def rag_answers(spark, sf_dir):
     return _ask_documents(spark, sf_dir, agent=False)
 
 
+@query(_ALL.replace(_QUERY, f"q AS (SELECT item_id AS query_id, text || chr(10) || {_strip('left(text, 60)')} AS text FROM benchmark)") + _best(0.3) + " " + _ANSWERS.format(direct="false"))
+def hyde_answers(spark, sf_dir):
+    """With an invented passage, here the question's beginning, in the text that is searched for."""
+    return _ask_documents(spark, sf_dir, agent=False, hyde=True)
+
+
 @query(_ALL + _best(0.3) + " " + _ANSWERS.format(direct="starts_with(q.text, 'A')"))
 def agent_answers(spark, sf_dir):
     return _ask_documents(spark, sf_dir, agent=True)

@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import shutil
 import tempfile
+import threading
 import uuid
 from pathlib import Path
 
@@ -64,8 +65,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-#: Tables written since each open scratch() began, innermost last.
-_SCRATCH: list[list[DataFrame]] = []
+#: For each thread, the tables written since each of its open scratch() began, innermost last.
+_OPEN = threading.local()
+
+
+def _scopes() -> list[list[DataFrame]]:
+    if not hasattr(_OPEN, "scopes"):
+        _OPEN.scopes = []
+    return _OPEN.scopes
 
 
 def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
@@ -79,7 +86,7 @@ def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
-    for scope in _SCRATCH[-1:]:
+    for scope in _scopes()[-1:]:
         scope.append(out)
     return out
 
@@ -88,7 +95,7 @@ def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataF
 def scratch():
     """Delete the tables written inside when the block ends, but for those taken out by keep(df)."""
     own: list[DataFrame] = []
-    _SCRATCH.append(own)
+    _scopes().append(own)
 
     def keep(df: DataFrame) -> DataFrame:
         own[:] = [x for x in own if x is not df]
@@ -97,7 +104,7 @@ def scratch():
     try:
         yield keep
     finally:
-        _SCRATCH.remove(own)
+        _scopes().pop()
         release(*own)
 
 

@@ -1,5 +1,6 @@
 import json
 import random
+import re
 import uuid
 from pathlib import Path
 
@@ -102,6 +103,19 @@ def test_second_search_reads_no_texts(spark, engine):
     assert engine.store._names("index") == written
 
 
+def test_tokenizer_is_handed_in(spark, tmp_path):
+    """A segmenter that knows two words: whole words match, single characters do not."""
+    cut = lambda t: [w for w in re.split("(年假|报销)", t) for w in ([w] if w in ("年假", "报销") else w.split())]
+    e = Engine(spark, str(tmp_path / "s"), Settings(chunk_size=40, chunk_overlap=0), tokenizer=bm25.cut_by(cut))
+    e.ingest_bytes([(f"{i}.txt", t.encode()) for i, t in enumerate(("年假 五天", "年 假期 三天", "报销 流程", "其他 内容", "更多 内容"))])
+    index = e.store.collection().index
+    assert {"年假", "报销"} <= {r["tok"] for r in index.vocabulary.collect()} and index.n == 5
+    asked = spark.createDataFrame([(0, "年假")], "query_id long, text string")
+    found = bm25.search(index, asked, 9, e.store.tokenizer).join(e.store.read(), "id").collect()
+    assert [r["text"] for r in found] == ["年假 五天"]
+    assert e.search(["年假"], top_k=1)[0]
+
+
 def test_two_writers(spark, engine):
     late = engine.store._manifest()
     engine.delete_source("none")
