@@ -109,6 +109,31 @@ def grams(s: np.ndarray, text: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
+class SortedHashes:
+    """Sorted hashes, with the place at which each prefix of them begins, so that a search starts next to its end."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(len(keys), 1).bit_length() + 1
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        self.first = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where each of h stands or would stand, whether it is there)"""
+        if not len(self.keys):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        prefix = (h >> self.shift).astype(np.int64)
+        at, end = self.first[prefix].astype(np.int64), self.first[prefix + 1]
+        last = len(self.keys) - 1
+        found = self.keys[np.minimum(at, last)]
+        todo = np.flatnonzero((at < end) & (found < h))
+        while len(todo):
+            at[todo] += 1
+            now = self.keys[np.minimum(at[todo], last)]
+            found[todo] = now
+            todo = todo[(at[todo] < end[todo]) & (now < h[todo])]
+        return np.minimum(at, last), (at < end) & (found == h)
+
+
 @dataclass
 class Models:
     """keys[n]: sorted hashes of the (n + 1)-grams known to any language; logs[n]: a row of natural log probabilities for
@@ -122,6 +147,9 @@ class Models:
     backs: list[np.ndarray]
     floor: np.ndarray
 
+    def __post_init__(self):
+        self.known, self.contexts = ([SortedHashes(k) for k in x] for x in (self.keys, self.back_keys))
+
     def nats(self, s: np.ndarray, text: np.ndarray, lead: int = 0) -> np.ndarray:
         """-log probability of every symbol from `lead` on, in each language."""
         order = len(self.keys)
@@ -131,20 +159,18 @@ class Models:
         todo = np.arange(lead, len(s))
         owed = np.zeros((len(s), len(self.languages)), np.float32)
         for k in range(order - 1, -1, -1):
-            keys, h = self.keys[k], hashes[k][todo]
-            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-            value[todo[hit]] = self.logs[k][at[hit]] + owed[todo[hit]]
+            at, hit = self.known[k].find(hashes[k][todo])
+            own = todo[hit]
+            value[own] = self.logs[k][at[hit]]
+            if k < order - 1:  # nothing is owed yet at the top
+                value[own] += owed[own]
             todo = todo[~hit]
             if k and len(todo):
                 before = todo - 1  # the context of an unknown gram ends one symbol earlier
                 inside = (before >= 0) & (text[np.maximum(before, 0)] == text[todo])
                 c = np.where(inside, hashes[k - 1][np.maximum(before, 0)], opening[k - 1])
-                back = self.back_keys[k - 1]
-                if len(back):
-                    at = np.minimum(np.searchsorted(back, c), len(back) - 1)
-                    known = back[at] == c
-                    owed[todo[known]] += self.backs[k - 1][at[known]]
+                at, known = self.contexts[k - 1].find(c)
+                owed[todo[known]] += self.backs[k - 1][at[known]]
         value[todo] = self.floor + owed[todo]
         return -value[lead:]
 
