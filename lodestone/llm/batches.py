@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once by a Python worker.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 WS = np.zeros(256, bool)
 WS[[0x20, *range(0x09, 0x0E)]] = True

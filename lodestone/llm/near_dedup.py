@@ -150,7 +150,7 @@ def common_shingles(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     both = np.intersect1d(hx, hy)
     out = np.zeros((len(x), len(y)), np.float32)  # exact: counts stay below 2^24
     if not len(both):
-        return out.astype(np.int64)
+        return out
 
     def numbered(h, owner):
         at = np.minimum(np.searchsorted(both, h), len(both) - 1)
@@ -183,14 +183,20 @@ def common_shingles(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
         inner = np.repeat(ny[own], n)
         i, j = ox[np.repeat(sx[own], n) + k // np.maximum(inner, 1)], oy[np.repeat(sy[own], n) + k % np.maximum(inner, 1)]
         np.add.at(out, (i, j), 1)
-    return out.astype(np.int64)
+    return out
 
 
 def similar(x: list[np.ndarray], y: list[np.ndarray], level: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of sets of x and y with a Jaccard similarity of `level` or more."""
     both = common_shingles(x, y)
-    size = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
-    return np.nonzero(both >= level * (size - both))
+    nx, ny = (np.array([len(s) for s in z], np.float64) for z in (x, y))
+    i, j = [], []
+    for lo in range(0, len(x), 256):
+        part = both[lo : lo + 256].astype(np.float64)
+        a, b = np.nonzero(part >= level * (nx[lo : lo + 256, None] + ny[None, :] - part))
+        i.append(a + lo)
+        j.append(b)
+    return np.concatenate(i), np.concatenate(j)
 
 
 def _joined(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
