@@ -27,7 +27,7 @@ from lodestone.operators.fusion import fuse, recall_size, rerank, threshold_topk
 from lodestone.operators.retrieval import Collection, format_context, hybrid_retrieve, places
 from lodestone.operators.store import ChunkStore
 from lodestone.plans.agent import DECIDE, DECOMPOSE, HYDE, Answerer
-from lodestone.plans.runtime import new_path, spread, table
+from lodestone.plans.runtime import new_path, spread, stands, table
 from lodestone.sources.files import parse_files
 from lodestone.sources.parsers import html_text
 from lodestone.sources.registry import supported_frame
@@ -94,7 +94,7 @@ def _collection(spark, sf_dir) -> Collection:
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     held = fs.getContentSummary(at)
     state = (spark.sparkContext.applicationId, str(sf_dir), held.getLength(), held.getFileCount(), fs.getFileStatus(at).getModificationTime())
-    if state not in _COLLECTIONS:
+    if state not in _COLLECTIONS or not all(map(stands, (_COLLECTIONS[state].vectors, _COLLECTIONS[state].index.postings))):
         made = Collection.of(_chunks(spark, sf_dir), HashingEmbedder(DIMS))
         _COLLECTIONS[state] = Collection(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source"), made.vectors, made.index)
     return _COLLECTIONS[state]

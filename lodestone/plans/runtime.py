@@ -113,6 +113,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans now; it does when their objects are collected on the driver."""
+    spark._jvm.System.gc()
+
+
+def stands(df: DataFrame) -> bool:
+    """Whether a table made by materialize() has not been deleted."""
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{df._lodestone_path}/_SUCCESS")
+    return at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables made by materialize() that no later plan reads."""
     for df in frames:
