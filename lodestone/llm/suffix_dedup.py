@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.batches import text_slices, tidy
 from lodestone.llm.xxh import xxh64
-from lodestone.plans.runtime import materialize, prepare
+from lodestone.plans.runtime import materialize, prepare, sweep
 
 WINDOW, GRAM = 50, 24
 #: Bytes of text in a batch, worked on at once, and for each bucket of leaders and of segments.
@@ -530,14 +530,15 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     if window < 32:
         raise ValueError("the window must have 32 bytes or more")
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
+    sweep(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = materialize(rows.mapInArrow(tidy(_pack(int(BATCH * growth(expected_bytes(rows), GROWTH[0])))), _SCHEMA), "suffix-batches", "uncompressed")
     total = packed.agg(F.sum("n_bytes")).first()[0] or 0
     larger = growth(total, GROWTH[1])
     leader_buckets, buckets = (max(12, int(-(-total // (size * larger)))) for size in (LEADERS, SEGMENTS))
-    bits = min(64, total.bit_length() + 16)
-    leader_labels, labels = (even_labels(docs.sparkSession, n) for n in (leader_buckets, buckets))
+    bits = min(64, total.bit_length() + 12)  # one leader of some 57,000 shares its bits with another by chance
+    leader_labels, labels = (even_labels(spark, n) for n in (leader_buckets, buckets))
 
     def dealt(df: DataFrame, key: str, named: np.ndarray | None = None) -> DataFrame:
         """Rows by key; each bucket that has a name in a partition of its own."""
@@ -547,6 +548,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     leaders = dealt(packed.mapInArrow(tidy(_ask_leaders(leader_buckets, bits, window, leader_labels)), _SCHEMA), "part", leader_labels)
     repeated = leaders.mapInArrow(tidy(_answer_leaders(CROWD)), _SCHEMA)
     asked = materialize(dealt(packed.unionByName(repeated), "batch_id").mapInArrow(tidy(_ask_segments(leader_buckets, buckets, window, leader_labels, labels)), _SCHEMA), "suffix-segments", "uncompressed")
+    sweep(spark)  # the leaders and texts dealt out so far are as large as the input
     owners = dealt(asked.where(F.col("kind") == ASKED), "part", labels).mapInArrow(tidy(_answer_segments(window)), _SCHEMA)
     back = packed.unionByName(asked.where(F.col("kind") == PLACES)).unionByName(owners)
     return dealt(back, "batch_id").mapInArrow(tidy(_measure(window, labels)), "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, stop: long>>")
