@@ -80,7 +80,7 @@ class WordIds(dict):
     """
 
     #: Bytes of remembered words, at about 150 for each besides its letters.
-    ROOM = 40 << 20
+    ROOM = 64 << 20
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
