@@ -75,15 +75,41 @@ def _scopes() -> list[list[DataFrame]]:
     return _OPEN.scopes
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WRITES: dict[str, list] = {}
+_LOCK = threading.Lock()
+
+
+@contextlib.contextmanager
+def shuffles_end(spark: SparkSession):
+    """Plans that run inside lose their shuffle files when they end; for plans that run once, as those of writes do.
+
+    Threads may overlap: the first one in sets the session's setting, the last one out restores it.
+    """
+    key = spark._jsparkSession.sessionUUID()
+    with _LOCK:
+        held = _WRITES.setdefault(key, [0, spark.conf.get(_CLEANUP, "false")])
+        held[0] += 1
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            held[0] -= 1
+            if not held[0]:
+                spark.conf.set(_CLEANUP, _WRITES.pop(key)[1])
+
+
 def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Cut lineage: write df as Parquet into the shared folder and read it again.
 
-    The table survives the loss of any executor. release(), the end of a scratch() it was written in, or
+    The table survives the loss of any executor. The write's shuffle files go when it ends. release(), the end of a scratch() it was written in, or
     release_all() deletes it.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", compression).parquet(path)
+    with shuffles_end(spark):
+        df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
     for scope in _scopes()[-1:]:
