@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.llm.chat_format import format_preferences, stale_reply_pairs
+from lodestone.llm.document_sketch import neighbour_fingerprints
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.language_id import language_id
 from lodestone.llm.mixing import Weights, mix_sources, source_group
@@ -164,3 +165,22 @@ def op4_suffix_dedup(spark, sf_dir):
 
 
 QUERIES["op4_suffix_dedup"] = op4_suffix_dedup
+
+
+def op12_document_sketch(spark, sf_dir):
+    return neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_document_sketch"] = op12_document_sketch
+
+
+def edited_texts(spark, sf_dir):
+    """What op12 compares documents with; the sketches, of XXH64, are tested against plain Python."""
+    return op12_document_sketch(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+QUERIES["edited_texts"] = edited_texts
+ORACLES["edited_texts"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(text) OVER (ORDER BY doc_id), CASE WHEN doc_id = max(doc_id) OVER () THEN arg_min(text, doc_id) OVER () END, '') AS after FROM documents)
+SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - length(t) // 2) || left(after, length(t) // 2)) AS edited_sha256 FROM d
+"""
