@@ -15,6 +15,7 @@ from lodestone.llm.quality_rules import quality_rules
 from lodestone.llm.sharding import shard
 from lodestone.llm.simhash import simhash_dedup
 from lodestone.llm.suffix_dedup import suffix_dedup
+from lodestone.llm.turn_repair import repair_damaged
 from lodestone.plans.runtime import table
 
 QUERIES, ORACLES = {}, {}
@@ -184,3 +185,37 @@ ORACLES["edited_texts"] = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(text) OVER (ORDER BY doc_id), CASE WHEN doc_id = max(doc_id) OVER () THEN arg_min(text, doc_id) OVER () END, '') AS after FROM documents)
 SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - length(t) // 2) || left(after, length(t) // 2)) AS edited_sha256 FROM d
 """
+
+
+def op11_turn_repair(spark, sf_dir):
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+QUERIES["op11_turn_repair"] = op11_turn_repair
+ORACLES["op11_turn_repair"] = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS t),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: unicode(x)::BIGINT),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS how FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM (SELECT *, unnest(range(CASE WHEN how = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE how <> 0)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM d),
+f AS (SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup FROM o),
+n AS (SELECT conv_id, i, turn, role, text, left(role, 1) AS ini, blank, dup, NOT blank AND NOT dup AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM f),
+m AS (SELECT k, op, repeat('I', k) || op AS code FROM range(3) t(k), (VALUES ('D'), ('K'), ('R')) v(op)),
+r AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, '' AS st, 0::BIGINT AS cost, '' AS audit, '' AS body FROM n
+  UNION ALL SELECT conv_id, i, st, cost, audit, body FROM (SELECT conv_id, i, cost, audit, body || CASE op WHEN 'D' THEN '' WHEN 'K' THEN role || ':' || text || chr(10) ELSE CASE nx WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text || chr(10) END AS body,
+      CASE op WHEN 'D' THEN st WHEN 'K' THEN ini ELSE nx END AS st FROM
+    (SELECT r.conv_id, n.i, op, ini, role, text, cost + 2 * k + CASE op WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN cut AND op <> 'D' THEN 1 ELSE 0 END AS cost, audit || code AS audit,
+      CASE WHEN k = 0 THEN r.st WHEN (k = 1) = (r.st <> 'u') THEN 'u' ELSE 'a' END AS st, CASE WHEN (k % 2 = 0) = (r.st <> 'u') THEN 'u' ELSE 'a' END AS nx,
+      body || CASE WHEN k = 0 THEN '' WHEN (k = 1 AND r.st <> 'u') THEN 'user:' || chr(10) WHEN k = 1 THEN 'assistant:' || chr(10) WHEN r.st <> 'u' THEN 'user:' || chr(10) || 'assistant:' || chr(10) ELSE 'assistant:' || chr(10) || 'user:' || chr(10) END AS body,
+      blank OR dup AS must FROM r JOIN n ON n.conv_id IS NOT DISTINCT FROM r.conv_id AND n.i = r.i + 1, m)
+    WHERE op = 'D' OR NOT must AND (op = 'R' OR ini = nx OR ini = 's' AND st = '') QUALIFY row_number() OVER (PARTITION BY conv_id, CASE op WHEN 'D' THEN st WHEN 'K' THEN ini ELSE nx END ORDER BY cost, audit) = 1)),
+l AS (SELECT conv_id, max(i) AS last, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate, count(*) FILTER (WHERE cut) AS truncated FROM n GROUP BY conv_id),
+b AS (SELECT conv_id, count(*) AS illegal FROM (SELECT conv_id, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS two, i FROM n) WHERE i > 1 AND two NOT IN ('su', 'ua', 'au') GROUP BY conv_id),
+e AS (SELECT r.conv_id, cost + CASE st WHEN 's' THEN 4 WHEN 'u' THEN 2 ELSE 0 END AS cost, audit || CASE st WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END AS audit,
+        body || CASE st WHEN 's' THEN 'user:' || chr(10) || 'assistant:' || chr(10) WHEN 'u' THEN 'assistant:' || chr(10) ELSE '' END AS body FROM r JOIN l ON l.conv_id IS NOT DISTINCT FROM r.conv_id AND l.last = r.i),
+w AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+  coalesce(audit, '') AS audit, sha256(CASE WHEN coalesce(body, '') = '' THEN '' ELSE left(body, length(body) - 1) END) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
