@@ -1,10 +1,12 @@
 import json
 import random
 import re
+import threading
 import uuid
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.config import Settings
 from lodestone.engine import Engine, sources_markdown
@@ -61,7 +63,7 @@ def test_store_in_segments(spark, tmp_path, monkeypatch):
     """Against a dictionary: upserts keep places, deletes count, searches see live rows only; segments merge."""
     rng = random.Random(3)
     monkeypatch.setattr(store_module, "MOST_SEGMENTS", 4)
-    store = ChunkStore(spark, str(tmp_path), HashingEmbedder(8))
+    store = ChunkStore(spark, str(tmp_path), HashingEmbedder(8), keep_seconds=0)
     live, n_place, merged = {}, 0, 0
     for turn in range(9):
         if turn in (4, 7):
@@ -89,7 +91,9 @@ def test_store_in_segments(spark, tmp_path, monkeypatch):
         plain = bm25.bm25_topk(store.read().select("id", "text"), ask, 50).join(store.read(), "id").select("chunk_id", "score").collect()
         assert sorted(map(tuple, found)) == sorted(map(tuple, plain))
     assert merged
-    assert len(store._revisions()) == 2 and len(store._names("segments")) <= 10
+    named = {s["name"] for r in store._revisions() for s in store._manifest(r)["segments"]}
+    assert len(store._revisions()) == 2 and set(store._names("segments")) == set(store._names("keys")) == named
+    assert store.read(store._revisions()[0]).count() == store._alive(store._manifest(store._revisions()[0]))
 
 
 def test_second_search_reads_no_texts(spark, engine):
@@ -97,7 +101,7 @@ def test_second_search_reads_no_texts(spark, engine):
     held = engine.store.collection()
     assert engine.store.collection() is held
     files = bm25.search(held.index, spark.createDataFrame([(0, "年假")], "query_id long, text string"), 5).inputFiles()
-    assert files and all("/index/s=" in f and "/postings/" in f for f in files)
+    assert files and all("/index/" in f and "/postings/" in f for f in files)
     written = engine.store._names("index")
     engine.search(["报销"])
     assert engine.store._names("index") == written
@@ -116,11 +120,102 @@ def test_tokenizer_is_handed_in(spark, tmp_path):
     assert e.search(["年假"], top_k=1)[0]
 
 
-def test_two_writers(spark, engine):
+def chunks_of(spark, *rows):
+    return spark.createDataFrame([(t, s, i, h) for i, (h, t, s) in enumerate(rows)], "text string, source string, chunk_index int, content_hash string")
+
+
+def contents(store):
+    return {r["chunk_id"]: (r["text"], r["source"], r["id"]) for r in store.read().collect()}
+
+
+def test_late_commit_is_refused(spark, engine):
     late = engine.store._manifest()
     engine.delete_source("none")
-    with pytest.raises(RuntimeError):
+    with pytest.raises(store_module.Conflict):
         engine.store._commit(late | {"revision": late["revision"] + 1})
+    assert not [n for n in engine.store._names("manifests") if n.endswith(".part")]
+
+
+def overtaken(store, other, monkeypatch):
+    """The next commit of store comes after other() has committed."""
+    commit, called = store._commit, []
+
+    def late(new):
+        if not called:
+            called.append(other())
+        commit(new)
+
+    monkeypatch.setattr(store, "_commit", late)
+
+
+def test_overtaken_add_keeps_both(spark, tmp_path, monkeypatch):
+    """A writer that read the manifest before another one committed; both bring a key that was there, one a key of both."""
+    mine, other = (ChunkStore(spark, str(tmp_path), HashingEmbedder(8)) for _ in range(2))
+    mine.add(chunks_of(spark, ("k1", "one", "a"), ("k2", "two", "a")))
+    first = contents(mine)
+    overtaken(mine, lambda: other.add(chunks_of(spark, ("c1", "theirs", "c"), ("k1", "theirs too", "c"), ("both", "theirs both", "c"))), monkeypatch)
+    mine.add(chunks_of(spark, ("d1", "mine", "d"), ("k1", "mine too", "d"), ("both", "mine both", "d")))
+    got = contents(mine)
+    assert {h: x[:2] for h, x in got.items()} == {"k1": ("mine too", "d"), "k2": ("two", "a"), "c1": ("theirs", "c"), "both": ("mine both", "d"), "d1": ("mine", "d")}
+    assert got["k1"][2] == first["k1"][2] and len({x[2] for x in got.values()}) == 5 == mine.count() and got["both"][2] < got["d1"][2]
+    assert mine.revision == 3 and contents(ChunkStore(spark, str(tmp_path), HashingEmbedder(8))) == got
+
+
+@pytest.mark.parametrize("change", ["delete", "clear", "merge"])
+def test_overtaken_by_other_changes(spark, tmp_path, monkeypatch, change):
+    mine, other = (ChunkStore(spark, str(tmp_path), HashingEmbedder(8), keep_seconds=3600) for _ in range(2))
+    for k in range(3):
+        mine.add(chunks_of(spark, (f"a{k}", "one", "a"), (f"b{k}", "two", "b")))
+    if change == "merge":
+        monkeypatch.setattr(store_module, "MOST_SEGMENTS", 3)
+    act = {"delete": lambda: other.delete_source("a"), "clear": other.clear, "merge": lambda: other.add(chunks_of(spark, ("x", "x", "x")))}[change]
+    overtaken(mine, act, monkeypatch)
+    mine.add(chunks_of(spark, ("a0", "new", "n"), ("y", "y", "n")))
+    kept = {"delete": {"b0", "b1", "b2"}, "clear": set(), "merge": {"a1", "a2", "b0", "b1", "b2", "x"}}[change]
+    got = contents(mine)
+    assert set(got) == kept | {"a0", "y"} and got["a0"][:2] == ("new", "n") and mine.count() == len(got)
+
+
+def test_overtaken_delete(spark, tmp_path, monkeypatch):
+    mine, other = (ChunkStore(spark, str(tmp_path), HashingEmbedder(8)) for _ in range(2))
+    mine.add(chunks_of(spark, ("a0", "one", "a"), ("b0", "two", "b")))
+    overtaken(mine, lambda: other.add(chunks_of(spark, ("a1", "late", "a"), ("b1", "two", "b"))), monkeypatch)
+    assert mine.delete_source("a") == (2, 2) and set(contents(mine)) == {"b0", "b1"}
+
+
+def test_writers_at_once(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path), HashingEmbedder(8))
+    failed = []
+
+    def write(k):
+        try:
+            ChunkStore(spark, str(tmp_path), HashingEmbedder(8)).add(chunks_of(spark, *((f"{k}-{i}", f"text {k} {i}", f"s{k}") for i in range(5)), ("shared", f"by {k}", f"s{k}")))
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(300)
+    got = contents(store)
+    assert not failed and store.revision == 4 and len(got) == 21 == store.count() == len({x[2] for x in got.values()})
+
+
+def test_small_upsert_reads_few_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "BUCKET_KEYS", 16)
+    store = ChunkStore(spark, str(tmp_path), HashingEmbedder(2))
+    store.add(spark.range(2000).selectExpr("concat('t', id) AS text", "'s' AS source", "int(id) AS chunk_index", "concat('h', id) AS content_hash"))
+    (segment,) = store._manifest()["segments"]
+    assert segment["digits"] == 2
+    new = chunks_of(spark, *((f"h{i}", "again", "n") for i in range(5)), *((f"x{i}", "fresh", "n") for i in range(3)))
+    keys = new.select(F.col("content_hash").alias("chunk_id"))
+    size = lambda df: sum(Path(f.removeprefix("file://")).stat().st_size for (f,) in df.select(F.input_file_name()).distinct().collect())
+    assert size(store._asked(segment, keys, 8)) < 0.05 * size(store._keys(segment))
+    assert size(store._asked(segment, keys, 300)) == size(store._keys(segment))
+    assert store._known(store._manifest(), keys, 8).count() == 5
+    store.add(new)
+    assert store.count() == 2003
 
 
 def test_progress_and_warm_up(spark, tmp_path):
