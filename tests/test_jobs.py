@@ -139,7 +139,7 @@ def test_labels_stand_side_by_side(spark, tmp_path):
 
 
 def test_command_lines(tmp_path):
-    env = {"PATH": "/usr/bin:/bin:" + str(Path(sys.executable).parent), "HOME": str(tmp_path), "PYSPARK_PYTHON": sys.executable}
+    env = {"PATH": "/usr/bin:/bin:" + str(Path(sys.executable).parent), "HOME": str(tmp_path), "PYSPARK_PYTHON": sys.executable, "PYSPARK_SUBMIT_ARGS": "--conf spark.sql.shuffle.partitions=2 --conf spark.ui.enabled=false pyspark-shell"}
     submit = [sys.executable, "-m"]
     folder = f"{DATA}/sf0.001"
     done = subprocess.run([*submit, "jobs.ingest_documents", "--documents", f"{folder}/documents.parquet", "--out", str(tmp_path / "kb"), "--checkpoint", str(tmp_path / "mark")], cwd=ROOT, env=env, capture_output=True, text=True, timeout=300)
