@@ -5,9 +5,9 @@ shard. Rebalancing edits the map: version 1 deals slots out in turn, each later
 shards to the lightest. Records follow their slot, so an edit moves only the records of the slots it names. The map is
 kept in a folder: a later run loads it, adds a version that fits the sizes it finds, and moves as little as that takes.
 
-Records with equal text share a slot, and so a shard. A text whose copies hold more than half of a shard's bytes or
-rows (so there are at most 4 * shards such texts in a run) has its records spread over many slots by doc_id, from then on
-and in all later versions.
+Records with equal text share a slot, and so a shard. Only a text whose copies hold more bytes than a whole shard (so
+there are fewer such texts than shards in a run) has its records spread over many slots by doc_id, from then on and in all
+later versions.
 """
 
 from __future__ import annotations
@@ -179,11 +179,11 @@ def place(docs: DataFrame, shards: int = 16, slots: int = SLOTS, spread: int = S
         raise ValueError(f"the map in {path} has {len(made.current)} slots, not {slots + spread}")
     since = len(made.versions) if known else 0
     first = totals(facts.select(own.alias("vslot"), "size"))
-    limit = first.sum(axis=1) / (2 * shards)
-    full = [int(s) for s in np.flatnonzero((first > limit[:, None]).any(axis=0))]
-    if full and first[1].sum():
-        texts = facts.where(own.isin(full)).groupBy("key").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-        for r in texts.where((F.col("size") > float(limit[0])) | (F.col("n") > float(limit[1]))).select("key").collect():  # at most 4 * shards
+    limit = float(first[0].sum()) / shards
+    full = [int(s) for s in np.flatnonzero(first[0] > limit)]
+    if full:
+        texts = facts.where(own.isin(full)).groupBy("key").agg(F.sum("size").alias("size"))
+        for r in texts.where(F.col("size") > limit).select("key").collect():  # fewer than shards
             made.crowded.setdefault(r["key"], since + 1)
     vslot = own
     if made.crowded:
@@ -228,7 +228,7 @@ def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, spread: int = S
     virtual slots, within one by doc_id (slots of more than PART_ROWS rows in parts). place() also gives the map and what
     moved.
 
-    - Equal texts share a shard unless their copies hold over half of a shard's bytes or rows.
+    - Equal texts share a shard unless their copies hold more bytes than a shard may.
     - Rows that repeat a doc_id, null doc_ids (last in their slot or part) and empty texts are placed like any other.
     - Fewer rows than shards leave shards empty. No rows give no rows. Texts are measured whole, in slices of many texts.
     """

@@ -306,6 +306,21 @@ def test_second_run_moves_only_the_slots_it_names(spark, tmp_path):
     assert {(r.vslot, r.shard, r.shard_new) for r in both.itertuples() if r.shard != r.shard_new} <= set(two.moved)
 
 
+def test_equal_texts_share_a_shard(spark):
+    """Many rows of few bytes, and a text of nearly a shard's bytes, stay together; one of more bytes is spread."""
+    docs = spark.range(948).selectExpr("id AS doc_id", "repeat(concat('text ', id, ' '), 40) AS text")
+    short = spark.range(52).selectExpr("id + 5000 AS doc_id", "'short' AS text")
+    got = sharding.shard(docs.unionByName(short)).toPandas()
+    assert got[got.doc_id >= 5000].shard.nunique() == 1
+    whole = got["size"].sum() / 16
+    for part, spread in ((0.9, False), (1.3, True)):
+        hot = spark.range(100).selectExpr("id + 5000 AS doc_id", f"repeat('x', {int(part * whole / 100)}) AS text")
+        one = sharding.shard(docs.unionByName(hot)).toPandas()
+        size = one.groupby("shard")["size"].sum()
+        assert (one[one.doc_id >= 5000].shard.nunique() > 1) == spread
+        assert size.max() - size.min() < 0.02 * size.mean()
+
+
 def test_large_slots_are_numbered_in_parts(spark, monkeypatch):
     monkeypatch.setattr(sharding, "PART_ROWS", 50)
     docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id % 9) AS text")
