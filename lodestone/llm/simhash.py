@@ -327,13 +327,15 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int
 
     docs: doc_id long, text string; other columns are not read. Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z in
     lower case. A text with fewer words than a shingle is one shingle; one without words, or null, has fingerprint zero
-    and is linked like any other. Rows that repeat a doc_id each give a row. A null doc_id is never the smallest: such a
-    row joins the component of its fingerprint, or has a null component_id if no row with its fingerprint has a doc_id.
+    and is linked like any other. Rows that repeat a doc_id each give a row. A row without doc_id links others like any
+    other; a null doc_id is never the smallest, so only a component without any doc_id has a null component_id.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     facts = materialize(rows.mapInArrow(tidy(lambda batches: _find(batches, shingle, seed)), "doc_id long, fp long"), "simhash-facts")
-    nodes = materialize(facts.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    roots = components(link(nodes.where("node IS NOT NULL"), radius, crowd))
-    whole = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    nodes = materialize(facts.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    roots = components(link(nodes.select("fp", F.col("fp").alias("node")), radius, crowd))
+    whole = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
+    whole = whole.join(least, "root").select("fp", "component_id")
     return facts.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -163,6 +163,24 @@ def test_simhash_without_ids(spark):
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in got) == [(-1, -1), (-1, 3), (3, 3)]
 
 
+def test_rows_without_ids_link_others(spark):
+    """A fingerprint that only rows without doc_id have is linked, and is a bridge between others."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(900)}" for _ in range(400)]
+    chain = [words]
+    while len(chain) < 60:
+        more = chain[-1][:]
+        more[rng.randrange(400)] = f"v{len(chain)}"
+        chain.append(more)
+    texts = {print_of(" ".join(c)): " ".join(c) for c in chain}
+    near = lambda a, b: bin(a ^ b).count("1") <= 3
+    a, b, c = next((a, b, c) for a in texts for b in texts for c in texts if near(a, b) and near(b, c) and not near(a, c))
+    got = simhash.simhash_dedup(spark.createDataFrame([(2, texts[c]), (None, texts[b]), (1, texts[a])], KIND)).collect()
+    assert sorted((r["doc_id"] or -1, r["component_id"]) for r in got) == [(-1, 1), (1, 1), (2, 1)]
+    got = simhash.simhash_dedup(spark.createDataFrame([(None, texts[b]), (7, texts[a])], KIND)).collect()
+    assert {r["component_id"] for r in got} == {7}
+
+
 def test_tables_cover_every_pair():
     for nodes, radius in ((10, 3), (10**9, 3), (3 * 10**10, 3), (10**6, 2)):
         tables = simhash._tables(nodes, radius)
