@@ -2,8 +2,9 @@
 
 Each rule votes good, bad or abstains. A document's votes form one of 3^rules patterns; the patterns are counted over the
 whole corpus, and expectation-maximisation over those counts estimates, without labels, each rule's chance of each vote
-on good documents and on those with each fault. A document is kept when the posterior probability that it is good reaches the threshold,
-instead of when it passes every rule.
+on good documents and on each of a few kinds of bad ones. How many kinds there are, and whether a rule's lone bad votes
+are faults or false alarms, is chosen by likelihood. A document is kept when the posterior probability that it is good
+reaches the threshold, instead of when it passes every rule.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone.llm.batches import WS, text_slices, tidy, words
 from lodestone.llm.xxh import xxh64
@@ -149,11 +151,12 @@ RULES = (
 
 @dataclass(frozen=True)
 class VoteModel:
-    """share[c]: of the corpus in class c, 0 good, 1 + j bad by the fault of rule j; chance[c][rule][vote] with vote 0
-    abstain (always 1), 1 good, 2 bad."""
+    """share[c]: of the corpus in class c, 0 good, others bad; chance[c][rule][vote] with vote 0 abstain (always 1), 1 good,
+    2 bad. tied[c][rule]: the class's chances are those of good documents."""
 
     share: np.ndarray
     chance: np.ndarray
+    tied: np.ndarray
 
     def posterior(self, votes: list[Column]) -> Column:
         """The probability of class 0."""
@@ -171,39 +174,128 @@ class VoteModel:
         return good / (good + bad)
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smooth: float = 0.5, sure: float = 0.9, alarm: float = 0.05) -> VoteModel:
-    """EM over vote patterns (rows of 0, 1, 2) and their counts.
+#: Classes at most; shared kinds of bad documents tried at each step, by what they would explain.
+MOST_CLASSES, SEEDS = 8, 4
+#: Good votes on good documents that every rule is credited with (at most a fifth of the documents), which decides between
+#: explanations that the votes hardly tell apart; added to no estimate. In the choice of classes a rule can lose CREDIT at
+#: most, less than a class costs, so that an unreliable rule is not made a fault of its own.
+TRUST, CREDIT = 200.0, 5.0
+#: The chance that a rule votes bad on a document that has its fault alone, which the votes cannot tell from its share.
+SURE = 0.95
 
-    Rules look at different faults, so bad documents are no single class: each rule has a class of documents with its
-    fault, and every class has its own chances of every rule's votes. A document with the fault draws the rule's bad vote
-    with a chance of at least `sure`, a good document with one of at most `alarm`; all else is estimated. An abstention
-    says nothing of the document: only votes enter the likelihood. EM starts from documents without a bad vote as good
-    and shares the others among the rules that vote against them.
+
+@dataclass
+class _Fit:
+    chance: np.ndarray  # classes, rules, (good, bad)
+    share: np.ndarray
+    tied: np.ndarray
+    member: np.ndarray
+    missed: np.ndarray  # -log likelihood of each pattern
+    value: float  # log likelihood with the smoothing's
+
+    def score(self, n: float, trust: float) -> float:
+        """Bayesian information criterion, to be maximised, less what the rules' false alarms cost."""
+        alarms = np.minimum(-trust * np.log(self.chance[0, :, 0]), CREDIT).sum()
+        free = self.tied.shape[1] * int((~self.tied.any(axis=1)).sum())
+        return self.value - alarms - 0.5 * (free + len(self.share) - 1) * math.log(max(n, 2))
+
+
+class _Votes:
+    """EM over vote patterns (rows of 0, 1, 2) and their counts. An abstention says nothing of a document."""
+
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, smooth: float):
+        self.hot = np.stack([patterns == v for v in (1, 2)], axis=2).astype(np.float64)
+        self.flat, self.counts, self.smooth, self.rules = self.hot.reshape(len(patterns), 2 * patterns.shape[1]), counts, smooth, patterns.shape[1]
+
+    def chances(self, member: np.ndarray, tied: np.ndarray, trust: float) -> np.ndarray:
+        sums = ((member * self.counts[:, None]).T @ self.flat).reshape(-1, self.rules, 2)
+        sums[0] += (sums[1:] * tied[1:, :, None]).sum(axis=0)
+        sums += self.smooth
+        sums[0, :, 0] += trust
+        sums /= sums.sum(axis=2, keepdims=True)
+        fault = tied.any(axis=1)[:, None] & ~tied
+        return np.where(tied[:, :, None], sums[:1], np.where(fault[:, :, None], np.array([1 - SURE, SURE]), sums))
+
+    def members(self, chance: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        score = self.flat @ np.log(chance).reshape(len(share), -1).T + np.log(share)
+        top = score.max(axis=1, keepdims=True, initial=-np.inf)
+        part = np.exp(score - top)
+        total = part.sum(axis=1, keepdims=True)
+        return part / total, np.log(total[:, 0]) + top[:, 0]
+
+    def shares(self, member: np.ndarray) -> np.ndarray:
+        held = member.T @ self.counts + self.smooth
+        return held / held.sum()
+
+    def run(self, chance: np.ndarray, share: np.ndarray, tied: np.ndarray, rounds: int, trust: float = 0.0) -> _Fit:
+        last = -np.inf
+        for _ in range(rounds):
+            member, each = self.members(chance, share)
+            prior = self.smooth * np.log(chance[~tied.any(axis=1)]).sum() + self.smooth * np.log(share).sum() + trust * np.log(chance[0, :, 0]).sum()
+            value = float(self.counts @ each + prior)
+            if value - last < 1e-9 * abs(value):
+                break
+            last = value
+            chance, share = self.chances(member, tied, trust), self.shares(member)
+        member, each = self.members(chance, share)
+        return _Fit(chance, share, tied, member, -each, value)
+
+
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 400, smooth: float = 0.5, trust: float = TRUST) -> VoteModel:
+    """A good class, and as many bad ones as the likelihood pays for.
+
+    A bad class is either a shared kind, with chances of its own for every rule, begun from documents that two rules or
+    more vote against; or one rule's fault, in which that rule votes bad and all others vote as on good documents. At each
+    step the one that raises the information criterion most is added, until none does. So rules that agree make a kind
+    of bad documents, faults that keep apart make classes, and bad votes that fall on good and bad documents alike are a
+    rule's false alarms, however many there are. Then EM goes on with `trust` in the rules, and the chances are estimated
+    once more without it.
     """
-    n, n_rules = patterns.shape
-    hot = np.stack([patterns == v for v in range(3)], axis=2).astype(np.float64)
-    against = (patterns == 2).astype(np.float64)
-    none = against.sum(axis=1) == 0
-    member = np.column_stack((np.where(none, 1.0, 0.0), against / np.maximum(against.sum(axis=1), 1)[:, None])) * 0.98 + 0.02 / (n_rules + 1)
-    own = np.arange(n_rules)
-    for _ in range(rounds):
-        before = member
-        w = member * counts[:, None]
-        chance = np.einsum("pc,prv->crv", w, hot) + smooth
-        chance[:, :, 1:] /= chance[:, :, 1:].sum(axis=2, keepdims=True)
-        chance[1 + own, own, 2] = np.maximum(chance[1 + own, own, 2], sure)
-        chance[0, :, 2] = np.minimum(chance[0, :, 2], alarm)
-        chance[:, :, 1] = 1 - chance[:, :, 2]
-        chance = np.clip(chance, 1e-9, 1)
-        chance[:, :, 0] = 1.0
-        share = (w.sum(axis=0) + smooth) / (w.sum() + smooth * (n_rules + 1))
-        score = np.einsum("prv,crv->pc", hot, np.log(chance)) + np.log(share)
-        score -= score.max(axis=1, keepdims=True, initial=-np.inf)
-        member = np.exp(score)
-        member /= member.sum(axis=1, keepdims=True)
-        if not n or np.abs(member - before).max() < 1e-9:
+    n, n_rules = float(counts.sum()), patterns.shape[1]
+    trust = min(trust, n / 5)
+    votes = _Votes(patterns, counts, smooth)
+    every = np.ones((len(patterns), 1))
+    free = np.zeros((1, n_rules), bool)
+    best = votes.run(votes.chances(every, free, 0.0), np.ones(1), free, rounds)
+    against = patterns == 2
+
+    def grown(by: list[tuple[np.ndarray, np.ndarray, float]], start: _Fit, rounds: int) -> _Fit:
+        """start with further classes: the chances of bad votes, which of them are tied, and the share."""
+        chance, share, tied = start.chance, start.share, start.tied
+        for bad, own, part in by:
+            chance = np.concatenate((chance, np.stack((1 - bad, bad), axis=1)[None]))
+            share, tied = np.append(share * (1 - part), part), np.vstack((tied, own))
+        return votes.run(chance, share, tied, rounds)
+
+    while len(best.share) <= MOST_CLASSES and n:
+        tries = []
+        odd = np.argsort(-(counts * best.missed) * (against.sum(axis=1) >= 2), kind="stable")[:SEEDS]
+        for p in odd[against[odd].sum(axis=1) >= 2]:
+            tries.append([(np.where(against[p], 0.8, 0.05), free[0], 0.05)])
+        faults = []
+        for r in range(n_rules):
+            others = np.arange(n_rules) != r
+            if not (best.tied[1:] == others).all(axis=1).any():
+                faults.append((np.where(others, best.chance[0, :, 1], SURE), others, max(0.5 * float(counts @ against[:, r]) / n, 1e-3)))
+        tries += [[x] for x in faults] + ([faults] if len(faults) > 1 else [])  # that faults exclude one another shows in two of them
+        if len(best.share) == 1:
+            many = (against.sum(axis=1) >= 2).astype(float)[:, None]
+            tries.append([(votes.chances(many, free, 0.0)[0, :, 1], free[0], min(max(float(counts @ many[:, 0]) / n, 0.01), 0.9))])
+        better = max((grown(by, best, rounds // 8) for by in tries), key=lambda f: f.score(n, trust))
+        better = grown([], better, rounds)
+        if better.score(n, trust) <= best.score(n, trust) + 1e-6:
+            break
+        best = better
+    while len(best.share) > 2:  # without the classes that others have made needless
+        kept = [np.arange(len(best.share)) != c for c in range(1, len(best.share))]
+        fewer = max((votes.run(best.chance[k], best.share[k] / best.share[k].sum(), best.tied[k], rounds // 8) for k in kept), key=lambda f: f.score(n, trust))
+        if fewer.score(n, trust) < best.score(n, trust):
             break
-    return VoteModel(share, chance)
+        best = grown([], fewer, rounds)
+    best = votes.run(best.chance, best.share, best.tied, rounds, trust)
+    chance, share = votes.chances(best.member, best.tied, 0.0), votes.shares(best.member)
+    order = np.append(0, 1 + np.argsort(-share[1:], kind="stable"))
+    return VoteModel(share[order], np.concatenate((np.ones((len(share), n_rules, 1)), chance[order]), axis=2), best.tied[order])
 
 
 def _carry(batches, text: str):
@@ -232,7 +324,7 @@ def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: fl
     names = [f"_{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
     plain = docs.toDF(*names).withColumn(text, F.col(text).cast("string"))
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema), *(f"{c} long" for c in COUNTS)])
+    kinds = StructType([*plain.schema.fields, *(StructField(c, LongType()) for c in COUNTS)])
     facts = materialize(plain.mapInArrow(tidy(lambda batches: _carry(batches, text)), kinds), "rule-rows")
     return _verdict(facts, rules, threshold).where("kept").select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 

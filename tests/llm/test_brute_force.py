@@ -112,23 +112,54 @@ def test_posterior_by_plain_bayes(spark):
 
 
 def test_em_step_by_plain_counts():
-    """Two rules: shares and chances after EM are a fixed point of the plain update."""
+    """Shares and chances are one plain update away from the memberships they give, with faults tied to the good class."""
     rng = np.random.default_rng(1)
-    patterns = np.array([[a, b] for a in range(3) for b in range(3)])
-    counts = rng.integers(5, 200, 9).astype(float)
-    m = quality_rules.fit_votes(patterns, counts, rounds=4000)
+    good = rng.random(6000) < 0.8
+    kind = rng.integers(0, 3, 6000)
+    bad = np.array([np.where(good, rng.random(6000) < 0.02, (kind == k) | ((kind == 2) & (rng.random(6000) < 0.7))) for k in range(4)]).T
+    votes = np.where(rng.random((6000, 4)) < 0.1, 0, np.where(bad, 2, 1))
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    m = quality_rules.fit_votes(patterns, counts.astype(float), rounds=4000, trust=0.0)
+    assert len(m.share) > 2 and abs(m.share[0] - 0.8) < 0.05
     member = []
     for p in patterns:
-        w = [m.share[c] * math.prod(m.chance[c][k][v] for k, v in enumerate(p)) for c in range(3)]
+        w = [share * math.prod(chance[k][v] for k, v in enumerate(p)) for share, chance in zip(m.share, m.chance, strict=True)]
         member.append([x / sum(w) for x in w])
-    for c in range(3):
+    for c in range(len(m.share)):
         total = sum(n * x[c] for n, x in zip(counts, member, strict=True))
-        assert abs(m.share[c] - (total + 0.5) / (counts.sum() + 1.5)) < 1e-5
-        for k in range(2):
-            bad, good = (sum(n * x[c] for n, x, p in zip(counts, member, patterns, strict=True) if p[k] == v) + 0.5 for v in (2, 1))
-            plain = bad / (bad + good)
-            plain = max(plain, 0.9) if c == k + 1 else min(plain, 0.05) if c == 0 else plain
-            assert abs(m.chance[c][k][2] - plain) < 1e-4
+        assert abs(m.share[c] - (total + 0.5) / (counts.sum() + 0.5 * len(m.share))) < 1e-3
+        for k in range(4):
+            alike = [0, *(d for d in range(len(m.share)) if m.tied[d][k])] if c == 0 or m.tied[c][k] else [c]
+            of = lambda v: sum(n * sum(x[d] for d in alike) for n, x, p in zip(counts, member, patterns, strict=True) if p[k] == v) + 0.5  # noqa: B023, E731
+            plain = of(2) / (of(1) + of(2))
+            if m.tied[c].any() and not m.tied[c][k]:
+                plain = quality_rules.SURE
+            assert abs(m.chance[c][k][2] - plain) < 2e-3
+
+
+@pytest.mark.parametrize("seen", [0.9, 0.8])
+@pytest.mark.parametrize("n", [2000, 20000])
+def test_em_finds_a_rule_that_votes_at_random(n, seen):
+    """Three rules that see bad documents and one that votes against 30 % of all: its votes count for nothing."""
+    rng = np.random.default_rng(n)
+    bad = rng.random(n) < 0.2
+    against = np.column_stack([*(rng.random(n) < np.where(bad, seen, 0.02) for _ in range(3)), rng.random(n) < 0.3])
+    votes = np.where(rng.random((n, 4)) < 0.1, 0, np.where(against, 2, 1))
+    patterns, place, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    m = quality_rules.fit_votes(patterns, counts.astype(float))
+    assert abs(m.chance[0, 3, 2] - 0.3) < 0.05 and abs(m.share[0] - 0.8) < 0.04
+    weight = np.array([[share * math.prod(chance[k][v] for k, v in enumerate(p)) for share, chance in zip(m.share, m.chance, strict=True)] for p in patterns])
+    kept = (weight[:, 0] / weight.sum(axis=1) >= 0.5)[place]
+    assert kept[~bad].mean() > 0.95 and kept[bad].mean() < 0.2
+
+
+def test_verdicts_do_not_hang_on_the_size(spark):
+    """Of the documents that some rule votes against and the base lets pass, as many stay at both sizes, within 5 points."""
+    share = []
+    for sf in ("sf0.01", "sf0.1"):
+        got = quality_rules.quality_rules(spark.read.parquet(f"{DATA}/{sf}/documents.parquet")).where("NOT base_failed AND array_contains(votes, 2)").select("kept").toPandas()
+        share.append(got.kept.mean())
+    assert abs(share[0] - share[1]) < 0.05, share
 
 
 # ---- quadratic discriminant ----
