@@ -15,6 +15,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from lodestone.llm.catalog import MIXTURE, tokenizer_path
 from lodestone.llm.exact_dedup import exact_dedup
@@ -52,13 +53,21 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(keys, _own(docs) == F.col(name), "left_anti")
 
 
+def _ordered(kind: DataType) -> bool:
+    """Whether values of the type can be compared."""
+    if isinstance(kind, StructType):
+        return all(_ordered(f.dataType) for f in kind.fields)
+    return _ordered(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return keep_quality(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal documents the one with the smallest doc_id stays; repeats of one row are dropped too."""
+    """Of equal documents the one with the smallest doc_id stays; of rows that share doc_id and text the least one does, by
+    the columns that can be compared."""
     found = materialize(exact_dedup(docs).select("doc_id", "mark", "kept", F.expr("doc_id <=> keep_id AND mark = keep_mark").alias("same")), "exact")
     left = _without(docs, found.where("NOT kept AND NOT same"))
     repeated = found.where("NOT kept AND same")
@@ -66,7 +75,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return left
     keys, name = _keys(repeated)
     again = left.join(keys, _own(left) == F.col(name), "left_semi")
-    once = again.groupBy(_own(again).alias(name)).agg(F.min(F.struct("*")).alias("row")).select("row.*")
+    least = F.struct(*(again[f.name] for f in again.schema.fields if _ordered(f.dataType)))
+    once = again.groupBy(_own(again).alias(name)).agg(F.min_by(F.struct("*"), least).alias("row")).select("row.*")
     return _without(left, repeated).unionByName(once)
 
 
