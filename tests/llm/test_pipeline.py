@@ -46,3 +46,14 @@ def test_edges(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "").count() >= 0
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_columns_that_cannot_be_compared(spark):
+    """A map, an array of maps and a name that needs quoting, beside repeated rows."""
+    text = " ".join(f"word{i}" for i in range(60)) + "."
+    rows = [(1, text, "en", "s", 1, {"a": 1}, [{"b": 2}], ("x",)), (1, text, "en", "s", 1, {"a": 1}, [{"b": 2}], ("x",)), (1, text, "de", "s", 1, {}, [], ("y",)), (2, text, "en", "s", 1, None, None, None), (3, text + " and more", "en", "s", 1, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, m map<string,int>, l array<map<string,int>>, o struct<`odd name, `: string>")
+    stages = dict(corpus_pipeline.STAGES)
+    got = stages["exact_dedup"](spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["lang"], r["m"]) for r in got) == [(1, "de", {}), (3, "en", None)]
+    assert stages["quality_rules"](spark, docs, "").columns == docs.columns and stages["quality_rules"](spark, docs, "").count() == 5
