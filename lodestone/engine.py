@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import Settings
 from lodestone.functions.pii import mask_text
 from lodestone.log import get_logger
 from lodestone.operators import bm25
-from lodestone.operators.dedup import dedup_stats
 from lodestone.operators.embed import Embedder, HashingEmbedder, Progress, warm_up
 from lodestone.operators.evaluate import hit_rates, hits
 from lodestone.operators.fusion import Reranker
@@ -43,11 +42,19 @@ class AskResult:
     mode: str
 
 
+def default_root(spark: SparkSession, settings: Settings) -> str:
+    """The settings' store folder. A relative one is another folder on each machine of a cluster, so only a local session
+    may use it."""
+    if not spark.sparkContext.master.startswith("local") and "://" not in settings.chroma_dir and not settings.chroma_dir.startswith("/"):
+        raise RuntimeError(f"name a store folder that the driver and all executors share, not {settings.chroma_dir}")
+    return settings.chroma_dir
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str | None = None, settings: Settings | None = None, embedder: Embedder | None = None, reranker: Reranker | None = None, chat: Chat | None = None, ocr: OCRProvider | None = None, tokenizer: Callable[[Column], Column] = bm25.tokens):
         self.spark, self.settings = prepare(spark), settings or Settings()
         self.embedder, self.reranker, self.ocr = embedder or HashingEmbedder(), reranker, ocr
-        self.store = ChunkStore(spark, root or self.settings.chroma_dir, self.embedder, self.settings.collection_name, tokenizer)
+        self.store = ChunkStore(spark, root or default_root(spark, self.settings), self.embedder, self.settings.collection_name, tokenizer)
         self._chat = retry_with_backoff(max_retries=3)(chat) if chat else None
 
     def warm_up(self) -> None:
@@ -68,10 +75,11 @@ class Engine:
         return self._ingest(uploads(self.spark, files), None, progress)
 
     def _ingest(self, files: DataFrame, names: list[str] | None, progress: Progress | None) -> IngestResult:
+        seen = Observation()
         with scratch():
-            every, kept = load_chunks(files, self.settings, self.ocr, names=names)
-            skipped = int(dedup_stats(every, ["content_hash"]).first()["skipped"])
-            got = IngestResult(self.store.add(kept, progress), skipped, self.store.count())
+            _, kept = load_chunks(files, self.settings, self.ocr, names=names, seen=seen)
+            added = self.store.add(kept, progress)
+            got = IngestResult(added, seen.get["chunks"] - added, self.store.count())
         log.info("ingest: %d added or replaced, %d skipped, %d in all", got.added, got.skipped_duplicates, got.total_chunks)
         return got
 
@@ -153,10 +161,6 @@ def sources_markdown(sources: list[dict]) -> str:
     return "\n\n".join(f"**[{i}] {d['source']}** (score {d['score']})\n\n{d['text']}" for i, d in enumerate(sources, 1)) or "no sources"
 
 
-def as_dict(result) -> dict:
-    return asdict(result)
-
-
 def views(engine: Engine) -> None:
     """Temp views `chunks` and `sources` for SQL."""
     engine.store.read().createOrReplaceTempView("chunks")

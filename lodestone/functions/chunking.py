@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,19 +22,25 @@ def token_units(c: Column) -> Column:
 
 
 def split_tokens(c: Column, size: int, overlap: int) -> Column:
-    """Windows of `size` units that share `overlap`, joined, stripped, blank ones dropped."""
+    """Windows of `size` units that share `overlap`, joined, stripped, blank ones dropped.
+
+    Units follow one another without gaps, so a text is cut into blocks of as many units as divide both the windows and
+    the steps between them, and a window is a few whole blocks.
+    """
     if size <= 0:
         raise ValueError("chunk size must be above 0")
     step = size - max(0, min(overlap, size - 1))
+    own = math.gcd(size, step)
+    blocks = F.regexp_extract_all(c, F.lit(rf"(?:{UNITS}){{1,{own}}}+"), F.lit(0))
 
-    def windows(units: Column) -> Column:
-        n = F.size(units)
+    def windows(found: Column) -> Column:
+        n = (F.size(found) - 1) * own + F.size(token_units(F.element_at(found, -1)))
         last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / step)).cast("int")
-        cut = F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.array_join(F.slice(units, i * step + 1, F.lit(size)), "")))
-        return F.when(n > 0, F.filter(cut, lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+        cut = F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.array_join(F.slice(found, i * (step // own) + 1, F.lit(size // own)), "")))
+        return F.when(F.size(found) > 0, F.filter(cut, lambda x: x != "")).otherwise(F.array().cast("array<string>"))
 
-    # bound to a variable: otherwise the units would be worked out anew for every window
-    return F.transform(F.array(token_units(c)), windows)[0]
+    # bound to a variable: otherwise the blocks would be worked out anew for every window
+    return F.transform(F.array(blocks), windows)[0]
 
 
 def split_chars(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,12 @@ def clean_text(c: Column | str) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
+def cleaned(text: str | None) -> str:
+    """clean_text() of one Python string."""
+    kept = re.sub(r"[ \t]+", " ", re.sub(CONTROL, "", text or ""))
+    return re.sub(r"\n{3,}", "\n\n", kept).strip()
+
+
 def content_hash(c: Column | str) -> Column:
     """MD5 of the text without any white space: the identity of a chunk."""
     return F.md5(F.regexp_replace(_col(c), rf"(?U){SPACE}+", ""))

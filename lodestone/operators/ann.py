@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.best import SCHEMA, SPARE, Best
-from lodestone.operators.dense import PASS_QUERIES, dense_topk, matrix_of, passes, query_rows, top_k, unit
+from lodestone.operators.dense import dense_topk, matrix_of, most_queries, passes, query_rows, top_k, unit
 from lodestone.plans.runtime import new_path, prepare
 
 #: Bounds of the samples: vectors that the centres are fitted to, and queries that recall is measured with.
@@ -93,7 +93,8 @@ class AnnIndex:
     def build(cls, store: DataFrame, id_col: str = "id", vector_col: str = "vector", k: int = 15, recall: float = 0.95, fit_rows: int = FIT_ROWS, check_rows: int = CHECK_ROWS, path: str | None = None) -> AnnIndex:
         """Index every row of store (id_col long, vector_col array of one length; rows without a vector are left out).
 
-        fit_rows, check_rows: the rows of least hashed id that the centres are fitted to, and that recall is measured with.
+        fit_rows, check_rows: the rows of greatest hashed id are the ones that recall is measured with, those of least hashed
+        id, as far as others are left, the ones that the centres are fitted to. A query is not its own neighbour there.
         """
         spark = prepare(store.sparkSession)
         rows = store.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("vector IS NOT NULL")
@@ -101,17 +102,18 @@ class AnnIndex:
         path = path or new_path(spark, "ann")
         x = unit(matrix_of(sample.column("vector").combine_chunks())) if len(sample) else np.zeros((0, 1))
         centres = k_means(x, max(1, min(MOST_CENTRES, int(np.sqrt(len(x)) * 2), len(x)))) if len(x) else np.zeros((0, 1))
-        rows.mapInArrow(_assign(centres), "id long, vector " + rows.schema["vector"].dataType.simpleString() + ", cluster int").repartition("cluster").write.partitionBy("cluster").mode("overwrite").parquet(path)
+        rows.mapInArrow(_assign(centres), "id long, vector " + rows.schema["vector"].dataType.simpleString() + ", cluster int").hint("rebalance", "cluster").write.partitionBy("cluster").mode("overwrite").parquet(path)
         stored = spark.read.schema("id long, vector " + rows.schema["vector"].dataType.simpleString() + ", cluster int").parquet(path)
         made = cls(stored, centres, len(centres), 1.0)
-        return made._calibrated(rows.orderBy(F.xxhash64("id"), "id").limit(check_rows), k, recall) if len(x) else made
+        return made._calibrated(rows.orderBy(F.desc(F.xxhash64("id")), "id").limit(check_rows), k, recall) if len(x) else made
 
     def _calibrated(self, asked: DataFrame, k: int, wanted: float) -> AnnIndex:
         asked = asked.select(F.col("id").alias("query_id"), "vector")
-        exact = {(r["query_id"], r["id"]) for r in dense_topk(self.rows, asked, k).collect()}  # k rows for each of the sample
+        others = F.col("query_id") != F.col("id")
+        exact = {(r["query_id"], r["id"]) for r in dense_topk(self.rows, asked, k + 1).where(others).collect()}  # k rows for each of the sample
         n = 1
         while n < len(self.centres):
-            found = {(r["query_id"], r["id"]) for r in AnnIndex(self.rows, self.centres, n, 0.0).search(asked, k).collect()}
+            found = {(r["query_id"], r["id"]) for r in AnnIndex(self.rows, self.centres, n, 0.0).search(asked, k + 1).where(others).collect()}
             share = len(found & exact) / max(len(exact), 1)
             if share >= wanted:
                 return AnnIndex(self.rows, self.centres, n, share)
@@ -130,4 +132,4 @@ class AnnIndex:
             found = rows.mapInArrow(_probe(names, matrix, looks, k), SCHEMA)
             return top_k(found.withColumn("score", F.round("score", 6)), k, "id")
 
-        return passes(queries, PASS_QUERIES, one)
+        return passes(queries, most_queries(self.centres.shape[1]), one)

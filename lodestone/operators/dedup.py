@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import UNKNOWN_SOURCE
+from lodestone.plans.runtime import materialize
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -26,9 +27,18 @@ def dedup_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def numbered(rows: DataFrame, by: str) -> DataFrame:
-    """With `no`, 1 to n in the order of `by`. One task numbers all rows: for listings that a person reads, such as one row
-    for each source, after aggregation."""
-    return rows.withColumn("no", F.row_number().over(Window.orderBy(by)))
+    """With `no`, a long, 1 to n in the order of `by` (unique). Ranges of rows are sorted and written; a row's number is its
+    place in its range and the rows of the ranges before, of which there is one number each."""
+    ranged = rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("_place", F.monotonically_increasing_id())
+    placed = materialize(ranged, "numbered")
+    part, inside = F.shiftrightunsigned("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    before, starts = 0, []
+    for p, n in sorted(map(tuple, placed.groupBy(part).count().collect())):  # one row for each range
+        starts.append((p, before))
+        before += n
+    offsets = rows.sparkSession.createDataFrame(starts, "_part long, _before long")
+    out = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return out.select(*rows.columns, (F.col("_before") + inside + 1).alias("no"))
 
 
 def list_sources(chunks: DataFrame) -> DataFrame:

@@ -13,16 +13,8 @@ from lodestone.plans.runtime import materialize
 
 #: Queries multiplied with a batch of vectors at once.
 QUERY_BLOCK = 1024
-#: Queries sent to every task for one pass over the store; more take several passes.
-PASS_QUERIES = 50_000
-
-
-def cosine(left, right):
-    """Cosine of two array columns, in double."""
-    dot = F.aggregate(F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    size = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
-    norm = size(left) * size(right)
-    return F.when(norm > 0, dot / norm).otherwise(F.lit(0.0))
+#: Queries sent to every task for one pass over the store, and bytes of their vectors; more take several passes.
+PASS_QUERIES, PASS_BYTES = 50_000, 128 << 20
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -63,8 +55,15 @@ def passes(queries: DataFrame, most: int, search: Callable[[DataFrame], DataFram
 
 def query_rows(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(query_ids, unit vectors) of queries (query_id long, vector array), of one pass."""
-    rows = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>").alias("vector")).orderBy("query_id").collect()
-    return np.array([r["query_id"] for r in rows], np.int64), unit(np.array([r["vector"] for r in rows], np.float64)) if rows else np.zeros((0, 0))
+    rows = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).orderBy("query_id").toArrow()
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros((0, 0))
+    return rows.column("query_id").to_numpy(), unit(matrix_of(rows.column("vector").combine_chunks()))
+
+
+def most_queries(dims: int) -> int:
+    """Queries of one pass, by the length of their vectors."""
+    return max(2, min(PASS_QUERIES, PASS_BYTES // (8 * max(dims, 1))))
 
 
 def dense_topk(store: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
@@ -72,7 +71,7 @@ def dense_topk(store: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
 
     store: id_col long, vector_col array; queries: query_id long, vector array. A task multiplies each batch of stored
     vectors with all queries of the pass, QUERY_BLOCK at a time, and keeps its best: the shuffle holds about k rows for
-    each task and query, and the store is read once for each PASS_QUERIES queries.
+    each task and query, and the store is read once for each PASS_QUERIES queries, or PASS_BYTES of them.
     """
     rows = store.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("vector IS NOT NULL")
 
@@ -80,7 +79,8 @@ def dense_topk(store: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
         names, matrix = query_rows(asked)
         return top_k(rows.mapInArrow(_candidates(names, matrix, k), SCHEMA).withColumn("score", F.round("score", 6)), k, "id")
 
-    return passes(queries, PASS_QUERIES, search)
+    one = rows.select(F.size("vector")).first()
+    return passes(queries, most_queries(one[0] if one else 1), search)
 
 
 def top_k(scored: DataFrame, k: int, tie: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.bm25 import tokens
-from lodestone.plans.runtime import materialize
-
 CASE = "question string, expected_sources array<string>, expected_keywords array<string>"
 
 
@@ -42,35 +43,52 @@ def top1_check(cases: DataFrame, ranked: DataFrame) -> DataFrame:
     return cases.join(first, "query_id", "left").select("query_id", F.coalesce(F.col("source") == F.col("expected"), F.lit(False)).alias("hit"))
 
 
-#: Passages and their tokens sent to every task; more meet the documents by a shuffle.
-BROADCAST_PASSAGES = 100_000
+#: Characters of the passages that one automaton holds (some 50 bytes each in a worker); more take several passes.
+AUTOMATON_CHARS = 2_000_000
+
+
+def _automaton(passages: list[tuple[int, str]]):
+    """An automaton that finds all passages in one reading of a text, and the query_ids of empty passages."""
+    found = ahocorasick.Automaton()
+    for query_id, text in passages:
+        if text:
+            found.add_word(text, [*found.get(text, ()), query_id])
+    if len(found):
+        found.make_automaton()
+    return found, [q for q, text in passages if text == ""]
+
+
+def _find(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, empty = _automaton(sent.value)
+        for batch in batches:
+            out: list[tuple] = []
+            for i, source, text in zip(*(batch.column(c).to_pylist() for c in ("id", "source", "text")), strict=True):
+                if text is not None:
+                    held = {q for _, own in automaton.iter(text) for q in own} if len(automaton) else set()
+                    out += [(q, i, source) for q in (*empty, *held)]
+            columns = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["query_id", "id", "source"])
+
+    return run
 
 
 def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """(query_id, id, source) of documents (id, text, source) that contain a passage (query_id, text).
+    """(query_id, id, source) of documents (id, text, source) that contain a passage (query_id, text), once for each two.
 
-    A document that contains a passage holds each of its inner tokens, so passages meet documents on their rarest inner
-    token. Passages with fewer than three tokens have none: they are compared with the documents in blocks of as many as
-    may be sent to every task.
+    The passages are sent to every task as an automaton, and each document is read once, where it is, for all of them; only
+    hits go on. Passages of more than AUTOMATON_CHARS together are dealt to as many automata as that takes, each of which
+    reads the documents. An empty passage is in every text; null passages are in none, and null texts hold none.
     """
-    cut = materialize(passages.select("query_id", F.col("text").alias("passage"), tokens(F.col("text")).alias("t")), "passages")
-    inner = cut.where(F.size("t") >= 3)
-    inner = inner.select("query_id", "passage", F.explode(F.array_distinct(F.slice("t", F.lit(2), F.size("t") - 2))).alias("tok"))
-    words = F.array_distinct(tokens(F.col("text")))
-    held = docs.select(F.explode(words).alias("tok")).join(_few(inner.select("tok").distinct()), "tok", "left_semi")
-    rare = held.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).join(inner, "tok")
-    best = materialize(rare.groupBy("query_id").agg(F.min_by("tok", F.struct("df", "tok")).alias("tok"), F.first("passage").alias("passage")), "rare-tokens")
-    # up to BROADCAST_PASSAGES one row for each passage goes to the documents, whose texts stay where they are
-    met = docs.select("id", "source", "text", F.explode(words).alias("tok")).join(_few(best), "tok")
-    out = met.where(F.contains("text", "passage")).select("query_id", "id", "source")
-    short = cut.where(F.size("t") < 3).select("query_id", "passage")
-    n = short.count()
-    blocks = -(-n // (BROADCAST_PASSAGES // 2)) if n > BROADCAST_PASSAGES else 1 if n else 0
-    for i in range(blocks):
-        part = short.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        out = out.unionByName(docs.join(F.broadcast(part), F.contains("text", "passage")).select("query_id", "id", "source"))
+    spark = docs.sparkSession
+    asked = passages.select(F.col("query_id").cast("long").alias("query_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    size = asked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    parts = -(-size // AUTOMATON_CHARS) or 1
+    rows = docs.select(F.col("id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    out = None
+    for i in range(parts):
+        own = asked.where(F.pmod(F.xxhash64("query_id", "text"), F.lit(parts)) == i) if parts > 1 else asked
+        sent = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])  # about AUTOMATON_CHARS
+        found = rows.mapInArrow(_find(sent), "query_id long, id long, source string")
+        out = found if out is None else out.unionByName(found)
     return out
-
-
-def _few(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.limit(BROADCAST_PASSAGES + 1).count() <= BROADCAST_PASSAGES else rows

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from lodestone.plans.runtime import materialize
 
 #: Ranked ids (a few numbers each) sent to every task, so that texts stay where they are; more meet the texts by a shuffle.
 BROADCAST_RANKED = 1_000_000
+#: Ranked ids that are looked up by ranges, and ranges of one lookup; these reach the pages of the scan.
+LOOKED_UP, RANGES = 10_000, 200
 
 
 @dataclass
@@ -37,10 +40,33 @@ class Collection:
         return cls(chunks.select("id", "text", "source"), vectors, bm25.Index.build(chunks, tokenizer=tokenizer), tokenizer)
 
 
+def ranges_of(ids: list[int], most: int = RANGES) -> list[tuple[int, int]]:
+    """At most `most` ranges that hold all ids, with the widest gaps between them left out."""
+    own = sorted(set(ids))
+    gaps = sorted(range(1, len(own)), key=lambda i: own[i - 1] - own[i])[: most - 1]
+    cuts = [0, *sorted(i for i in gaps if own[i] - own[i - 1] > 1), len(own)]
+    return [(own[a], own[b - 1]) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+
+
+def _any(tests: list[Column]) -> Column:
+    """Any of many tests, as a flat tree."""
+    while len(tests) > 1:
+        tests = [reduce(lambda a, b: a | b, tests[i : i + 2]) for i in range(0, len(tests), 2)]
+    return tests[0]
+
+
 def with_text(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Ranked ids with the text and source of chunks (id, text, source)."""
+    """Ranked ids with the text and source of chunks (id, text, source).
+
+    Up to LOOKED_UP different ids are read by ranges of ids: of chunks that are stored in the order of ids, as those of a
+    store are, only the pages that hold them.
+    """
     ranked = materialize(ranked, "ranked")
-    few = F.broadcast(ranked) if ranked.count() <= BROADCAST_RANKED else ranked
+    n = ranked.count()
+    few = F.broadcast(ranked) if n <= BROADCAST_RANKED else ranked
+    if 0 < n <= LOOKED_UP:
+        found = ranges_of([r["id"] for r in ranked.select("id").distinct().collect()])  # at most LOOKED_UP numbers
+        chunks = chunks.where(_any([F.col("id").between(a, b) if a < b else F.col("id") == a for a, b in found]))
     return few.join(chunks.select("id", "text", F.coalesce("source", F.lit(UNKNOWN_SOURCE)).alias("source")), "id")
 
 

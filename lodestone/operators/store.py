@@ -242,10 +242,10 @@ class ChunkStore:
     # ---- changes ----
 
     def _write(self, rows: DataFrame, no: int) -> dict:
-        """Write a segment and its keys."""
+        """Write a segment, in the order of ids, and its keys."""
         name = _name()
         at = f"{self.path}/segments/{name}"
-        rows.select(COLUMNS).write.parquet(at)
+        rows.select(COLUMNS).repartitionByRange("id").sortWithinPartitions("id").write.parquet(at)
         held = self.spark.read.schema(SCHEMA).parquet(at)
         n = held.count()
         digits = next((d for d in range(MOST_DIGITS) if n <= BUCKET_KEYS * 16**d), MOST_DIGITS)

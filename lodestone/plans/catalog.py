@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from lodestone.config import Settings
 from lodestone.functions import pii
-from lodestone.functions.chunking import chunk_documents, token_units
-from lodestone.functions.text import QUERY_PREFIX, basename, clean_text, content_hash, escape_html, estimate_tokens, extension, extract_json, preview, query_text, strip
+from lodestone.functions.chunking import SEPARATORS, chunk_documents, token_units
+from lodestone.functions.text import QUERY_PREFIX, basename, clean_text, content_hash, escape_html, estimate_tokens, extension, extract_json, preview, query_text
 from lodestone.operators import bm25
 from lodestone.operators.ann import AnnIndex
 from lodestone.operators.conversation import append_turns, compress, token_totals
@@ -25,6 +25,7 @@ from lodestone.operators.embed import HashingEmbedder
 from lodestone.operators.evaluate import containing, hit_rates, hits, top1_check
 from lodestone.operators.fusion import fuse, recall_size, rerank, threshold_topk
 from lodestone.operators.retrieval import Collection, format_context, hybrid_retrieve, places
+from lodestone.operators.segment import frequent_words, gram_counts
 from lodestone.operators.store import ChunkStore
 from lodestone.plans.agent import DECIDE, DECOMPOSE, HYDE, Answerer
 from lodestone.plans.runtime import new_path, spread, stands, table
@@ -87,13 +88,21 @@ def _chunks(spark, sf_dir):
 _COLLECTIONS: dict[tuple, Collection] = {}
 
 
+def _files_of(spark, path: str) -> list[tuple[str, int, int, str]]:
+    """Path, size, time and checksum, where the file system has one, of every file of a table: any rewrite changes one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    walk, out = fs.listFiles(at, True), []
+    while walk.hasNext():
+        file = walk.next()
+        out.append((file.getPath().toString(), file.getLen(), file.getModificationTime(), str(fs.getFileChecksum(file.getPath()))))
+    return sorted(out)
+
+
 def _collection(spark, sf_dir) -> Collection:
     """Vectors and postings of documents, made once for each state of the table and application, as a store keeps them for
     each of its revisions."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    held = fs.getContentSummary(at)
-    state = (spark.sparkContext.applicationId, str(sf_dir), held.getLength(), held.getFileCount(), fs.getFileStatus(at).getModificationTime())
+    state = (spark.sparkContext.applicationId, *_files_of(spark, f"{sf_dir}/documents.parquet"))
     if state not in _COLLECTIONS or not all(map(stands, (_COLLECTIONS[state].vectors, _COLLECTIONS[state].index.postings))):
         made = Collection.of(_chunks(spark, sf_dir), HashingEmbedder(DIMS))
         _COLLECTIONS[state] = Collection(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source"), made.vectors, made.index)
@@ -343,7 +352,28 @@ def chunk_dedup(spark, sf_dir):
     return first_wins(chunk_token(spark, sf_dir), ["content_hash"], ["doc_id", "chunk_index"])
 
 
-@query()
+_MARKS = "[" + ", ".join("chr(10)" if s == "\n" else "chr(10) || chr(10)" if s == "\n\n" else f"'{s}'" for s in SEPARATORS) + "]"
+
+
+@query(
+    f"""WITH RECURSIVE d AS (SELECT doc_id, source, {_clean('text')} AS t FROM documents),
+n AS (SELECT doc_id, []::INTEGER[] AS path, t AS text, 1 AS w, false AS leaf FROM d WHERE t <> ''
+  UNION ALL SELECT doc_id, list_append(path, k::INTEGER), piece, used + 1, length(piece) < 800 FROM (
+    SELECT doc_id, path, used, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS k FROM (
+      SELECT doc_id, path, used, CASE WHEN mark = '' THEN string_split(text, '') ELSE list_concat(CASE WHEN starts_with(text, mark) THEN []::VARCHAR[] ELSE string_split(text, mark)[:1] END,
+        list_transform(string_split(text, mark)[2:], lambda x: mark || x)) END AS pieces FROM (
+        SELECT doc_id, path, text, used, {_MARKS}[used] AS mark FROM (
+          SELECT doc_id, path, text, list_min(list_filter(range(w, {len(SEPARATORS)} + 1), lambda i: {_MARKS}[i] = '' OR contains(text, {_MARKS}[i]))) AS used FROM n WHERE NOT leaf))))),
+s AS (SELECT doc_id, path[:-2] AS parent, path[-1] AS k, text, leaf, count(*) FILTER (WHERE NOT leaf) OVER (PARTITION BY doc_id, path[:-2] ORDER BY path[-1]) AS g FROM n WHERE len(path) > 0),
+run AS (SELECT doc_id, list_append(parent, min(k)) AS place, string_agg(text, '' ORDER BY k) AS text, list(length(text) ORDER BY k) AS size FROM s WHERE leaf GROUP BY doc_id, parent, g),
+p AS (SELECT doc_id, place, text, size, list_transform(range(0, len(size) + 1), lambda i: coalesce(list_sum(size[1:i]), 0)::BIGINT) AS sums FROM run),
+m AS (SELECT doc_id, place, text, size, sums, 0::BIGINT AS hi, 0::BIGINT AS lo, ''::VARCHAR AS chunk FROM p
+  UNION ALL SELECT doc_id, place, text, size, sums, hi + 1, CASE WHEN cut THEN list_min(list_filter(range(lo, hi + 1), lambda l: l = hi OR sums[hi + 1] - sums[l + 1] <= 150 AND sums[hi + 1] - sums[l + 1] + size[hi + 1] <= 800)) ELSE lo END,
+    CASE WHEN cut OR hi = len(size) THEN substr(text, sums[lo + 1] + 1, sums[hi + 1] - sums[lo + 1]) ELSE '' END FROM (
+    SELECT *, hi < len(size) AND hi > lo AND sums[hi + 1] - sums[lo + 1] + size[hi + 1] > 800 AS cut FROM m WHERE hi <= len(size))),
+c AS (SELECT doc_id, place, hi, {_strip('chunk')} AS text FROM m WHERE chunk <> '')
+SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place, hi) - 1 AS INTEGER) AS chunk_index, text, {_hash('text')} AS content_hash FROM c JOIN d USING (doc_id) WHERE text <> ''"""
+)
 def chunk_char(spark, sf_dir):
     return chunk_documents(_documents(spark, sf_dir), 800, 150, "char", keep=("doc_id",))
 
@@ -364,7 +394,7 @@ def dedup_counts(spark, sf_dir):
 
 @query("SELECT coalesce(source, '未知') AS source, count(*) AS chunks, CAST(row_number() OVER (ORDER BY coalesce(source, '未知')) AS INTEGER) AS no FROM documents GROUP BY 1")
 def sources_listed(spark, sf_dir):
-    return numbered(list_sources(_documents(spark, sf_dir)), "source")
+    return numbered(list_sources(_documents(spark, sf_dir)), "source").withColumn("no", F.col("no").cast("int"))
 
 
 @query("SELECT count(*) AS files, sum(chunks)::BIGINT AS chunks FROM (SELECT source, count(*) AS chunks FROM documents GROUP BY 1)")
@@ -419,7 +449,8 @@ def store_rows(spark, sf_dir):
     store = _store(spark)
     store.add(_as_chunks(_documents(spark, sf_dir), order=F.col("doc_id")))
     store.delete_source("src3")
-    return numbered(store.read().select("content_hash", F.col("chunk_index").cast("long").alias("doc_id"), "source", "id"), "id").withColumnRenamed("no", "place").drop("id")
+    rows = numbered(store.read().select("content_hash", F.col("chunk_index").cast("long").alias("doc_id"), "source", "id"), "id")
+    return rows.select("content_hash", "doc_id", "source", F.col("no").cast("int").alias("place"))
 
 
 # ---- retrieval ----
@@ -596,6 +627,24 @@ def ann_search(spark, sf_dir):
     return AnnIndex.build(rows, "vec_id", "embedding").search(asked, FETCH)
 
 
+#: Letters as Han characters, which makes of a passage runs without spaces.
+_LETTERS, _HAN = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + i) for i in range(26))
+
+
+@query(
+    f"""WITH runs AS (SELECT unnest(regexp_extract_all(translate(lower(text), '{_LETTERS} ', '{_HAN}'), '[一-鿿]+')) AS run FROM benchmark),
+g AS (SELECT substr(run, i::BIGINT, k::BIGINT) AS word FROM (SELECT run, k, unnest(range(1, length(run) - k + 2)) AS i FROM runs, range(1, 5) t(k))),
+c AS (SELECT word, count(*) AS n FROM g GROUP BY word), size AS (SELECT sum(n)::DOUBLE AS total FROM c WHERE length(word) = 1),
+s AS (SELECT word, n, left(word, i) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word))) AS i FROM c WHERE length(word) > 1 AND n >= 5)),
+m AS (SELECT s.word, s.n, min(s.n * total / (x.n * y.n)) AS tie FROM s JOIN c x ON x.word = s.a JOIN c y ON y.word = s.b, size GROUP BY s.word, s.n)
+SELECT word, n FROM c WHERE length(word) = 1 UNION ALL SELECT word, n FROM m WHERE tie >= 20"""
+)
+def learnt_words(spark, sf_dir):
+    """The dictionary of a segmenter for text without spaces, here passages whose letters are written as Han characters."""
+    text = F.translate(F.lower("text"), f"{_LETTERS} ", _HAN)
+    return frequent_words(gram_counts(table(spark, sf_dir, "benchmark").select(text.alias("text"))))
+
+
 # ---- evaluation ----
 
 _EXPECT = "want AS (SELECT query_id, list_distinct(list(source)) AS want, substr(any_value(q.text), 1, 30) AS word FROM q JOIN documents d ON contains(d.text, q.text) GROUP BY query_id)"

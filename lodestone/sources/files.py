@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,13 +17,21 @@ from lodestone.sources.parsers import parse
 from lodestone.sources.registry import family_of, supported_frame
 
 
+#: Paths or names of a request that are sent to every task; more meet the files by a shuffle.
+BROADCAST_NAMES = 100_000
+
+
+def _few(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= BROADCAST_NAMES else rows
+
+
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(file_no, source, content) of files, in the order given. A missing file is an error."""
     if not paths:
         raise ValueError("no files given")
     found = spark.read.format("binaryFile").load(list(dict.fromkeys(paths))).select("path", basename("path").alias("source"), "content")
     order = spark.createDataFrame([(i, _qualified(spark, p)) for i, p in enumerate(paths)], "file_no int, path string")
-    return found.join(F.broadcast(order), "path").select("file_no", "source", "content")  # one short row for each path asked for
+    return found.join(_few(order, len(paths)), "path").select("file_no", "source", "content")
 
 
 def _qualified(spark: SparkSession, path: str) -> str:
@@ -62,20 +70,22 @@ def parse_files(files: DataFrame, settings: Settings, provider: OCRProvider | No
     return files.withColumn("got", once("source", "content")).select("file_no", "source", "got.text", "got.error")
 
 
-def load_chunks(files: DataFrame, settings: Settings, provider: OCRProvider | None = None, size: int | None = None, overlap: int | None = None, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def load_chunks(files: DataFrame, settings: Settings, provider: OCRProvider | None = None, size: int | None = None, overlap: int | None = None, names: list[str] | None = None, seen: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """(all chunks, chunks that stay): equal content stays where it comes first, by file_no, then place in the file.
 
     Files are parsed here and once: their chunks are written to the shared folder, so nothing that is done with them parses
     a file, or asks an OCR provider, again. Any file that cannot be read fails the whole batch. names: sources by file
-    number, instead of the files' own; files without a name are left out.
+    number, instead of the files' own; files without a name are left out. seen: is told the number of all chunks while
+    they are written.
     """
     for r in unsupported(files).limit(1).collect():
         family_of(r["extension"])
     parsed = parse_files(files, settings, provider)
     if names is not None:
         pairs = files.sparkSession.createDataFrame(list(enumerate(names)), T.StructType([T.StructField("file_no", T.IntegerType()), T.StructField("name", T.StringType())]))
-        parsed = parsed.join(F.broadcast(pairs), "file_no").withColumn("source", F.col("name")).drop("name")  # one name for each file of a request
+        parsed = parsed.join(_few(pairs, len(names)), "file_no").withColumn("source", F.col("name")).drop("name")
     parsed = parsed.withColumn("text", F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", "source", "error"))).otherwise(F.col("text")))
     size, overlap = settings.resolve_chunking(size, overlap)
-    chunks = materialize(chunk_documents(parsed, size, overlap, settings.chunk_strategy, keep=("file_no",)), "chunks")
+    chunks = chunk_documents(parsed, size, overlap, settings.chunk_strategy, keep=("file_no",))
+    chunks = materialize(chunks.observe(seen, F.count(F.lit(1)).alias("chunks")) if seen else chunks, "chunks")
     return chunks, first_wins(chunks, ["content_hash"], ["file_no", "chunk_index"])

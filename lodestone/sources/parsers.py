@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
+from lodestone.functions.text import cleaned
 from lodestone.sources.ocr import OCRProvider
 from lodestone.sources.registry import LEGACY, SUPPORTED, family_of
 
@@ -222,7 +223,7 @@ def parse(name: str, content: bytes, provider: OCRProvider | None = None, ocr_pa
         return provider.extract_image_bytes(content, mimetypes.guess_type(base)[0] or "image/png")
     if family == "pdf":
         text = pdf_text(content)
-        short = len(re.sub(r"\s+", " ", text).strip()) < ocr_least
+        short = len(cleaned(text)) < ocr_least
         return pdf_ocr_text(content, provider, ocr_pages, ocr_dpi) if short and provider else text
     if ext in _BINARY:
         return _BINARY[ext](content)

@@ -14,6 +14,7 @@ from lodestone.operators import bm25
 from lodestone.operators import store as store_module
 from lodestone.operators.conversation import compress, compress_messages
 from lodestone.operators.embed import HashingEmbedder
+from lodestone.operators.retrieval import ranges_of, with_text
 from lodestone.operators.store import ChunkStore
 from lodestone.plans.agent import Answerer, first_seen, parse_json
 from lodestone.plans.runtime import materialize, release, scratch, shared_dir
@@ -202,6 +203,28 @@ def test_writers_at_once(spark, tmp_path):
     assert not failed and store.revision == 4 and len(got) == 21 == store.count() == len({x[2] for x in got.values()})
 
 
+def test_fetch_by_id_reads_few_pages(spark, tmp_path):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("parquet.page.size", str(16 << 10))
+    store = ChunkStore(spark, str(tmp_path), HashingEmbedder(2))
+    try:
+        store.add(spark.range(3000).selectExpr("repeat(sha2(string(id), 512), 12) || id AS text", "'s' AS source", "int(id) AS chunk_index", "concat('h', id) AS content_hash"))
+    finally:
+        conf.unset("parquet.page.size")
+    chunks = store.read().select("id", "text", "source")
+    ids = [r["id"] for r in chunks.select("id").orderBy("id").collect()]
+    wanted = [ids[k] for k in (5, 6, 7, 1500, 2990)]
+    ranked = spark.createDataFrame([(i, n) for n, i in enumerate(wanted)], "id long, rank int")
+    read = lambda: sum(x.getBytesRead() for x in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+    before = read()
+    got = with_text(ranked, chunks).collect()
+    some = read() - before
+    before = read()
+    chunks.agg(F.sum(F.length("text"))).collect()
+    assert sorted(r["id"] for r in got) == sorted(wanted) and some < 0.3 * (read() - before)
+    assert ranges_of([7, 5, 6, 100, 7], 2) == [(5, 7), (100, 100)] and ranges_of([1, 2, 3], 5) == [(1, 3)] and ranges_of([9]) == [(9, 9)] and ranges_of([1, 9, 20], 1) == [(1, 20)]
+
+
 def test_small_upsert_reads_few_keys(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(store_module, "BUCKET_KEYS", 16)
     store = ChunkStore(spark, str(tmp_path), HashingEmbedder(2))

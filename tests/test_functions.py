@@ -8,7 +8,7 @@ from lodestone.config import Settings, chunk_strategy, read_env_file, usable
 from lodestone.engine import mask_text
 from lodestone.functions import pii
 from lodestone.functions.chunking import SEPARATORS, split_chars, split_tokens
-from lodestone.functions.text import basename, clean_text, content_hash, estimate_tokens, extension, extract_json, strip
+from lodestone.functions.text import basename, clean_text, cleaned, content_hash, estimate_tokens, extension, extract_json, strip
 
 PARTS = ["a", "Bc", "12", " ", "  ", "\t", "\n", "\n\n\n", "\x00", "\x0b", "\x0c", "\x1d", "\x7f", "　", "\xa0", "汉", "字", "é", "🙂", "_", ".", "!", "１２", " ", "abcdefghijk"]
 
@@ -26,9 +26,9 @@ def apply(spark, values, *columns):
 def test_text_functions(spark):
     texts = strings()
     got = apply(spark, texts, clean_text("t"), content_hash("t"), strip("t"), estimate_tokens("t"))
-    for t, (cleaned, digest, stripped, tokens) in zip(texts, got, strict=True):
+    for t, (clean, digest, stripped, tokens) in zip(texts, got, strict=True):
         want = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", t))).strip()
-        assert cleaned == want
+        assert clean == cleaned(t) == want
         assert digest == hashlib.md5(re.sub(r"\s+", "", t).encode()).hexdigest()
         assert stripped == t.strip()
         han = sum("一" <= c <= "鿿" for c in t)
@@ -66,7 +66,7 @@ def units(text):
 
 def test_token_chunks(spark):
     texts = strings(200, 2)
-    for size, overlap in ((5, 2), (8, 0), (1, 0), (3, 9), (4, -2)):
+    for size, overlap in ((5, 2), (8, 0), (1, 0), (3, 9), (4, -2), (6, 2), (12, 4), (40, 30)):
         step = size - max(0, min(overlap, size - 1))
         got = apply(spark, texts, split_tokens(F.col("t"), size, overlap))
         for t, (chunks,) in zip(texts, got, strict=True):

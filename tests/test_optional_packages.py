@@ -117,6 +117,10 @@ def test_pdf_with_hardly_any_text_is_read_by_ocr(pdf):
     assert parse("a.pdf", b"x| |y", Reader(), ocr_pages=3, ocr_dpi=144) == "[第 1 页]\nimage/png 1\n\n[第 3 页]\nimage/png 3"
     assert parse("a.pdf", b"x| |y", Reader(), ocr_pages=1, ocr_dpi=144) == "[第 1 页]\nimage/png 1"
     assert parse("a.pdf", b"x| |y") == "x\n \ny"
+    lines = b"|".join([b"short"] * 5)  # five lines of five characters: their ends count, too
+    assert parse("a.pdf", lines, Reader(), ocr_least=29) == "\n".join(["short"] * 5)
+    assert "image/png" in parse("a.pdf", lines, Reader(), ocr_least=30)
+    assert "image/png" in parse("a.pdf", b"a" + b" " * 80 + b"b", Reader(), ocr_least=30)
     assert parse("a.pdf", b"long enough text for a page, so no OCR", Reader()) == "long enough text for a page, so no OCR"
 
 
