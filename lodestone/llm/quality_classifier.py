@@ -128,8 +128,8 @@ class Discriminant:
 def fit_discriminant(moments: np.ndarray, pooled: float = POOLED, diagonal: float = DIAGONAL) -> Discriminant:
     """From the products of rows (1, x) with themselves, summed for labels 0 and 1.
 
-    A class's covariance counts by its n rows against the d features: n / (n + d) of it is its own and the rest the pooled
-    one, so it fades out as a class has fewer rows than features; `pooled` and `diagonal` are further pulls on both.
+    The pooled covariance has the part `pooled` in each class's, and as much more as pooled * d rows would add to the
+    class's n, for d features; so a class's own fades out as it has fewer rows than features. `diagonal` pulls on both.
     """
     d = moments.shape[1] - 1
     n = moments[:, 0, 0]
@@ -147,7 +147,7 @@ def fit_discriminant(moments: np.ndarray, pooled: float = POOLED, diagonal: floa
     common = (n[0] * covs[0] + n[1] * covs[1]) / count
     factors, dets = [], []
     for k in (0, 1):
-        own = (1 - pooled) * n[k] / (n[k] + d)
+        own = (1 - pooled) * n[k] / (n[k] + pooled * d) if n[k] else 0.0
         cov = own * covs[k] + (1 - own) * common
         cov = (1 - diagonal) * cov + diagonal * np.diag(np.maximum(np.diag(common), 1e-3)) + 1e-4 * np.eye(d)
         low = np.linalg.cholesky(cov)

@@ -221,7 +221,7 @@ def test_scores_by_plain_algebra(spark):
     common = (n[0] * covs[0] + n[1] * covs[1]) / sum(n)
     density = []
     for k in (0, 1):
-        weight = n[k] / (n[k] + x.shape[1])
+        weight = n[k] / (n[k] + 0.1 * x.shape[1])
         cov = 0.9 * (weight * covs[k] + (1 - weight) * common) + 0.1 * common
         cov = 0.95 * cov + 0.05 * np.diag(np.maximum(np.diag(common), 1e-3)) + 1e-4 * np.eye(len(cov))
         off = z - zt[y == k].mean(axis=0)
