@@ -40,6 +40,8 @@ MOST_SEGMENTS, MOST_DEAD = 16, 0.25
 BROADCAST_GRAVES = 1_000_000
 #: Keys of a segment to a bucket, about; buckets are 1, 16, 256 or 4,096.
 BUCKET_KEYS, MOST_DIGITS = 100_000, 3
+#: Rows of a page of a segment, the least that is read for an id.
+PAGE_ROWS = 200
 #: New keys sent to the keys of older segments, which then stay where they are.
 BROADCAST_KEYS = 1_000_000
 #: How often a change is tried again on top of another one's.
@@ -245,7 +247,7 @@ class ChunkStore:
         """Write a segment, in the order of ids, and its keys."""
         name = _name()
         at = f"{self.path}/segments/{name}"
-        rows.select(COLUMNS).repartitionByRange("id").sortWithinPartitions("id").write.parquet(at)
+        rows.select(COLUMNS).repartitionByRange("id").sortWithinPartitions("id").write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(at)
         held = self.spark.read.schema(SCHEMA).parquet(at)
         n = held.count()
         digits = next((d for d in range(MOST_DIGITS) if n <= BUCKET_KEYS * 16**d), MOST_DIGITS)
