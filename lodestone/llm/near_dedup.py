@@ -316,14 +316,6 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, level: float = LEVEL, crowd
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     nodes = materialize(facts.groupBy("node").agg(F.min(place).alias("first")), "near-nodes")
 
-    def per_text(work, kinds: str, needed: DataFrame, label: str) -> DataFrame:
-        """work on one text of each node needed."""
-        ask = needed.join(nodes, "node").select("node", F.col("first.doc_id").alias("_doc"), F.col("first.mark").alias("_mark"))
-        ask = materialize(ask, f"{label}-asked")
-        few = F.broadcast(ask) if ask.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ask
-        texts = rows.join(few, rows["doc_id"].eqNullSafe(F.col("_doc")) & (rows["mark"] == F.col("_mark"))).select("node", "text")
-        return materialize(texts.mapInArrow(work, kinds).dropDuplicates(["node"]), label)
-
     dealt = facts.select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("k1"))
     groups = dealt.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialize(dealt.join(groups, "k1"), "near-met")
