@@ -523,9 +523,9 @@ dd AS (SELECT place AS doc_id, text, source, d.hash FROM p JOIN d USING (doc_id)
 def store_bm25_search(spark, sf_dir):
     """BM25 through a store of two segments, the first of which has replaced chunks."""
     docs, store = _documents(spark, sf_dir), _store(spark)
-    store.add(_as_chunks(docs.where("doc_id % 2 = 0")))
+    store.add(_as_chunks(docs.where("doc_id % 2 = 0"), order=F.col("doc_id")))  # not by source: ties go by the order of insertion
     store.collection()
-    store.add(_as_chunks(docs.where("doc_id % 2 = 1")))
+    store.add(_as_chunks(docs.where("doc_id % 2 = 1"), order=F.col("doc_id")))
     found = bm25.search(store.collection().index, _questions(spark, sf_dir), FETCH)
     return found.join(store.read().select("id", "content_hash"), "id").select("query_id", "content_hash", "score", "rank")
 
