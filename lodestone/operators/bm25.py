@@ -11,7 +11,7 @@ block's documents, and passes on each task's best k: pairs of questions and docu
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -30,8 +30,10 @@ from lodestone.plans.runtime import materialize
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Words, single Han characters and single other marks; case is kept.
 TOKENS = r"[A-Za-z0-9]+|[一-鿿]|[^\sA-Za-z0-9]"
-#: Documents of a block.
-BLOCK = 8192
+#: Documents of a block, and their tokens: a task holds the postings of one block.
+BLOCK, BLOCK_TOKENS = 8192, 2_000_000
+#: Pairs of a token and a document that leave a task at once.
+ROW_PAIRS = 1 << 18
 #: Questions of one pass over the postings: their tokens and weights go to every task.
 PASS_QUESTIONS = 5_000
 #: Asked tokens up to which the scan is filtered by them.
@@ -81,45 +83,68 @@ def corpus(docs: DataFrame, id_col: str = "id", tokenizer=tokens) -> Corpus:
 # ---- the index ----
 
 
+def _pairs(batch: pa.RecordBatch):
+    """Of a batch of documents (id, toks): its words, and for each word and document that holds it their numbers and how
+    often it does; ids and lengths of the documents."""
+    toks = batch.column("toks")
+    size = np.diff(toks.offsets.to_numpy())
+    words = toks.flatten().dictionary_encode()
+    pair = words.indices.to_numpy().astype(np.int64)
+    pair *= len(size)
+    pair += np.repeat(np.arange(len(size)), size)
+    pair, tf = np.unique(pair, return_counts=True)
+    code, doc = np.divmod(pair, max(len(size), 1))
+    return words.dictionary, code.astype(np.int32), doc.astype(np.int32), tf.astype("<i4"), batch.column("id").to_numpy().astype("<i8"), size.astype("<i4")
+
+
+def _rows(block: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """The postings of a block from the pairs of its batches, some words at a time."""
+    words = pa.chunked_array([h[0] for h in held]).combine_chunks().dictionary_encode()
+    own = np.split(words.indices.to_numpy(), np.cumsum([len(h[0]) for h in held])[:-1])
+    first = np.cumsum([0, *(len(h[4]) for h in held)])
+    code = np.concatenate([o[h[1]] for o, h in zip(own, held, strict=True)])
+    doc = np.concatenate([h[2] + np.int32(n) for n, h in zip(first, held, strict=False)])
+    tf, ids, size = (np.concatenate([h[i] for h in held]) for i in (3, 4, 5))
+    held.clear()
+    order = np.argsort(code, kind="stable")  # documents are in order in each word
+    code, doc, tf = code[order], doc[order], tf[order]
+    del order
+    start = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
+    cut = np.append(start, len(code))
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(cut, cut[a] + ROW_PAIRS, "right")) - 1)
+        at = cut[a : b + 1]
+        some = slice(at[0], at[-1])
+
+        def packed(flat: np.ndarray, at=at, n=b - a) -> pa.Array:
+            return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(((at - at[0]) * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
+
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(b - a, block)), words.dictionary.take(pa.array(code[start[a:b]])), pa.array(np.diff(at)), pa.array(np.add.reduceat(tf[some], at[:-1] - at[0], dtype=np.int64)), packed(ids[doc[some]]), packed(np.ascontiguousarray(tf[some])), packed(size[doc[some]])],
+            names=["block", "tok", "n", "total", "ids", "tfs", "lens"],
+        )
+        a = b
+
+
 def _invert(segment: int):
     def run(batches):
-        block, held, rows = (segment << 48) | (TaskContext.get().partitionId() << 24), [], 0
-
-        def flush():
-            table = pa.Table.from_batches(held).combine_chunks()
-            toks = table.column("toks").combine_chunks()
-            if isinstance(toks, pa.ChunkedArray):
-                toks = toks.chunk(0)
-            size = np.diff(toks.offsets.to_numpy())
-            words = toks.flatten().dictionary_encode()
-            if not len(words):
-                return
-            code, doc = words.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(size)), size)
-            pair, tf = np.unique(code * len(size) + doc, return_counts=True)
-            code, doc = pair // len(size), pair % len(size)
-            ids = table.column("id").to_numpy()
-            start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-            cut = np.append(start, len(code))
-
-            def packed(values, kind):
-                flat = np.ascontiguousarray(values.astype(kind))
-                return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((cut * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
-
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(start), block)), words.dictionary.take(pa.array(code[start])), pa.array(np.diff(cut)), pa.array(np.add.reduceat(tf, start)), packed(ids[doc], "<i8"), packed(tf, "<i4"), packed(size[doc], "<i4")],
-                names=["block", "tok", "n", "total", "ids", "tfs", "lens"],
-            )
-
+        block, held, rows, toks = (segment << 48) | (TaskContext.get().partitionId() << 24), [], 0, 0
         for batch in batches:
-            for lo in range(0, len(batch), BLOCK):
-                part = batch.slice(lo, BLOCK)
-                if rows + len(part) > BLOCK:
-                    yield from flush()
-                    block, held, rows = block + 1, [], 0
-                held.append(part)
-                rows += len(part)
-        if rows:
-            yield from flush()
+            size = np.diff(batch.column("toks").offsets.to_numpy())
+            lo = 0
+            while lo < len(batch):
+                room = int(np.searchsorted(np.cumsum(size[lo : lo + BLOCK - rows]), BLOCK_TOKENS - toks, "right"))
+                if not room and rows:  # full
+                    if sum(len(h[1]) for h in held):
+                        yield from _rows(block, held)
+                    block, held, rows, toks = block + 1, [], 0, 0
+                    continue
+                part = batch.slice(lo, max(room, 1))  # a document of more tokens is a block
+                held.append(_pairs(part))
+                lo, rows, toks = lo + len(part), rows + len(part), toks + int(size[lo : lo + len(part)].sum())
+        if sum(len(h[1]) for h in held):
+            yield from _rows(block, held)
 
     return run
 

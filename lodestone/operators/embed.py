@@ -19,6 +19,7 @@ from lodestone.functions.text import QUERY_PREFIX
 from lodestone.operators.bm25 import TOKENS
 
 BATCH = 64
+_FIND = re.compile(TOKENS, re.ASCII).findall
 
 #: Called with the number of texts done and of all texts.
 Progress = Callable[[int, int], None]
@@ -33,6 +34,20 @@ class Embedder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
+class _Buckets(dict):
+    """token -> bucket, found when first asked for."""
+
+    def __init__(self, dims: int):
+        self.dims = dims
+
+    def __missing__(self, token: str) -> int:
+        found = self[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dims
+        return found
+
+    def __reduce__(self):
+        return _Buckets, (self.dims,)
+
+
 class HashingEmbedder:
     """A stand-in without a model: token counts hashed into `dims` buckets (first 8 hex digits of MD5), scaled to length 1."""
 
@@ -40,19 +55,17 @@ class HashingEmbedder:
 
     def __init__(self, dims: int = 64):
         self.dims = dims
-        self._known: dict[str, int] = {}
+        self._known = _Buckets(dims)
 
     def bucket(self, token: str) -> int:
-        if token not in self._known:
-            if len(self._known) > 200_000:
-                self._known.clear()
-            self._known[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dims
         return self._known[token]
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dims))
         for row, text in zip(out, texts, strict=True):
-            found = np.fromiter((self.bucket(t) for t in re.findall(TOKENS, text or "", re.ASCII)), np.int64)
+            if len(self._known) > 200_000:
+                self._known.clear()
+            found = np.fromiter(map(self._known.__getitem__, _FIND(text or "")), np.int64)
             row += np.bincount(found, minlength=self.dims)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1)
