@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.config import Settings, chunk_strategy, read_env_file, usable
 from lodestone.engine import mask_text
 from lodestone.functions import pii
-from lodestone.functions.chunking import SEPARATORS, split_chars, split_tokens
+from lodestone.functions.chunking import SEPARATORS, chunk_documents, split_chars, split_tokens
 from lodestone.functions.text import basename, clean_text, cleaned, content_hash, estimate_tokens, extension, extract_json, strip
 
 PARTS = ["a", "Bc", "12", " ", "  ", "\t", "\n", "\n\n\n", "\x00", "\x0b", "\x0c", "\x1d", "\x7f", "　", "\xa0", "汉", "字", "é", "🙂", "_", ".", "!", "１２", " ", "abcdefghijk"]
@@ -181,3 +181,19 @@ def test_settings():
     assert [chunk_strategy(x) for x in ("Recursive", "TOKENS", "other", None)] == ["char", "token", "char", "char"]
     assert Settings().resolve_chunking(0, None) == (800, 150) and Settings().resolve_chunking(10, 0) == (10, 0)
     assert Settings(enable_ocr=True).check_ocr()[1] == 1 and Settings().check_ocr()[1] == 0
+
+
+def test_token_chunks_clean_each_text_once(spark):
+    """A filter on the cleaned text would be worked out beside the cleaned text itself."""
+    docs = spark.createDataFrame([(1, "s", " a\tb ")], "doc_id long, source string, text string")
+    plan = chunk_documents(docs, 200, 40, "token", keep=("doc_id",))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("btrim") + plan.count("trim(both") <= 2 and "Filter" not in plan.replace("Filter (size", "")
+    assert plan.count("{3,}") == 1
+
+
+def test_every_white_space_is_stripped(spark):
+    marks = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and c]
+    got = apply(spark, [c + "a" + c for c in marks], strip("t"), content_hash("t"))
+    for c, (stripped, digest) in zip(marks, got, strict=True):
+        assert stripped == (c + "a" + c).strip()
+        assert digest == hashlib.md5(stripped.encode()).hexdigest()
