@@ -29,7 +29,7 @@ from lodestone.operators import bm25
 from lodestone.operators.dedup import first_wins, list_sources
 from lodestone.operators.embed import Embedder, Progress, embed, reporting
 from lodestone.operators.retrieval import Collection
-from lodestone.plans.runtime import materialize, scratch
+from lodestone.plans.runtime import materialize, scratch, shuffles_end
 
 SCHEMA = "chunk_id string, text string, source string, chunk_index int, content_hash string, vector array<float>, id long"
 COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -243,11 +243,16 @@ class ChunkStore:
 
     # ---- changes ----
 
-    def _write(self, rows: DataFrame, no: int) -> dict:
-        """Write a segment, in the order of ids, and its keys."""
+    def _write(self, no: int, rows: DataFrame | None, loose: DataFrame | None = None) -> dict:
+        """Write a segment and its keys. rows come in the order of ids, file by file, and stay where they are; loose ones are
+        put in order, by a shuffle."""
         name = _name()
         at = f"{self.path}/segments/{name}"
-        rows.select(COLUMNS).repartitionByRange("id").sortWithinPartitions("id").write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(at)
+        parts = [] if rows is None else [rows.select(COLUMNS).sortWithinPartitions("id")]
+        if loose is not None:
+            parts.append(loose.select(COLUMNS).repartitionByRange("id").sortWithinPartitions("id"))
+        with shuffles_end(self.spark):
+            reduce(DataFrame.unionByName, parts).write.option("parquet.page.row.count.limit", PAGE_ROWS).option("compression", "zstd").parquet(at)
         held = self.spark.read.schema(SCHEMA).parquet(at)
         n = held.count()
         digits = next((d for d in range(MOST_DIGITS) if n <= BUCKET_KEYS * 16**d), MOST_DIGITS)
@@ -301,7 +306,7 @@ class ChunkStore:
         if len(manifest["segments"]) <= MOST_SEGMENTS and dead <= MOST_DEAD * rows:
             return
         no = manifest["next_segment"]
-        manifest |= {"next_segment": no + 1, "segments": [self._write(self._all(manifest), no)]}
+        manifest |= {"next_segment": no + 1, "segments": [self._write(no, None, self._all(manifest))]}
 
     def add(self, chunks: DataFrame, progress: Progress | None = None) -> int:
         """Upsert by content_hash: text, source, index and vector of a known chunk are replaced, its place is kept. Returns
@@ -311,20 +316,29 @@ class ChunkStore:
         order = [c for c in ("file_no", "chunk_index") if c in chunks.columns]
         with scratch():
             new = first_wins(chunks, ["content_hash"], order or ["source"])
-            new = materialize(new.select(F.col("content_hash").alias("chunk_id"), "text", "source", F.col("chunk_index").cast("int").alias("chunk_index"), "content_hash", *order[:-1]), "new-chunks")
-            n = new.count()
+            new = new.select(F.col("content_hash").alias("chunk_id"), "text", "source", F.col("chunk_index").cast("int").alias("chunk_index"), "content_hash", *order[:-1])
+            if progress:  # which is told of how many
+                new = materialize(new, "new-chunks")
+            with reporting(self.spark, progress, new.count() if progress else 0) as counter:
+                placed = new.orderBy(*order[:-1], "source", "chunk_index").withColumn("_new", F.monotonically_increasing_id())
+                placed = materialize(placed.withColumn("vector", embed(self.embedder, F.col("text"), counter=counter).cast("array<float>")), "embedded-chunks", "zstd")
+            n = placed.count()
             if not n:
                 return 0
-            with reporting(self.spark, progress, n) as counter:
-                placed = new.orderBy(*order[:-1], "source", "chunk_index").withColumn("_new", F.monotonically_increasing_id())
-                placed = materialize(placed.withColumn("vector", embed(self.embedder, F.col("text"), counter=counter).cast("array<float>")), "embedded-chunks")
             last = placed.agg(F.max("_new")).first()[0]
 
             def change(manifest: dict) -> dict:
-                known = materialize(self._known(manifest, new, n), "known-chunks")
-                rows = placed.join(known.select("chunk_id", F.col("id").alias("_old")), "chunk_id", "left").withColumn("id", F.coalesce("_old", F.col("_new") + manifest["next_id"]))
+                known = materialize(self._known(manifest, placed, n), "known-chunks")
+                met = known.count()
+                old = known.select("chunk_id", F.col("id").alias("_old"))
                 self._bury(manifest, known)
-                manifest["segments"].append(self._write(rows, manifest["next_segment"]))
+                fresh, again = placed.withColumn("id", F.col("_new") + manifest["next_id"]), None
+                if met > BROADCAST_KEYS:
+                    fresh, again = None, placed.join(old, "chunk_id", "left").withColumn("id", F.coalesce("_old", F.col("_new") + manifest["next_id"]))
+                elif met:  # only what takes an older chunk's place moves
+                    again = placed.join(F.broadcast(old), "chunk_id").withColumn("id", F.col("_old"))
+                    fresh = fresh.join(F.broadcast(old), "chunk_id", "left_anti") if met < n else None
+                manifest["segments"].append(self._write(manifest["next_segment"], fresh, again))
                 return manifest | {"next_segment": manifest["next_segment"] + 1, "next_id": manifest["next_id"] + last + 1}
 
             self._change(change)
