@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from jobs.config import load
 from lodestone.functions import pii
 from lodestone.log import get_logger
-from lodestone.operators.embed import HashingEmbedder
+from lodestone.operators import bm25
+from lodestone.operators.embed import HashingEmbedder, embed
 from lodestone.operators.evaluate import containing, hit_rates, hits
 from lodestone.operators.retrieval import Collection, format_context, hybrid_retrieve
 from lodestone.plans.runtime import materialize, prepare, scratch, spread
@@ -27,6 +28,10 @@ from lodestone.plans.runtime import materialize, prepare, scratch, spread
 QUESTIONS = "query_id long, expected int, keyword_hit boolean, best_source string, context string, label string, source_hit boolean"
 TOTALS = "total long, source_hits long, keyword_hits long, passed boolean, label string"
 
+MARK = "state string, n long"
+#: Goes up when the index is made in another way.
+INDEX_VERSION = 1
+
 log = get_logger("lodestone.jobs.evaluate")
 
 
@@ -62,9 +67,31 @@ def totals(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(TOTALS).parquet(f"{out}/totals")
 
 
+def _index(spark: SparkSession, documents: str, docs: DataFrame, at: str, embedder: HashingEmbedder) -> Collection:
+    """What the search reads, kept in `at` for as long as the files of documents stay as they are. The mark says of which
+    files it is; it is taken away first and written last."""
+    files = spark.read.parquet(documents).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    n, same, size = files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("*")), F.sum("file_size")).first()
+    state, empty = f"{INDEX_VERSION}/{embedder.dims}/{n}/{same}/{size}", spark.createDataFrame([], MARK)
+    empty.write.mode("append").parquet(f"{at}/mark")  # a folder to read
+    held = lambda: spark.read.schema(MARK).parquet(f"{at}/mark").where(F.col("state") == state).first()
+    postings = spark.read.schema(bm25.POSTINGS)
+    if not held():
+        empty.write.mode("overwrite").parquet(f"{at}/mark")
+        docs.select("id", embed(embedder, F.col("text")).alias("vector")).write.mode("overwrite").parquet(f"{at}/vectors")
+        bm25.invert(docs).write.mode("overwrite").parquet(f"{at}/postings")
+        bm25.counts_of(postings.parquet(f"{at}/postings")).write.mode("overwrite").parquet(f"{at}/counts")
+        spark.createDataFrame([(state, docs.count())], MARK).coalesce(1).write.mode("overwrite").parquet(f"{at}/mark")
+        log.info("%s: index of %s written", at, documents)
+    counts = spark.read.schema("tok string, df long, total long").parquet(f"{at}/counts")
+    index = bm25.Index.of(postings.parquet(f"{at}/postings"), counts, held()["n"])
+    return Collection(docs, spark.read.schema("id long, vector array<double>").parquet(f"{at}/vectors"), index)
+
+
 def evaluate(spark: SparkSession, documents: str, asked: str, out: str, config: Config = Config()) -> dict:
     """Evaluate the questions of `asked` (item_id, text) over `documents` (doc_id, text, source) into out/questions and
-    out/totals, each by label. Returns the totals.
+    out/totals, each by label. Returns the totals. The label's index of the documents is kept in out/index, and made again
+    when a file of theirs has changed.
 
     Questions that no document holds expect nothing and are left out. Null texts are in no document and ask nothing.
     """
@@ -76,7 +103,7 @@ def evaluate(spark: SparkSession, documents: str, asked: str, out: str, config:
         passages = spark.read.parquet(asked).select(F.col("item_id").alias("query_id"), "text").where("text IS NOT NULL")
         wanted = materialize(cases(docs, passages, config.keyword_chars), "cases")
         embedder = HashingEmbedder(config.dims)
-        found = materialize(hybrid_retrieve(Collection.of(docs, embedder), wanted.select("query_id", "text"), embedder, config.top_k, config.threshold), "found")
+        found = materialize(hybrid_retrieve(_index(spark, documents, docs, f"{out}/index/label={config.label}", embedder), wanted.select("query_id", "text"), embedder, config.top_k, config.threshold), "found")
         first = found.where("rank = 1").select("query_id", F.col("source").alias("best_source"))
         rows = hits(wanted, found).join(wanted.select("query_id", F.size("expected_sources").alias("expected")), "query_id")
         rows = rows.join(first, "query_id", "left").join(format_context(found, mask=pii.mask), "query_id", "left")

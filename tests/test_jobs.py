@@ -148,3 +148,20 @@ def test_command_lines(tmp_path):
     done = subprocess.run([*submit, "jobs.evaluate_retrieval", "--documents", f"{folder}/documents.parquet", "--questions", f"{folder}/benchmark.parquet", "--out", str(tmp_path / "ev")], cwd=ROOT, env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
     assert "questions written under nightly" in done.stdout and list((tmp_path / "ev/questions/label=nightly").glob("source_hit=*/*.parquet"))
+
+
+def test_index_is_kept_while_documents_stay(spark, tmp_path):
+    """A rerun embeds and inverts nothing; a changed table is indexed anew, with the results of a first run."""
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    out, folder, asked = f"file://{tmp_path}/evaluation", f"file://{tmp_path}/documents.parquet", f"{DATA}/sf0.001/benchmark.parquet"
+    files = lambda: sorted(p.name for p in (tmp_path / "evaluation/index/label=nightly").glob("[pv]*/*.parquet"))
+    rows = lambda at: sorted(map(tuple, evaluate_retrieval.questions(spark, at).collect()), key=repr)
+    docs.where("doc_id % 2 = 0").write.parquet(folder)
+    evaluate_retrieval.evaluate(spark, folder, asked, out)
+    one, first = files(), rows(out)
+    evaluate_retrieval.evaluate(spark, folder, asked, out)
+    assert one and files() == one and rows(out) == first
+    docs.where("doc_id % 2 = 1").write.mode("append").parquet(folder)
+    evaluate_retrieval.evaluate(spark, folder, asked, out)
+    evaluate_retrieval.evaluate(spark, folder, asked, f"{out}-new")
+    assert not set(files()) & set(one) and rows(out) == rows(f"{out}-new") != first
