@@ -27,7 +27,7 @@ def data(spark, tmp_path):
     return tmp_path / "data"
 
 
-@pytest.mark.parametrize("name", ["bm25_search"])
+@pytest.mark.parametrize("name", ["eval_hits", "bm25_search"])
 def test_what_a_task_of_the_query_holds_is_bounded_by_tokens(spark, monkeypatch, data, name):
     """The query reads an index whose blocks do not grow with the documents' lengths, and many blocks give the SQL's rows."""
     monkeypatch.setattr(bm25, "BLOCK_TOKENS", MOST, raising=False)
